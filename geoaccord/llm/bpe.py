@@ -1,7 +1,7 @@
 """Byte-level BPE by a hierarchical-bitmap rank queue.
 
-A pre-token is a linked list of symbols. Each merge rank has a bucket of list positions; a bitmap over the ranks,
-with a bitmap over its words above it, names the lowest rank that has entries by find-first-set. An entry whose
+A pre-token is a linked list of symbols. Each merge rank has a bucket of list positions; a bitmap over the ranks
+(words of 64 bits), with a bitmap over its words above it, names the lowest rank that has entries by find-first-set. An entry whose
 pair has changed since is skipped when it is popped. Encoding n bytes takes O(n log n) steps, also where one
 pre-token is very long.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session
+from .common import session, worker_state
 
 #: Pre-tokens kept with their ids in each Python worker, and the longest that is kept.
-CACHE_SIZE, CACHE_LENGTH = 1 << 18, 64
+CACHE_SIZE, CACHE_LENGTH = 1 << 19, 64
 MAX_RANK_BYTES = 64 << 20
 
 
@@ -37,55 +38,15 @@ def read_ranks(path: str) -> bytes:
     return raw
 
 
-class RankQueue:
-    """Ranks with entries, as a two-level bitmap of 64-bit words under a Python integer of the top level."""
-
-    __slots__ = ("buckets", "mid", "top", "words")
-
-    def __init__(self, n: int):
-        self.words = [0] * (n // 64 + 1)
-        self.mid = [0] * (n // 4096 + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [at]
-            word = rank >> 6
-            self.words[word] |= 1 << (rank & 63)
-            self.mid[word >> 6] |= 1 << (word & 63)
-            self.top |= 1 << (word >> 6)
-        else:
-            heappush(bucket, at)
-
-    def pop(self) -> tuple[int, int]:
-        """The leftmost position of the lowest rank; the queue must not be empty."""
-        high = (self.top & -self.top).bit_length() - 1
-        mid = self.mid[high]
-        word = (high << 6) + (mid & -mid).bit_length() - 1
-        bits = self.words[word]
-        rank = (word << 6) + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.words[word] = bits & (bits - 1)
-            if not self.words[word]:
-                self.mid[high] = mid & (mid - 1)
-                if not self.mid[high]:
-                    self.top &= self.top - 1
-        return rank, at
-
-
 class Encoder:
     """Encodes and decodes with the merge ranks of a rank file."""
 
     def __init__(self, rank_file: bytes, pattern: str):
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in rank_file.splitlines() if line)}
-        self.queue = RankQueue(max(self.ranks.values()) + 1)
+        size = max(self.ranks.values()) + 1
+        self.words = [0] * (size // 64 + 1)  # the lower level of the bitmap: 64 ranks a word
         self.longest = max(map(len, self.ranks))
-        self.bytes_of: list[bytes | None] = [None] * (max(self.ranks.values()) + 1)
+        self.bytes_of: list[bytes | None] = [None] * size
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
         self.split = regex.compile(pattern).findall
@@ -93,47 +54,67 @@ class Encoder:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks, queue, n = self.ranks, self.queue, len(piece)
-        if (whole := ranks.get(piece)) is not None:
+        rank_of = self.ranks.get
+        if (whole := rank_of(piece)) is not None:
             return [whole]
+        n, longest, words, top, buckets = len(piece), self.longest, self.words, 0, {}
         end = list(range(1, n + 1))  # of the symbol that starts here; 0: merged into another
         before = list(range(-1, n - 1))
-        pair = [-1] * n  # rank of the pair that starts here
-        for i in range(n - 1):
-            if (r := ranks.get(piece[i : i + 2])) is not None:
-                pair[i] = r
-                queue.push(r, i)
-        longest = self.longest
-        while queue.top:
-            rank, i = queue.pop()
+        pair = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the pair that starts here
+        pair.append(-1)
+        for i, r in enumerate(pair):
+            if r >= 0:
+                if r in buckets:
+                    buckets[r].append(i)  # in rising order, so a heap
+                else:
+                    buckets[r] = [i]
+                    words[r >> 6] |= 1 << (r & 63)
+                    top |= 1 << (r >> 6)
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = words[word]
+            rank = (word << 6) + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                words[word] = bits = bits & (bits - 1)
+                if not bits:
+                    top &= top - 1
             if pair[i] != rank:
                 continue  # stale
             j = end[i]
-            k = end[j]
-            end[i], end[j], pair[j] = k, 0, -1
+            k = end[i] = end[j]
+            end[j], pair[j], pair[i] = 0, -1, -1
+            starts = (before[i],)
             if k < n:
                 before[k] = i
-                r = ranks.get(piece[i : end[k]]) if end[k] - i <= longest else None
-                pair[i] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, i)
-            else:
-                pair[i] = -1
-            if (h := before[i]) >= 0:
-                r = ranks.get(piece[h:k]) if k - h <= longest else None
-                pair[h] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, h)
+                starts = (before[i], i)
+            for h in starts:
+                if h < 0:
+                    continue
+                m = end[end[h]]
+                r = pair[h] = rank_of(piece[h:m], -1) if m - h <= longest else -1
+                if r >= 0:
+                    if r in buckets:
+                        heappush(buckets[r], h)
+                    else:
+                        buckets[r] = [h]
+                        words[r >> 6] |= 1 << (r & 63)
+                        top |= 1 << (r >> 6)
         ids, i = [], 0
         while i < n:
-            if (r := ranks.get(piece[i : end[i]])) is None:
+            if (r := rank_of(piece[i : end[i]])) is None:
                 raise ValueError(f"the ranks lack the byte {piece[i]}")
             ids.append(r)
             i = end[i]
         return ids
 
     def packed(self, piece: str) -> bytes:
-        ids = np.array(self.merge(piece.encode("utf-8")), "<u4").tobytes()
+        ids = self.merge(piece.encode("utf-8"))
+        ids = pack(f"<{len(ids)}I", *ids)
         if len(piece) <= CACHE_LENGTH:
             if len(self.cache) >= CACHE_SIZE:
                 self.cache.clear()
@@ -142,8 +123,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        cached = self.cache.get
-        return b"".join([cached(piece) or self.packed(piece) for piece in self.split(text)])
+        cached, packed = self.cache.get, self.packed
+        return b"".join([cached(piece) or packed(piece) for piece in self.split(text)])
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -166,7 +147,7 @@ def _apply(docs, rank_path, pattern, id_col, text_col, schema, columns) -> DataF
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        encoder = Encoder(shared.value, pattern)
+        encoder = worker_state(("bpe", shared.id, pattern), lambda: Encoder(shared.value, pattern))
         for batch in batches:
             counts, rest = [], []
             for text in batch.column(1):
@@ -188,12 +169,10 @@ def decode(ids: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", o
 
     spark = session(ids.sparkSession)
     shared = spark.sparkContext.broadcast(read_ranks(rank_path))
-    local: dict = {}
 
     @F.pandas_udf("binary")
     def back(column: pd.Series) -> pd.Series:
-        if "encoder" not in local:
-            local["encoder"] = Encoder(shared.value, pattern)
-        return column.map(lambda x: None if x is None else local["encoder"].decode(bytes(x)))
+        encoder = worker_state(("bpe", shared.id, pattern), lambda: Encoder(shared.value, pattern))
+        return column.map(lambda x: None if x is None else encoder.decode(bytes(x)))
 
     return ids.withColumn(out_col, back(F.col(ids_col)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -70,6 +71,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    gc.collect()  # the driver's cleaner then removes the shuffle files of finished steps
+    spark.sparkContext._jvm.System.gc()
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch_path = path
     return table
@@ -92,6 +95,19 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+_state: dict = {}
+
+
+def worker_state(key, make):
+    """What ``make`` returned for ``key`` in this Python worker, across its tasks; the last four keys are kept.
+    It holds only what can be made again from the key (tables, bounded caches), so a lost worker loses no result."""
+    if key not in _state:
+        while len(_state) >= 4:
+            _state.pop(next(iter(_state)))
+        _state[key] = make()
+    return _state[key]
+
+
 def crc32_text(column) -> F.Column:
     """Unsigned CRC-32 of the UTF-8 bytes of a text."""
     return F.crc32(F.encode(column, "UTF-8"))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, session
+from .common import mix64, session, worker_state
 
 BITS = 16
 ORDERS = (1, 2, 3, 4)
@@ -112,13 +112,11 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", out_col: str =
     """``docs`` with a struct column ``out_col`` (lang_pred, score)."""
     spark = session(docs.sparkSession)
     shared = spark.sparkContext.broadcast(pickle.dumps(model))
-    local: dict = {}
 
     @F.pandas_udf("lang_pred string, score double")
     def classify(text: pd.Series, letter: pd.Series) -> pd.DataFrame:
-        if "model" not in local:
-            local["model"] = pickle.loads(shared.value)
-        named, score = score_texts(text.where(text.notna(), None).tolist(), letter.tolist(), local["model"])
+        fitted = worker_state(("langid", shared.id), lambda: pickle.loads(shared.value))
+        named, score = score_texts(text.where(text.notna(), None).tolist(), letter.tolist(), fitted)
         return pd.DataFrame({"lang_pred": named, "score": score})
 
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, sharding, wordpiece
+from . import bpe, jaccard, langid, quality, sharding, wordpiece
 from .common import crc32_text, table
 
 
@@ -31,6 +31,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", held_out_rows().alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -46,5 +50,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op5_language_id, op8_byte_bpe, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op5_language_id, op7_jaccard_join, op8_byte_bpe, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}

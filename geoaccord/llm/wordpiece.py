@@ -20,14 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session
+from .common import session, worker_state
 
 #: Symbol after the last byte of a word.
 END = 256
 CACHE_SIZE, CACHE_LENGTH = 1 << 18, 64
 MAX_VOCABULARY = 2_000_000
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 class LongestMatch:
@@ -87,20 +86,19 @@ def token_counts(docs: DataFrame, vocabulary: list[tuple[bytes, bool]], id_col:
         raise ValueError(f"the vocabulary has over {MAX_VOCABULARY} tokens")
     spark = session(docs.sparkSession)
     shared = spark.sparkContext.broadcast(vocabulary)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def run(batches):
-        match, cache = LongestMatch(shared.value), {}
+        match, cache = worker_state(("wordpiece", shared.id), lambda: (LongestMatch(shared.value), {}))
         for batch in batches:
             words, tokens = [], []
             for text in batch.column(1):
-                seen = Counter((text.as_py() or "").translate(_SPACES).translate(_LOWER).split(" "))
-                seen.pop("", None)
+                seen = Counter((text.as_py() or b"").translate(_LOWER).split())  # of bytes, split() knows just the six spaces
                 total = 0
                 for word, times in seen.items():
                     n = cache.get(word)
                     if n is None:
-                        n = match.count(word.encode("utf-8"))
+                        n = match.count(word)
                         if len(word) <= CACHE_LENGTH:
                             if len(cache) >= CACHE_SIZE:
                                 cache.clear()
