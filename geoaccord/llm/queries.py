@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, quality, sharding, wordpiece
+from . import bpe, decontaminate, jaccard, langid, quality, sharding, substring, wordpiece
 from .common import crc32_text, table
 
 
@@ -24,6 +24,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), [1.0] * 8)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = substring.repeats(table(spark, sf_dir, "documents"))
+    return spans.select("doc_id", "first_doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("first_start").cast("long").alias("first_start"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = docs.where(crc32_text(F.col("doc_id").cast("string")) % 5 != 0)
@@ -31,6 +36,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", held_out_rows().alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -50,5 +59,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op5_language_id, op7_jaccard_join, op8_byte_bpe, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op4_substring_dedup, op5_language_id, op6_decontamination, op7_jaccard_join, op8_byte_bpe, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
