@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import session, worker_state
 
 #: Edits allowed for each character of an item, and the shortest item that is searched.
-ERROR_RATE, MIN_CHARS = 0.06, 30
+ERROR_RATE, MIN_CHARS = 0.08, 30
 #: Characters of items in one search block; a larger benchmark is searched in several blocks.
 BLOCK_CHARS = 8_000_000
 
