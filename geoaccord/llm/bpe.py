@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session, worker_state
+from .common import Shared, session, worker_state
 
 #: Pre-tokens kept with their ids in each Python worker, and the longest that is kept.
 CACHE_SIZE, CACHE_LENGTH = 1 << 19, 64
@@ -143,11 +143,11 @@ def digest(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
 
 def _apply(docs, rank_path, pattern, id_col, text_col, schema, columns) -> DataFrame:
     spark = session(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(read_ranks(rank_path))
+    shared = Shared(spark, read_ranks(rank_path))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        encoder = worker_state(("bpe", shared.id, pattern), lambda: Encoder(shared.value, pattern))
+        encoder = worker_state(("bpe", shared.key, pattern), lambda: Encoder(shared.value, pattern))
         for batch in batches:
             counts, rest = [], []
             for text in batch.column(1):
@@ -168,11 +168,11 @@ def decode(ids: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", o
     import pandas as pd
 
     spark = session(ids.sparkSession)
-    shared = spark.sparkContext.broadcast(read_ranks(rank_path))
+    shared = Shared(spark, read_ranks(rank_path))
 
     @F.pandas_udf("binary")
     def back(column: pd.Series) -> pd.Series:
-        encoder = worker_state(("bpe", shared.id, pattern), lambda: Encoder(shared.value, pattern))
+        encoder = worker_state(("bpe", shared.key, pattern), lambda: Encoder(shared.value, pattern))
         return column.map(lambda x: None if x is None else encoder.decode(bytes(x)))
 
     return ids.withColumn(out_col, back(F.col(ids_col)))

@@ -95,6 +95,17 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+class Shared:
+    """A broadcast value, with a key that names it in Python workers."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.broadcast, self.key = spark.sparkContext.broadcast(value), uuid.uuid4().hex
+
+    @property
+    def value(self):
+        return self.broadcast.value
+
+
 _state: dict = {}
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session, worker_state
+from .common import Shared, session, worker_state
 
 #: Edits allowed for each character of an item, and the shortest item that is searched.
 ERROR_RATE, MIN_CHARS = 0.08, 30
@@ -134,14 +134,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     schema = "doc_id long, item_id long, distance int, end int"
     out = None
     for block in blocks(benchmark, item_id, item_text, min_chars, block_chars):
-        part = rows.mapInArrow(_search(spark.sparkContext.broadcast(block), rate), schema)
+        part = rows.mapInArrow(_search(Shared(spark, block), rate), schema)
         out = part if out is None else out.union(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
 def _search(shared, rate: float):
     def run(batches):
-        matcher = worker_state(("decontaminate", shared.id, rate), lambda: Matcher(shared.value, rate))
+        matcher = worker_state(("decontaminate", shared.key, rate), lambda: Matcher(shared.value, rate))
         for batch in batches:
             found = [(i, *hit) for i, text in enumerate(batch.column(1)) for hit in matcher.find(text.as_py())]
             at = pa.array([f[0] for f in found], pa.int64())
@@ -157,11 +157,11 @@ def flag(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out_col:
     spark = session(docs.sparkSession)
     hit = F.lit(False)
     for block in blocks(benchmark, item_id, item_text, min_chars, block_chars):
-        shared = spark.sparkContext.broadcast(block)
+        shared = Shared(spark, block)
 
         @F.pandas_udf("boolean")
         def held(text: pd.Series, shared=shared) -> pd.Series:
-            matcher = worker_state(("decontaminate", shared.id, rate), lambda: Matcher(shared.value, rate))
+            matcher = worker_state(("decontaminate", shared.key, rate), lambda: Matcher(shared.value, rate))
             return pd.Series([bool(matcher.find(t)) for t in text.where(text.notna(), None)], dtype=bool)
 
         hit = hit | held(F.col(text_col))

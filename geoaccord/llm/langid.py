@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, session, worker_state
+from .common import Shared, mix64, session, worker_state
 
 BITS = 16
 ORDERS = (1, 2, 3, 4)
@@ -54,7 +54,7 @@ def _slices(texts: list[str | None], pad: int):
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS, bits: int = BITS, orders=ORDERS) -> dict:
     """Fit on at most about ``train_docs`` labelled rows a language; returns {langs, logp (buckets x langs), prior}."""
-    spark = session(labelled.sparkSession)
+    session(labelled.sparkSession)
     known = labelled.where(F.col(lang_col).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(lang_col).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
@@ -85,7 +85,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     table[got["bucket"].to_numpy(np.int64), np.searchsorted(langs, got["lang"].to_numpy(str)) if len(got) else []] = got["n"].to_numpy(float)
     logp = np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * size))
     share_of = np.array([sizes[x] for x in langs], float)
-    del spark
+
     return {"langs": langs, "logp": np.ascontiguousarray(logp.T.astype(np.float32)), "prior": np.log(share_of / share_of.sum()), "bits": bits, "orders": tuple(orders)}
 
 
@@ -111,11 +111,11 @@ def score_texts(texts: list[str | None], has_letter, model: dict) -> tuple[list[
 def predict(docs: DataFrame, model: dict, text_col: str = "text", out_col: str = "language") -> DataFrame:
     """``docs`` with a struct column ``out_col`` (lang_pred, score)."""
     spark = session(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(pickle.dumps(model))
+    shared = Shared(spark, pickle.dumps(model))
 
     @F.pandas_udf("lang_pred string, score double")
     def classify(text: pd.Series, letter: pd.Series) -> pd.DataFrame:
-        fitted = worker_state(("langid", shared.id), lambda: pickle.loads(shared.value))
+        fitted = worker_state(("langid", shared.key), lambda: pickle.loads(shared.value))
         named, score = score_texts(text.where(text.notna(), None).tolist(), letter.tolist(), fitted)
         return pd.DataFrame({"lang_pred": named, "score": score})
 

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, quality, sharding, substring, wordpiece
-from .common import crc32_text, table
+from . import bpe, decontaminate, jaccard, langid, quality, sharding, substring, tokenfiles, warc, wordpiece
+from .common import crc32_text, materialize, scratch_path, table
 
 
 def held_out_rows(doc_id="doc_id") -> F.Column:
@@ -24,6 +24,24 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), [1.0] * 8)
 
 
+#: In the fixity drill of op3, one record of so many is damaged in the second replica.
+DRILL = 1009
+
+
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives all pages twice, damages some records of the second replica, and audits the files. One row a record
+    of the first replica, with its place, hash and what the audit says of it."""
+    records = materialize(warc.archive(table(spark, sf_dir, "pages")), "records")
+    paths = [scratch_path(spark, "replica") for _ in range(2)]
+    damaged = F.when(F.crc32(F.col("record")) % DRILL == 0, F.regexp_replace("record", "WARC-Type: resource", "WARC-Type: resourcf")).otherwise(F.col("record"))
+    warc.write(records, paths[0])
+    warc.write(records.withColumn("record", damaged), paths[1])
+    one, two = (materialize(warc.leaves(spark, path), "leaves") for path in paths)
+    found = warc.audit(one, two).select(F.col("file").alias("_f"), F.col("seq").alias("_s"), "state")
+    joined = one.join(found, (F.col("file") == F.col("_f")) & (F.col("seq") == F.col("_s")), "left")
+    return joined.select(F.expr("try_cast(record_id as bigint)").alias("page_id"), "file", "seq", "offset", "length", F.col("hash").alias("sha256"), F.coalesce("state", F.lit("intact")).alias("state"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = substring.repeats(table(spark, sf_dir, "documents"))
     return spans.select("doc_id", "first_doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("first_start").cast("long").alias("first_start"))
@@ -48,6 +66,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    tokenfiles.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return tokenfiles.read_checksums(spark, path)
+
+
 def word_vocabulary() -> list[tuple[bytes, bool]]:
     from tokenizers import Tokenizer
 
@@ -59,5 +83,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op4_substring_dedup, op5_language_id, op6_decontamination, op7_jaccard_join, op8_byte_bpe, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_warc_fixity, op4_substring_dedup, op5_language_id, op6_decontamination, op7_jaccard_join, op8_byte_bpe, op9_repair_files, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}

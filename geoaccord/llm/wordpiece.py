@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session, worker_state
+from .common import Shared, session, worker_state
 
 #: Symbol after the last byte of a word.
 END = 256
@@ -85,11 +85,11 @@ def token_counts(docs: DataFrame, vocabulary: list[tuple[bytes, bool]], id_col:
     if len(vocabulary) > MAX_VOCABULARY:
         raise ValueError(f"the vocabulary has over {MAX_VOCABULARY} tokens")
     spark = session(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = Shared(spark, vocabulary)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def run(batches):
-        match, cache = worker_state(("wordpiece", shared.id), lambda: (LongestMatch(shared.value), {}))
+        match, cache = worker_state(("wordpiece", shared.key), lambda: (LongestMatch(shared.value), {}))
         for batch in batches:
             words, tokens = [], []
             for text in batch.column(1):
