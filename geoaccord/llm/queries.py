@@ -15,6 +15,11 @@ def held_out_rows(doc_id="doc_id") -> F.Column:
     return F.coalesce(crc32_text(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def learned_rows(doc_id="doc_id") -> F.Column:
+    """Rows that a language model may learn from: crc32(doc_id as text) mod 5 is not 0."""
+    return crc32_text(F.col(doc_id).cast("string")) % 5 != 0
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
@@ -49,7 +54,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    learned = docs.where(crc32_text(F.col("doc_id").cast("string")) % 5 != 0)
+    learned = docs.where(learned_rows())
     named = langid.predict(docs.select("doc_id", "text"), langid.fit(learned))
     return named.select("doc_id", held_out_rows().alias("held_out"), "language.lang_pred", "language.score")
 
