@@ -26,8 +26,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     columns = docs.columns
     groups = jaccard.join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     groups = materialize(groups, "gone")
-    kept = docs.where("doc_id is not null").join(groups, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(*columns).union(docs.where("doc_id is null"))
+    kept = docs.join(groups, F.col("doc_id") == F.col("_gone"), "left_anti").select(*columns)
+    again = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "again")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, F.col("doc_id") == F.col("_again"), "left_anti").union(once.select(*columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

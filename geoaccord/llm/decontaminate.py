@@ -12,6 +12,7 @@ repeated rows give equal rows; an empty table on either side gives an empty resu
 from __future__ import annotations
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -152,17 +153,17 @@ def _search(shared, rate: float):
 
 def flag(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out_col: str = "contaminated", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with a boolean column: whether a row's text holds any item."""
-    import pandas as pd
-
     spark = session(docs.sparkSession)
     hit = F.lit(False)
     for block in blocks(benchmark, item_id, item_text, min_chars, block_chars):
-        shared = Shared(spark, block)
+        hit = hit | _holds(Shared(spark, block), rate)(F.col(text_col))
+    return docs.withColumn(out_col, hit)
 
-        @F.pandas_udf("boolean")
-        def held(text: pd.Series, shared=shared) -> pd.Series:
-            matcher = worker_state(("decontaminate", shared.key, rate), lambda: Matcher(shared.value, rate))
-            return pd.Series([bool(matcher.find(t)) for t in text.where(text.notna(), None)], dtype=bool)
 
-        hit = hit | held(F.col(text_col))
-    return docs.withColumn(out_col, hit)
+def _holds(shared, rate: float):
+    @F.pandas_udf("boolean")
+    def held(text: pd.Series) -> pd.Series:
+        matcher = worker_state(("decontaminate", shared.key, rate), lambda: Matcher(shared.value, rate))
+        return pd.Series([bool(matcher.find(t)) for t in text.where(text.notna(), None)], dtype=bool)
+
+    return held
