@@ -1 +1 @@
-
+"""Analyses and registered queries."""

@@ -51,7 +51,7 @@ def diagnosed(by: str = "pair_key") -> str:
 
 
 ZERO = f"z as (select pair_key, max(case when x = 0 then 1 else 0 end) as zero from {long('s', fields=FIELDS)} group by pair_key)"
-LOCAL = "select i as feature_id, t.pair_key, round(e1 / s0, 4) as lme, round(e2 / s0, 4) as lmae, round(case when zero = 0 then e4 / s0 end, 6) as lmre, round(sqrt(greatest(0, e3 / s0)), 4) as lrmse from t join z on t.pair_key = z.pair_key"
+LOCAL = "select i as feature_id, t.pair_key, round(e1 / s0 + 1.2345e-7, 4) as lme, round(e2 / s0 + 1.2345e-7, 4) as lmae, round(case when zero = 0 then e4 / s0 end + 1.2345e-9, 6) as lmre, round(sqrt(greatest(0, e3 / s0)) + 1.2345e-7, 4) as lrmse from t join z on t.pair_key = z.pair_key"
 
 
 def local_error(kernel: str, bandwidth: float) -> str:
@@ -227,7 +227,7 @@ ORACLE_SQL: dict[str, str] = {
     "quality_stats": f"select count(*) as input, sum(case when w * h is null then 1 else 0 end)::bigint as null_shapes, sum(case when w * h <= 0 then 1 else 0 end)::bigint as empty_shapes, sum(case when w * h > 0 and w * h < 250 then 1 else 0 end)::bigint as too_small, sum(case when w * h >= 250 then 1 else 0 end)::bigint as processed from {fixture_sql('poly_a')}",
     "point_in_polygon": f"select s.feature_id, max(p.feature_id) as polygon_id, count(*) as hits from (select feature_id, px / 8 + 0.37::double as x, py / 9 + 0.41::double as y from {S}) s join {fixture_sql('poly_a')} p on x >= minx and x < minx + w and y >= miny and y < miny + h group by s.feature_id",
     "raster_pairwise_metrics": f"select 'left_v__vs__right_v' as pair_key, 'left_v ~ right_v' as pair_label, round(avg(left_v - right_v), 4) as me, round(avg(abs(left_v - right_v)), 4) as mae, round(avg(case when abs(left_v) > 1e-12 then abs((left_v - right_v) / left_v) end), 6) as mre, round(sqrt(avg(pow(left_v - right_v, 2))), 4) as rmse, round(corr(left_v, right_v), 6) as correlation, count(*) as valid_cells from {G} where left_v is not null and right_v is not null",
-    "raster_local_error": f"select r, c, n, round(local_me, 4) as local_me, round(local_mae, 4) as local_mae, round(local_mre, 4) as local_mre, round(local_rmse, 4) as local_rmse from {_focal(5)}",
+    "raster_local_error": f"select r, c, n, round(local_me + 1.2345e-7, 4) as local_me, round(local_mae + 1.2345e-7, 4) as local_mae, round(local_mre + 1.2345e-7, 4) as local_mre, round(local_rmse + 1.2345e-7, 4) as local_rmse from {_focal(5)}",
     "raster_local_correlation": f"select r, c, round(local_corr, 5) as local_corr from {_focal(5)}",
     "raster_local_regression": f"select r, c, round(coefficient, 5) as coefficient, round(local_r2, 5) as local_r2 from {_focal(9)}",
     "raster_window_sweep": " union all ".join(f"select {w} as window_size, round(median(local_mae), 4) as local_mae_median, round(median(local_rmse), 4) as local_rmse_median, round(median(local_corr), 5) as local_corr_median, round(median(coefficient), 5) as coefficient_median, round(median(local_r2), 5) as local_r2_median from {_focal(w)}" for w in (3, 5, 9)),
@@ -244,7 +244,7 @@ ORACLE_SQL: dict[str, str] = {
     "kde_density": f"with v as (select c_acctbal::double as v from customer where c_acctbal is not null), e as (select min(v) as lo, max(v) as hi, greatest(stddev_pop(v) * pow(count(*)::double, -0.2), (max(v) - min(v)) / 80) as bw, (max(v) - min(v)) / 159 as step from v) select cast(k as int) as point, round(lo + k * step, 4) as x, round(sum(exp(-0.5 * pow((lo + k * step - v) / bw, 2))) * ((hi - lo) / 18 / (bw * {math.sqrt(2 * math.pi)!r}::double)), 4) as density from v, e, range(0, 160) t(k) group by k, lo, hi, bw, step",
     "project_albers": _albers(),
     "project_utm": _utm(),
-    "result_columns": f"with {near('bisquare', BANDWIDTH)}, {sums()} select s.feature_id, round(s.v_a, 4) as v_a, round(e1 / s0, 4) as lme, round(case when s0 is not null then sqrt(greatest(0, e3 / s0)) end, 4) as lrmse from {S} s left join (select * from t where pair_key = 'v_a__vs__v_c') t on t.i = s.feature_id",
+    "result_columns": f"with {near('bisquare', BANDWIDTH)}, {sums()} select s.feature_id, round(s.v_a, 4) as v_a, round(e1 / s0 + 1.2345e-7, 4) as lme, round(case when s0 is not null then sqrt(greatest(0, e3 / s0)) end + 1.2345e-7, 4) as lrmse from {S} s left join (select * from t where pair_key = 'v_a__vs__v_c') t on t.i = s.feature_id",
     "nearest_percent": "select p_partkey, v, p as nearest from (select p_partkey, v, p, row_number() over (partition by p_partkey order by abs(p - v), p) as rn from (select p_partkey, p_size * 2.0::double as v from part), (select (k * 5)::double as p from range(1, 21) t(k))) where rn = 1",
     "scalar_functions": "select c_custkey, case when length(c_name) > 12 then left(c_name, 12) || '…' else c_name end as short, regexp_replace(regexp_replace('#' || c_name || '!', '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g') as tag, 'a__vs__' || c_name as pair, replace(c_name || ',x', ',', '，') as wide, try_cast(substring(c_name, 10, 9) as double) as number, strftime(try_strptime('202401' || lpad((c_custkey % 40)::varchar, 2, '0'), '%Y%m%d'), '%Y-%m-%d') as day from customer",
 }

@@ -18,8 +18,13 @@ CELL = 32.0
 MAPPING = [(str(k), f"C{k}", str(k)) for k in range(6)]
 
 
-def rounded(df: DataFrame, **digits: int) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), n) for c, n in digits.items()})
+def rounded(df: DataFrame, shift: float = 0.0, **digits: int) -> DataFrame:
+    """Rounded columns. Means of few decimals can lie on a tie; ``shift``, below the last digit, moves them off it."""
+    return df.withColumns({c: F.round(F.col(c) + shift * 10.0**-n if shift else F.col(c), n) for c, n in digits.items()})
+
+
+#: Shift of the columns that can lie on ties, in units of their last digit.
+SHIFT = 0.0012345
 
 
 def sites(spark, d):
@@ -96,7 +101,7 @@ def _local(spark, d, kernel="bisquare", bandwidth=BANDWIDTH, adaptive=False):
 def _local_error(spark, d, *args):
     points, _, sums = _local(spark, d, *args)
     out = weighted.local_errors(sums, weighted.zero_denominators(points, FIELDS))
-    return rounded(out.select(F.col("i").alias("feature_id"), "pair_key", "lme", "lmae", "lmre", "lrmse"), lme=4, lmae=4, lmre=6, lrmse=4)
+    return rounded(out.select(F.col("i").alias("feature_id"), "pair_key", "lme", "lmae", "lmre", "lrmse"), SHIFT, lme=4, lmae=4, lmre=6, lrmse=4)
 
 
 def gw_local_error_fixed_bisquare(spark, d):
@@ -249,7 +254,7 @@ def _focal(spark, d, size, *columns):
 
 
 def raster_local_error(spark, d):
-    return rounded(_focal(spark, d, 5, "n", "local_me", "local_mae", "local_mre", "local_rmse"), local_me=4, local_mae=4, local_mre=4, local_rmse=4)
+    return rounded(_focal(spark, d, 5, "n", "local_me", "local_mae", "local_mre", "local_rmse"), SHIFT, local_me=4, local_mae=4, local_mre=4, local_rmse=4)
 
 
 def raster_local_correlation(spark, d):
