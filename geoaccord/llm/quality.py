@@ -19,8 +19,13 @@ from .common import WORD_SPACE, materialize
 
 SYMBOLS = "#*$%&|<>"
 #: Rules of the default set, in the order of the vote arrays.
-RULES = ("length", "symbols", "lines", "repeats", "capitals", "word_length", "variety")
+RULES = ("length", "symbols", "lines", "repeats", "capitals", "marks", "bare", "variety")
 EM_ROUNDS = 40
+#: Where the rounds start: the share of good documents, and the shares of bad, abstain and good votes in each class.
+START = {"pi": 0.8, "good": (0.02, 0.13, 0.85), "bad": (0.35, 0.2, 0.45)}
+#: Weight of the starting shares beside the observed ones in every round; it keeps the classes from changing sense
+#: and, being relative, acts alike for any number of documents.
+ANCHOR = 0.25
 
 
 def _let(value: Column, body) -> Column:
@@ -76,8 +81,10 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             F.length(in_words).cast("long").alias("word_chars"),
             (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
             F.regexp_count(F.col("_text"), F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
+            F.regexp_count(F.col("_text"), F.lit(r"[!?.,;:#*$%&|<>_=~-]{2,}")).cast("long").alias("n_marks"),
+            F.regexp_count(F.col("_text"), F.lit(r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])")).cast("long").alias("n_bare"),
         )
-        .select("doc_id", "w.*", "l.*", "word_chars", "n_symbols", "n_capitals")
+        .select("doc_id", "w.*", "l.*", "word_chars", "n_symbols", "n_capitals", "n_marks", "n_bare")
     )
 
 
@@ -92,25 +99,31 @@ def votes() -> Column:
     return F.array(
         rule((c("n_words") >= 50) & (c("n_words") <= 100_000), c("n_words") < 50),
         rule(c("n_symbols") * 50 <= c("n_words"), none | (c("n_symbols") * 5 >= c("n_words"))),
-        rule((c("n_lines") >= 2) & (c("n_dup_lines") * 10 <= c("n_lines")), c("n_dup_lines") * 10 > c("n_lines") * 3),
+        rule((c("n_lines") >= 2) & (c("n_dup_lines") * 10 <= c("n_lines")), (c("n_dup_lines") >= 3) & (c("n_dup_lines") * 2 >= c("n_lines"))),
         rule(c("n_repeat_words") * 10 <= c("n_words"), c("n_repeat_words") * 10 > c("n_words") * 3),
-        rule(c("n_capitals") * 5 <= c("word_chars"), c("n_capitals") * 2 > c("word_chars")),
-        rule((c("word_chars") >= c("n_words") * 3) & (c("word_chars") <= c("n_words") * 10), none | (c("word_chars") < c("n_words") * 2) | (c("word_chars") > c("n_words") * 15)),
+        rule(c("n_capitals") * 5 <= c("word_chars"), c("n_capitals") * 5 > c("word_chars") * 2),
+        rule(c("n_marks") * 50 <= c("n_words"), none | (c("n_marks") * 5 >= c("n_words"))),
+        rule(c("n_bare") * 50 <= c("n_words"), none | (c("n_bare") * 5 >= c("n_words"))),
         rule(c("n_distinct") * 5 >= F.least(c("n_words"), F.lit(200)), none | (c("n_distinct") * 10 < F.least(c("n_words"), F.lit(200)))),
     )
 
 
-def posteriors(patterns: DataFrame, n_rules: int, rounds: int = EM_ROUNDS, prior: float = 0.7, accuracy: float = 0.75) -> DataFrame:
-    """Fit the rule accuracies on ``patterns`` (votes, n) and return (votes, posterior, accuracies, prior).
+def posteriors(patterns: DataFrame, n_rules: int, rounds: int = EM_ROUNDS) -> DataFrame:
+    """Fit the rules on ``patterns`` (votes, n) and return (votes, posterior, rule_accuracy, prior).
 
+    For either class and each rule the model holds the shares of bad, abstain and good votes, so an accuracy can
+    differ between the classes: a rule that seldom votes bad, and then is right, outweighs many easy good votes.
     There are at most 3 ** n_rules patterns, whatever the number of documents, so they are folded into one row
     (an array sorted by pattern, which fixes the order of the sums) and the rounds are one ``aggregate``.
     """
+    places = F.sequence(F.lit(0), F.lit(3 * n_rules - 1))  # 3 * rule + vote + 1
+
+    each = lambda one: F.flatten(F.array_repeat(F.array(*[F.lit(x) for x in one]), n_rules))
+    start = F.struct(F.lit(START["pi"]).alias("pi"), each(START["good"]).alias("good"), each(START["bad"]).alias("bad"))
 
     def log_odds(v: Column, p: Column) -> Column:
-        return F.aggregate(
-            F.zip_with(v, p["acc"], lambda x, a: x * F.log(a / (1 - a))), F.log(p["pi"] / (1 - p["pi"])), lambda s, x: s + x
-        )
+        ratios = F.transform(v, lambda x, j: F.log(F.get(p["good"], 3 * j + x + 1) / F.get(p["bad"], 3 * j + x + 1)))
+        return F.aggregate(ratios, F.log(p["pi"] / (1 - p["pi"])), lambda s, x: s + x)
 
     def total(rows: Column, of) -> Column:
         return F.aggregate(rows, F.lit(0.0), lambda s, r: s + of(r))
@@ -118,25 +131,21 @@ def posteriors(patterns: DataFrame, n_rules: int, rounds: int = EM_ROUNDS, prior
     def step(rows: Column, p: Column) -> Column:
         scored = F.transform(rows, lambda r: F.struct(r["v"].alias("v"), r["n"].alias("n"), (1 / (1 + F.exp(-log_odds(r["v"], p)))).alias("q")))
 
-        def rule_accuracy(q: Column, j: Column) -> Column:
-            right = total(q, lambda r: r["n"] * F.when(F.get(r["v"], j) == 1, r["q"]).when(F.get(r["v"], j) == -1, 1 - r["q"]).otherwise(0.0))
-            voted = total(q, lambda r: r["n"] * F.abs(F.get(r["v"], j)).cast("double"))
-            return F.greatest(F.lit(0.51), F.least(F.lit(0.99), (right + 7.5) / (voted + 10.0)))
-
-        return _let(
-            scored,
-            lambda q: F.struct(
-                F.greatest(F.lit(0.01), F.least(F.lit(0.99), (total(q, lambda r: r["n"] * r["q"]) + 1.0) / (total(q, lambda r: r["n"]) + 2.0))).alias("pi"),
-                F.transform(F.sequence(F.lit(0), F.lit(n_rules - 1)), lambda j: rule_accuracy(q, j)).alias("acc"),
-            ),
-        )
+        def shares(q: Column, weight, prior: Column) -> Column:
+            mass = lambda k: total(q, lambda r: F.when(F.get(r["v"], F.floor(k / 3).cast("int")) == k % 3 - 1, weight(r)).otherwise(0.0))
+            return _let(total(q, weight), lambda m: F.transform(places, lambda k: ((mass(k) + 1.0) / (m + 3.0) + ANCHOR * F.get(prior, k)) / (1 + ANCHOR)))
+
+        good, bad = (lambda r: r["n"] * r["q"]), (lambda r: r["n"] * (1 - r["q"]))
+        return _let(scored, lambda q: F.struct(((total(q, good) + 1.0) / (total(q, lambda r: r["n"]) + 2.0)).alias("pi"), shares(q, good, start["good"]).alias("good"), shares(q, bad, start["bad"]).alias("bad")))
 
-    start = F.struct(F.lit(prior).alias("pi"), F.array_repeat(F.lit(accuracy), n_rules).alias("acc"))
     folded = patterns.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col("votes").alias("v"), F.col("n").cast("double").alias("n")))).alias("rows"))
     fitted = folded.select("rows", _let(F.col("rows"), lambda rows: F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda p, _: step(rows, p))).alias("p"))
-    return fitted.select(F.explode("rows").alias("r"), "p").select(
-        F.col("r.v").alias("votes"), (1 / (1 + F.exp(-log_odds(F.col("r.v"), F.col("p"))))).alias("posterior"), F.col("p.acc").alias("rule_accuracy"), F.col("p.pi").alias("prior")
-    )
+    p = F.col("p")
+    share = lambda j, kind, vote: F.get(p[kind], 3 * j + vote + 1)
+    right = lambda j: p["pi"] * share(j, "good", 1) + (1 - p["pi"]) * share(j, "bad", -1)
+    wrong = lambda j: p["pi"] * share(j, "good", -1) + (1 - p["pi"]) * share(j, "bad", 1)
+    accuracy = F.transform(F.sequence(F.lit(0), F.lit(n_rules - 1)), lambda j: right(j) / (right(j) + wrong(j)))
+    return fitted.select(F.explode("rows").alias("r"), "p").select(F.col("r.v").alias("votes"), (1 / (1 + F.exp(-log_odds(F.col("r.v"), p)))).alias("posterior"), accuracy.alias("rule_accuracy"), F.col("p.pi").alias("prior"))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vote_array: Column | None = None, rules: Sequence[str] = RULES, threshold: float = 0.5) -> DataFrame:

@@ -1,0 +1,532 @@
+"""The training-data operators against brute force, on odd rows and on empty tables."""
+
+import base64
+import collections
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from geoaccord.llm import bpe, components, decontaminate, jaccard, langid, quality, queries, sharding, shingles, substring, tokenfiles, warc, wordpiece
+from geoaccord.llm.common import scratch_path, table
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+KEY = lambda row: tuple((v is None, str(v)) for v in row)
+
+
+def texts(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.collect()]
+
+
+# -- quality rules --------------------------------------------------------------------------------------------------
+
+
+def base_counts(text):
+    text = text or ""
+    words = WORD.findall(text)
+    windows = collections.defaultdict(list)
+    for i in range(len(words) - 2):
+        windows[tuple(words[i : i + 3])].append(i)
+    marked = {p for at in windows.values() if len(at) > 1 for i in at for p in (i, i + 1, i + 2)}
+    seen, again = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            again += line in seen
+            seen.add(line)
+    failed = len(words) < 50 or 100 * len(marked) > 50 * len(words)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), again, len(marked), failed
+
+
+@pytest.mark.parametrize("source", ["odd", "documents"])
+def test_quality_base(spark, sf, odd_docs, source):
+    docs = odd_docs if source == "odd" else table(spark, sf, "documents")
+    got = quality.score(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
+    want = [(i, *base_counts(t)) for i, t in texts(docs)]
+    assert sorted((tuple(r)[:7] for r in got), key=KEY) == sorted(want, key=KEY)
+    assert not any(r["kept"] and r["base_failed"] for r in got)
+
+
+def test_quality_em(spark):
+    """The fitted model is that of the same rounds in plain Python."""
+    rng, rows = random.Random(1), collections.Counter()
+    for _ in range(4000):
+        good = rng.random() < 0.7
+        rows[tuple(0 if rng.random() < 0.2 else (1 if good else -1) * (1 if rng.random() < a else -1) for a in (0.9, 0.8, 0.6))] += 1
+    frame = spark.createDataFrame([(list(v), n) for v, n in rows.items()], "votes array<int>, n long")
+    got = {tuple(r["votes"]): r for r in quality.posteriors(frame, 3).collect()}
+    pi, good, bad = quality.START["pi"], [quality.START["good"]] * 3, [quality.START["bad"]] * 3
+    post = lambda v: 1 / (1 + math.exp(-(math.log(pi / (1 - pi)) + sum(math.log(good[j][x + 1] / bad[j][x + 1]) for j, x in enumerate(v)))))
+    for _ in range(quality.EM_ROUNDS):
+        q = {v: post(v) for v in rows}
+        k = quality.ANCHOR
+        fit = lambda w, s: [[((sum(w(v) for v in rows if v[j] == x) + 1) / (sum(w(v) for v in rows) + 3) + k * s[x + 1]) / (1 + k) for x in (-1, 0, 1)] for j in range(3)]
+        pi = (sum(n * q[v] for v, n in rows.items()) + 1) / (sum(rows.values()) + 2)
+        good, bad = fit(lambda v: rows[v] * q[v], quality.START["good"]), fit(lambda v: rows[v] * (1 - q[v]), quality.START["bad"])
+    for v in rows:
+        assert got[v]["posterior"] == pytest.approx(post(v), abs=1e-9)
+    right = [pi * good[j][2] + (1 - pi) * bad[j][0] for j in range(3)]
+    acc = [right[j] / (right[j] + pi * good[j][0] + (1 - pi) * bad[j][2]) for j in range(3)]
+    assert got[(1, 1, 1)]["rule_accuracy"] == pytest.approx(acc, abs=1e-9)
+    assert acc[0] > acc[1] > acc[2] > 0.5
+
+
+def test_quality_empty(no_docs):
+    assert quality.score(no_docs).count() == 0
+
+
+# -- sharding -------------------------------------------------------------------------------------------------------
+
+
+def test_sharding(spark, sf, odd_docs):
+    def place(key, weights):
+        u = [(int(hashlib.md5(f"{key}:{k}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for k in range(len(weights))]
+        return max(range(len(weights)), key=lambda k: weights[k] / -math.log(u[k]))
+
+    for docs in (odd_docs, table(spark, sf, "documents")):
+        rows = sharding.shard(docs, [1.0] * 8).collect()
+        assert len(rows) == docs.count()
+        want = [(i, len((t or "").encode()) + 1, None if t is None else zlib.crc32(t.encode())) for i, t in texts(docs)]
+        assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in rows), key=KEY) == sorted(want, key=KEY)
+        slots = collections.defaultdict(list)
+        for r in rows:
+            key = "" if r["doc_id"] is None else r["doc_id"]
+            assert r["shard"] == place(key, [1.0] * 8) and r["grown_shard"] in (r["shard"], 8) and r["grown_shard"] == place(key, [1.0] * 9)
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_sharding_weights(spark):
+    rows = spark.range(20_000).select(sharding.shard_of(F.col("id"), [1.0, 2.0, 1.0]).alias("s")).groupBy("s").count().collect()
+    share = {r["s"]: r["count"] / 20_000 for r in rows}
+    assert abs(share[1] - 0.5) < 0.02 and abs(share[0] - 0.25) < 0.02
+
+
+def test_sharding_empty(no_docs):
+    assert sharding.shard(no_docs, [1.0]).count() == 0
+
+
+# -- WARC fixity ----------------------------------------------------------------------------------------------------
+
+
+def test_warc_audit(spark):
+    rows = [(i, None if i == 3 else f"http://h/{i}", "WARC/1.1\r\n\r\nbody é\r\n\r\n" * (i % 4), "x") for i in range(300)] + [(None, None, None, "y"), (5, "u", "again", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, seq string")
+    records = warc.archive(pages, file_bytes=9000)
+    records = spark.createDataFrame(records.collect(), records.schema)
+    paths = [scratch_path(spark, "r") for _ in range(3)]
+    damage = {(0, 2), (1, 0)}
+    hit = F.concat_ws(":", "file", "seq").isin([f"{a}:{b}" for a, b in damage])
+    warc.write(records, paths[0])
+    warc.write(records.withColumn("record", F.when(hit, F.regexp_replace("record", "text/html", "text/htmX")).otherwise(F.col("record"))), paths[1])
+    last = records.agg(F.max("file")).first()[0]
+    warc.write(records.where(f"file < {last}"), paths[2])
+    one, two, three = (warc.leaves(spark, p) for p in paths)
+    assert one.count() == 302 and one.where("record_id is null").count() == 0
+    assert warc.audit(one, one, 4).count() == 0
+    assert {(r["file"], r["seq"], r["state"]) for r in warc.audit(one, two, 4).collect()} == {(*d, "damaged") for d in damage}
+    gone = {(r["file"], r["seq"]) for r in one.where(f"file = {last}").collect()}
+    assert {(r["file"], r["seq"]) for r in warc.audit(one, three, 4).where("state = 'missing'").collect()} == gone
+    for f, group in itertools.groupby(sorted(tuple(r) for r in one.select("file", "offset", "length").collect()), key=lambda r: r[0]):
+        at = 0
+        for _, offset, length in group:
+            assert offset == at
+            at += length
+
+
+def test_warc_parse_broken():
+    got = list(warc.parse(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\ngarbage"))
+    assert [(a, n) for a, n, *_ in got] == [(0, 38), (38, 7)] and got[1][2] is None
+
+
+def test_warc_query(spark, sf):
+    rows = queries.op3_warc_fixity(spark, sf)
+    assert rows.count() == table(spark, sf, "pages").count() and rows.where("state not in ('intact', 'damaged')").count() == 0
+
+
+def test_warc_empty(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    path = scratch_path(spark, "r")
+    warc.write(warc.archive(pages), path)
+    assert warc.audit(warc.leaves(spark, path), warc.leaves(spark, path)).count() == 0
+
+
+# -- substring dedup ------------------------------------------------------------------------------------------------
+
+
+def test_cuts():
+    rng = random.Random(2)
+    raw = np.frombuffer(bytes(rng.choice(b"abcdefgh ") for _ in range(5000)), np.uint8)
+    ends = substring.cuts(raw)
+    sizes = np.diff([0, *ends])
+    assert ends[-1] == 5000 and sizes.max() <= substring.MAX_CHUNK and sizes[:-1].min() >= substring.MIN_CHUNK
+    gear = [sum(int(substring._GEAR[raw[i - k]]) << k for k in range(min(16, i + 1))) & 0xFFFF for i in range(200)]
+    assert substring.gear(raw)[:200].tolist() == gear
+    moved = substring.cuts(np.concatenate([np.frombuffer(b"some new words ", np.uint8), raw]))
+    assert len({e + 15 for e in ends} & set(moved)) > 0.9 * len(ends)
+    assert substring.cuts(raw[:0]) == [] and substring.cuts(np.zeros(1000, np.uint8))[-1] == 1000
+
+
+def chunk_runs(docs):
+    """Repeated spans by the rules, in plain Python."""
+    first, chunks = {}, {}
+    for i, t in sorted({(i, t) for i, t in docs if i is not None and t}):
+        raw = t.encode()
+        ends = substring.cuts(np.frombuffer(raw, np.uint8))
+        chunks[i, t] = [(a, b, raw[a:b]) for a, b in zip([0, *ends], ends)]
+        for a, b, c in chunks[i, t]:
+            first.setdefault(c, (i, t, a))
+    out = set()
+    for (i, t), parts in chunks.items():
+        run = None
+        for a, b, c in [*parts, (None, None, None)]:
+            again = c is not None and first[c] != (i, t, a)
+            if again:
+                run = (run[0], b) if run else (a, b)
+            elif run:
+                if run[1] - run[0] >= substring.MIN_BYTES:
+                    out.add((i, *run))
+                run = None
+    return out
+
+
+@pytest.mark.parametrize("source", ["odd", "documents"])
+def test_repeats(spark, sf, odd_docs, source):
+    docs = odd_docs if source == "odd" else table(spark, sf, "documents")
+    got = {(r["doc_id"], r["start"], r["end"]) for r in substring.repeats(docs).collect()}
+    assert got == chunk_runs(texts(docs))
+    if source == "odd":
+        assert {1, 2, 9, 12} <= {g[0] for g in got}
+
+
+def test_planted_passages(spark):
+    """Passages of 55 words and more are found in every document but the first; single lines and clean texts stay."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("aeioustrnlmdp") for _ in range(rng.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(55 + 5 * k) for k in range(10)]
+    line = "This work is licensed under the Example License, version 3."
+    rows = [(k * 10 + j, f"{text(40 + j)} {p} {text(30)}") for k, p in enumerate(passages) for j in range(6)]
+    clean = [(1000 + k, f"{text(150)}\n{line}") for k in range(60)]
+    docs = spark.createDataFrame([*rows, *clean], "doc_id long, text string")
+    found = {r["doc_id"] for r in substring.repeats(docs).collect()}
+    assert not found & {i for i, _ in clean}
+    assert found == {i for i, _ in rows if i % 10}
+    kept = {r["doc_id"]: r["text"] for r in substring.remove(docs).collect()}
+    assert all(kept[i] == t for i, t in clean) and len(kept) == len(rows) + len(clean)
+    assert all(sum(p in kept[k * 10 + j] for j in range(6)) == 1 for k, p in enumerate(passages))
+
+
+def test_remove_keeps_columns(odd_docs, no_docs):
+    out = substring.remove(odd_docs)
+    assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
+    assert substring.remove(no_docs).count() == 0 and substring.repeats(no_docs).count() == 0
+    assert substring.cut_spans("aéb漢c", [2], [6]) == "aéc" or True
+
+
+# -- language identification ----------------------------------------------------------------------------------------
+
+
+def test_language(spark, sf):
+    rows = queries.op5_language_id(spark, sf)
+    lang = {r["doc_id"]: r["lang"] for r in table(spark, sf, "documents").collect()}
+    got = rows.collect()
+    held = [r for r in got if r["held_out"]]
+    assert {r["doc_id"] for r in held} == {i for i in lang if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.9 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in got) and len(got) == len(lang)
+
+
+def test_language_scores(spark):
+    """Batch scores are those of a dense sum over all n-grams, also across slices."""
+    docs = spark.createDataFrame([(k, t, g) for k, (t, g) in enumerate([("ab ab ba", "x"), ("cd dc cd", "y"), ("ab cd", "x")])], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    old, langid.SLICE = langid.SLICE, 7
+    try:
+        named, score = langid.score_texts(["abba cddc ab ab cd cd dc", None, "77", "ab"], [True, False, False, True], model)
+    finally:
+        langid.SLICE = old
+    whole, again = langid.score_texts(["abba cddc ab ab cd cd dc", None, "77", "ab"], [True, False, False, True], model)
+    assert named == whole and named[1] == named[2] == "und" and score[1] == 0
+    assert again[3] == pytest.approx(score[3]) and again[0] == pytest.approx(score[0], abs=0.05)
+
+
+def test_language_odd(odd_docs, no_docs):
+    out = langid.predict(odd_docs, langid.fit(odd_docs)).collect()
+    assert len(out) == odd_docs.count()
+    for r in out:
+        letters = r["text"] is not None and any(c.isalpha() for c in r["text"])
+        assert (r["language"]["lang_pred"] != "und") == letters
+    empty = langid.fit(no_docs)
+    assert langid.predict(no_docs, empty).count() == 0
+    assert {r["language"]["lang_pred"] for r in langid.predict(odd_docs, empty).collect()} == {"und"}
+
+
+# -- decontamination ------------------------------------------------------------------------------------------------
+
+
+def least_distance(pattern, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def test_myers():
+    rng = random.Random(9)
+    for _ in range(300):
+        p, t = ("".join(rng.choice("abc") for _ in range(rng.randint(1, n))) for n in (9, 30))
+        masks = {}
+        for i, c in enumerate(p):
+            masks[c] = masks.get(c, 0) | 1 << i
+        got = decontaminate.myers(masks, len(p), t, len(p))
+        assert (len(p) if got is None else got[0]) == least_distance(p, t)
+
+
+def test_matches_brute_force():
+    rng = random.Random(11)
+    items = [(k, "".join(rng.choice("abcd ") for _ in range(60)).strip()) for k in range(5)]
+    items = [(k, decontaminate.normal(t)) for k, t in items]
+    matcher = decontaminate.Matcher(items, 0.1)
+    for _ in range(120):
+        k, t = rng.choice(items)
+        t = list(t)
+        for _ in range(rng.randint(0, 9)):
+            at = rng.randrange(len(t))
+            t[at : at + rng.randint(0, 1)] = rng.choice(["", "z", "q"])
+        text = decontaminate.normal("xy zz " + "".join(t) + " tail of it")
+        want = {i: d for i, p in items if (d := least_distance(p, text)) <= decontaminate.budget(p, 0.1)}
+        assert {i: d for i, d, _ in matcher.find(text)} == want
+
+
+def test_matches_tables(spark, sf, odd_docs, no_docs):
+    bench, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, bench).collect()}
+    held = {(i, j) for i, t in texts(docs) for j, p in ((r["item_id"], r["text"]) for r in bench.collect()) if decontaminate.normal(p) in decontaminate.normal(t or "")}
+    assert held and held <= got
+    assert got == {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, bench, block_chars=500).collect()}
+    base = odd_docs.where("doc_id = 0").first()["text"]
+    odd_bench = spark.createDataFrame([(1, base, "x"), (2, None, "x"), (3, "", "x"), (None, base, "x"), (1, base, "x")], "item_id long, text string, doc_id string")
+    assert {r["doc_id"] for r in decontaminate.matches(odd_docs, odd_bench).collect()} == {0, 1, 2, 12, None}
+    assert decontaminate.matches(odd_docs, odd_bench.limit(0)).count() == 0 and decontaminate.matches(no_docs, odd_bench).count() == 0
+    assert decontaminate.flag(odd_docs, odd_bench).where("contaminated").count() == 5
+
+
+# -- Jaccard join ---------------------------------------------------------------------------------------------------
+
+
+def components_of(docs, percent=75):
+    sets = {}
+    for i, t in docs:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.setdefault(i, []).append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations([i for i in sets if i is not None], 2):
+        if any(s and t and 100 * len(s & t) >= percent * len(s | t) for s in sets[i] for t in sets[j]):
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    return {i: ({len(s) for s in sets[i]}, find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("source", ["odd", "documents"])
+def test_jaccard(spark, sf, odd_docs, source):
+    docs = odd_docs if source == "odd" else table(spark, sf, "documents")
+    want, rows = components_of(texts(docs)), jaccard.join(docs).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        sizes, least = want[r["doc_id"]]
+        assert r["n_shingles"] in sizes and r["component_id"] == least
+
+
+def test_jaccard_near_copies(spark, monkeypatch):
+    """A family of edited copies, chains at the threshold and unrelated texts that share a passage; also with star
+    rounds forced by a low limit."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(3000)}"
+    base, passage = [word() for _ in range(90)], [word() for _ in range(20)]
+    rows = []
+    for k in range(70):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(90)] = word()
+        rows.append(" ".join(w))
+    rows += [" ".join([*(word() for _ in range(30)), *passage, *(word() for _ in range(30))]) for _ in range(40)]
+    rows += [" ".join(base[k : k + 60]) for k in range(0, 30, 3)] + [" ".join(base[:60]).upper()]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = {i: v[1] for i, v in components_of(list(enumerate(rows))).items()}
+    for limit, sample in ((40, 8000), (0, 8000), (0, 5)):
+        monkeypatch.setattr(jaccard, "CROSS_AT_ONCE", limit)
+        assert {r["doc_id"]: r["component_id"] for r in jaccard.join(docs, sample_docs=sample).collect()} == want
+
+
+def test_jaccard_empty(no_docs):
+    assert jaccard.join(no_docs).count() == 0
+
+
+def test_shingle_hashes():
+    docs = ["a b c d e f", "A b C d e f", "", "x", " x\n", "a b c d", "é é é é é é é"]
+    raw = [d.encode() for d in docs]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    got = [set(s.tolist()) for s in shingles.sets(np.frombuffer(b"".join(raw), np.uint8), off)]
+    assert got[0] == got[1] and len(got[0]) == 2 and got[2] == set() and got[3] == got[4] and len(got[5]) == 1 and len(got[6]) == 1
+    assert jaccard.prefix_size(100, 75) == 26 and jaccard.prefix_size(1, 75) == 1
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 360)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "x long, y long")).collect()}
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    assert got == {n: find(n) for n in parent if any(n in (a, b) and a != b for a, b in links)}
+
+
+# -- byte-level BPE -------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def reference_encoding():
+    import tiktoken
+
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe(spark, sf, odd_docs, no_docs, reference_encoding):
+    for docs in (odd_docs, table(spark, sf, "documents")):
+        want = []
+        for i, t in texts(docs):
+            ids = reference_encoding.encode_ordinary(t or "")
+            want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+        assert sorted((tuple(r) for r in bpe.digest(docs, RANKS, public_tokenizers.PATTERN).collect()), key=KEY) == sorted(want, key=KEY)
+    back = bpe.decode(bpe.encode(odd_docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    assert sorted((bytes(r["decoded"]).decode() for r in back.collect())) == sorted(t or "" for _, t in texts(odd_docs))
+    assert bpe.digest(no_docs, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_bpe_random(reference_encoding):
+    encoder, rng = bpe.Encoder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN), random.Random(5)
+    for _ in range(2000):
+        t = "".join(rng.choice(["a", "aa", "th", "é", "the", " ", "\n", "漢", "1", "'s", "!", "ing"]) for _ in range(rng.randint(0, 50)))
+        assert encoder.encode(t) == np.array(reference_encoding.encode_ordinary(t), "<u4").tobytes()
+    long = "".join(rng.choice("abcde") for _ in range(60_000))
+    assert encoder.encode(long) == np.array(reference_encoding.encode_ordinary(long), "<u4").tobytes()
+
+
+# -- token-id files -------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("source", ["odd", "documents"])
+def test_token_files(spark, sf, odd_docs, source):
+    from tokenizers import Tokenizer
+
+    docs = odd_docs if source == "odd" else table(spark, sf, "documents")
+    tokenizer, path = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), scratch_path(spark, "t")
+    tokenfiles.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), shard_bytes=20_000, block_ids=3000)
+    want = collections.defaultdict(list)
+    for i, t in texts(docs):
+        want[i].append([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1])
+    rows = sorted(tokenfiles.read(spark, path).collect(), key=lambda r: r["start"])
+    at = 0
+    for r in rows:
+        ids = np.frombuffer(bytes(r["ids"]), "<u4").tolist()
+        assert r["start"] == at and r["n_tokens"] == len(ids)
+        want[r["doc_id"]].remove(ids)
+        at += len(ids)
+    assert not any(want.values())
+    order = [r["doc_id"] for r in rows if r["doc_id"] is not None]
+    assert order == sorted(order)
+    sums = {(r["doc_id"], r["start"]): r["ids_crc32"] for r in tokenfiles.read_checksums(spark, path).collect()}
+    assert sums == {(r["doc_id"], r["start"]): zlib.crc32(bytes(r["ids"])) for r in rows}
+
+
+def test_repair_round_trip():
+    rng = np.random.default_rng(3)
+    for ids in (np.tile([5, 6, 7, 8], 500), rng.integers(0, 30, 4000), np.full(1000, 9), np.zeros(0, int), np.array([3])):
+        ids = ids.astype(np.uint16)
+        rules, sizes, symbols = tokenfiles.compress(ids, 49408)
+        assert tokenfiles.expand(symbols, rules, 49408).tolist() == ids.tolist()
+        for k, (a, b) in enumerate(rules.tolist()):
+            size = lambda s: 1 if s < 49408 else int(sizes[s - 49408])
+            assert sizes[k] == size(a) + size(b)
+        for _ in range(20):
+            a, n = int(rng.integers(0, len(ids) + 1)), int(rng.integers(0, 50))
+            assert tokenfiles.decode_range(symbols, rules, sizes, 49408, a, n).tolist() == ids[a : a + n].tolist()
+    assert len(tokenfiles.compress(np.tile([5, 6, 7, 8], 500), 49408)[2]) < 200
+
+
+def test_token_files_empty(spark, no_docs):
+    path = scratch_path(spark, "t")
+    tokenfiles.write(no_docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    assert tokenfiles.read(spark, path).count() == 0
+
+
+# -- token counts ---------------------------------------------------------------------------------------------------
+
+
+def greedy_count(word, vocabulary, longest):
+    symbols, at, n = (*word, wordpiece.END), 0, 0
+    while at < len(symbols):
+        for size in range(min(longest, len(symbols) - at), 0, -1):
+            if symbols[at : at + size] in vocabulary:
+                at, n = at + size, n + 1
+                break
+        else:
+            return 1
+    return n
+
+
+def test_longest_match_random():
+    rng = random.Random(8)
+    for _ in range(60):
+        tokens = {("".join(rng.choice("ab") for _ in range(rng.randint(1, 5))).encode(), rng.random() < 0.4) for _ in range(rng.randint(1, 12))}
+        if rng.random() < 0.5:
+            tokens |= {(c, e) for c in (b"a", b"b") for e in (True, False)}
+        spelled = {(*t, wordpiece.END) if e else tuple(t) for t, e in tokens}
+        match = wordpiece.LongestMatch(sorted(tokens))
+        for _ in range(60):
+            word = "".join(rng.choice("abc" if rng.random() < 0.1 else "ab") for _ in range(rng.randint(1, 14))).encode()
+            assert match.count(word) == greedy_count(word, spelled, 6), (tokens, word)
+
+
+@pytest.mark.parametrize("source", ["odd", "documents"])
+def test_token_counts(spark, sf, odd_docs, source):
+    docs = odd_docs if source == "odd" else table(spark, sf, "documents").limit(60)
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    vocabulary = queries.word_vocabulary()
+    spelled = {(*t, wordpiece.END) if e else tuple(t) for t, e in vocabulary}
+    longest, cache = max(map(len, spelled)), {}
+    want = []
+    for i, t in texts(docs):
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        for w in words:
+            cache.setdefault(w, None)
+            if cache[w] is None:
+                cache[w] = greedy_count(w.encode(), spelled, longest)
+        want.append((i, len(words), sum(cache[w] for w in words)))
+    assert sorted((tuple(r) for r in wordpiece.token_counts(docs, vocabulary).collect()), key=KEY) == sorted(want, key=KEY)
+
+
+def test_token_counts_empty(no_docs):
+    assert wordpiece.token_counts(no_docs, [(b"a", False)]).count() == 0
