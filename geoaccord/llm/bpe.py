@@ -17,6 +17,7 @@ from heapq import heappop, heappush
 from struct import pack
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -165,8 +166,6 @@ def _apply(docs, rank_path, pattern, id_col, text_col, schema, columns) -> DataF
 
 def decode(ids: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``ids`` with the bytes that each row's ids decode to (null ids: null)."""
-    import pandas as pd
-
     spark = session(ids.sparkSession)
     shared = Shared(spark, read_ranks(rank_path))
 
