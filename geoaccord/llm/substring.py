@@ -19,10 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, session, utf8
+from .common import drop, materialize, mix64, session, utf8
 
 #: A cut falls on one of 2 ** MASK_BITS bytes; chunk sizes stay between MIN_CHUNK and MAX_CHUNK (but for the last).
-MASK_BITS, MIN_CHUNK, MAX_CHUNK = 5, 16, 256
+MASK_BITS, MIN_CHUNK, MAX_CHUNK = 4, 16, 256
 #: Least bytes of a run of repeated chunks: with the pieces of chunks that are lost at its ends, a passage of 50 words.
 MIN_BYTES = 128
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
@@ -63,26 +63,24 @@ def cuts(raw: np.ndarray, mask_bits: int = MASK_BITS, least: int = MIN_CHUNK, mo
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, text_key, seq, start, size) of every chunk of (doc_id, text_key, text)."""
+    """(digest, doc_id, text_key, place) of every chunk of (doc_id, text_key, text); place is start * 512 + size."""
 
     def cut(batches):
         for batch in batches:
             raw, off = utf8(batch.column(2))
-            digests, starts, sizes, rows, seqs = [], [], [], [], []
+            digests, places, counts = [], [], []
             for i in range(len(off) - 1):
                 part = raw[off[i] : off[i + 1]]
                 ends, view = cuts(part), part.tobytes()
-                begins = [0, *ends[:-1]]
+                begins = [0, *ends[:-1]] if ends else []
                 digests.extend([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(begins, ends)])
-                starts.extend(begins if ends else [])
-                sizes.extend([b - a for a, b in zip(begins, ends)])
-                rows.extend([i] * len(ends))
-                seqs.extend(range(len(ends)))
-            at = pa.array(rows, pa.int64())
+                places.extend([a * 512 + b - a for a, b in zip(begins, ends)])
+                counts.append(len(ends))
+            at = pa.array(np.repeat(np.arange(len(counts)), counts), pa.int64())
             digest = np.array(digests, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(digest), batch.column(0).take(at), batch.column(1).take(at), pa.array(seqs, pa.int32()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32())], names=["digest", "doc_id", "text_key", "seq", "start", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(digest), batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int64())], names=["digest", "doc_id", "text_key", "place"])
 
-    return docs.mapInArrow(cut, "digest long, doc_id long, text_key int, seq int, start int, size int")
+    return docs.mapInArrow(cut, "digest long, doc_id long, text_key int, place long")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -94,18 +92,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     session(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     chunks = materialize(_chunks(rows), "chunks")
-    first = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "start")).alias("first")).where("n > 1")
-    first = materialize(first.select(F.col("digest").alias("_d"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.text_key").alias("first_key"), F.col("first.start").alias("first_start")), "first")
+    first = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "place")).alias("first")).where("n > 1")
+    first = materialize(first.select(F.col("digest").alias("_d"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.text_key").alias("first_key"), F.col("first.place").alias("first_place")), "first")
     found = chunks.join(first, F.col("digest") == F.col("_d"))
-    again = found.where((F.col("first_doc_id") != F.col("doc_id")) | (F.col("first_key") != F.col("text_key")) | (F.col("first_start") != F.col("start")))
-    again = materialize(again.select("doc_id", "text_key", "seq", "start", "size", "first_doc_id", "first_start"), "again")
-    per_text = Window.partitionBy("doc_id", "text_key").orderBy("seq")
-    runs = again.withColumn("_run", F.col("seq") - F.dense_rank().over(per_text)).groupBy("doc_id", "text_key", "_run")
-    spans = runs.agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"),
-        F.min(F.struct("seq", "first_doc_id", "first_start")).alias("head"),
-    )
-    return spans.where(F.col("end") - F.col("start") >= min_bytes).select("doc_id", "text_key", "start", "end", F.col("head.first_doc_id").alias("first_doc_id"), F.col("head.first_start").alias("first_start"))
+    again = found.where((F.col("first_doc_id") != F.col("doc_id")) | (F.col("first_key") != F.col("text_key")) | (F.col("first_place") != F.col("place")))
+    start, size = F.shiftright("place", 9), F.col("place").bitwiseAND(F.lit(511))
+    again = materialize(again.select("doc_id", "text_key", start.cast("int").alias("start"), (start + size).cast("int").alias("end"), "first_doc_id", F.shiftright("first_place", 9).cast("int").alias("first_start")), "again")
+    drop(chunks, first)
+    # A run begins where no repeated chunk ends; rows that repeat a document have equal places and count once.
+    per_text = Window.partitionBy("doc_id", "text_key").orderBy("start")
+    before = F.max("end").over(per_text.rangeBetween(Window.unboundedPreceding, -1))
+    runs = again.withColumn("_new", (F.coalesce(before, F.lit(-1)) != F.col("start")).cast("int")).withColumn("_run", F.max(F.when(F.col("_new") == 1, F.col("start"))).over(per_text))
+    spans = runs.groupBy("doc_id", "text_key", "_run").agg(F.max("end").alias("end"), F.min(F.struct("start", "first_doc_id", "first_start")).alias("head"))
+    spans = spans.select("doc_id", "text_key", F.col("_run").alias("start"), "end", F.col("head.first_doc_id").alias("first_doc_id"), F.col("head.first_start").alias("first_start"))
+    return spans.where(F.col("end") - F.col("start") >= min_bytes)
 
 
 def cut_spans(text: str, starts, ends) -> str:
