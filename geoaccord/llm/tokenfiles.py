@@ -16,6 +16,7 @@ documents; an empty table gives no block; a document is never split, so a block
 from __future__ import annotations
 
 import zlib
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -30,36 +31,59 @@ BLOCK_IDS = 1 << 20
 ROUNDS, LEAST = 6, 8
 #: Bytes of text in one shard.
 SHARD_BYTES = 8 << 20
-CACHE_SIZE, CACHE_LENGTH = 1 << 19, 64
+WORD_CACHE, PART_CACHE, CACHE_LENGTH = 1 << 19, 1 << 20, 64
+MARKS = b".,;:!?*#$%&|"
 MAX_TOKENIZER_BYTES = 64 << 20
 SYMBOLS = 1 << 16
 BLOCK_SCHEMA = "shard int, block int, doc_ids array<long>, doc_sizes array<long>, base int, rules binary, rule_sizes binary, symbols binary, n_ids long"
 
 
 class WordIds:
-    """Ids by the tokenizers library, which sees each word that repeats once: no token of its pre-tokenizer spans
-    ASCII white space, so a text's ids are those of its words in a row. ``end`` ids are packed as unsigned 16-bit."""
+    """Ids by the tokenizers library, packed as unsigned 16-bit, which sees each word that repeats once.
+
+    No token of its pre-tokenizer spans ASCII white space, so a text's ids are those of its words in a row; a word of
+    ASCII letters and some marks after them is two of its tokens, of which the letters may be lower-cased first.
+    """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.size = self.tokenizer.get_vocab_size()
-        self.cache: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        cache, split = self.cache, [t.split() for t in texts]
-        if len(cache) >= CACHE_SIZE:
-            cache.clear()
-        new = [w for w in dict.fromkeys(w for words in split for w in words if w not in cache)]
+        words, split = self.words, [t.split() for t in texts]
+        if len(words) >= WORD_CACHE:
+            words.clear()
         fresh: dict[bytes, bytes] = {}
-        for lo in range(0, len(new), 8192):
-            part = new[lo : lo + 8192]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)):
-                fresh[word] = np.array(found.ids, "<u2").tobytes()
-        cache.update((w, ids) for w, ids in fresh.items() if len(w) <= CACHE_LENGTH)
-        look = lambda w: cache[w] if w in cache else fresh[w]
-        return [b"".join(map(look, words)) for words in split]
+        new = [w for found in split for w in found if w not in words]
+        if new:
+            fresh = self._words(list(dict.fromkeys(new)))
+            words.update(fresh if max(map(len, fresh)) <= CACHE_LENGTH else {w: ids for w, ids in fresh.items() if len(w) <= CACHE_LENGTH})
+        get = words.__getitem__ if all(len(w) <= CACHE_LENGTH for w in fresh) else lambda w: words[w] if w in words else fresh[w]
+        return [b"".join(map(get, found)) for found in split]
+
+    def _words(self, new: list[bytes]) -> dict[bytes, bytes]:
+        parts, pieces, missing = self.parts, [], {}
+        if len(parts) >= PART_CACHE:
+            parts.clear()
+        for w in new:
+            core = w.rstrip(MARKS)
+            piece = (core.lower(), w[len(core) :]) if core.isalpha() else (w,)
+            pieces.append(piece)
+            for x in piece:
+                if x and x not in parts:
+                    missing[x] = None
+        names = list(missing)
+        for lo in range(0, len(names), 8192):
+            part = names[lo : lo + 8192]
+            for x, found in zip(part, self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in part], add_special_tokens=False)):
+                missing[x] = pack(f"<{len(found.ids)}H", *found.ids)
+        parts.update(missing if all(len(x) <= CACHE_LENGTH for x in names) else {x: ids for x, ids in missing.items() if len(x) <= CACHE_LENGTH})
+        get = lambda x: (parts[x] if x in parts else missing[x]) if x else b""
+        return {w: b"".join(map(get, piece)) for w, piece in zip(new, pieces)}
 
 
 def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +104,8 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAS
         first, second, chosen = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool), []
         for key in ordered[edge[often]].tolist():
             a, b = key >> 16, key & 0xFFFF
-            if a != b and not second[a] and not first[b]:
+            # A symbol is first or second in this round, or alone in a pair with itself.
+            if not second[a] and not first[b] and (a != b or not (first[a] or second[a])):
                 first[a] = second[b] = True
                 chosen.append(key)
                 if made + len(chosen) >= SYMBOLS:
@@ -92,6 +117,12 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAS
         rank = np.minimum(np.searchsorted(pairs, keys[at]), len(pairs) - 1)
         hit = pairs[rank] == keys[at]
         at, rank = at[hit], rank[hit]
+        twin = seq[at] == seq[at + 1]
+        if twin.any():  # in a run of one symbol, every second place starts a pair
+            begin = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | ~twin[1:] | ~twin[:-1]]))
+            place = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
+            hit = ~twin | (place % 2 == 0)
+            at, rank = at[hit], rank[hit]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq[at] = (made + rank).astype(np.uint16)
