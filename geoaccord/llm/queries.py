@@ -36,11 +36,11 @@ DRILL = 1009
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives all pages twice, damages some records of the second replica, and audits the files. One row a record
     of the first replica, with its place, hash and what the audit says of it."""
-    records = materialize(warc.archive(table(spark, sf_dir, "pages")), "records")
     paths = [scratch_path(spark, "replica") for _ in range(2)]
+    warc.write(warc.archive(table(spark, sf_dir, "pages")), paths[0], dealt=True)
+    copied = warc.records(spark, paths[0])
     damaged = F.when(F.crc32(F.col("record")) % DRILL == 0, F.regexp_replace("record", "WARC-Type: resource", "WARC-Type: resourcf")).otherwise(F.col("record"))
-    warc.write(records, paths[0])
-    warc.write(records.withColumn("record", damaged), paths[1])
+    warc.write(copied.withColumn("record", damaged), paths[1], dealt=True)
     one, two = (materialize(warc.leaves(spark, path), "leaves") for path in paths)
     found = warc.audit(one, two).select(F.col("file").alias("_f"), F.col("seq").alias("_s"), "state")
     joined = one.join(found, (F.col("file") == F.col("_f")) & (F.col("seq") == F.col("_s")), "left")

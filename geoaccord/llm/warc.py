@@ -11,6 +11,7 @@ ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -32,11 +33,14 @@ def record(record_id: Column, url: Column, body: Column, date: str = "2020-01-01
     return F.concat(head, F.lit(f"\r\nWARC-Date: {date}\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(END), body)
 
 
-def write(records: DataFrame, path: str) -> None:
-    """Write (file, seq, record) as one uncompressed WARC file a ``file`` below ``path``, records in order of seq."""
-    files = max(1, (records.agg(F.max("file")).first()[0] or 0) + 1)
-    dealt = records.repartition(int(files), "file").sortWithinPartitions("file", "seq")
-    dealt.select("file", "record").write.partitionBy("file").option("lineSep", END).option("maxRecordsPerFile", 0).text(path)
+def write(records: DataFrame, path: str, dealt: bool = False) -> None:
+    """Write (file, seq, record) as one gzipped WARC file a ``file`` below ``path``, records in order of seq.
+    ``dealt``: the rows of a file are in one partition already."""
+    if not dealt:
+        files = max(1, (records.agg(F.max("file")).first()[0] or 0) + 1)
+        records = records.repartition(int(files), "file")
+    rows = records.sortWithinPartitions("file", "seq").select("file", "record")
+    rows.write.partitionBy("file").option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def parse(raw: bytes):
@@ -57,21 +61,30 @@ def parse(raw: bytes):
         at = end
 
 
-def leaves(spark: SparkSession, path: str) -> DataFrame:
-    """(file, seq, offset, length, record_id, hash) of every record of the files below ``path``."""
+def _read(spark: SparkSession, path: str, columns, schema: str) -> DataFrame:
+    """A row of (file, seq, *columns) for every record of the files below ``path``."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def read(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = list(parse(content.as_py()))
-                file = int(name.rsplit("/file=", 1)[1].split("/")[0])
-                columns = [[file] * len(found), range(len(found)), *([f[k] for f in found] for k in range(4))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+                raw, file = gzip.decompress(content.as_py()), int(name.rsplit("/file=", 1)[1].split("/")[0])
+                found = [(file, k, *columns(raw, r)) for k, r in enumerate(parse(raw))]
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kinds[c.split()[1]]) for k, c in enumerate(schema.split(", "))], names=names)
 
-    names = ["file", "seq", "offset", "length", "record_id", "hash"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    kinds = {"long": pa.int64(), "string": pa.string()}
     files = session(spark).read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(read, "file long, seq long, offset long, length long, record_id string, hash string")
+    return files.mapInArrow(read, schema)
+
+
+def leaves(spark: SparkSession, path: str) -> DataFrame:
+    """(file, seq, offset, length, record_id, hash) of every record; offsets are those before compression."""
+    return _read(spark, path, lambda raw, r: r, "file long, seq long, offset long, length long, record_id string, hash string")
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, seq, record) of every record, the line ends after it left out; the records of a file are in one task."""
+    return _read(spark, path, lambda raw, r: (raw[r[0] : r[0] + r[1] - len(END)].decode("utf-8", "replace"),), "file long, seq long, record string")
 
 
 def _parents(nodes: DataFrame, fan_out: int, of_files: bool) -> DataFrame:
