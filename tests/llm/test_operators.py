@@ -371,8 +371,8 @@ def test_jaccard_near_copies(spark, monkeypatch):
     rng.shuffle(rows)
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     want = {i: v[1] for i, v in components_of(list(enumerate(rows))).items()}
-    for limit, sample in ((40, 8000), (0, 8000), (0, 5)):
-        monkeypatch.setattr(jaccard, "CROSS_AT_ONCE", limit)
+    for limit, sample in ((64, 8000), (0, 5)):
+        monkeypatch.setattr(jaccard, "LARGE", limit)
         assert {r["doc_id"]: r["component_id"] for r in jaccard.join(docs, sample_docs=sample).collect()} == want
 
 
