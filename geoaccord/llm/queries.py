@@ -48,7 +48,7 @@ def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = substring.repeats(table(spark, sf_dir, "documents"))
+    spans = substring.passages(table(spark, sf_dir, "documents"))
     return spans.select("doc_id", "first_doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("first_start").cast("long").alias("first_start"))
 
 

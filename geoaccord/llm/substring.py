@@ -1,13 +1,16 @@
-"""Substring deduplication by content-defined chunks.
+"""Substring deduplication by content-defined anchors.
 
-A gear rolling hash over the UTF-8 bytes cuts a text where the hash of the last bytes meets a mask, so the cuts move
-with the content and resist insertions. Chunks are deduplicated by digest: a chunk that occurs at an earlier place
-(smaller id, then offset) is a repeat, and runs of adjacent repeated chunks of at least ``min_bytes`` are the
-repeated passages. The first occurrence of a passage stays.
+A passage is repeated where WORDS words in a row stand, byte by byte, at an earlier place (smaller id, then offset)
+that does not overlap it (:func:`passages`). Of the runs of half as many words, each text keeps as anchors those with
+the least hash of a window (winnowing), so any WORDS words hold an anchor that depends on nothing but themselves.
+Only runs of WORDS words whose anchor occurs twice are listed and held against each other; neighbours with one source
+at one distance join to a span. The first occurrence of a passage stays.
+
+:func:`repeats` lists runs of repeated gear-hash chunks, whose parts may come from several places.
 
 Cases: null and empty texts have no chunk; a null id is not compared and stays whole; rows that repeat id and text are
 one document; rows that repeat an id with another text are documents of their own; an empty table gives an empty
-result; other columns are ignored (:func:`repeats`) or kept (:func:`remove`).
+result; other columns are ignored (:func:`passages`, :func:`repeats`) or kept (:func:`remove`).
 """
 
 from __future__ import annotations
@@ -19,12 +22,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, mix64, session, utf8
+from .common import WORD_SPACE, drop, materialize, mix64, session, utf8, worker_state
 
 #: A cut falls on one of 2 ** MASK_BITS bytes; chunk sizes stay between MIN_CHUNK and MAX_CHUNK (but for the last).
 MASK_BITS, MIN_CHUNK, MAX_CHUNK = 4, 16, 256
 #: Least bytes of a run of repeated chunks: with the pieces of chunks that are lost at its ends, a passage of 50 words.
 MIN_BYTES = 128
+#: Words of the least passage, and of the runs that may become anchors.
+WORDS, ANCHOR = 50, 25
+#: Longer words are also split behind gear-hash cuts, and where these are further apart than MAX_CHUNK.
+LONG_WORD = 64
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
 
 
@@ -108,6 +115,123 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     return spans.where(F.col("end") - F.col("start") >= min_bytes)
 
 
+_SPACE = np.isin(np.arange(256), list(WORD_SPACE.encode()))
+_BYTE, _BASE = mix64(np.arange(257, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), 0x5851F42D4C957F2D
+
+
+def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a text. Characters of scripts without spaces (U+3000 to U+9FFF) begin words."""
+    solid = ~_SPACE[raw]
+    begin = solid.copy()
+    begin[1:] &= ~solid[:-1]
+    begin |= (raw >= 0xE3) & (raw <= 0xE9)
+    edge = np.diff(solid.astype(np.int8), prepend=0, append=0)
+    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)) if len(raw) > LONG_WORD else ():
+        if b - a > LONG_WORD:
+            marks = np.flatnonzero((gear(raw[a:b]) >> np.uint16(16 - MASK_BITS)) == 0) + a + 1
+            begin[marks[(marks >= a + MIN_CHUNK) & (marks < b)]] = True
+            own = [*(np.flatnonzero(begin[a:b]) + a), b]
+            for c, d in zip(own, own[1:]):
+                begin[c:d:MAX_CHUNK] = True
+    starts = np.flatnonzero(begin)
+    last = solid.copy()
+    last[:-1] &= ~solid[1:] | begin[1:]
+    return starts, np.flatnonzero(last) + 1
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    def make(size: int) -> np.ndarray:
+        return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, base, np.uint64))])
+
+    size = 1 << max(16, n.bit_length())
+    return worker_state(("powers", base, size), lambda: make(size)) if size <= 1 << 20 else make(n)
+
+
+def chosen(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each run of WORDS words its anchor: the first word of the ANCHOR words in it that have the least hash."""
+    if len(starts) < WORDS:
+        return np.zeros(0, np.int64)
+    back = pow(_BASE, -1, 1 << 64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * _powers(_BASE, len(raw))[: len(raw)], dtype=np.uint64)])
+    a, b = starts[: len(starts) - ANCHOR + 1], ends[ANCHOR - 1 :]
+    order = mix64((sums[b] - sums[a]) * _powers(back, len(raw))[a])
+    windows = np.lib.stride_tricks.sliding_window_view(order, WORDS - ANCHOR + 1)
+    return windows.argmin(axis=1) + np.arange(len(windows))
+
+
+def _anchors(docs: DataFrame) -> DataFrame:
+    """(digest, doc_id, text_key, word) of the anchors of (doc_id, text_key, text)."""
+
+    def list_anchors(batches):
+        for batch in batches:
+            raw, off = utf8(batch.column(2))
+            digests, firsts, counts = [], [], []
+            for i in range(len(off) - 1):
+                part = raw[off[i] : off[i + 1]]
+                starts, ends = words(part)
+                found, view = np.unique(chosen(part, starts, ends)), part.tobytes()
+                digests.extend([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[found].tolist(), ends[found + ANCHOR - 1].tolist())] if len(found) else [])
+                firsts.append(found)
+                counts.append(len(found))
+            at = pa.array(np.repeat(np.arange(len(counts)), counts), pa.int64())
+            word = np.concatenate(firsts or [np.zeros(0)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(digests, np.uint64).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(word)], names=["digest", "doc_id", "text_key", "word"])
+
+    return docs.mapInArrow(list_anchors, "digest long, doc_id long, text_key int, word int")
+
+
+def _grams(docs: DataFrame) -> DataFrame:
+    """(digest, doc_id, text_key, place) of the runs of WORDS words of (doc_id, text_key, text, anchors) whose own
+    anchor is among these; place is start * 2 ** 31 + size."""
+
+    def list_grams(batches):
+        for batch in batches:
+            raw, off = utf8(batch.column(2))
+            digests, places, counts = [], [], []
+            for i, held in enumerate(batch.column(3)):
+                part = raw[off[i] : off[i + 1]]
+                starts, ends = words(part)
+                at = np.flatnonzero(np.isin(chosen(part, starts, ends), np.array(held.as_py(), np.int64)))
+                a, b, view = starts[at], ends[at + WORDS - 1], part.tobytes()
+                digests.extend([xxhash.xxh3_64_intdigest(view[x:y]) for x, y in zip(a.tolist(), b.tolist())])
+                places.append((a << 31) + b - a)
+                counts.append(len(at))
+            at = pa.array(np.repeat(np.arange(len(counts)), counts), pa.int64())
+            place = np.concatenate(places or [np.zeros(0)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(digests, np.uint64).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(place)], names=["digest", "doc_id", "text_key", "place"])
+
+    return docs.mapInArrow(list_grams, "digest long, doc_id long, text_key int, place long")
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key, start, end, first_doc_id, first_start): byte spans of WORDS words or more that stand whole at
+    the earlier place. Spans with other sources may overlap."""
+    session(docs.sparkSession)
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    found = materialize(_anchors(rows), "anchors")
+    shared = materialize(found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("_d")), "shared")
+    hits = found.join(shared, F.col("digest") == F.col("_d")).groupBy("doc_id", "text_key").agg(F.collect_set("word").alias("anchors"))
+    hits = materialize(hits.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "anchors"), "hits")
+    drop(found, shared)
+    held = rows.join(hits, (F.col("doc_id") == F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("doc_id", "text_key", "text", "anchors")
+    grams = materialize(_grams(held), "grams")
+    drop(hits)
+    first = grams.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "place")).alias("first")).where("n > 1")
+    first = materialize(first.select(F.col("digest").alias("_d"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.text_key").alias("first_key"), F.col("first.place").alias("first_place")), "first")
+    start, size, first_start, first_size = (f(c) for c in ("place", "first_place") for f in (lambda c: F.shiftright(c, 31), lambda c: F.col(c).bitwiseAND(F.lit((1 << 31) - 1))))
+    apart = (F.col("first_doc_id") != F.col("doc_id")) | (F.col("first_key") != F.col("text_key")) | (first_start + first_size <= start)
+    again = grams.join(first, F.col("digest") == F.col("_d")).where(apart & (size == first_size))
+    again = materialize(again.select("doc_id", "text_key", start.cast("int").alias("start"), (start + size).cast("int").alias("end"), "first_doc_id", "first_key", (start - first_start).cast("int").alias("shift")), "again")
+    drop(grams, first)
+    # Overlapping runs at one distance from one source are one span; rows that repeat a document have equal places.
+    source = ["doc_id", "text_key", "first_doc_id", "first_key", "shift"]
+    per_source = Window.partitionBy(*source).orderBy("start")
+    before = F.max("end").over(per_source.rangeBetween(Window.unboundedPreceding, -1))
+    spans = again.withColumn("_new", F.coalesce(before < F.col("start"), F.lit(True))).withColumn("_run", F.max(F.when(F.col("_new"), F.col("start"))).over(per_source))
+    spans = spans.groupBy(*source, "_run").agg(F.max("end").alias("end"))
+    return spans.select("doc_id", "text_key", F.col("_run").alias("start"), "end", "first_doc_id", (F.col("_run") - F.col("shift")).alias("first_start"))
+
+
 def cut_spans(text: str, starts, ends) -> str:
     """``text`` without the UTF-8 byte spans, each narrowed to whole characters."""
     raw, out, at = text.encode("utf-8"), [], 0
@@ -124,9 +248,9 @@ def cut_spans(text: str, starts, ends) -> str:
     return b"".join(out).decode("utf-8")
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later occurrences of repeated passages cut out of the texts; texts without any stay as they are."""
-    spans = repeats(docs, id_col, text_col, min_bytes)
+    spans = passages(docs, id_col, text_col)
     edits = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     edits = materialize(edits.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_spans"), "edits")
 

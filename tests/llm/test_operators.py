@@ -224,6 +224,61 @@ def test_planted_passages(spark):
     assert all(sum(p in kept[k * 10 + j] for j in range(6)) == 1 for k, p in enumerate(passages))
 
 
+def word_runs(docs):
+    """The bytes that later occurrences of 50 words cover, in plain Python."""
+    first, grams = {}, {}
+    for i, t in sorted({(i, t) for i, t in docs if i is not None and t}):
+        raw = t.encode()
+        starts, ends = (x.tolist() for x in substring.words(np.frombuffer(raw, np.uint8)))
+        grams[i, t] = [(a, b, raw[a:b]) for a, b in zip(starts, ends[49:])]
+        for a, _, g in grams[i, t]:
+            first.setdefault(g, (i, t, a))
+    return {(i, k) for (i, t), found in grams.items() for a, b, g in found if first[g][:2] != (i, t) or first[g][2] + b - a <= a for k in range(a, b)}
+
+
+@pytest.mark.parametrize("source", ["odd", "documents"])
+def test_passages(spark, sf, odd_docs, source):
+    docs = odd_docs if source == "odd" else table(spark, sf, "documents")
+    spans, by_id = substring.passages(docs).collect(), collections.defaultdict(set)
+    for i, t in texts(docs):
+        by_id[i].add((t or "").encode())
+    assert {(r["doc_id"], k) for r in spans for k in range(r["start"], r["end"])} == word_runs(texts(docs))
+    for r in spans:
+        size = r["end"] - r["start"]
+        own, earlier = ({t[r[c] : r[c] + size] for t in by_id[r[i]]} for i, c in (("doc_id", "start"), ("first_doc_id", "first_start")))
+        assert any(len(t) == size for t in own & earlier)
+
+
+def test_chance_chunks(spark):
+    """Chunks that occur earlier in several places do not make a repeated passage."""
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice("aeioustrnlmdp") for _ in range(5)) for _ in range(200))
+    ends = [0, *substring.cuts(np.frombuffer(text.encode(), np.uint8))]
+    rows = [(k, text[ends[max(k - 1, 0)] : ends[min(k + 2, len(ends) - 1)]]) for k in range(len(ends) - 1)]
+    assert max(len(t.split()) for _, t in rows) < 50
+    rows.append((1000, text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert substring.repeats(docs).where("doc_id = 1000").count() > 0
+    assert substring.passages(docs).count() == 0
+    assert {r["doc_id"]: r["text"] for r in substring.remove(docs).collect()} == dict(rows)
+
+
+def test_short_words(spark):
+    """Passages of 50 words of 1 to 4 letters, within other words, are found and cut whole."""
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 4))) for _ in range(n))
+    shared = [text(50) for _ in range(60)]
+    rows = [(k * 2 + j, f"{text(60)} {p} {text(40)}") for k, p in enumerate(shared) for j in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    raw = np.frombuffer(rows[0][1].encode(), np.uint8)
+    found = np.unique(substring.chosen(raw, *substring.words(raw)))
+    assert np.diff(found).max() <= 26 and len(found) < 40
+    kept = {r["doc_id"]: r["text"] for r in substring.remove(docs).collect()}
+    assert all(kept[k * 2] == rows[k * 2][1] for k in range(60))
+    # The words beside a passage may be equal by chance and go too.
+    assert all(96 <= len(kept[k * 2 + 1].split()) <= 100 for k in range(60))
+
+
 def test_remove_keeps_columns(odd_docs, no_docs):
     out = substring.remove(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
