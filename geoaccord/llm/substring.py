@@ -216,13 +216,20 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     held = rows.join(hits, (F.col("doc_id") == F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("doc_id", "text_key", "text", "anchors")
     grams = materialize(_grams(held), "grams")
     drop(hits)
-    first = grams.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "place")).alias("first")).where("n > 1")
-    first = materialize(first.select(F.col("digest").alias("_d"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.text_key").alias("first_key"), F.col("first.place").alias("first_place")), "first")
     start, size, first_start, first_size = (f(c) for c in ("place", "first_place") for f in (lambda c: F.shiftright(c, 31), lambda c: F.col(c).bitwiseAND(F.lit((1 << 31) - 1))))
     apart = (F.col("first_doc_id") != F.col("doc_id")) | (F.col("first_key") != F.col("text_key")) | (first_start + first_size <= start)
-    again = grams.join(first, F.col("digest") == F.col("_d")).where(apart & (size == first_size))
-    again = materialize(again.select("doc_id", "text_key", start.cast("int").alias("start"), (start + size).cast("int").alias("end"), "first_doc_id", "first_key", (start - first_start).cast("int").alias("shift")), "again")
-    drop(grams, first)
+    # Half of the digests at a time, so that only half of the shuffles are on disk at once.
+    halves = []
+    for half in (0, 1):
+        part = grams.where(F.col("digest").bitwiseAND(F.lit(1)) == half)
+        first = part.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "place")).alias("first")).where("n > 1")
+        first = materialize(first.select(F.col("digest").alias("_d"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.text_key").alias("first_key"), F.col("first.place").alias("first_place")), "first")
+        again = part.join(first, F.col("digest") == F.col("_d")).where(apart & (size == first_size))
+        again = again.select("doc_id", "text_key", start.cast("int").alias("start"), (start + size).cast("int").alias("end"), "first_doc_id", "first_key", (start - first_start).cast("int").alias("shift"))
+        halves.append(materialize(again, "again"))
+        drop(first)
+    drop(grams)
+    again = halves[0].union(halves[1])
     # Overlapping runs at one distance from one source are one span; rows that repeat a document have equal places.
     source = ["doc_id", "text_key", "first_doc_id", "first_key", "shift"]
     per_source = Window.partitionBy(*source).orderBy("start")
