@@ -4,6 +4,10 @@ Records are hashed, and ordered runs of FAN_OUT records or nodes (offset ranges
 hashed into parents up to one root a replica. An audit compares the roots and descends only into branches whose
 hashes differ, down to the damaged records.
 
+A record is a gzip member (several above MEMBER bytes), and an index beside the files keeps the place, id and SHA-256 of
+its stored bytes. Leaves are hashes of the stored bytes at these places; behind lost or added bytes the next member that
+the index knows is looked for, so a damaged file costs only the records that are hit.
+
 Cases: a null URL or body is written as the empty one; repeated rows are records of their own; an empty table gives
 files without records and equal roots; a record that one replica lacks is ``missing`` or ``extra``; other columns are
 ignored.
@@ -13,6 +17,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +29,10 @@ FAN_OUT = 16
 #: Bytes of records in one file.
 FILE_BYTES = 16 << 20
 END = "\r\n\r\n"
+#: Bytes of records in a gzip member: below 2 ** 24 the last byte of a member, the highest of its size, is 0.
+MEMBER = (1 << 24) - 1
+INDEX = "file long, seq long, offset long, length long, record_id string, hash string"
+_MAGIC = b"\x1f\x8b\x08\x00"
 
 
 def record(record_id: Column, url: Column, body: Column, date: str = "2020-01-01T00:00:00Z") -> Column:
@@ -33,14 +42,47 @@ def record(record_id: Column, url: Column, body: Column, date: str = "2020-01-01
     return F.concat(head, F.lit(f"\r\nWARC-Date: {date}\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(END), body)
 
 
+def _store(members: DataFrame, path: str) -> None:
+    """Write (file, seq, member) as one file a ``file``. The line separator of Spark's text writer is the byte 0 that
+    ends every member."""
+    rows = members.sortWithinPartitions("file", "seq").select("file", F.expr("cast(substring(member, 1, length(member) - 1) as string)").alias("member"))
+    rows.write.partitionBy("file").option("lineSep", "\0").text(path)
+
+
 def write(records: DataFrame, path: str, dealt: bool = False) -> None:
-    """Write (file, seq, record) as one gzipped WARC file a ``file`` below ``path``, records in order of seq.
-    ``dealt``: the rows of a file are in one partition already."""
+    """Write (file, seq, record) as one WARC file of gzip members a ``file`` below ``path``, records in order of seq,
+    and their index. ``dealt``: the rows of a file are in one partition already."""
     if not dealt:
         files = max(1, (records.agg(F.max("file")).first()[0] or 0) + 1)
         records = records.repartition(int(files), "file")
-    rows = records.sortWithinPartitions("file", "seq").select("file", "record")
-    rows.write.partitionBy("file").option("lineSep", END).option("compression", "gzip").text(path)
+
+    def pack(batches):
+        for batch in batches:
+            found = []
+            for text in batch.column(2).to_pylist():
+                raw = (text + END).encode("utf-8")
+                found.append(b"".join(gzip.compress(raw[k : k + MEMBER], 6, mtime=0) for k in range(0, len(raw), MEMBER)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["file", "seq", "member"])
+
+    spark = session(records.sparkSession)
+    _store(records.select(F.col("file").cast("long"), F.col("seq").cast("long"), "record").mapInArrow(pack, "file long, seq long, member binary"), path)
+    _listed(spark, path).write.parquet(f"{path}/index")
+
+
+def copy(spark: SparkSession, path: str, to: str, stored=lambda member: member) -> None:
+    """Copy the files and the index of a replica; ``stored`` maps the bytes of each record, to the same last byte."""
+
+    def split(batches):
+        for batch in batches:
+            for file, content, index in zip(*(batch.column(k) for k in range(3))):
+                raw, rows = content.as_py(), index.as_py()
+                for k in range(0, len(rows), 256):
+                    found = rows[k : k + 256]
+                    members = [stored(raw[r["offset"] : r["offset"] + r["length"]]) for r in found]
+                    yield pa.RecordBatch.from_arrays([pa.array([file.as_py()] * len(found), pa.int64()), pa.array([r["seq"] for r in found], pa.int64()), pa.array(members, pa.binary())], names=["file", "seq", "member"])
+
+    _store(_indexed(spark, path).mapInArrow(split, "file long, seq long, member binary"), to)
+    spark.read.schema(INDEX).parquet(f"{path}/index").write.parquet(f"{to}/index")
 
 
 def parse(raw: bytes):
@@ -61,30 +103,103 @@ def parse(raw: bytes):
         at = end
 
 
-def _read(spark: SparkSession, path: str, columns, schema: str) -> DataFrame:
-    """A row of (file, seq, *columns) for every record of the files below ``path``."""
-    names = [c.split()[0] for c in schema.split(", ")]
+def member_end(raw: bytes, at: int) -> tuple[int, bytes] | None:
+    """End and text of the gzip members of one record from ``at``; None where they cannot be read."""
+    texts, view = [], memoryview(raw)
+    while True:
+        part, out = zlib.decompressobj(31), []
+        while not part.eof and at < len(raw):
+            try:
+                out.append(part.decompress(view[at : at + (1 << 16)]))
+            except zlib.error:
+                return None
+            at = min(at + (1 << 16), len(raw)) - len(part.unused_data)
+        if not part.eof:
+            return None
+        texts.append(b"".join(out))
+        if len(texts[-1]) < MEMBER or at == len(raw):
+            return at, b"".join(texts)
 
-    def read(batches):
+
+def stored_records(raw: bytes, index: list[dict]):
+    """(index row, offset, length, SHA-256) of the stored bytes of each indexed record; a record of which nothing is
+    left is left out."""
+    k, shift, known = 0, 0, None
+    while k < len(index):
+        row = index[k]
+        at = row["offset"] + shift
+        digest = hashlib.sha256(raw[at : at + row["length"]]).hexdigest()
+        if digest == row["hash"]:
+            yield row, at, row["length"], digest
+            k += 1
+            continue
+        # The next place at which a later record stands as the index has it.
+        m, begin = k + 1, at + row["length"]
+        if m >= len(index) or hashlib.sha256(raw[begin : begin + index[m]["length"]]).hexdigest() != index[m]["hash"]:
+            known = known or {r["hash"]: j for j, r in enumerate(index)}
+            m, begin, look = len(index), len(raw), raw.find(_MAGIC, at)
+            while look >= 0:
+                found = member_end(raw, look)
+                j = known.get(hashlib.sha256(raw[look : found[0]]).hexdigest(), -1) if found else -1
+                if j >= k:
+                    m, begin = j, look
+                    break
+                look = raw.find(_MAGIC, look + 1)
+        for j in range(k, m):
+            a, b = min(index[j]["offset"] + shift, begin), begin if j == m - 1 else min(index[j]["offset"] + index[j]["length"] + shift, begin)
+            if a < b:
+                yield index[j], a, b - a, hashlib.sha256(raw[a:b]).hexdigest()
+        if m < len(index):
+            shift = begin - index[m]["offset"]
+        k = m
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, content) of the WARC files below ``path``."""
+    files = session(spark).read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*.txt").load(path)
+    return files.select(F.regexp_extract("path", "/file=([0-9]+)/[^/]*$", 1).cast("long").alias("file"), "content")
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """The index of files that were just written, by reading every member."""
+
+    def walk(batches):
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw, file = gzip.decompress(content.as_py()), int(name.rsplit("/file=", 1)[1].split("/")[0])
-                found = [(file, k, *columns(raw, r)) for k, r in enumerate(parse(raw))]
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kinds[c.split()[1]]) for k, c in enumerate(schema.split(", "))], names=names)
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw, at, found = content.as_py(), 0, []
+                while at < len(raw):
+                    end, text = member_end(raw, at)
+                    named = next(parse(text))[2]
+                    found.append((file, len(found), at, end - at, named, hashlib.sha256(raw[at:end]).hexdigest()))
+                    at = end
+                yield _rows(found)
 
+    return _files(spark, path).mapInArrow(walk, INDEX)
+
+
+def _rows(found: list[tuple]) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "string": pa.string()}
-    files = session(spark).read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(read, schema)
+    columns = [c.split() for c in INDEX.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kinds[kind]) for k, (_, kind) in enumerate(columns)], names=[name for name, _ in columns])
+
+
+def _indexed(spark: SparkSession, path: str) -> DataFrame:
+    """(file, content, index) of the files that are there; index has the rows of the file by seq."""
+    index = spark.read.schema(INDEX).parquet(f"{path}/index")
+    index = index.groupBy(F.col("file").alias("_f")).agg(F.sort_array(F.collect_list(F.struct("seq", "offset", "length", "record_id", "hash"))).alias("index"))
+    return _files(spark, path).join(index, F.col("file") == F.col("_f")).select("file", "content", "index")
 
 
 def leaves(spark: SparkSession, path: str) -> DataFrame:
-    """(file, seq, offset, length, record_id, hash) of every record; offsets are those before compression."""
-    return _read(spark, path, lambda raw, r: r, "file long, seq long, offset long, length long, record_id string, hash string")
+    """(file, seq, offset, length, record_id, hash) of the stored bytes of every record."""
 
+    def read(batches):
+        for batch in batches:
+            for file, content, index in zip(*(batch.column(k) for k in range(3))):
+                found = stored_records(content.as_py(), index.as_py())
+                yield _rows([(file.as_py(), r["seq"], offset, length, r["record_id"], digest) for r, offset, length, digest in found])
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, seq, record) of every record, the line ends after it left out; the records of a file are in one task."""
-    return _read(spark, path, lambda raw, r: (raw[r[0] : r[0] + r[1] - len(END)].decode("utf-8", "replace"),), "file long, seq long, record string")
+    return _indexed(spark, path).mapInArrow(read, INDEX)
 
 
 def _parents(nodes: DataFrame, fan_out: int, of_files: bool) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import itertools
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -141,6 +143,31 @@ def test_warc_audit(spark):
             at += length
 
 
+def test_warc_stored_damage(spark):
+    """Flipped, lost and added bytes in the stored files are found as the records that they hit, and no others."""
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i} " * (i % 50)) for i in range(120)], "page_id long, url string, html string")
+    paths = [scratch_path(spark, "r") for _ in range(2)]
+    warc.write(warc.archive(pages, file_bytes=8000), paths[0])
+    warc.copy(spark, *paths)
+    one = warc.leaves(spark, paths[0]).collect()
+    assert warc.audit(warc.leaves(spark, paths[0]), warc.leaves(spark, paths[1]), 4).count() == 0
+    place = {(r["file"], r["seq"]): (r["offset"], r["length"]) for r in one}
+    cut = max(s for f, s in place if f == 3)
+    file = lambda f: next(p for p in pathlib.Path(paths[1].removeprefix("file://")).glob(f"file={f}/part-*.txt"))
+    raw = {f: bytearray(file(f).read_bytes()) for f in range(4)}
+    assert gzip.decompress(raw[0]).count(b"WARC/1.1\r\n") == sum(f == 0 for f, _ in place)
+    for f, seq, at in ((0, 0, 0), (0, 4, 1), (0, 7, 30)):
+        raw[f][place[f, seq][0] + at] ^= 16
+    del raw[1][place[1, 2][0] + 20]
+    raw[2][place[2, 3][0] + 15 : place[2, 3][0] + 15] = b"added"
+    del raw[3][place[3, cut][0] :]
+    for f, content in raw.items():
+        file(f).write_bytes(content)
+        (file(f).parent / f".{file(f).name}.crc").unlink(missing_ok=True)
+    got = {tuple(r) for r in warc.audit(warc.leaves(spark, paths[0]), warc.leaves(spark, paths[1]), 4).collect()}
+    assert got == {(0, 0, "damaged"), (0, 4, "damaged"), (0, 7, "damaged"), (1, 2, "damaged"), (2, 3, "damaged"), (3, cut, "missing")}
+
+
 def test_warc_parse_broken():
     got = list(warc.parse(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\ngarbage"))
     assert [(a, n) for a, n, *_ in got] == [(0, 38), (38, 7)] and got[1][2] is None
