@@ -161,7 +161,7 @@ def gwr_best_bandwidth(spark, d):
 
 
 def gwr_auto_bandwidth(spark, d):
-    found = weighted.auto_bandwidth(sites(spark, d), ["v_a", "v_c"], rounds=6)
+    found = weighted.auto_bandwidth(sites(spark, d), ["v_a", "v_c"])
     return spark.createDataFrame([(float(round(found, 2)),)], "bandwidth double")
 
 

@@ -162,3 +162,27 @@ def test_resampling_reproduces_planes(spark):
         out = {(x["r"], x["c"]): x["value"] for x in raster.resample(grid, grid, "v", F.col("r") + 0.5, F.col("c") + 0.25, method).collect()}
         assert out[3, 3] == pytest.approx(2 * 3.5 + 3 * 3.25)
     assert math.isclose(raster.preview_factor(1000, 400, 512), 2)
+
+
+def dense_aicc(xy, y, x, widths):
+    """AICc of the bisquare regression with a bandwidth for each point."""
+    d = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
+    w = np.where(d < widths[:, None], (1 - (d / widths[:, None]) ** 2) ** 2, 0.0)
+    s0, sx, sxx = w.sum(1), w @ x, w @ (x * x)
+    det = s0 * sxx - sx * sx
+    hat = w * ((sxx - sx * x)[:, None] + (s0 * x - sx)[:, None] * x[None, :]) / det[:, None]
+    n, trace = len(y), np.trace(hat)
+    return n * np.log(((y - hat @ y) ** 2).sum() / n) + n * np.log(2 * np.pi) + n * (n + trace) / (n - 2 - trace)
+
+
+def test_auto_bandwidth_query(spark, sf):
+    """The registered search ends at a least AICc of a fine sweep around it."""
+    from geoaccord.plans import queries
+
+    found = queries.gwr_auto_bandwidth(spark, sf).first()[0]
+    data = np.array([tuple(r) for r in queries.sites(spark, sf).select("px", "py", "v_a", "v_c").collect()], float)
+    pair = pairs(["v_a", "v_c"])[0]
+    column = {"v_a": data[:, 2], "v_c": data[:, 3]}
+    widths = found * np.linspace(0.96, 1.04, 161)
+    curve = [dense_aicc(data[:, :2], column[pair.y], column[pair.x], np.full(len(data), b)) for b in widths]
+    assert abs(widths[int(np.argmin(curve))] / found - 1) < 0.002
