@@ -227,6 +227,32 @@ def auto_bandwidth(points: DataFrame, fields: list[str], kernel: str = "bisquare
     return (lo + hi) / 2
 
 
+def auto_neighbours(points: DataFrame, fields: list[str], kernel: str = "bisquare", start: float | None = None, least: int = 20) -> int:
+    """Golden-section search, over the whole numbers from ``least`` to all points, of the neighbour count with the
+    least AICc for the first pair."""
+    box = points.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py"), F.count("*")).first()
+    hi = box[4]
+    lo, ratio, known = min(least, hi), (math.sqrt(5) - 1) / 2, {}
+    start = start or math.hypot(box[1] - box[0], box[3] - box[2]) * math.sqrt(lo / max(hi, 1)) / 2 or 1.0
+
+    def loss(k: int) -> float:
+        if k not in known:
+            got = diagnostics(regression(local_sums(weighted_pairs(points, fields[:2], kernel, k, True, start), fields[:2]))).first()
+            known[k] = got["aicc"] if got and got["aicc"] is not None and not math.isnan(got["aicc"]) else math.inf
+        return known[k]
+
+    while hi - lo > 4:
+        step = round(ratio * (hi - lo))
+        a, b = hi - step, lo + step
+        if loss(a) <= loss(b):
+            hi = b
+        else:
+            lo = a
+    for k in range(lo, hi + 1):
+        loss(k)
+    return min(known, key=lambda k: (known[k], k))
+
+
 def percent_plan(percents: list[int], base: float, mode: str) -> list[tuple[int, float]]:
     """(percent, bandwidth) with the first percent of each bandwidth. Modes: raster (odd, at least 3), adaptive (a
     whole count, at least 2) and metric (tens, at least 10); halves round to even."""

@@ -65,8 +65,13 @@ def attribute(config: dict, points: DataFrame) -> Result:
     whole = metrics.complete_cases(points, fields)
     kernel = weighted.kernel_name(config.get("kernel", "bisquare"))
     adaptive = config.get("bandwidth_mode") in ("adaptive", weighted.ADAPTIVE_LABEL)
-    width = weighted.auto_bandwidth(whole, fields, kernel) if config.get("auto_bandwidth") else weighted.bandwidth_value(config.get("bandwidth"))
-    rows = weighted.weighted_pairs(whole, fields, kernel, width, adaptive and not config.get("auto_bandwidth"), start=config.get("start_radius"))
+    if not config.get("auto_bandwidth"):
+        width = weighted.bandwidth_value(config.get("bandwidth"))
+    elif adaptive:
+        width = weighted.auto_neighbours(whole, fields, kernel, config.get("start_radius"))
+    else:
+        width = weighted.auto_bandwidth(whole, fields, kernel)
+    rows = weighted.weighted_pairs(whole, fields, kernel, width, adaptive, start=config.get("start_radius"))
     sums = weighted.local_sums(rows, fields)
     fit = weighted.regression(weighted.local_correlation(weighted.local_errors(sums, weighted.zero_denominators(whole, fields))))
     diagnosed = weighted.diagnostics(fit)

@@ -1,5 +1,6 @@
 """Operators against brute force and against properties."""
 
+import json
 import math
 import random
 
@@ -186,3 +187,20 @@ def test_auto_bandwidth_query(spark, sf):
     widths = found * np.linspace(0.96, 1.04, 161)
     curve = [dense_aicc(data[:, :2], column[pair.y], column[pair.x], np.full(len(data), b)) for b in widths]
     assert abs(widths[int(np.argmin(curve))] / found - 1) < 0.002
+
+
+def test_auto_bandwidth_adaptive(points):
+    """The adaptive mode searches a neighbour count and keeps its kernel."""
+    from geoaccord.plans import engine
+
+    df, xy, y, x = points
+    d = np.sort(np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1]), axis=1)
+    curve = {k: dense_aicc(xy, y, x, d[:, k - 1] if k < 60 else d[:, -1]) for k in range(20, 61)}
+    config = {"variables": ["y", "x"], "bandwidth_mode": "adaptive", "start_radius": 20.0}
+    found = engine.run("attribute", config | {"auto_bandwidth": True}, points=df).envelope
+    assert found["status"] == "success"
+    k = next(v for v in (found, *(u for u in found.values() if isinstance(u, dict))) if "bandwidth" in v)["bandwidth"]
+    assert isinstance(k, int) and 20 <= k <= 60
+    assert all(curve[k] <= curve[j] for j in (k - 1, k + 1) if j in curve)
+    same = engine.run("attribute", config | {"bandwidth": k}, points=df).envelope
+    assert json.dumps(same, sort_keys=True, default=str).count("lrmse") and [r["aicc"] for r in same["pairwise_metrics"]] == pytest.approx([r["aicc"] for r in found["pairwise_metrics"]]) == [pytest.approx(curve[k])]
