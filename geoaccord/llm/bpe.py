@@ -148,7 +148,7 @@ def _apply(docs, rank_path, pattern, id_col, text_col, schema, columns) -> DataF
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        encoder = worker_state(("bpe", shared.key, pattern), lambda: Encoder(shared.value, pattern))
+        encoder = worker_state("bpe", (shared.key, pattern), lambda: Encoder(shared.value, pattern))
         for batch in batches:
             counts, rest = [], []
             for text in batch.column(1):
@@ -171,7 +171,7 @@ def decode(ids: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", o
 
     @F.pandas_udf("binary")
     def back(column: pd.Series) -> pd.Series:
-        encoder = worker_state(("bpe", shared.key, pattern), lambda: Encoder(shared.value, pattern))
+        encoder = worker_state("bpe", (shared.key, pattern), lambda: Encoder(shared.value, pattern))
         return column.map(lambda x: None if x is None else encoder.decode(bytes(x)))
 
     return ids.withColumn(out_col, back(F.col(ids_col)))

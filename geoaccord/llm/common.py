@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import gc
+import hashlib
+import pickle
 import tempfile
 import uuid
 
@@ -31,10 +33,13 @@ def session(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where it is unset, one of our own in local mode
+    (tests), whose driver is the only executor, and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="geoaccord-")
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
@@ -96,27 +101,33 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Shared:
-    """A broadcast value, with a key that names it in Python workers."""
+    """A broadcast value, with a digest of its content that names it in Python workers."""
 
     def __init__(self, spark: SparkSession, value):
-        self.broadcast, self.key = spark.sparkContext.broadcast(value), uuid.uuid4().hex
+        raw = value if isinstance(value, bytes) else pickle.dumps(value)
+        self.broadcast, self.key = spark.sparkContext.broadcast(value), hashlib.sha256(raw).hexdigest()
 
     @property
     def value(self):
         return self.broadcast.value
 
 
-_state: dict = {}
+_state: dict[str, tuple] = {}
 
 
-def worker_state(key, make):
-    """What ``make`` returned for ``key`` in this Python worker, across its tasks; the last four keys are kept.
-    It holds only what can be made again from the key (tables, bounded caches), so a lost worker loses no result."""
-    if key not in _state:
-        while len(_state) >= 4:
-            _state.pop(next(iter(_state)))
-        _state[key] = make()
-    return _state[key]
+def worker_state(operator: str, key, make):
+    """What ``make`` returned for ``key`` in this Python worker, across its tasks and runs; of each operator only the
+    last is kept. It holds only what can be made again from the key (tables, bounded caches), so a lost worker loses
+    no result."""
+    if operator not in _state or _state[operator][0] != key:
+        _state.pop(operator, None)  # frees the old one before the new one is made
+        _state[operator] = (key, make())
+    return _state[operator][1]
+
+
+def packed(df: DataFrame, **keys) -> DataFrame:
+    """The rows of ``df`` as one struct column ``row`` beside ``keys``, so that none of its names can clash."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(c.alias(k) for k, c in keys.items()))
 
 
 def crc32_text(column) -> F.Column:

@@ -142,7 +142,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 def _search(shared, rate: float):
     def run(batches):
-        matcher = worker_state(("decontaminate", shared.key, rate), lambda: Matcher(shared.value, rate))
+        matcher = worker_state("decontaminate", (shared.key, rate), lambda: Matcher(shared.value, rate))
         for batch in batches:
             found = [(i, *hit) for i, text in enumerate(batch.column(1)) for hit in matcher.find(text.as_py())]
             at = pa.array([f[0] for f in found], pa.int64())
@@ -163,7 +163,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out_col:
 def _holds(shared, rate: float):
     @F.pandas_udf("boolean")
     def held(text: pd.Series) -> pd.Series:
-        matcher = worker_state(("decontaminate", shared.key, rate), lambda: Matcher(shared.value, rate))
+        matcher = worker_state("decontaminate", (shared.key, rate), lambda: Matcher(shared.value, rate))
         return pd.Series([bool(matcher.find(t)) for t in text.where(text.notna(), None)], dtype=bool)
 
     return held

@@ -115,7 +115,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", out_col: str =
 
     @F.pandas_udf("lang_pred string, score double")
     def classify(text: pd.Series, letter: pd.Series) -> pd.DataFrame:
-        fitted = worker_state(("langid", shared.key), lambda: pickle.loads(shared.value))
+        fitted = worker_state("langid", shared.key, lambda: pickle.loads(shared.value))
         named, score = score_texts(text.where(text.notna(), None).tolist(), letter.tolist(), fitted)
         return pd.DataFrame({"lang_pred": named, "score": score})
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, drop, materialize, mix64, session, utf8, worker_state
+from .common import WORD_SPACE, drop, materialize, mix64, session, utf8
 
 #: A cut falls on one of 2 ** MASK_BITS bytes; chunk sizes stay between MIN_CHUNK and MAX_CHUNK (but for the last).
 MASK_BITS, MIN_CHUNK, MAX_CHUNK = 4, 16, 256
@@ -139,12 +139,17 @@ def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.flatnonzero(last) + 1
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    def make(size: int) -> np.ndarray:
-        return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, base, np.uint64))])
+_power_tables: dict[int, np.ndarray] = {}
+
 
-    size = 1 << max(16, n.bit_length())
-    return worker_state(("powers", base, size), lambda: make(size)) if size <= 1 << 20 else make(n)
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first powers of ``base``, n + 1 at least; tables of up to 2 ** 20 are kept, one a base."""
+    kept = _power_tables.get(base)
+    if kept is None or len(kept) <= n:
+        kept = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(1 << max(16, n.bit_length()), base, np.uint64))])
+        if len(kept) <= (1 << 20) + 1:
+            _power_tables[base] = kept
+    return kept
 
 
 def chosen(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

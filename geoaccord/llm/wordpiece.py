@@ -89,7 +89,7 @@ def token_counts(docs: DataFrame, vocabulary: list[tuple[bytes, bool]], id_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def run(batches):
-        match, cache = worker_state(("wordpiece", shared.key), lambda: (LongestMatch(shared.value), {}))
+        match, cache = worker_state("wordpiece", shared.key, lambda: (LongestMatch(shared.value), {}))
         for batch in batches:
             words, tokens = [], []
             for text in batch.column(1):

@@ -12,7 +12,7 @@ from geoaccord.llm import bpe, decontaminate, substring
 from geoaccord.llm.common import table
 
 sys.path.insert(0, __file__.rsplit("/", 1)[0])
-from test_operators import RANKS, WORD, chunk_runs, components_of  # noqa: E402
+from test_llm_operators import RANKS, WORD, chunk_runs, components_of  # noqa: E402
 
 
 def expected(docs, items):
