@@ -70,14 +70,19 @@ def drop(*tables: DataFrame) -> None:
             _remove(_scratch.pop(path), path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Let the driver's cleaner remove the shuffle files of finished steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, and a lost executor
     costs a reread, not a recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    gc.collect()  # the driver's cleaner then removes the shuffle files of finished steps
-    spark.sparkContext._jvm.System.gc()
+    freed(spark)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch_path = path
     return table
@@ -125,6 +130,14 @@ def worker_state(operator: str, key, make):
     return _state[operator][1]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it, as no column of ``df`` is called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def packed(df: DataFrame, **keys) -> DataFrame:
     """The rows of ``df`` as one struct column ``row`` beside ``keys``, so that none of its names can clash."""
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(c.alias(k) for k, c in keys.items()))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, jaccard, langid, quality, sharding, substring, tokenfiles, warc, wordpiece
-from .common import crc32_text, materialize, scratch_path, table
+from .common import crc32_text, freed, materialize, scratch_path, table
 
 
 def held_out_rows(doc_id="doc_id") -> F.Column:
@@ -32,7 +32,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: In the fixity drill of op3, one record of so many is damaged in the second replica.
-DRILL = 1009
+DRILL = 41
 
 
 def damaged(member: bytes) -> bytes:
@@ -44,15 +44,18 @@ def damaged(member: bytes) -> bytes:
 
 
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives all pages twice, flips bits in some stored records of the second replica, and audits the files. One row a record
-    of the first replica, with its place, hash and what the audit says of it."""
+    """Archives all pages twice, flips bits in some stored records of the second replica, and audits the files. One row a page,
+    with the place and hash of its record in the first replica and what the audit says of it; a row without page_id for each
+    index record that is not intact."""
     paths = [scratch_path(spark, "replica") for _ in range(2)]
     warc.write(warc.archive(table(spark, sf_dir, "pages")), paths[0], dealt=True)
+    freed(spark)
     warc.copy(spark, *paths, damaged)
     one, two = (materialize(warc.leaves(spark, path), "leaves") for path in paths)
-    found = warc.audit(one, two).select(F.col("file").alias("_f"), F.col("seq").alias("_s"), "state")
-    joined = one.join(found, (F.col("file") == F.col("_f")) & (F.col("seq") == F.col("_s")), "left")
-    return joined.select(F.expr("try_cast(record_id as bigint)").alias("page_id"), "file", "seq", "offset", "length", F.col("hash").alias("sha256"), F.coalesce("state", F.lit("intact")).alias("state"))
+    found = warc.audit(one, two).select(F.col("file").alias("_f"), F.col("seq").alias("_s"), F.col("state").alias("_state"))
+    joined = one.join(found, (F.col("file") == F.col("_f")) & (F.col("seq") == F.col("_s")), "left").withColumn("state", F.coalesce("_state", F.lit("intact")))
+    joined = joined.where((F.col("record_id") != warc.INDEX_ID) | (F.col("state") != "intact"))
+    return joined.select(F.expr("try_cast(record_id as bigint)").alias("page_id"), "file", "seq", "offset", "length", F.col("hash").alias("sha256"), "state")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,26 @@
 """WARC files and their Merkle fixity audit.
 
-Records are hashed, and ordered runs of FAN_OUT records or nodes (offset ranges of a file, then ranges of files) are
-hashed into parents up to one root a replica. An audit compares the roots and descends only into branches whose
-hashes differ, down to the damaged records.
+The hashes of the stored bytes of a file's records, in order of their offsets, are the leaves of its tree; runs of
+FAN_OUT leaves or nodes (offset ranges) are hashed into parents up to the file's root, and roots of files likewise up
+to one root a replica. An audit compares the roots and descends only into branches whose hashes differ, down to the
+damaged records. A file's tree is one row; the levels over files are tables of their own.
 
-A record is a gzip member (several above MEMBER bytes), and an index beside the files keeps the place, id and SHA-256 of
-its stored bytes. Leaves are hashes of the stored bytes at these places; behind lost or added bytes the next member that
-the index knows is looked for, so a damaged file costs only the records that are hit.
+A record is a gzip member (several above MEMBER bytes). A file ends with two equal index records, which hold the place,
+id and a short hash of every record before them, so reading a replica moves no file between tasks. Behind lost or added
+bytes the next member that the index knows is looked for: a damaged file costs only the records that are hit, and the
+index records are leaves like the others.
 
 Cases: a null URL or body is written as the empty one; repeated rows are records of their own; an empty table gives
-files without records and equal roots; a record that one replica lacks is ``missing`` or ``extra``; other columns are
-ignored.
+no file and equal roots; a record that one replica lacks is ``missing`` or ``extra``; of a file without a readable index
+(another writer's, or both copies are hit) the members, or the records of plain text, are taken as they follow one
+another, and a stretch that cannot be read is one record; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import json
 import zlib
 
 import pyarrow as pa
@@ -31,7 +35,9 @@ FILE_BYTES = 16 << 20
 END = "\r\n\r\n"
 #: Bytes of records in a gzip member: below 2 ** 24 the last byte of a member, the highest of its size, is 0.
 MEMBER = (1 << 24) - 1
-INDEX = "file long, seq long, offset long, length long, record_id string, hash string"
+LEAVES = "file long, seq long, offset long, length long, record_id string, hash string"
+#: What an index record has as its id, and its copies in a file.
+INDEX_ID, COPIES = "<urn:index>", 2
 _MAGIC = b"\x1f\x8b\x08\x00"
 
 
@@ -49,44 +55,69 @@ def _store(members: DataFrame, path: str) -> None:
     rows.write.partitionBy("file").option("lineSep", "\0").text(path)
 
 
+def _members(raw: bytes) -> bytes:
+    return b"".join(gzip.compress(raw[k : k + MEMBER], 6, mtime=0) for k in range(0, len(raw), MEMBER))
+
+
 def write(records: DataFrame, path: str, dealt: bool = False) -> None:
     """Write (file, seq, record) as one WARC file of gzip members a ``file`` below ``path``, records in order of seq,
-    and their index. ``dealt``: the rows of a file are in one partition already."""
+    each file with its index. ``dealt``: the rows of a file are in one partition already, in order."""
+    session(records.sparkSession)
+    records = records.select(F.col("file").cast("long"), F.col("seq").cast("long"), "record")
     if not dealt:
         files = max(1, (records.agg(F.max("file")).first()[0] or 0) + 1)
-        records = records.repartition(int(files), "file")
+        records = records.repartition(int(files), "file").sortWithinPartitions("file", "seq")
 
     def pack(batches):
+        current, at, last, index = None, 0, 0, []
+
+        def ending():
+            lines = "\n".join(json.dumps(row) for row in index).encode("utf-8")
+            head = f"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: {INDEX_ID}\r\nContent-Type: application/json\r\nContent-Length: {len(lines)}{END}"
+            member = _members(head.encode("utf-8") + lines + END.encode("utf-8"))
+            return _batch([(current, last + 1 + k, member) for k in range(COPIES)])
+
         for batch in batches:
             found = []
-            for text in batch.column(2).to_pylist():
+            for file, seq, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if file != current:
+                    if current is not None:
+                        yield _batch(found)
+                        yield ending()
+                    current, at, index, found = file, 0, [], []
                 raw = (text + END).encode("utf-8")
-                found.append(b"".join(gzip.compress(raw[k : k + MEMBER], 6, mtime=0) for k in range(0, len(raw), MEMBER)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["file", "seq", "member"])
+                member = _members(raw)
+                index.append((at, len(member), next(parse(raw))[2], hashlib.sha256(member).hexdigest()[:16]))
+                found.append((file, seq, member))
+                at, last = at + len(member), seq
+            yield _batch(found)
+        if current is not None:
+            yield ending()
 
-    spark = session(records.sparkSession)
-    _store(records.select(F.col("file").cast("long"), F.col("seq").cast("long"), "record").mapInArrow(pack, "file long, seq long, member binary"), path)
-    _listed(spark, path).write.parquet(f"{path}/index")
+    _store(records.mapInArrow(pack, "file long, seq long, member binary"), path)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["file", "seq", "member"])
 
 
 def copy(spark: SparkSession, path: str, to: str, stored=lambda member: member) -> None:
-    """Copy the files and the index of a replica; ``stored`` maps the bytes of each record, to the same last byte."""
+    """Copy the files of a replica; ``stored`` maps the bytes of each record, to the same last byte."""
 
     def split(batches):
         for batch in batches:
-            for file, content, index in zip(*(batch.column(k) for k in range(3))):
-                raw, rows = content.as_py(), index.as_py()
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = content.as_py()
+                rows = index_of(raw)
                 for k in range(0, len(rows), 256):
-                    found = rows[k : k + 256]
-                    members = [stored(raw[r["offset"] : r["offset"] + r["length"]]) for r in found]
-                    yield pa.RecordBatch.from_arrays([pa.array([file.as_py()] * len(found), pa.int64()), pa.array([r["seq"] for r in found], pa.int64()), pa.array(members, pa.binary())], names=["file", "seq", "member"])
+                    yield _batch([(file, seq, stored(raw[at : at + n])) for seq, (at, n, _, _) in enumerate(rows[k : k + 256], k)])
 
-    _store(_indexed(spark, path).mapInArrow(split, "file long, seq long, member binary"), to)
-    spark.read.schema(INDEX).parquet(f"{path}/index").write.parquet(f"{to}/index")
+    _store(_files(spark, path).mapInArrow(split, "file long, seq long, member binary"), to)
 
 
 def parse(raw: bytes):
-    """(offset, length, record id, SHA-256) of each record; lengths include the line ends after a record. What cannot
+    """(offset, length, record id, SHA-256) of each record of plain text; lengths include the line ends after a record. What cannot
     be read as a record goes, to the end of the file, as one record without id."""
     at = 0
     while at < len(raw):
@@ -121,105 +152,108 @@ def member_end(raw: bytes, at: int) -> tuple[int, bytes] | None:
             return at, b"".join(texts)
 
 
-def stored_records(raw: bytes, index: list[dict]):
-    """(index row, offset, length, SHA-256) of the stored bytes of each indexed record; a record of which nothing is
-    left is left out."""
+def index_of(raw: bytes) -> list[tuple]:
+    """(offset, length, record id, short hash) of the records of a file, index records included, by its index; by what
+    can be read where there is none."""
+    look = raw.rfind(_MAGIC)
+    while look >= 0:
+        found = member_end(raw, look)
+        if found and found[1].startswith(f"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: {INDEX_ID}\r\n".encode()):
+            body = found[1][found[1].index(END.encode()) + len(END) : -len(END)]
+            rows = [tuple(json.loads(line)) for line in body.split(b"\n")]
+            size, short = found[0] - look, hashlib.sha256(raw[look : found[0]]).hexdigest()[:16]
+            at = rows[-1][0] + rows[-1][1]
+            return rows + [(at + k * size, size, INDEX_ID, short) for k in range(COPIES)]
+        look = raw.rfind(_MAGIC, 0, look + len(_MAGIC) - 1)
+    if raw.startswith(b"WARC/"):
+        return [(at, n, named, digest[:16]) for at, n, named, digest in parse(raw)]
+    rows, at = [], 0
+    while at < len(raw):
+        found = member_end(raw, at)
+        end, named = (found[0], next(parse(found[1]))[2] if found[1] else None) if found else (len(raw), None)
+        if not found:
+            look = raw.find(_MAGIC, at + 1)
+            while look >= 0 and not member_end(raw, look):
+                look = raw.find(_MAGIC, look + 1)
+            end = look if look >= 0 else len(raw)
+        rows.append((at, end - at, named, hashlib.sha256(raw[at:end]).hexdigest()[:16]))
+        at = end
+    return rows
+
+
+def stored_records(raw: bytes, index: list[tuple]):
+    """(seq, offset, length, record id, SHA-256) of the stored bytes of each indexed record; without offset, length and
+    hash for a record of which nothing is left."""
+    digest = lambda at, n: hashlib.sha256(raw[at : at + n]).hexdigest()
     k, shift, known = 0, 0, None
     while k < len(index):
-        row = index[k]
-        at = row["offset"] + shift
-        digest = hashlib.sha256(raw[at : at + row["length"]]).hexdigest()
-        if digest == row["hash"]:
-            yield row, at, row["length"], digest
+        offset, length, named, short = index[k]
+        at = offset + shift
+        found = digest(at, length)
+        if found[:16] == short:
+            yield k, at, length, named, found
             k += 1
             continue
         # The next place at which a later record stands as the index has it.
-        m, begin = k + 1, at + row["length"]
-        if m >= len(index) or hashlib.sha256(raw[begin : begin + index[m]["length"]]).hexdigest() != index[m]["hash"]:
-            known = known or {r["hash"]: j for j, r in enumerate(index)}
+        m, begin = k + 1, at + length
+        if m >= len(index) or digest(begin, index[m][1])[:16] != index[m][3]:
+            known = known or {row[3]: j for j, row in enumerate(index)}
             m, begin, look = len(index), len(raw), raw.find(_MAGIC, at)
             while look >= 0:
-                found = member_end(raw, look)
-                j = known.get(hashlib.sha256(raw[look : found[0]]).hexdigest(), -1) if found else -1
+                met = member_end(raw, look)
+                j = known.get(digest(look, met[0] - look)[:16], -1) if met else -1
                 if j >= k:
                     m, begin = j, look
                     break
                 look = raw.find(_MAGIC, look + 1)
         for j in range(k, m):
-            a, b = min(index[j]["offset"] + shift, begin), begin if j == m - 1 else min(index[j]["offset"] + index[j]["length"] + shift, begin)
-            if a < b:
-                yield index[j], a, b - a, hashlib.sha256(raw[a:b]).hexdigest()
+            a, b = min(index[j][0] + shift, begin), begin if j == m - 1 else min(index[j][0] + index[j][1] + shift, begin)
+            yield (j, a, b - a, index[j][2], digest(a, b - a)) if a < b else (j, None, None, index[j][2], None)
         if m < len(index):
-            shift = begin - index[m]["offset"]
+            shift = begin - index[m][0]
         k = m
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, content) of the WARC files below ``path``."""
-    files = session(spark).read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*.txt").load(path)
-    return files.select(F.regexp_extract("path", "/file=([0-9]+)/[^/]*$", 1).cast("long").alias("file"), "content")
-
+def _files(spark: SparkSession, path: str, pattern: str = "part-*.txt", file: Column | None = None) -> DataFrame:
+    """(file, content) of the WARC files below ``path``; ``file`` makes the number of a file from its ``path``."""
+    number = F.regexp_extract("path", "/file=([0-9]+)/[^/]*$", 1) if file is None else file
+    files = session(spark).read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return files.select(number.cast("long").alias("file"), "content")
 
-def _listed(spark: SparkSession, path: str) -> DataFrame:
-    """The index of files that were just written, by reading every member."""
 
-    def walk(batches):
-        for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw, at, found = content.as_py(), 0, []
-                while at < len(raw):
-                    end, text = member_end(raw, at)
-                    named = next(parse(text))[2]
-                    found.append((file, len(found), at, end - at, named, hashlib.sha256(raw[at:end]).hexdigest()))
-                    at = end
-                yield _rows(found)
-
-    return _files(spark, path).mapInArrow(walk, INDEX)
-
-
-def _rows(found: list[tuple]) -> pa.RecordBatch:
+def leaves(spark: SparkSession, path: str, pattern: str = "part-*.txt", file: Column | None = None) -> DataFrame:
+    """(file, seq, offset, length, record_id, hash) of the stored bytes of every record, one row a record of the index."""
     kinds = {"long": pa.int64(), "string": pa.string()}
-    columns = [c.split() for c in INDEX.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kinds[kind]) for k, (_, kind) in enumerate(columns)], names=[name for name, _ in columns])
-
-
-def _indexed(spark: SparkSession, path: str) -> DataFrame:
-    """(file, content, index) of the files that are there; index has the rows of the file by seq."""
-    index = spark.read.schema(INDEX).parquet(f"{path}/index")
-    index = index.groupBy(F.col("file").alias("_f")).agg(F.sort_array(F.collect_list(F.struct("seq", "offset", "length", "record_id", "hash"))).alias("index"))
-    return _files(spark, path).join(index, F.col("file") == F.col("_f")).select("file", "content", "index")
-
-
-def leaves(spark: SparkSession, path: str) -> DataFrame:
-    """(file, seq, offset, length, record_id, hash) of the stored bytes of every record."""
+    columns = [c.split() for c in LEAVES.split(", ")]
 
     def read(batches):
         for batch in batches:
-            for file, content, index in zip(*(batch.column(k) for k in range(3))):
-                found = stored_records(content.as_py(), index.as_py())
-                yield _rows([(file.as_py(), r["seq"], offset, length, r["record_id"], digest) for r, offset, length, digest in found])
+            for number, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = content.as_py()
+                found = [(number, *row) for row in stored_records(raw, index_of(raw))]
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kinds[kind]) for k, (_, kind) in enumerate(columns)], names=[name for name, _ in columns])
+
+    return _files(spark, path, pattern, file).mapInArrow(read, LEAVES)
 
-    return _indexed(spark, path).mapInArrow(read, INDEX)
 
+def _joined(nodes: Column, first: Column) -> Column:
+    """The hash of a run of nodes (hash or null) with their numbers from ``first``."""
+    numbered = F.transform(nodes, lambda x, i: F.concat_ws(":", (first + i).cast("string"), F.coalesce(x, F.lit(""))))
+    return F.sha2(F.array_join(numbered, ";"), 256)
 
-def _parents(nodes: DataFrame, fan_out: int, of_files: bool) -> DataFrame:
-    """Hash runs of ``fan_out`` nodes of a file, or of files, in order."""
-    key = (F.floor(F.col("file") / fan_out) if of_files else F.col("file")).cast("long").alias("file")
-    node = (F.lit(0) if of_files else F.floor(F.col("seq") / fan_out)).cast("long").alias("seq")
-    order = F.struct(F.col("file" if of_files else "seq").alias("k"), F.col("hash").alias("hash"))
-    runs = nodes.select(key, node, order.alias("o")).groupBy("file", "seq").agg(F.sort_array(F.collect_list("o")).alias("o"))
-    return runs.select("file", "seq", F.sha2(F.concat_ws("", F.transform("o", lambda x: x["hash"])), 256).alias("hash"))
 
+def _above(nodes: Column, fan_out: int) -> Column:
+    starts = F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / fan_out).cast("int"))
+    return F.transform(starts, lambda i: _joined(F.slice(nodes, i * fan_out + 1, fan_out), i * fan_out))
 
-def tree(records: DataFrame, fan_out: int = FAN_OUT, depth: tuple[int, int] | None = None) -> tuple[list[DataFrame], tuple[int, int]]:
-    """Levels of (file, seq, hash) from the records up to one root, and the depth (levels in files, over files)."""
-    if depth is None:
-        seq, file = records.agg(F.coalesce(F.max("seq"), F.lit(0)), F.coalesce(F.max("file"), F.lit(0))).first()
-        depth = (_height(seq + 1, fan_out), _height(file + 1, fan_out))
-    levels = [records.select("file", "seq", "hash")]
-    for k in range(sum(depth)):
-        levels.append(materialize(_parents(levels[-1], fan_out, k >= depth[0]), "merkle"))
-    return levels, depth
+
+def tree(records: DataFrame, height: int, fan_out: int = FAN_OUT) -> DataFrame:
+    """(file, levels, root): the levels of each file's tree of ``height``, leaves (by seq) first."""
+    run = F.sort_array(F.collect_list(F.struct("seq", "hash")))
+    levels = records.groupBy("file").agg(F.transform(run, lambda x: x["hash"]).alias("l0"))
+    for k in range(height):
+        levels = levels.withColumn(f"l{k + 1}", _above(F.col(f"l{k}"), fan_out))
+    return levels.select("file", F.array(*(F.col(f"l{k}") for k in range(height + 1))).alias("levels"), F.col(f"l{height}")[0].alias("root"))
 
 
 def _height(n: int, fan_out: int) -> int:
@@ -229,27 +263,41 @@ def _height(n: int, fan_out: int) -> int:
     return height
 
 
+def _parents(nodes: DataFrame, fan_out: int) -> DataFrame:
+    """Hash runs of ``fan_out`` nodes (file, root) in order, files or ranges of them."""
+    runs = nodes.groupBy(F.floor(F.col("file") / fan_out).cast("long").alias("_f")).agg(F.sort_array(F.collect_list(F.struct("file", "root"))).alias("o"))
+    joined = F.array_join(F.transform("o", lambda x: F.concat_ws(":", x["file"].cast("string"), x["root"])), ";")
+    return runs.select(F.col("_f").alias("file"), F.sha2(joined, 256).alias("root"))
+
+
 def audit(one: DataFrame, two: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
     """(file, seq, state) of the records that differ between two replicas: damaged, missing (in two) or extra."""
     tops = [t.agg(F.coalesce(F.max("seq"), F.lit(0)), F.coalesce(F.max("file"), F.lit(0))).first() for t in (one, two)]
-    depth = tuple(_height(max(t[k] for t in tops) + 1, fan_out) for k in (0, 1))
-    (left, _), (right, _) = (tree(t, fan_out, depth) for t in (one, two))
+    inside, over = (_height(max(t[k] for t in tops) + 1, fan_out) for k in (0, 1))
+    trees = [materialize(tree(t, inside, fan_out), "trees") for t in (one, two)]
+    levels = [[t.select("file", "root")] for t in trees]
+    for _ in range(over):
+        for side in levels:
+            side.append(materialize(_parents(side[-1], fan_out), "merkle"))
     suspect = None
-    for level in range(sum(depth), -1, -1):
-        a, b = left[level], right[level]
+    for level in range(over, -1, -1):
+        a, b = (side[level].select(F.col("file").alias(f"f{k}"), F.col("root").alias(f"r{k}")) for k, side in enumerate(levels))
         if suspect is not None:
-            in_file = level < depth[0]
-            parent = [F.col("file") == F.col("pf"), F.floor(F.col("seq") / fan_out) == F.col("ps")] if in_file else [F.floor(F.col("file") / fan_out) == F.col("pf")]
-            a, b = (t.join(suspect, parent, "left_semi") for t in (a, b))
-        a = a.select(F.col("file").alias("f1"), F.col("seq").alias("s1"), F.col("hash").alias("h1"))
-        b = b.select(F.col("file").alias("f2"), F.col("seq").alias("s2"), F.col("hash").alias("h2"))
-        met = a.join(b, (F.col("f1") == F.col("f2")) & (F.col("s1") == F.col("s2")), "full").where(~F.col("h1").eqNullSafe(F.col("h2")))
-        state = F.when(F.col("h2").isNull(), "missing").when(F.col("h1").isNull(), "extra").otherwise("damaged")
-        found = materialize(met.select(F.coalesce("f1", "f2").alias("pf"), F.coalesce("s1", "s2").alias("ps"), state.alias("state")), "suspect")
-        if found.isEmpty():
+            a, b = (t.join(suspect, F.floor(F.col(f"f{k}") / fan_out) == F.col("_s"), "left_semi") for k, t in enumerate((a, b)))
+        met = a.join(b, F.col("f0") == F.col("f1"), "full").where(~F.col("r0").eqNullSafe(F.col("r1")))
+        suspect = materialize(met.select(F.coalesce("f0", "f1").alias("_s")), "suspect")
+        if suspect.isEmpty():
             break
-        suspect = found.select("pf", "ps")
-    return found.select(F.col("pf").alias("file"), F.col("ps").alias("seq"), "state")
+    # Inside the files that differ, from the root down to the leaves.
+    a, b = (t.join(suspect, F.col("file") == F.col("_s"), "left_semi").select(F.col("file").alias(f"f{k}"), F.col("levels").alias(f"l{k}")) for k, t in enumerate(trees))
+    met = a.join(b, F.col("f0") == F.col("f1"), "full").withColumn("at", F.array(F.lit(0)))
+    differ = lambda level: lambda i: ~F.get(F.get(F.col("l0"), F.lit(level)), i).eqNullSafe(F.get(F.get(F.col("l1"), F.lit(level)), i))
+    for level in range(inside - 1, -1, -1):
+        children = F.flatten(F.transform("at", lambda i: F.sequence(i * fan_out, i * fan_out + (fan_out - 1))))
+        met = met.withColumn("at", F.filter(children, differ(level)))
+    leaf = lambda side: F.get(F.get(F.col(side), F.lit(0)), F.col("seq"))
+    met = met.select(F.coalesce("f0", "f1").alias("file"), F.explode("at").alias("seq"), "l0", "l1").select("file", F.col("seq").cast("long").alias("seq"), leaf("l0").alias("h1"), leaf("l1").alias("h2"))
+    return met.select("file", "seq", F.when(F.col("h2").isNull(), "missing").when(F.col("h1").isNull(), "extra").otherwise("damaged").alias("state"))
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
