@@ -1,10 +1,11 @@
-"""Substring deduplication by content-defined anchors.
+"""Substring deduplication by content-defined chunks.
 
 A passage is repeated where WORDS words in a row stand, byte by byte, at an earlier place (smaller id, then offset)
-that does not overlap it (:func:`passages`). Of the runs of half as many words, each text keeps as anchors those with
-the least hash of a window (winnowing), so any WORDS words hold an anchor that depends on nothing but themselves.
-Only runs of WORDS words whose anchor occurs twice are listed and held against each other; neighbours with one source
-at one distance join to a span. The first occurrence of a passage stays.
+that does not overlap it (:func:`passages`). Chunks begin at content-defined cuts: of the word starts in a window the
+one with the least gear rolling hash of the bytes behind it, so that any WORDS words hold a cut, and the CHUNK words
+behind it, that depend on nothing but themselves; words inserted elsewhere move no cut. Chunks are compared by digest.
+Only runs of WORDS words whose chunk occurs twice are listed and held against each other; neighbours with one source at
+one distance join to a span. The first occurrence of a passage stays.
 
 :func:`repeats` lists runs of repeated gear-hash chunks, whose parts may come from several places.
 
@@ -22,26 +23,30 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, drop, materialize, mix64, session, utf8
+from .common import WORD_SPACE, drop, materialize, mix64, packed, session, utf8
 
 #: A cut falls on one of 2 ** MASK_BITS bytes; chunk sizes stay between MIN_CHUNK and MAX_CHUNK (but for the last).
 MASK_BITS, MIN_CHUNK, MAX_CHUNK = 4, 16, 256
 #: Least bytes of a run of repeated chunks: with the pieces of chunks that are lost at its ends, a passage of 50 words.
 MIN_BYTES = 128
-#: Words of the least passage, and of the runs that may become anchors.
-WORDS, ANCHOR = 50, 25
+#: Words of the least passage, and of the chunk behind a cut.
+WORDS, CHUNK = 50, 25
 #: Longer words are also split behind gear-hash cuts, and where these are further apart than MAX_CHUNK.
 LONG_WORD = 64
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
 
 
-def gear(raw: np.ndarray) -> np.ndarray:
-    """The 16-bit gear hash h = 2 h + gear[byte] after each byte: a sum over the last 16 bytes, by doubling."""
-    h = _GEAR[raw]
-    for width in (1, 2, 4, 8):
+_GEAR32 = (mix64(np.arange(257, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+
+
+def gear(raw: np.ndarray, table: np.ndarray = _GEAR) -> np.ndarray:
+    """The gear hash h = 2 h + table[byte] after each byte: a sum over the last 16 bytes (32 for a 32-bit table), by doubling."""
+    h = table[raw]
+    width = 1
+    while width < h.itemsize * 8:
         moved = h.copy()
-        moved[width:] += h[:-width] << np.uint16(width)
-        h = moved
+        moved[width:] += h[:-width] << h.dtype.type(width)
+        h, width = moved, width * 2
     return h
 
 
@@ -87,7 +92,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
             digest = np.array(digests, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(digest), batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int64())], names=["digest", "doc_id", "text_key", "place"])
 
-    return docs.mapInArrow(cut, "digest long, doc_id long, text_key int, place long")
+    return docs.mapInArrow(cut, "digest long, doc_id long, text_key long, place long")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -97,7 +102,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     tables, so that Spark can split the partition of a chunk that very many documents share.
     """
     session(docs.sparkSession)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     chunks = materialize(_chunks(rows), "chunks")
     first = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "place")).alias("first")).where("n > 1")
     first = materialize(first.select(F.col("digest").alias("_d"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.text_key").alias("first_key"), F.col("first.place").alias("first_place")), "first")
@@ -116,7 +121,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
 
 
 _SPACE = np.isin(np.arange(256), list(WORD_SPACE.encode()))
-_BYTE, _BASE = mix64(np.arange(257, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), 0x5851F42D4C957F2D
 
 
 def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,35 +143,20 @@ def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.flatnonzero(last) + 1
 
 
-_power_tables: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """The first powers of ``base``, n + 1 at least; tables of up to 2 ** 20 are kept, one a base."""
-    kept = _power_tables.get(base)
-    if kept is None or len(kept) <= n:
-        kept = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(1 << max(16, n.bit_length()), base, np.uint64))])
-        if len(kept) <= (1 << 20) + 1:
-            _power_tables[base] = kept
-    return kept
-
-
 def chosen(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each run of WORDS words its anchor: the first word of the ANCHOR words in it that have the least hash."""
+    """For each run of WORDS words its cut: the first word, with CHUNK - 1 more behind it in the run, whose first 32 bytes
+    have the least gear hash (CHUNK words have more)."""
     if len(starts) < WORDS:
         return np.zeros(0, np.int64)
-    back = pow(_BASE, -1, 1 << 64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * _powers(_BASE, len(raw))[: len(raw)], dtype=np.uint64)])
-    a, b = starts[: len(starts) - ANCHOR + 1], ends[ANCHOR - 1 :]
-    order = mix64((sums[b] - sums[a]) * _powers(back, len(raw))[a])
-    windows = np.lib.stride_tricks.sliding_window_view(order, WORDS - ANCHOR + 1)
+    order = gear(raw, _GEAR32)[starts[: len(starts) - CHUNK + 1] + 31]
+    windows = np.lib.stride_tricks.sliding_window_view(order, WORDS - CHUNK + 1)
     return windows.argmin(axis=1) + np.arange(len(windows))
 
 
-def _anchors(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, text_key, word) of the anchors of (doc_id, text_key, text)."""
+def _cut_chunks(docs: DataFrame) -> DataFrame:
+    """(digest, doc_id, text_key, word) of the chunks behind the cuts of (doc_id, text_key, text)."""
 
-    def list_anchors(batches):
+    def list_chunks(batches):
         for batch in batches:
             raw, off = utf8(batch.column(2))
             digests, firsts, counts = [], [], []
@@ -175,19 +164,19 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 part = raw[off[i] : off[i + 1]]
                 starts, ends = words(part)
                 found, view = np.unique(chosen(part, starts, ends)), part.tobytes()
-                digests.extend([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[found].tolist(), ends[found + ANCHOR - 1].tolist())] if len(found) else [])
+                digests.extend([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[found].tolist(), ends[found + CHUNK - 1].tolist())] if len(found) else [])
                 firsts.append(found)
                 counts.append(len(found))
             at = pa.array(np.repeat(np.arange(len(counts)), counts), pa.int64())
             word = np.concatenate(firsts or [np.zeros(0)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(digests, np.uint64).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(word)], names=["digest", "doc_id", "text_key", "word"])
 
-    return docs.mapInArrow(list_anchors, "digest long, doc_id long, text_key int, word int")
+    return docs.mapInArrow(list_chunks, "digest long, doc_id long, text_key long, word int")
 
 
 def _grams(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, text_key, place) of the runs of WORDS words of (doc_id, text_key, text, anchors) whose own
-    anchor is among these; place is start * 2 ** 31 + size."""
+    """(digest, doc_id, text_key, place) of the runs of WORDS words of (doc_id, text_key, text, cuts) whose own
+    cut is among these; place is start * 2 ** 31 + size."""
 
     def list_grams(batches):
         for batch in batches:
@@ -205,20 +194,20 @@ def _grams(docs: DataFrame) -> DataFrame:
             place = np.concatenate(places or [np.zeros(0)]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(digests, np.uint64).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(place)], names=["digest", "doc_id", "text_key", "place"])
 
-    return docs.mapInArrow(list_grams, "digest long, doc_id long, text_key int, place long")
+    return docs.mapInArrow(list_grams, "digest long, doc_id long, text_key long, place long")
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, start, end, first_doc_id, first_start): byte spans of WORDS words or more that stand whole at
     the earlier place. Spans with other sources may overlap."""
     session(docs.sparkSession)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    found = materialize(_anchors(rows), "anchors")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    found = materialize(_cut_chunks(rows), "cuts")
     shared = materialize(found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("_d")), "shared")
-    hits = found.join(shared, F.col("digest") == F.col("_d")).groupBy("doc_id", "text_key").agg(F.collect_set("word").alias("anchors"))
-    hits = materialize(hits.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "anchors"), "hits")
+    hits = found.join(shared, F.col("digest") == F.col("_d")).groupBy("doc_id", "text_key").agg(F.collect_set("word").alias("cuts"))
+    hits = materialize(hits.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "cuts"), "hits")
     drop(found, shared)
-    held = rows.join(hits, (F.col("doc_id") == F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("doc_id", "text_key", "text", "anchors")
+    held = rows.join(hits, (F.col("doc_id") == F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("doc_id", "text_key", "text", "cuts")
     grams = materialize(_grams(held), "grams")
     drop(hits)
     start, size, first_start, first_size = (f(c) for c in ("place", "first_place") for f in (lambda c: F.shiftright(c, 31), lambda c: F.col(c).bitwiseAND(F.lit((1 << 31) - 1))))
@@ -263,13 +252,16 @@ def cut_spans(text: str, starts, ends) -> str:
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later occurrences of repeated passages cut out of the texts; texts without any stay as they are."""
     spans = passages(docs, id_col, text_col)
-    edits = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    edits = materialize(edits.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_spans"), "edits")
+    edits = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    edits = materialize(edits, "edits")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([cut_spans(t, a, b) for t, a, b in zip(text, starts, ends)], dtype=object)
-
-    joined = docs.join(edits, (F.col(id_col).cast("long") == F.col("_id")) & (F.hash(F.col(text_col)) == F.col("_key")), "left")
-    edited = joined.where("_spans is not null").withColumn(text_col, cut(F.col(text_col), F.col("_spans.start"), F.col("_spans.end")))
-    return edited.union(joined.where("_spans is null")).select(*docs.columns)
+        return pd.Series([None if t is None else cut_spans(t, a, b) for t, a, b in zip(text, starts, ends)], dtype=object)
+
+    # One join; only texts with spans go to Python.
+    joined = packed(docs, id=F.col(id_col).cast("long"), key=F.xxhash64(F.col(text_col))).join(edits, (F.col("id") == F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
+    text = F.col("row").getField(text_col)
+    joined = joined.select("row", "spans", cut(F.when(F.col("spans").isNotNull(), text), F.col("spans.start"), F.col("spans.end")).alias("short"))
+    kept = F.when(F.col("spans").isNull(), text).otherwise(F.col("short"))
+    return joined.select(*((kept if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns))
