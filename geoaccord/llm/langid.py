@@ -1,10 +1,12 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of hashed 1- to 4-grams of the lower-cased text give a matrix of log-probabilities, which is broadcast
-(2 ** bits x languages doubles, whatever the corpus); batches of texts are scored in numpy.
+(2 ** bits x languages floats, whatever the corpus). Batches of texts are scored in numpy as the product of their sparse
+counts and the matrix.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the first language by name; repeated
-rows get equal results; with no labelled row every text is ``und``; other columns are kept (:func:`predict`).
+rows get equal results; with no labelled row every text is ``und``; other columns are kept, but one named as the result is replaced
+(:func:`predict`).
 """
 
 from __future__ import annotations
@@ -23,13 +25,13 @@ ORDERS = (1, 2, 3, 4)
 #: Labelled documents a language that the model is fitted on, in the mean (chosen by a hash of the id).
 TRAIN_DOCS = 4000
 MAX_LANGUAGES = 500
-#: Code points that are hashed at once.
-SLICE = 1 << 19
+#: N-grams of one order that are hashed at once, and numbers of the matrix that are gathered at once.
+SLICE, GATHERED = 1 << 19, 1 << 20
 UND = "und"
 
 
 def _grams(codes: np.ndarray, bits: int, orders) -> list[np.ndarray]:
-    """For each order, the bucket of the n-gram that starts at each code point."""
+    """For each order, the bucket of the n-gram that starts at each of the first SLICE code points."""
     out, h = [], np.zeros(len(codes), np.uint64)
     for n in range(1, max(orders) + 1):
         m = len(codes) - n + 1
@@ -38,12 +40,13 @@ def _grams(codes: np.ndarray, bits: int, orders) -> list[np.ndarray]:
         with np.errstate(over="ignore"):
             h = h[:m] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :] + np.uint64(n)
         if n in orders:
-            out.append((mix64(h) >> np.uint64(64 - bits)).astype(np.int32))
+            out.append((mix64(h[:SLICE]) >> np.uint64(64 - bits)).astype(np.int32))
     return out
 
 
 def _slices(texts: list[str | None], pad: int):
-    """(index, code points) with ``pad`` spaces around a text, long texts in slices that overlap by ``pad - 1``."""
+    """(index, code points) with a space on either side of a text, long texts in slices of SLICE n-gram starts, each with
+    the ``pad - 1`` code points behind it that its last n-grams need."""
     for i, text in enumerate(texts):
         if not text:
             continue
@@ -86,18 +89,35 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     logp = np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * size))
     share_of = np.array([sizes[x] for x in langs], float)
 
-    return {"langs": langs, "logp": np.ascontiguousarray(logp.T.astype(np.float32)), "prior": np.log(share_of / share_of.sum()), "bits": bits, "orders": tuple(orders)}
+    return {"langs": langs, "logp": np.ascontiguousarray(logp.astype(np.float32)), "prior": np.log(share_of / share_of.sum()), "bits": bits, "orders": tuple(orders)}
 
 
 def score_texts(texts: list[str | None], has_letter, model: dict) -> tuple[list[str], np.ndarray]:
     """Predicted language and its posterior probability for each text."""
     langs, logp = model["langs"], model["logp"]
     total = np.tile(model["prior"], (len(texts), 1))
-    for i, codes in _slices(texts, max(model["orders"])):
+    rows, held, n = [], [], 0
+
+    def add() -> None:
+        """The product of the sparse counts of what is held (a row of buckets each) and the matrix."""
+        if held:
+            starts = np.cumsum([0, *(len(h) for h in held[:-1])])
+            np.add.at(total, rows, np.add.reduceat(logp[np.concatenate(held)], starts, axis=0, dtype=np.float64))
+            rows.clear()
+            held.clear()
+
+    for i, codes in _slices(texts, max(model["orders"])) if langs else ():
         for buckets in _grams(codes, model["bits"], model["orders"]):
-            counts = np.bincount(buckets, minlength=1) if len(buckets) > 1 << model["bits"] else None
-            for k in range(len(langs)):
-                total[i, k] += counts @ logp[k, : len(counts)] if counts is not None else logp[k].take(buckets).sum(dtype=np.float64)
+            if len(buckets) > len(logp):
+                total[i] += np.bincount(buckets, minlength=len(logp)) @ logp.astype(np.float64)
+            elif len(buckets):
+                rows.append(i)
+                held.append(buckets)
+                n += len(buckets)
+        if n * len(langs) >= GATHERED:
+            add()
+            n = 0
+    add()
     named, score = [UND] * len(texts), np.zeros(len(texts))
     if langs and len(texts):
         best = total.argmax(axis=1)
