@@ -5,8 +5,10 @@ least one piece unchanged, so exact piece hits (Aho-Corasick over all pieces) gi
 edit distance verifies the window around each (Myers 1999; Wu & Manber 1992). Texts and items are compared lower-cased
 and with runs of white space as one space.
 
-Cases: null and empty texts match nothing; null and empty items, or items under ``min_chars``, are not searched;
-repeated rows give equal rows; an empty table on either side gives an empty result; other columns are ignored.
+Cases: null and empty texts match nothing, and so do null items and items without a word; items under ``min_chars``
+have no budget and match whole words only; items with a null id are searched and give null ids; repeated rows give
+equal rows; an empty table on either side gives an empty result; other columns are ignored (:func:`matches`) or kept
+(:func:`flag`, which replaces one named as its result).
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import Shared, session, worker_state
 
-#: Edits allowed for each character of an item, and the shortest item that is searched.
+#: Edits allowed for each character of an item, and the shortest item that has any.
 ERROR_RATE, MIN_CHARS = 0.08, 30
 #: Characters of items in one search block; a larger benchmark is searched in several blocks.
 BLOCK_CHARS = 8_000_000
@@ -65,11 +67,11 @@ def myers(masks: dict[str, int], m: int, text: str, k: int) -> tuple[int, int] |
 class Matcher:
     """Searches texts for a block of items (id, normal text)."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items = []
+    def __init__(self, items: list[tuple[int | None, str]], rate: float, min_chars: int = MIN_CHARS):
+        self.items, self.min_chars = [], min_chars
         found: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            k = budget(text, rate)
+            k = budget(text, rate) if len(text) >= min_chars else 0
             masks: dict[str, int] = {}
             for i, c in enumerate(text):
                 masks[c] = masks.get(c, 0) | 1 << i
@@ -88,17 +90,22 @@ class Matcher:
             return []
         text = normal(text)
         windows: dict[int, list[list[int]]] = {}
+        whole_words: dict[int, int] = {}
         for end, (size, uses) in self.search.iter(text):
             for item, at in uses:
                 _, m, k, _, _ = self.items[item]
                 begin = end + 1 - size - at
+                if m < self.min_chars:
+                    if (begin == 0 or text[begin - 1] == " ") and text[end + 1 : end + 2] in ("", " "):
+                        whole_words.setdefault(item, end + 1)
+                    continue
                 lo, hi = max(0, begin - k), min(len(text), begin + m + k)
                 spans = windows.setdefault(item, [])
                 if spans and lo <= spans[-1][1] and lo >= spans[-1][0]:
                     spans[-1][1] = max(spans[-1][1], hi)
                 else:
                     spans.append([lo, hi])
-        out = []
+        out = [(self.items[item][0], 0, end) for item, end in whole_words.items()]
         for item, spans in windows.items():
             item_id, m, k, masks, whole = self.items[item]
             exact = text.find(whole)
@@ -111,13 +118,13 @@ class Matcher:
         return out
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, min_chars: int, block_chars: int):
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int):
     """The items in blocks of bounded size, so that what is broadcast never grows with the benchmark."""
     block, chars = [], 0
-    rows = benchmark.where(F.length(text_col) >= min_chars).select(id_col, text_col).distinct().orderBy(id_col, text_col)
+    rows = benchmark.where(F.col(text_col).isNotNull()).select(id_col, text_col).distinct().orderBy(id_col, text_col)
     for item_id, text in rows.toLocalIterator():
         text = normal(text)
-        if item_id is None or len(text) < min_chars:
+        if not text:
             continue
         block.append((item_id, text))
         chars += len(text)
@@ -134,15 +141,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, distance int, end int"
     out = None
-    for block in blocks(benchmark, item_id, item_text, min_chars, block_chars):
-        part = rows.mapInArrow(_search(Shared(spark, block), rate), schema)
+    for block in blocks(benchmark, item_id, item_text, block_chars):
+        part = rows.mapInArrow(_search(Shared(spark, block), rate, min_chars), schema)
         out = part if out is None else out.union(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def _search(shared, rate: float):
+def _search(shared, rate: float, min_chars: int):
     def run(batches):
-        matcher = worker_state("decontaminate", (shared.key, rate), lambda: Matcher(shared.value, rate))
+        matcher = worker_state("decontaminate", (shared.key, rate, min_chars), lambda: Matcher(shared.value, rate, min_chars))
         for batch in batches:
             found = [(i, *hit) for i, text in enumerate(batch.column(1)) for hit in matcher.find(text.as_py())]
             at = pa.array([f[0] for f in found], pa.int64())
@@ -155,15 +162,15 @@ def flag(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out_col:
     """``docs`` with a boolean column: whether a row's text holds any item."""
     spark = session(docs.sparkSession)
     hit = F.lit(False)
-    for block in blocks(benchmark, item_id, item_text, min_chars, block_chars):
-        hit = hit | _holds(Shared(spark, block), rate)(F.col(text_col))
+    for block in blocks(benchmark, item_id, item_text, block_chars):
+        hit = hit | _holds(Shared(spark, block), rate, min_chars)(F.col(text_col))
     return docs.withColumn(out_col, hit)
 
 
-def _holds(shared, rate: float):
+def _holds(shared, rate: float, min_chars: int):
     @F.pandas_udf("boolean")
     def held(text: pd.Series) -> pd.Series:
-        matcher = worker_state("decontaminate", (shared.key, rate), lambda: Matcher(shared.value, rate))
+        matcher = worker_state("decontaminate", (shared.key, rate, min_chars), lambda: Matcher(shared.value, rate, min_chars))
         return pd.Series([bool(matcher.find(t)) for t in text.where(text.notna(), None)], dtype=bool)
 
     return held
