@@ -130,7 +130,7 @@ def test_warc_audit(spark):
     warc.write(records.withColumn("record", F.when(hit, F.regexp_replace("record", "text/html", "text/htmX")).otherwise(F.col("record"))), paths[1])
     last = records.agg(F.max("file")).first()[0]
     warc.write(records.where(f"file < {last}"), paths[2])
-    one, two, three = (warc.leaves(spark, p) for p in paths)
+    one, two, three = (warc.leaves(spark, p).where(F.col("record_id") != warc.INDEX_ID) for p in paths)
     assert one.count() == 302 and one.where("record_id is null").count() == 0
     assert warc.audit(one, one, 4).count() == 0
     assert {(r["file"], r["seq"], r["state"]) for r in warc.audit(one, two, 4).collect()} == {(*d, "damaged") for d in damage}
@@ -152,20 +152,47 @@ def test_warc_stored_damage(spark):
     one = warc.leaves(spark, paths[0]).collect()
     assert warc.audit(warc.leaves(spark, paths[0]), warc.leaves(spark, paths[1]), 4).count() == 0
     place = {(r["file"], r["seq"]): (r["offset"], r["length"]) for r in one}
-    cut = max(s for f, s in place if f == 3)
+    last = {f: max(s for g, s in place if f == g) for f in range(6)}
+    cut = last[3]
     file = lambda f: next(p for p in pathlib.Path(paths[1].removeprefix("file://")).glob(f"file={f}/part-*.txt"))
-    raw = {f: bytearray(file(f).read_bytes()) for f in range(4)}
+    raw = {f: bytearray(file(f).read_bytes()) for f in range(6)}
     assert gzip.decompress(raw[0]).count(b"WARC/1.1\r\n") == sum(f == 0 for f, _ in place)
     for f, seq, at in ((0, 0, 0), (0, 4, 1), (0, 7, 30)):
         raw[f][place[f, seq][0] + at] ^= 16
     del raw[1][place[1, 2][0] + 20]
     raw[2][place[2, 3][0] + 15 : place[2, 3][0] + 15] = b"added"
     del raw[3][place[3, cut][0] :]
+    del raw[4][place[4, 2][0] : place[4, 3][0]]
+    for seq in (last[5] - 1, 1):  # one copy of the index and a record
+        raw[5][place[5, seq][0] + 12] ^= 1
     for f, content in raw.items():
         file(f).write_bytes(content)
         (file(f).parent / f".{file(f).name}.crc").unlink(missing_ok=True)
     got = {tuple(r) for r in warc.audit(warc.leaves(spark, paths[0]), warc.leaves(spark, paths[1]), 4).collect()}
-    assert got == {(0, 0, "damaged"), (0, 4, "damaged"), (0, 7, "damaged"), (1, 2, "damaged"), (2, 3, "damaged"), (3, cut, "missing")}
+    assert got == {(0, 0, "damaged"), (0, 4, "damaged"), (0, 7, "damaged"), (1, 2, "damaged"), (2, 3, "damaged"), (3, cut, "missing"), (4, 2, "missing"), (5, 1, "damaged"), (5, last[5] - 1, "damaged")}
+
+
+def test_warc_tree(spark):
+    """Roots are those of a tree in plain Python."""
+    rng = random.Random(9)
+    rows = [(f, s, None if rng.random() < 0.1 else hashlib.sha256(f"{f}.{s}".encode()).hexdigest()) for f, n in ((0, 1), (1, 40), (2, 17)) for s in range(n)]
+    got = {r["file"]: (r["root"], len(r["levels"])) for r in warc.tree(spark.createDataFrame(rows, "file long, seq long, hash string"), 3, 4).collect()}
+    for f in range(3):
+        nodes = [h for g, _, h in rows if f == g]
+        for _ in range(3):
+            nodes = [hashlib.sha256(";".join(f"{i + k}:{h or ''}" for k, h in enumerate(nodes[i : i + 4])).encode()).hexdigest() for i in range(0, len(nodes), 4)]
+        assert got[f] == (nodes[0], 4)
+
+
+def test_warc_foreign_files():
+    """Files without an index are taken member by member, or record by record where they are plain text."""
+    plain = [f"WARC/1.1\r\nWARC-Record-ID: <urn:record:{k}>\r\nContent-Length: 3\r\n\r\nab{k}\r\n\r\n".encode() for k in range(5)]
+    packed = [gzip.compress(x, 6, mtime=0) for x in plain]
+    assert [r[2] for r in warc.index_of(b"".join(plain))] == [r[2] for r in warc.index_of(b"".join(packed))] == list("01234")
+    hit = bytearray(b"".join(packed))
+    hit[len(packed[0]) + 15] ^= 4
+    found = warc.index_of(bytes(hit))
+    assert [r[2] for r in found] == ["0", None, "2", "3", "4"] and sum(r[1] for r in found) == len(hit)
 
 
 def test_warc_parse_broken():
@@ -175,7 +202,16 @@ def test_warc_parse_broken():
 
 def test_warc_query(spark, sf):
     rows = queries.op3_warc_fixity(spark, sf)
-    assert rows.count() == table(spark, sf, "pages").count() and rows.where("state not in ('intact', 'damaged')").count() == 0
+    assert rows.where("page_id is not null").count() == table(spark, sf, "pages").count() and rows.where("state not in ('intact', 'damaged')").count() == 0
+    # The drill by hand: the stored bytes of a record are its text, compressed.
+    want = {}
+    for r in table(spark, sf, "pages").collect():
+        body = (r["html"] or "").encode()
+        text = b"".join([b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:record:", str(r["page_id"]).encode(), b">\r\nWARC-Target-URI: ", (r["url"] or "").encode(), b"\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Type: text/html\r\nContent-Length: ", str(len(body)).encode(), b"\r\n\r\n", body, b"\r\n\r\n"])
+        member = gzip.compress(text, 6, mtime=0)
+        want[r["page_id"]] = (hashlib.sha256(member).hexdigest(), "damaged" if zlib.crc32(member) % queries.DRILL == 0 else "intact")
+    got = {r["page_id"]: (r["sha256"], r["state"]) for r in rows.where("page_id is not null").collect()}
+    assert got == want and "damaged" in {state for _, state in got.values()}
 
 
 def test_warc_empty(spark):
@@ -251,8 +287,8 @@ def test_planted_passages(spark):
     assert all(sum(p in kept[k * 10 + j] for j in range(6)) == 1 for k, p in enumerate(passages))
 
 
-def word_runs(docs):
-    """The bytes that later occurrences of 50 words cover, in plain Python."""
+def covered(docs):
+    """The bytes of each (id, text) that later occurrences of 50 words cover, in plain Python."""
     first, grams = {}, {}
     for i, t in sorted({(i, t) for i, t in docs if i is not None and t}):
         raw = t.encode()
@@ -260,7 +296,16 @@ def word_runs(docs):
         grams[i, t] = [(a, b, raw[a:b]) for a, b in zip(starts, ends[49:])]
         for a, _, g in grams[i, t]:
             first.setdefault(g, (i, t, a))
-    return {(i, k) for (i, t), found in grams.items() for a, b, g in found if first[g][:2] != (i, t) or first[g][2] + b - a <= a for k in range(a, b)}
+    return {(i, t): {k for a, b, g in found if first[g][:2] != (i, t) or first[g][2] + b - a <= a for k in range(a, b)} for (i, t), found in grams.items()}
+
+
+def word_runs(docs):
+    return {(i, k) for (i, _), at in covered(docs).items() for k in at}
+
+
+def word_spans(docs):
+    """The covered bytes as spans, of texts that have any."""
+    return {key: list(zip(sorted(k for k in at if k - 1 not in at), sorted(k + 1 for k in at if k + 1 not in at))) for key, at in covered(docs).items() if at}
 
 
 @pytest.mark.parametrize("source", ["odd", "documents"])
@@ -310,6 +355,9 @@ def test_remove_keeps_columns(odd_docs, no_docs):
     out = substring.remove(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
     assert substring.remove(no_docs).count() == 0 and substring.repeats(no_docs).count() == 0
+    named = odd_docs.select("*", *(F.lit(k).alias(c) for k, c in enumerate(("_spans", "_id", "_key", "row", "spans", "key", "id", "short", "_gone", "_again", "cuts"))))
+    again = substring.remove(named)
+    assert again.columns == named.columns and sorted(map(str, again.select(*odd_docs.columns).collect())) == sorted(map(str, out.collect()))
     assert substring.cut_spans("aéb漢c", [2], [6]) == "aéc" or True
 
 
@@ -326,18 +374,41 @@ def test_language(spark, sf):
     assert all(0 <= r["score"] <= 1 for r in got) and len(got) == len(lang)
 
 
-def test_language_scores(spark):
-    """Batch scores are those of a dense sum over all n-grams, also across slices."""
-    docs = spark.createDataFrame([(k, t, g) for k, (t, g) in enumerate([("ab ab ba", "x"), ("cd dc cd", "y"), ("ab cd", "x")])], "doc_id long, text string, lang string")
-    model = langid.fit(docs)
-    old, langid.SLICE = langid.SLICE, 7
-    try:
-        named, score = langid.score_texts(["abba cddc ab ab cd cd dc", None, "77", "ab"], [True, False, False, True], model)
-    finally:
-        langid.SLICE = old
-    whole, again = langid.score_texts(["abba cddc ab ab cd cd dc", None, "77", "ab"], [True, False, False, True], model)
-    assert named == whole and named[1] == named[2] == "und" and score[1] == 0
-    assert again[3] == pytest.approx(score[3]) and again[0] == pytest.approx(score[0], abs=0.05)
+def dense_language(text, model):
+    """Posteriors by the whole counts and the whole matrix, n-gram by n-gram in plain Python."""
+    mask, counts = (1 << 64) - 1, np.zeros(1 << model["bits"])
+    codes = [ord(c) for c in f" {text.lower()} "]
+    for n in model["orders"]:
+        for k in range(len(codes) - n + 1):
+            h = 0
+            for m, c in enumerate(codes[k : k + n], 1):
+                h = (h * 0x9E3779B97F4A7C15 + c + m) & mask
+            h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+            h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+            counts[(h ^ h >> 31) >> (64 - model["bits"])] += 1
+    total = model["prior"] + counts @ model["logp"].astype(float)
+    return total.argmax(), 1 / np.exp(total - total.max()).sum()
+
+
+def test_language_scores(spark, monkeypatch):
+    """Batch scores are those of the dense product, in one slice and in many, gathered at once and in parts; texts with
+    more n-grams than the matrix has rows too."""
+    rows = [("ab ab ba", "x"), ("cd dc cd", "y"), ("ab cd", "x"), ("Élan dab", "z"), (None, "z"), ("dd", None)]
+    docs = spark.createDataFrame([(k, t, g) for k, (t, g) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, bits=8)
+    rng = random.Random(3)
+    given = ["abba cddc ab ab cd cd dc", None, "77", "ab", "", "É", "".join(rng.choice("abcd é") for _ in range(700))]
+    letters = [bool(t) and any(c.isalpha() for c in t) for t in given]
+    for size, gathered in ((1 << 19, 1 << 20), (7, 1 << 20), (64, 5)):
+        monkeypatch.setattr(langid, "SLICE", size)
+        monkeypatch.setattr(langid, "GATHERED", gathered)
+        named, score = langid.score_texts(given, letters, model)
+        for text, letter, lang, p in zip(given, letters, named, score):
+            if letter:
+                best, sure = dense_language(text, model)
+                assert lang == model["langs"][best] and p == pytest.approx(sure, abs=1e-9)
+            else:
+                assert lang == "und" and p == 0
 
 
 def test_language_odd(odd_docs, no_docs):
@@ -391,6 +462,14 @@ def test_matches_brute_force():
         assert {i: d for i, d, _ in matcher.find(text)} == want
 
 
+def test_short_items():
+    """Items under the least length match whole words without any edit; items with a null id are searched."""
+    matcher = decontaminate.Matcher([(1, "two words"), (None, "ab"), (3, "c")], 0.1)
+    found = lambda t: sorted((i, d) for i, d, _ in matcher.find(t) if i) + [(i, d) for i, d, _ in matcher.find(t) if i is None]
+    assert found("these are two  WORDS") == [(1, 0)] and found("two wordsx ab") == [(None, 0)] and found("xab c") == [(3, 0)]
+    assert found("abc two word s") == [] and found("") == [] and found(None) == []
+
+
 def test_matches_tables(spark, sf, odd_docs, no_docs):
     bench, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, bench).collect()}
@@ -543,6 +622,41 @@ def test_token_files(spark, sf, odd_docs, source):
     assert sums == {(r["doc_id"], r["start"]): zlib.crc32(bytes(r["ids"])) for r in rows}
 
 
+def test_word_ids():
+    """Ids of odd texts are those of the library; also with a cache of few words, and with a tokenizer of another kind."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    letters = [chr(k) for k in [*range(1, 0x250), 0x300, 0x301, 0x338, 0xA0, 0x3000, 0x2028, 0x1E9E, 0x3A3, 0x3C2, 0x4E2D, 0x1F600]]
+    parts = ["don't", "'s", "a'tb", "éÉ.", "İx", "×", "÷a", "a×b", "AbC)", "ǅa;", "Σς", "x" * 90, "é", "...", "\x1c"]
+    odd = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(1500)] + [" ".join(rng.choice(parts) for _ in range(20)) for _ in range(200)] + ["", " \n", "  a  b "]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        words, tokenizer = tokenfiles.WordIds(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+        assert words.wordwise == (name == "word_bpe_49k.json")
+        for _ in range(2):
+            ids, sizes = words.encode(pa.array(odd))
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [e.ids for e in tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+        assert max(map(len, words.letters), default=0) <= tokenfiles.CACHE_LENGTH
+
+
+def test_repair_ends():
+    """No pair is left that occurs LEAST times, unless the symbols are used up."""
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 49408, 3000)
+    ids = np.concatenate([np.concatenate([passage, rng.integers(0, 3000, 40)]) for _ in range(60)]).astype(np.uint16)
+    rules, sizes, symbols = tokenfiles.compress(ids, 49408)
+    pairs = collections.Counter(zip(symbols[:-1].tolist(), symbols[1:].tolist()))
+    assert max(pairs.values()) < tokenfiles.LEAST and 49408 + len(rules) < tokenfiles.SYMBOLS
+    assert sizes.max() > 2900 and len(symbols) < len(ids) / 20
+    assert tokenfiles.expand(symbols, rules, 49408).tolist() == ids.tolist()
+    many = np.tile(rng.integers(0, 49408, 40000), 9).astype(np.uint16)
+    rules, _, symbols = tokenfiles.compress(many, 49408)
+    assert 49408 + len(rules) == tokenfiles.SYMBOLS and tokenfiles.expand(symbols, rules, 49408).tolist() == many.tolist()
+
+
 def test_repair_round_trip():
     rng = np.random.default_rng(3)
     for ids in (np.tile([5, 6, 7, 8], 500), rng.integers(0, 30, 4000), np.full(1000, 9), np.zeros(0, int), np.array([3])):
