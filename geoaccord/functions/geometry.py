@@ -1,7 +1,7 @@
 """Polygon measures. A polygon is array<array<struct<x,y>>>: rings without a repeated last vertex, outer or hole.
 
-Areas, lengths, centroids and hit tests are column expressions; overlay areas are numpy in a pandas UDF. A hole is a
-ring that turns against its outer ring; rings are taken as they are given, so valid polygons need no repair.
+Areas, lengths, centroids and hit tests are column expressions; overlay areas and crossings are numpy in a pandas UDF.
+A hole is a ring that turns against its outer ring. Rings that cross themselves are not repaired.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def centroid(rings: Column) -> tuple[Column, Column]:
 
 
 def bounds(rings: Column) -> tuple[Column, Column, Column, Column]:
-    xs, ys = (F.transform(F.flatten(rings), lambda v, k=k: v[k]) for k in ("x", "y"))
+    xs, ys = (F.flatten(rings)[k] for k in ("x", "y"))
     return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
 
 
@@ -74,57 +74,103 @@ def l_shape(minx: Column, miny: Column, w: Column, h: Column) -> Column:
     return F.array(F.array(at(minx, miny), at(minx + w, miny), at(minx + w, miny + h / 2), at(minx + w / 2, miny + h / 2), at(minx + w / 2, miny + h), at(minx, miny + h)))
 
 
+def polygon(parts: Column) -> Column:
+    """Rings of a polygon that was read from a file: closing vertices and rings under three vertices go."""
+    opened = F.transform(parts, lambda r: F.when((F.size(r) > 1) & (r[0] == F.element_at(r, -1)), F.slice(r, 1, F.size(r) - 1)).otherwise(r))
+    return F.filter(opened, lambda r: F.size(r) >= 3)
+
+
+def crosses_itself(rings: Column) -> Column:
+    """Whether two edges of the rings cross each other inside both (rings that only touch do not)."""
+
+    @F.pandas_udf("boolean")
+    def crossed(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
+        return pd.Series([None if v[0] is None else bool(_crossings(*v)) for v in zip(x1, y1, x2, y2)], dtype="boolean")
+
+    edges = F.flatten(F.transform(rings, _edges))
+    return crossed(*(edges[v][k] for v in "ab" for k in "xy"))
+
+
+def _crossings(x1, y1, x2, y2) -> bool:
+    n = len(x1)
+    side = lambda ax, ay, bx, by, px, py: (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+    low, high = np.minimum(x1, x2), np.maximum(x1, x2)
+    order = np.argsort(low)
+    ends = np.searchsorted(low[order], high[order], side="right")
+    for k, i in enumerate(order):  # the edges that begin before this one ends, from left to right
+        j = order[k + 1 : ends[k]]
+        if len(j):
+            p, q = side(x1[i], y1[i], x2[i], y2[i], x1[j], y1[j]), side(x1[i], y1[i], x2[i], y2[i], x2[j], y2[j])
+            r, s = side(x1[j], y1[j], x2[j], y2[j], x1[i], y1[i]), side(x1[j], y1[j], x2[j], y2[j], x2[i], y2[i])
+            if np.any((p * q < 0) & (r * s < 0)):
+                return True
+    return False
+
+
 def decimate(ring: Column, most: int = 300) -> Column:
     """Every second vertex of a long ring, its last vertex kept."""
     thin = F.filter(ring, lambda v, i: (i % 2 == 0) | (i == F.size(ring) - 1))
     return F.when(F.size(ring) > most, thin).otherwise(ring)
 
 
-def _clip(poly: list[tuple[float, float]], tri: list[tuple[float, float]]) -> float:
-    """Area of a convex polygon inside a counter-clockwise triangle (Sutherland & Hodgman 1974)."""
-    out = poly
-    for (ax, ay), (bx, by) in zip(tri, [*tri[1:], tri[0]]):
-        if not out:
-            return 0.0
-        side = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x, y in out]
-        new = []
-        for k in range(len(out)):
-            (px, py), (qx, qy), s, t = out[k - 1], out[k], side[k - 1], side[k]
-            if (s < 0) != (t < 0):
-                f = s / (s - t)
-                new.append((px + f * (qx - px), py + f * (qy - py)))
-            if t >= 0:
-                new.append((qx, qy))
-        out = new
-    return abs(sum(out[k - 1][0] * out[k][1] - out[k][0] * out[k - 1][1] for k in range(len(out)))) / 2
-
-
-def overlap_area(one, two) -> float:
-    """Intersection area of two polygons: signed sums over the triangles that a point forms with each edge."""
-    if not len(one) or not len(two):
-        return 0.0
-    ox, oy = one[0][0]["x"], one[0][0]["y"]
+def edge_arrays(rings: list) -> tuple:
+    """Arrays (x1, y1, x2, y2) of the edges of rings of {x, y}."""
+    ends = [(a["x"], a["y"], b["x"], b["y"]) for ring in rings for a, b in zip(ring, [*ring[1:], ring[0]])]
+    return tuple(np.array(v, float) for v in zip(*ends)) if ends else (np.zeros(0),) * 4
 
-    def triangles(rings):
-        total, out = 0.0, []
-        for ring in rings:
-            v = [(p["x"] - ox, p["y"] - oy) for p in ring]
-            for a, b in zip(v, [*v[1:], v[0]]):
-                twice = a[0] * b[1] - b[0] * a[1]
-                total += twice
-                if twice:
-                    out.append((1.0 if twice > 0 else -1.0, [(0.0, 0.0), a, b] if twice > 0 else [(0.0, 0.0), b, a]))
-        return (1.0 if total >= 0 else -1.0), out
 
-    (s1, t1), (s2, t2) = triangles(one), triangles(two)
-    return max(0.0, s1 * s2 * float(np.sum([u * v * _clip(p, q) for u, p in t1 for v, q in t2])))
+def overlap_area(one: tuple, two: tuple) -> float:
+    """Intersection area of two polygons, given as arrays (x1, y1, x2, y2) of their directed edges.
+
+    A polygon is the signed sum of the areas under its edges, so the intersection is the signed sum, over pairs of
+    edges, of the area under both: the integral of the lower one over the x that they share.
+    """
+    if not len(one[0]) or not len(two[0]):
+        return 0.0
+    ox, oy = float(one[0].min()), min(float(one[1].min()), float(two[1].min()))
+    (a, b), total = (_upward(edges, ox, oy) for edges in (one, two)), 0.0
+    step = max(1, (1 << 18) // len(b[0]))
+    for k in range(0, len(a[0]), step):
+        x1, y1, x2, y2, sign = (v[k : k + step, None] for v in a)
+        u1, v1, u2, v2, turn = (v[None, :] for v in b)
+        lo, hi = np.maximum(x1, u1), np.minimum(x2, u2)
+        rows, columns = np.nonzero(hi > lo)
+        lo, hi = lo[rows, columns], hi[rows, columns]
+        at = lambda x, p, q, r, s: q + (s - q) * (x - p) / (r - p)
+        e, f = [v[rows, 0] for v in (x1, y1, x2, y2)], [v[0, columns] for v in (u1, v1, u2, v2)]
+        e_lo, e_hi, f_lo, f_hi = at(lo, *e), at(hi, *e), at(lo, *f), at(hi, *f)
+        d_lo, d_hi = e_lo - f_lo, e_hi - f_hi
+        size = np.abs(d_lo) + np.abs(d_hi)
+        apart = np.where(d_lo * d_hi >= 0, size / 2, (d_lo**2 + d_hi**2) / (2 * np.where(size > 0, size, 1.0)))
+        under = (hi - lo) * ((e_lo + e_hi + f_lo + f_hi) / 4 - apart / 2)
+        total += float(np.sum(under * sign[rows, 0] * turn[0, columns]))
+    return max(0.0, total * _turn(one) * _turn(two))
+
+
+def _turn(edges: tuple) -> float:
+    x1, y1, x2, y2 = edges
+    return 1.0 if float(np.sum((x1 - x1[0]) * (y2 - y1[0]) - (x2 - x1[0]) * (y1 - y1[0]))) >= 0 else -1.0
+
+
+def _upward(edges: tuple, ox: float, oy: float) -> tuple:
+    """Edges from left to right over the origin, with 1 for those that ran to the left; upright ones are left out."""
+    x1, y1, x2, y2 = edges
+    some = x1 != x2
+    x1, y1, x2, y2 = x1[some] - ox, y1[some] - oy, x2[some] - ox, y2[some] - oy
+    left = x2 < x1
+    pick = lambda p, q: np.where(left, q, p)
+    return pick(x1, x2), pick(y1, y2), pick(x2, x1), pick(y2, y1), np.where(left, 1.0, -1.0)
 
 
 def overlap(one, two) -> Column:
     """Intersection area of two polygon columns, null where one is null."""
 
     @F.pandas_udf("double")
-    def areas(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else overlap_area(p, q) for p, q in zip(a, b)], dtype=float)
-
-    return areas(one, two)
+    def areas(*sides: pd.Series) -> pd.Series:
+        return pd.Series([None if v[0] is None or v[4] is None else overlap_area(v[:4], v[4:]) for v in zip(*sides)], dtype=float)
+
+    columns = []
+    for rings in (one, two):
+        edges = F.flatten(F.transform(rings, _edges))
+        columns += [edges[v][k] for v in "ab" for k in "xy"]
+    return areas(*columns)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-import re
+from string import ascii_uppercase, digits
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,30 +25,35 @@ def pair_key(y: Column, x: Column) -> Column:
 
 
 def letter_label(n: int) -> str:
-    """A, B, .. Z, AA, AB .. for 0, 1, .."""
-    out = ""
-    n += 1
-    while n:
-        n, rest = divmod(n - 1, 26)
-        out = chr(65 + rest) + out
-    return out
+    """A, B, .. Z, AA, AB .. for 0, 1, ..: labels by length, each length in order of the alphabet."""
+    length = 1
+    while n >= len(ascii_uppercase) ** length:
+        n -= len(ascii_uppercase) ** length
+        length += 1
+    return "".join(ascii_uppercase[n // len(ascii_uppercase) ** place % len(ascii_uppercase)] for place in reversed(range(length)))
 
 
 def column_number(letters: str) -> int:
-    n = 0
-    for ch in letters.upper():
-        n = n * 26 + ord(ch) - 64
-    return n
+    """The place of a column by its letters, from 1."""
+    return sum((ascii_uppercase.index(x) + 1) * 26**place for place, x in enumerate(reversed(letters.upper())))
+
+
+def cell(name: str) -> tuple[int, int]:
+    """Row and column, from 1, of a cell name: letters, then digits."""
+    letters = name.rstrip(digits)
+    if not (letters.isascii() and letters.isalpha()) or letters == name:
+        raise ValueError(f"{name} is no cell")
+    return int(name[len(letters) :]), column_number(letters)
 
 
 def sheet_size(dimension: str) -> tuple[int, int] | None:
-    """Rows and columns of a cell range such as A1:F100."""
-    m = re.fullmatch(r"([A-Za-z]+)(\d+)(?::([A-Za-z]+)(\d+))?", dimension or "")
-    if not m:
+    """Rows and columns of a cell range such as A1:F100, or of one cell; None for anything else."""
+    corners = (dimension or "").split(":")
+    try:
+        rows, columns = zip(*map(cell, corners))
+    except ValueError:
         return None
-    a, r1, b, r2 = m.groups()
-    b, r2 = b or a, r2 or r1
-    return int(r2) - int(r1) + 1, column_number(b) - column_number(a) + 1
+    return None if len(corners) > 2 else (abs(rows[-1] - rows[0]) + 1, abs(columns[-1] - columns[0]) + 1)
 
 
 def full_width_commas(c: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoaccord.scratch import written
+
 
 def blank(c: Column) -> Column:
     """Null or only white space."""
@@ -25,6 +27,23 @@ def distinct_values(df: DataFrame, value: str, order: str, limit: int = 500) ->
     return seen.orderBy("first_seen", "value").limit(limit)
 
 
+def positions(df: DataFrame, order: list[str], at: str = "position") -> tuple[DataFrame, int]:
+    """``df`` with the position of each row, from 0, in the order of some columns, and the number of rows.
+
+    Ranges of the order are sorted apart and their counts summed, so no task sorts all rows. The ranges are written, as
+    sampling them again after a loss could cut them elsewhere.
+    """
+    parts = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    starts, n = [], 0
+    for row in parts.groupBy("_range").count().orderBy("_range").collect():  # one row a range
+        starts.append((row["_range"], n))
+        n += row["count"]
+    begin = df.sparkSession.createDataFrame(starts, "_of int, _start long")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    placed = parts.withColumn(at, inside).join(F.broadcast(begin), F.col("_range") == F.col("_of"))
+    return placed.withColumn(at, F.col("_start") + F.col(at)).select(*df.columns, at), n
+
+
 def systematic_sample(df: DataFrame, order: str, limit: int) -> DataFrame:
     """Rows at even steps of a dense key: every max(1, n // limit)-th."""
     step = max(1, df.count() // limit)
@@ -32,6 +51,17 @@ def systematic_sample(df: DataFrame, order: str, limit: int) -> DataFrame:
     return df.where(F.pmod(F.col(order) - first, F.lit(step)) == 0)
 
 
+def spaced_sample(df: DataFrame, order: list[str], limit: int) -> DataFrame:
+    """``limit`` rows (all where there are fewer) at even, fractional steps of the order, the first and the last among
+    them."""
+    placed, n = positions(df, order)
+    if n <= limit or limit < 2:
+        return placed.where(F.col("position") < limit).drop("position")
+    step = (n - 1) / (limit - 1)
+    slot = F.floor(F.col("position") / step + 0.5)
+    return placed.where(F.floor(slot * step + 0.5) == F.col("position")).drop("position")
+
+
 def extents(df: DataFrame) -> DataFrame:
     """Union and intersection of (xmin, ymin, xmax, ymax) rows; the intersection is null where it is empty."""
     box = df.agg(
@@ -84,3 +114,23 @@ def nearest(values: DataFrame, steps: DataFrame, value: str, step: str) -> DataF
     scale = steps.agg(F.sort_array(F.collect_set(step)).alias("_scale"))
     at = F.array_min(F.transform("_scale", lambda s: F.struct(F.abs(s - F.col(value)).alias("d"), s.alias("s"))))["s"]
     return values.crossJoin(F.broadcast(scale)).withColumn("nearest", at).drop("_scale")
+
+
+def percent_of(values: DataFrame, known: DataFrame, value: str, default: int = 50) -> DataFrame:
+    """``values`` with the ``percent`` that a snapshot (value, percent) has for each value, else the default."""
+    side = known.select(F.col("value").alias("_value"), F.col("percent").alias("_percent"))
+    return values.join(side, F.col(value) == F.col("_value"), "left").withColumn("percent", F.coalesce("_percent", F.lit(default))).drop("_value", "_percent")
+
+
+def local_values(df: DataFrame, value: str, digits: int = 4) -> DataFrame:
+    """One column ``value``: the finite values of a field, rounded."""
+    v = F.col(value).cast("double")
+    return df.where(v.isNotNull() & ~F.isnan(v)).select(F.round(v, digits).alias("value"))
+
+
+def containing(df: DataFrame, fields: list[str], keyword: str) -> DataFrame:
+    """Rows of which any of the fields holds the keyword, whatever its case; all rows for an empty keyword."""
+    found = F.lit(not keyword)
+    for f in fields:
+        found = found | F.coalesce(F.lower(F.col(f).cast("string")).contains(keyword.lower()), F.lit(False))
+    return df.where(found)

@@ -5,13 +5,21 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoaccord.operators import catalog
+
 JENKS_SAMPLE = 1024
+DENSITY_REACH = 9
 TOP_CLASSES = 64
-#: The name of the class of all other values, and the twelve base colours of categories.
+#: The name of the class of all other values, the stops of the sequential and of the diverging ramp, the
+#: base colours of categories, and the golden ratio's part that spreads further hues.
 OTHER = "其他"
+SEQUENTIAL = ["#ffffd9", "#c7e9b4", "#7fcdbb", "#41b6c4", "#1d91c0", "#225ea8", "#0c2c84"]
+DIVERGING = ["#2166ac", "#67a9cf", "#d1e5f0", "#f7f7f7", "#fddbc7", "#ef8a62", "#b2182b"]
+CATEGORIES = ["#4e79a7", "#f28e2b", "#e15759", "#76b7b2", "#59a14f", "#edc948", "#b07aa1", "#ff9da7", "#9c755f", "#bab0ac", "#86bcb6", "#d37295"]
+GOLDEN = 0.6180339887
 
 
 def finite(value: Column) -> Column:
@@ -97,26 +105,9 @@ def natural_breaks(values: np.ndarray, classes: int) -> list[float]:
 
 
 def stride_sample(df: DataFrame, value: str, order: str, limit: int) -> DataFrame:
-    """Every n-th value of the sorted ones, the least and the largest among them: at most ``limit`` rows.
-
-    Positions come from counts of ranges of the values, not from one sorted task.
-    """
+    """Evenly spaced ones of the sorted values, the least and the largest among them: at most ``limit`` rows."""
     clean = df.select(finite(F.col(value)).alias("v"), F.col(order).alias("o")).where("v is not null")
-    n = clean.count()
-    if n <= limit:
-        return clean.select("v")
-    parts = clean.repartitionByRange("v", "o").withColumn("_p", F.spark_partition_id()).persist()
-    inside = parts.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy("v", "o")) - 1)
-    counts = {r["_p"]: r["count"] for r in parts.groupBy("_p").count().collect()}
-    starts, at = [], 0
-    for p in sorted(counts):
-        starts.append((p, at))
-        at += counts[p]
-    begin = df.sparkSession.createDataFrame(starts, "_q int, _at long")
-    ranked = inside.join(F.broadcast(begin), F.col("_p") == F.col("_q")).withColumn("k", F.col("_at") + F.col("_k"))
-    step = (n - 1) / (limit - 1)
-    slot = F.floor(F.col("k") / step + 0.5)
-    return ranked.where(F.floor(slot * step + 0.5) == F.col("k")).select("v")
+    return catalog.spaced_sample(clean, ["v", "o"], limit).select("v")
 
 
 def jenks_breaks(df: DataFrame, value: str, classes: int, order: str, limit: int = JENKS_SAMPLE) -> list[float]:
@@ -158,19 +149,21 @@ def histogram(df: DataFrame, value: str, bins: int | None = None) -> DataFrame:
 def density(df: DataFrame, value: str, bins: int = 18, points: int = 160) -> DataFrame:
     """Gaussian kernel density at evenly spaced points, scaled to the counts of a histogram of ``bins``.
 
-    The bandwidth is the larger of std n ^ (-1/5) and a eightieth of the range. The sums are one aggregation: each
-    value adds an array of ``points`` weights only inside its reach.
+    The bandwidth is the larger of std n ^ (-1/5) and a eightieth of the range. A value adds to the points within
+    DENSITY_REACH bandwidths only, beyond which its weight is below 2 ** -53.
     """
     clean = df.select(finite(F.col(value)).alias("v")).where("v is not null")
     ends = clean.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("m"), F.stddev_pop("v").alias("sd"))
     span = F.col("hi") - F.col("lo")
     ends = ends.withColumn("bw", F.greatest(F.col("sd") * F.pow(F.col("m").cast("double"), -0.2), span / 80)).withColumn("step", span / (points - 1)).where("bw > 0")
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
     at = F.col("lo") + F.col("k") * F.col("step")
     q = (at - F.col("v")) / F.col("bw")
-    sums = clean.crossJoin(F.broadcast(ends)).select("*", grid.alias("k")).groupBy("k", "lo", "hi", "m", "bw", "step").agg(F.sum(F.exp(-0.5 * q * q)).alias("s"))
+    place = lambda shift: (F.col("v") + shift * F.col("bw") - F.col("lo")) / F.col("step")
+    reached = F.sequence(F.greatest(F.lit(0), F.ceil(place(-DENSITY_REACH)).cast("int")), F.least(F.lit(points - 1), F.floor(place(DENSITY_REACH)).cast("int")))
+    sums = clean.crossJoin(F.broadcast(ends)).select("*", F.explode(reached).alias("k")).groupBy(F.col("k").alias("_k")).agg(F.sum(F.exp(-0.5 * q * q)).alias("s"))
     scale = (F.col("hi") - F.col("lo")) / bins / (F.col("bw") * math.sqrt(2 * math.pi))
-    return sums.select(F.col("k").alias("point"), at.alias("x"), (F.col("s") * scale).alias("density"))
+    grid = ends.select("lo", "hi", "bw", "step", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
+    return grid.join(sums, F.col("k") == F.col("_k"), "left").select(F.col("k").alias("point"), at.alias("x"), (F.coalesce("s", F.lit(0.0)) * scale).alias("density"))
 
 
 def _hex(rgb) -> str:
@@ -192,16 +185,36 @@ def ramp(stops: list[str], n: int) -> list[str]:
     return out
 
 
-def numeric_ramp(least: float, n: int, sequential: list[str], diverging: list[str]) -> list[str]:
+def numeric_ramp(least: float, n: int, sequential: list[str] = SEQUENTIAL, diverging: list[str] = DIVERGING) -> list[str]:
     """A diverging ramp where values are below 0, else a sequential one."""
     return ramp(diverging if least < 0 else sequential, n)
 
 
-def category_colours(n: int, base: list[str]) -> list[str]:
-    """The base colours while they last; for more classes, hues a golden angle apart."""
+def category_colours(n: int, base: list[str] = CATEGORIES) -> list[str]:
+    """The base colours while they last; for more classes, hues a golden angle apart in three shades."""
     if n <= len(base):
         return base[:n]
-    return [hsl(k * 137.508 % 360, 0.6, (0.45, 0.6, 0.72)[k % 3]) for k in range(n)]
+    return [hsl(k * GOLDEN % 1 * 360, 0.6, 0.38 + 0.13 * (k % 3)) for k in range(n)]
+
+
+def classify(df: DataFrame, value: str, method: str = "natural", classes: int = 5, manual: list | None = None, order: str = "feature_id") -> DataFrame:
+    """(class_id, label, n, colour) of a field: breaks by ``method`` (natural, equal, quantile, manual) with a ramp, or
+    unique values with category colours where the method is unique or the field is text."""
+    spark = df.sparkSession
+    if method == "unique" or dict(df.dtypes)[value] in ("string", "boolean", "date"):
+        found = top_classes(df, value).orderBy(F.desc("n"), "class_label").collect()  # at most TOP_CLASSES
+        colours = category_colours(len(found))
+        rows = [(k, r["class_label"], r["n"], c) for k, (r, c) in enumerate(zip(found, colours))]
+        return spark.createDataFrame(rows, "class_id int, label string, n long, colour string")
+    made = {"equal": lambda: equal_breaks(df, value, classes), "quantile": lambda: quantile_breaks(df, value, classes), "manual": lambda: manual_breaks(df, value, manual or [])}
+    breaks = made[method]().first()[0] if method in made else jenks_breaks(df, value, classes, order)
+    if not breaks or breaks[0] is None:
+        return spark.createDataFrame([], "class_id int, label string, n long, colour string")
+    frame = spark.createDataFrame([([float(b) for b in breaks],)], "breaks array<double>")
+    counts = {r["class_id"]: r["n"] for r in assign(df, value, frame, []).where("class_id is not null").groupBy("class_id").agg(F.count("*").alias("n")).collect()}
+    colours = numeric_ramp(float(breaks[0]), len(breaks) - 1)
+    rows = [(k, legend_label(a, b), counts.get(k, 0), c) for k, (a, b, c) in enumerate(zip(breaks, breaks[1:], colours))]
+    return spark.createDataFrame(rows, "class_id int, label string, n long, colour string")
 
 
 def hsl(hue: float, saturation: float, light: float) -> str:

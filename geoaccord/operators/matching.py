@@ -5,12 +5,12 @@ Layers are rows (feature_id, category, minx, miny, maxx, maxy, area, perimeter,
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoaccord.functions import geometry
 from geoaccord.operators.weighted import neighbours
+from geoaccord.scratch import drop, written
 
 THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 
@@ -71,19 +71,6 @@ def candidates(a: DataFrame, b: DataFrame, cell: float, floor: float = 0.0) -> D
     return met.select(c("a_label").alias("label"), "a_id", "b_id", inter.alias("rect_intersection"), iou.alias("rect_iou")).where((c("rect_iou") > 0) & (c("rect_iou") >= floor))
 
 
-def _table(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        import tempfile
-
-        root = f"file://{tempfile.mkdtemp(prefix='geoaccord-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/matching-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def greedy(edges: DataFrame) -> DataFrame:
     """One-to-one matches in order of IoU, overlap (both falling), a_id and b_id.
 
@@ -92,35 +79,46 @@ def greedy(edges: DataFrame) -> DataFrame:
     """
     c, out = F.col, None
     rank = F.struct((-c("rect_iou")).alias("k1"), (-c("rect_intersection")).alias("k2"), "a_id", "b_id")
-    left = _table(edges.select("label", "a_id", "b_id", "rect_intersection", "rect_iou"))
+    left = written(edges.select("label", "a_id", "b_id", "rect_intersection", "rect_iou"), "edges")
     while not left.isEmpty():
         ranked = left.withColumn("_rank", rank)
         best_a = ranked.groupBy(c("label").alias("_la"), c("a_id").alias("_a")).agg(F.min("_rank").alias("_ra"))
         best_b = ranked.groupBy(c("label").alias("_lb"), c("b_id").alias("_b")).agg(F.min("_rank").alias("_rb"))
         both = ranked.join(best_a, (c("label") == c("_la")) & (c("a_id") == c("_a"))).join(best_b, (c("label") == c("_lb")) & (c("b_id") == c("_b")))
-        won = _table(both.where((c("_rank") == c("_ra")) & (c("_rank") == c("_rb"))).select(*left.columns))
+        won = written(both.where((c("_rank") == c("_ra")) & (c("_rank") == c("_rb"))).select(*left.columns), "matched")
         out = won if out is None else out.union(won)
         gone_a = won.select(c("label").alias("_la"), c("a_id").alias("_a"))
         gone_b = won.select(c("label").alias("_lb"), c("b_id").alias("_b"))
-        left = _table(left.join(gone_a, (c("label") == c("_la")) & (c("a_id") == c("_a")), "left_anti").join(gone_b, (c("label") == c("_lb")) & (c("b_id") == c("_b")), "left_anti"))
+        rest = written(left.join(gone_a, (c("label") == c("_la")) & (c("a_id") == c("_a")), "left_anti").join(gone_b, (c("label") == c("_lb")) & (c("b_id") == c("_b")), "left_anti"), "edges")
+        drop(left)
+        left = rest
     return left if out is None else out
 
 
+def with_overlap(matches: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """``matches`` with ``overlap``, the intersection area of the polygons (``rings`` of the layers) of each match."""
+    c = F.col
+    side = lambda t, df: df.select(c("label").alias(f"_{t}l"), c("feature_id").alias(f"_{t}i"), c("rings").alias(f"_{t}r"))
+    met = matches.join(side("a", a), (c("label") == c("_al")) & (c("a_id") == c("_ai"))).join(side("b", b), (c("label") == c("_bl")) & (c("b_id") == c("_bi")))
+    return met.select(*matches.columns, geometry.overlap("_ar", "_br").alias("overlap"))
+
+
 def by_threshold(matches: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
     """Matches of every threshold: those of a higher threshold are a prefix of those of the lowest."""
     each = F.explode(F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: F.col("rect_iou") >= t))
     return matches.withColumn("threshold", each)
 
 
-def shape_errors(matches: DataFrame, a: DataFrame, b: DataFrame, overlap: Column | None = None) -> DataFrame:
+def shape_errors(matches: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """IoU, signed and absolute relative area error, centroid distance, relative perimeter error and the mid-point.
 
-    ``overlap`` is the intersection area of the shapes, by default that of the boxes (exact for rectangles).
+    The intersection is the column ``overlap`` of :func:`with_overlap`; without it that of the boxes, for layers of
+    rectangles.
     """
     c = F.col
     side = lambda t, df: df.select(*[c(k).alias(f"{t}_{k}") for k in ("label", "feature_id", "area", "perimeter", "cx", "cy")])
     met = matches.join(side("a", a), (c("label") == c("a_label")) & (c("a_id") == c("a_feature_id"))).join(side("b", b), (c("label") == c("b_label")) & (c("b_id") == c("b_feature_id")))
-    inter = c("rect_intersection") if overlap is None else overlap
+    inter = c("overlap" if "overlap" in matches.columns else "rect_intersection")
     both = c("a_area") + c("b_area") - inter
     return met.select(
         *matches.columns, "a_area", "b_area",

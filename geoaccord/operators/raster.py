@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoaccord.operators.catalog import spaced_sample
 from geoaccord.operators.metrics import raster_metrics
 
 EPSILON = 1e-12
@@ -21,18 +22,25 @@ def clean(value: Column, nodata: float = -9999.0) -> Column:
     return F.when((value == nodata) | F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)
 
 
-def box_sums(cells: DataFrame, values: dict[str, Column], size: int) -> DataFrame:
-    """Sums of each value over the square window around every cell: along rows, then along columns. Nulls count 0."""
-    half = check_window(size) // 2
-    rows = Window.partitionBy("r").orderBy("c").rangeBetween(-half, half)
-    columns = Window.partitionBy("c").orderBy("r").rangeBetween(-half, half)
+def box_sums(cells: DataFrame, values: dict[str, Column], sizes: list[int]) -> DataFrame:
+    """(r, c, size, sums): sums of each value over the square windows around every cell, along rows and then along
+    columns. Nulls count 0. All sizes share one sort of the rows and one of the columns."""
+    halves = [check_window(size) // 2 for size in sizes]
+    over = lambda part, order, half: Window.partitionBy(part).orderBy(order).rangeBetween(-half, half)
     first = cells.select("r", "c", *[F.coalesce(v.cast("double"), F.lit(0.0)).alias(f"_{k}") for k, v in values.items()])
-    along = first.select("r", "c", *[F.sum(f"_{k}").over(rows).alias(f"_{k}") for k in values])
-    return along.select("r", "c", *[F.sum(f"_{k}").over(columns).alias(k) for k in values])
+    along = first.select("r", "c", *[F.sum(f"_{k}").over(over("r", "c", half)).alias(f"{k}_{half}") for half in halves for k in values])
+    both = along.select("r", "c", *[F.sum(f"{k}_{half}").over(over("c", "r", half)).alias(f"{k}_{half}") for half in halves for k in values])
+    each = [F.struct(F.lit(size).alias("size"), *[F.col(f"{k}_{half}").alias(k) for k in values]) for size, half in zip(sizes, halves)]
+    return both.select("r", "c", F.inline(F.array(*each)))
 
 
 def focal(cells: DataFrame, size: int, left: str = "left_v", right: str = "right_v", epsilon: float = EPSILON) -> DataFrame:
-    """Local error, correlation and no-intercept regression (left on right) in the window around every cell.
+    """Local error, correlation and no-intercept regression (left on right) in the window around every cell."""
+    return focal_sizes(cells, [size], left, right, epsilon).drop("size")
+
+
+def focal_sizes(cells: DataFrame, sizes: list[int], left: str = "left_v", right: str = "right_v", epsilon: float = EPSILON) -> DataFrame:
+    """The statistics of :func:`focal` for several window sizes.
 
     Cells where both layers have a value count; results exist also where the centre has none. Shifting the values by
     constants keeps the moments of the correlation small; the regression uses the values as they are.
@@ -44,7 +52,7 @@ def focal(cells: DataFrame, size: int, left: str = "left_v", right: str = "right
     s = box_sums(
         cells,
         {"n": F.when(both, 1.0), "sx": x, "sy": y, "sxx": x * x, "syy": y * y, "sxy": x * y, "sd": d, "sa": F.abs(d), "sdd": d * d, "sr": F.when(far, F.abs(d / y)), "nr": F.when(far, 1.0)},
-        size,
+        sizes,
     )
     c = F.col
     vx, vy = c("sxx") - c("sx") * c("sx") / c("n"), c("syy") - c("sy") * c("sy") / c("n")
@@ -61,16 +69,20 @@ def focal(cells: DataFrame, size: int, left: str = "left_v", right: str = "right
             "local_corr": F.when((c("n") >= 3) & (vx > epsilon) & (vy > epsilon), clamp(corr, -1.0)),
             "local_r2": F.when(c("coefficient").isNotNull() & (c("syy") > epsilon), clamp(1 - (c("syy") - 2 * c("coefficient") * c("sxy") + c("coefficient") * c("coefficient") * c("sxx")) / c("syy"), 0.0)),
         })
-        .select("r", "c", F.col("n").cast("long").alias("n"), "local_me", "local_mae", "local_mre", "local_rmse", "local_corr", "coefficient", "local_r2")
+        .select("r", "c", "size", F.col("n").cast("long").alias("n"), "local_me", "local_mae", "local_mre", "local_rmse", "local_corr", "coefficient", "local_r2")
     )
 
 
+#: Window sizes that share a scan; each takes 11 sums of a row.
+SWEEP_SIZES = 6
+
+
 def window_sweep(cells: DataFrame, sizes: list[int], left: str = "left_v", right: str = "right_v") -> DataFrame:
-    """Medians of the focal statistics for each window size. Frames of a window are literals, so sizes are a union."""
+    """Medians of the focal statistics for each window size."""
     out = None
-    for size in sizes:
-        one = focal(cells, size, left, right).agg(*[F.median(k).alias(f"{k}_median") for k in ("local_mae", "local_rmse", "local_corr", "coefficient", "local_r2")])
-        one = one.select(F.lit(size).alias("window_size"), *one.columns)
+    for k in range(0, len(sizes), SWEEP_SIZES):
+        one = focal_sizes(cells, sizes[k : k + SWEEP_SIZES], left, right).groupBy(F.col("size").alias("window_size"))
+        one = one.agg(*[F.median(k).alias(f"{k}_median") for k in ("local_mae", "local_rmse", "local_corr", "coefficient", "local_r2")])
         out = one if out is None else out.union(one)
     return out
 
@@ -130,9 +142,38 @@ def pairwise(cells: DataFrame, layers: list[str], epsilon: float = EPSILON) -> D
     return raster_metrics(cells, layers, epsilon)
 
 
-def pixel_sample(cells: DataFrame, limit: int = 50_000) -> DataFrame:
-    """At most ``limit`` cells with both values, by a fixed stride over the cell order (a top-k style report)."""
-    full = cells.where("left_v is not null and right_v is not null")
-    step = max(1, -(-full.count() // limit))
-    order = F.col("r") * 1_000_003 + F.col("c")
-    return full.where(F.pmod(order, F.lit(step)) == 0)
+def pixel_sample(cells: DataFrame, limit: int = 50_000, left: str = "left_v", right: str = "right_v") -> DataFrame:
+    """At most ``limit`` cells with both values, evenly spaced in the order of rows and columns (data of a scatter plot)."""
+    return spaced_sample(cells.where(F.col(left).isNotNull() & F.col(right).isNotNull()), ["r", "c"], limit)
+
+
+def preflight(infos: list[dict]) -> None:
+    """Raise where rasters (as :func:`geoaccord.sources.tiff.read_info` describes them) cannot be compared."""
+    if len(infos) < 2:
+        raise ValueError("two rasters or more are needed")
+    for k, info in enumerate(infos):
+        if info["bands"] != 1:
+            raise ValueError(f"raster {k + 1} has {info['bands']} bands")
+        if info["epsg"] is None or info["extent"] is None:
+            raise ValueError(f"raster {k + 1} has no reference system or no place")
+
+
+def align(source: DataFrame, own: dict, target: dict, method: str = "bilinear") -> DataFrame:
+    """(r, c, value) of ``source`` on the grid of another raster in the same reference system."""
+    if own["epsg"] != target["epsg"]:
+        raise ValueError("the rasters are in different reference systems")
+    width, height = target["width"], target["height"]
+    grid = source.sparkSession.range(width * height).select(F.floor(F.col("id") / width).cast("int").alias("r"), (F.col("id") % width).cast("int").alias("c"))
+    (dx, dy), (sx, sy) = target["cell"], own["cell"]
+    col_at = (F.lit(target["extent"][0] - own["extent"][0]) + (F.col("c") + 0.5) * dx) / sx - 0.5
+    row_at = (F.lit(own["extent"][3] - target["extent"][3]) + (F.col("r") + 0.5) * dy) / sy - 0.5
+    return resample(grid, source, "value", row_at, col_at, method)
+
+
+def overlay(layers: dict[str, DataFrame], value: str = "value") -> DataFrame:
+    """(r, c, one column a layer) of rasters (r, c, value) on one grid; cells that a raster lacks are null."""
+    rows = None
+    for name, cells in layers.items():
+        one = cells.select("r", "c", F.struct(F.lit(name).alias("layer"), F.col(value).alias("v")).alias("x"))
+        rows = one if rows is None else rows.union(one)
+    return rows.groupBy("r", "c").agg(*[F.max(F.when(F.col("x.layer") == name, F.col("x.v"))).alias(name) for name in layers])

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoaccord.pairs import pairs
+from geoaccord.scratch import written
 
 #: Kernel: (weight of distance over bandwidth, reach in bandwidths)
 KERNELS = {
@@ -45,18 +46,18 @@ def distance(dx: Column, dy: Column, p: float = 2.0) -> Column:
     return F.sqrt(dx * dx + dy * dy) if p == 2 else F.pow(F.pow(F.abs(dx), p) + F.pow(F.abs(dy), p), 1 / p)
 
 
-def neighbours(points: DataFrame, radius: float, keep: list[str], focal: list[str] = ()) -> DataFrame:
-    """(i, fi_*, j, *keep, d) for points within ``radius`` of each other, each point with itself.
+def neighbours(points: DataFrame, radius: float, keep: list[str], focal: list[str] = (), centres: DataFrame | None = None, carry: list[str] = ()) -> DataFrame:
+    """(i, fi_*, carry, j, *keep, d) for points within ``radius`` of each centre, each point with itself.
 
-    Points lie in square cells of side ``radius``; a focal point meets the 3 x 3 cells around its own.
+    Points lie in square cells of side ``radius``; a centre (by default every point) meets the 3 x 3 cells around its own.
     """
     cell = lambda c, k=0: F.floor(F.col(c) / radius).cast("long") + k
     data = points.select(F.col("feature_id").alias("j"), F.col("px").alias("xj"), F.col("py").alias("yj"), *keep, cell("px").alias("cx"), cell("py").alias("cy"))
     around = [F.struct(cell("px", a).alias("gx"), cell("py", b).alias("gy")) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    centre = points.select(F.col("feature_id").alias("i"), F.col("px").alias("xi"), F.col("py").alias("yi"), *[F.col(f).alias(f"fi_{f}") for f in focal], F.inline(F.array(*around)))
+    centre = (points if centres is None else centres).select(F.col("feature_id").alias("i"), F.col("px").alias("xi"), F.col("py").alias("yi"), *[F.col(f).alias(f"fi_{f}") for f in focal], *carry, F.inline(F.array(*around)))
     met = centre.join(data, (F.col("gx") == F.col("cx")) & (F.col("gy") == F.col("cy")))
     d = distance(F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj"))
-    return met.withColumn("d", d).where(F.col("d") <= radius).select("i", "xi", "yi", *[f"fi_{f}" for f in focal], "j", *keep, "d")
+    return met.withColumn("d", d).where(F.col("d") <= radius).select("i", "xi", "yi", *[f"fi_{f}" for f in focal], *carry, "j", *keep, "d")
 
 
 def nearest_distances(points: DataFrame, k: int, start: float) -> DataFrame:
@@ -73,35 +74,33 @@ def nearest_distances(points: DataFrame, k: int, start: float) -> DataFrame:
         return far.select("i", (F.col("d") * (k / total)).alias("b"))
     out, left, radius = None, points.select("feature_id", "px", "py"), start
     while True:
-        near = _near_of(left, points, radius)
+        near = neighbours(points, radius, [], centres=left)
         ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") == k).select("i", F.col("d").alias("b"))
-        done = ranked.persist()
+        done = written(ranked, "nearest")
         out = done if out is None else out.union(done)
-        left = left.join(done, F.col("feature_id") == F.col("i"), "left_anti").persist()
+        left = written(left.join(done, F.col("feature_id") == F.col("i"), "left_anti"), "points")
         if left.isEmpty():
             return out
         radius *= 2
 
 
-def _near_of(focal: DataFrame, points: DataFrame, radius: float) -> DataFrame:
-    cell = lambda c, k=0: F.floor(F.col(c) / radius).cast("long") + k
-    data = points.select(F.col("feature_id").alias("j"), F.col("px").alias("xj"), F.col("py").alias("yj"), cell("px").alias("cx"), cell("py").alias("cy"))
-    around = [F.struct(cell("px", a).alias("gx"), cell("py", b).alias("gy")) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    centre = focal.select(F.col("feature_id").alias("i"), F.col("px").alias("xi"), F.col("py").alias("yi"), F.inline(F.array(*around)))
-    met = centre.join(data, (F.col("gx") == F.col("cx")) & (F.col("gy") == F.col("cy")))
-    return met.withColumn("d", distance(F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj"))).where(F.col("d") <= radius)
-
-
 def weighted_pairs(points: DataFrame, fields: list[str], kernel: str, bandwidth: float, adaptive: bool = False, start: float | None = None) -> DataFrame:
     """Neighbour rows (i, fi_*, j, fields, d, w) of the complete cases under a fixed or an adaptive bandwidth."""
     weight, reach = KERNELS[kernel]
     if not adaptive:
         met = neighbours(points, bandwidth * reach, fields, fields)
         return met.withColumn("w", weight(F.col("d") / bandwidth)).where("w > 0")
-    own = nearest_distances(points, int(round(bandwidth)), start or 1.0).persist()
-    widest = own.agg(F.max("b")).first()[0]
-    met = neighbours(points, max(widest * reach, 1e-12), fields, fields).join(own.withColumnRenamed("i", "_i"), F.col("i") == F.col("_i"))
-    return met.withColumn("w", weight(F.col("d") / F.col("b"))).where("w > 0").drop("_i")
+    # Each point meets the points within its own reach, joined by the class of that reach: the next power of 2.
+    own = nearest_distances(points, int(round(bandwidth)), start or 1.0)
+    centres = points.join(own.withColumnRenamed("i", "_i"), F.col("feature_id") == F.col("_i")).drop("_i").withColumnRenamed("b", "_b")
+    centres = written(centres.withColumn("_class", F.ceil(F.log2(F.greatest(F.col("_b") * reach, F.lit(1e-12)))).cast("int")), "centres")
+    out = None
+    for row in centres.select("_class").distinct().orderBy("_class").collect():  # a power of 2 each: some tens at most
+        met = neighbours(points, 2.0 ** row[0], fields, fields, centres.where(F.col("_class") == row[0]), ["_b"])
+        out = met if out is None else out.union(met)
+    if out is None:
+        out = neighbours(points, 1.0, fields, fields, centres, ["_b"])
+    return out.withColumn("w", weight(F.col("d") / F.col("_b"))).where("w > 0").drop("_b")
 
 
 def local_sums(rows: DataFrame, fields: list[str], by: list[str] = ("i",)) -> DataFrame:

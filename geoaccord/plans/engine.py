@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoaccord.operators import matching, metrics, raster, weighted
+from geoaccord.operators import layers, matching, metrics, raster, weighted
 from geoaccord.pairs import pairs
+from geoaccord.scratch import written
 from geoaccord.sources import sinks
 
 
@@ -87,15 +88,25 @@ def attribute(config: dict, points: DataFrame) -> Result:
 
 @analysis("geometry")
 def geometry(config: dict, a: DataFrame, b: DataFrame) -> Result:
-    """Match two layers of measured polygons over thresholds and smooth their errors."""
+    """Match two layers over thresholds and smooth their errors.
+
+    A layer is measured polygons with their ``rings`` (:func:`geoaccord.operators.layers.measured`), or measured
+    rectangles without; or the features of a reader, which are measured here (``category_fields``, ``crs``).
+    """
     mapping, thresholds = config["category_mappings"], config.get("thresholds", matching.THRESHOLDS)
     matching.check_mapping(mapping, thresholds)
     least = config.get("min_area", 0.0)
-    quality = [matching.quality(layer, least).first().asDict() for layer in (a, b)]
-    one, two = (matching.mapped(layer.where(F.col("area") >= least), mapping, side) for side, layer in enumerate((a, b)))
-    found = matching.candidates(one, two, config["cell"], min(thresholds))
-    matched = matching.greedy(found)
-    errors, counts = matching.shape_errors(matching.by_threshold(matched, thresholds), one, two), matching.totals(one, two)
+    sides = []
+    for side, layer in enumerate((a, b)):
+        if "geometry" in layer.columns:
+            layer = layers.measured(layer, config["category_fields"][side], [m[side] for m in mapping], config.get("crs"))
+        sides.append(written(layer, "layer"))
+    quality = [(layers.quality if "state" in layer.columns else matching.quality)(layer, least).first().asDict() for layer in sides]
+    one, two = (matching.mapped(layer.where(F.col("area") >= least), mapping, side) for side, layer in enumerate(sides))
+    matched = matching.greedy(matching.candidates(one, two, config["cell"], min(thresholds)))
+    if all("rings" in layer.columns for layer in sides):
+        matched = matching.with_overlap(matched, one, two)
+    errors, counts = matching.by_threshold(matching.shape_errors(matched, one, two), thresholds), matching.totals(one, two)
     overall = matching.overall_summary(errors, counts, thresholds)
     best = matching.recommended(overall).first()[0]
     chosen = errors.where(F.col("threshold") == best)
@@ -108,11 +119,11 @@ def geometry(config: dict, a: DataFrame, b: DataFrame) -> Result:
 @analysis("raster")
 def rasters(config: dict, cells: DataFrame) -> Result:
     """Pairwise and focal agreement of aligned layers (r, c, one column a layer)."""
-    layers = resolve(cells, config["layers"])
-    if len(layers) < 2:
+    names = resolve(cells, config["layers"])
+    if len(names) < 2:
         raise ValueError("two layers or more are needed")
     size = raster.check_window(int(config.get("window_size", 5)))
-    by_pair = [r.asDict() for r in raster.pairwise(cells, layers, config.get("zero_epsilon", 1e-12)).collect()]  # one row a pair
-    local = {p.key: raster.focal(cells, size, p.y, p.x) for p in pairs(layers)}
+    by_pair = [r.asDict() for r in raster.pairwise(cells, names, config.get("zero_epsilon", 1e-12)).collect()]  # one row a pair
+    local = {p.key: raster.focal(cells, size, p.y, p.x) for p in pairs(names)}
     first = {k: v for k, v in (by_pair[0] if by_pair else {}).items() if not k.startswith("pair_")}
     return Result(sinks.success("raster", first, pairwise_metrics=by_pair, window_size=size), local)

@@ -8,6 +8,7 @@ from geoaccord.fixtures import fixture_sql
 from geoaccord.functions import projection as P
 from geoaccord.operators.weighted import KERNELS
 from geoaccord.pairs import pairs
+from geoaccord.plans.file_queries import ORACLE_SQL as FILE_SQL
 from geoaccord.plans.queries import BANDWIDTH, FIELDS, MAPPING, NEIGHBOURS, SMOOTHING, SWEEP
 
 S, G, CAT = fixture_sql("sites"), fixture_sql("grid"), fixture_sql("catalog")
@@ -181,6 +182,19 @@ def _l_overlap(a: str, b: str) -> str:
     return " ".join(f"{sign} {meet(box(a, u), box(b, v))}" for sign, u, v in (("", False, False), ("-", True, False), ("-", False, True), ("+", True, True)))
 
 
+def _l_measures(t: str) -> str:
+    """Area, perimeter and centroid of the L-shape in a rectangle."""
+    return f"{t}.area * 0.75 as {t}_area, {t}.perimeter as {t}_perimeter, {t}.minx + ({t}.maxx - {t}.minx) * 5 / 12 as {t}_cx, {t}.miny + ({t}.maxy - {t}.miny) * 5 / 12 as {t}_cy"
+
+
+def _l_summary() -> str:
+    measured = f"""{greedy_rounds()}, {THRESHOLDS}, mm as materialized (select threshold, g.label, g.a_id, {_l_overlap('a', 'b')} as inter, {_l_measures('a')}, {_l_measures('b')} from g join a on a.feature_id = g.a_id and a.label = g.label
+  join b on b.feature_id = g.b_id and b.label = g.label join th on iou >= threshold), me as materialized (select threshold, label, a_id, inter / (a_area + b_area - inter) as polygon_iou, abs(b_area - a_area) / a_area as area_abs_error,
+  sqrt(pow(a_cx - b_cx, 2) + pow(a_cy - b_cy, 2)) as centroid_distance, abs(b_perimeter - a_perimeter) / a_perimeter as perimeter_error from mm),
+  tot as (select label, sum(ia) as a_total, sum(ib) as b_total from (select label, 1 as ia, 0 as ib from a union all select label, 0, 1 from b) group by label)"""
+    return f"with {measured} {_summary('label, threshold', _CATEGORY, 'coalesce(mi, 0)')}"
+
+
 def _plan() -> str:
     """Percent plans: halves round to even."""
     return f"""with base as (select 'adaptive' as mode, (select count(*) from {WHOLE})::double as b union all select 'metric', 5590.0::double union all select 'raster', 100.0::double),
@@ -224,6 +238,9 @@ ORACLE_SQL: dict[str, str] = {
     "gw_match_smoothing": f"{_smoothed(SMOOTHING[:1])} select bandwidth, source_id, round(gw_area_me, 6) as gw_area_me, round(gw_area_mae, 6) as gw_area_mae, round(gw_area_rmse, 6) as gw_area_rmse, round(gw_iou, 6) as gw_iou, round(gw_centroid, 4) as gw_centroid, round(gw_perimeter, 6) as gw_perimeter, neighbours from sm",
     "gw_match_bandwidth_sweep": f"{_smoothed(SMOOTHING)} select bandwidth, round(median(gw_iou), 6) as gw_iou_median, round(median(gw_area_mae), 6) as gw_area_mae_median, round(median(gw_centroid), 4) as gw_centroid_median, round(median(gw_area_rmse), 6) as gw_rmse_median, round(median(neighbours), 2) as neighbor_median from sm group by bandwidth",
     "l_shape_overlay": f"with {greedy_rounds()} select a_id, b_id, round({_l_overlap('a', 'b')}, 4) as overlap, round(a.area * 0.75, 4) as a_area, round(a.perimeter, 4) as a_perimeter from g join a on a.label = g.label and a.feature_id = a_id join b on b.label = g.label and b.feature_id = b_id",
+    "l_shape_threshold_summary": _l_summary(),
+    "layer_measures": f"with a as {_layer('poly_a', 0)}, m as (select *, {_l_measures('a')} from a) select feature_id, label, 'ok' as state, round(minx, 4) as minx, round(miny, 4) as miny, round(maxx, 4) as maxx, round(maxy, 4) as maxy, round(a_area, 4) as area, round(a_perimeter, 4) as perimeter, round(a_cx, 4) as cx, round(a_cy, 4) as cy from m",
+    "layer_quality": f"select count(*) as input, count(*) filter (feature_id % 7 = 0) as null_shapes, count(*) filter (feature_id % 7 = 1) as empty_shapes, count(*) filter (feature_id % 7 = 2) as invalid_shapes, count(*) filter (feature_id % 7 > 2 and w * h < 250) as too_small, count(*) filter (feature_id % 7 > 2 and w * h >= 250) as processed from {fixture_sql('poly_a')}",
     "quality_stats": f"select count(*) as input, sum(case when w * h is null then 1 else 0 end)::bigint as null_shapes, sum(case when w * h <= 0 then 1 else 0 end)::bigint as empty_shapes, sum(case when w * h > 0 and w * h < 250 then 1 else 0 end)::bigint as too_small, sum(case when w * h >= 250 then 1 else 0 end)::bigint as processed from {fixture_sql('poly_a')}",
     "point_in_polygon": f"select s.feature_id, max(p.feature_id) as polygon_id, count(*) as hits from (select feature_id, px / 8 + 0.37::double as x, py / 9 + 0.41::double as y from {S}) s join {fixture_sql('poly_a')} p on x >= minx and x < minx + w and y >= miny and y < miny + h group by s.feature_id",
     "raster_pairwise_metrics": f"select 'left_v__vs__right_v' as pair_key, 'left_v ~ right_v' as pair_label, round(avg(left_v - right_v), 4) as me, round(avg(abs(left_v - right_v)), 4) as mae, round(avg(case when abs(left_v) > 1e-12 then abs((left_v - right_v) / left_v) end), 6) as mre, round(sqrt(avg(pow(left_v - right_v, 2))), 4) as rmse, round(corr(left_v, right_v), 6) as correlation, count(*) as valid_cells from {G} where left_v is not null and right_v is not null",
@@ -248,3 +265,13 @@ ORACLE_SQL: dict[str, str] = {
     "nearest_percent": "select p_partkey, v, p as nearest from (select p_partkey, v, p, row_number() over (partition by p_partkey order by abs(p - v), p) as rn from (select p_partkey, p_size * 2.0::double as v from part), (select (k * 5)::double as p from range(1, 21) t(k))) where rn = 1",
     "scalar_functions": "select c_custkey, case when length(c_name) > 12 then left(c_name, 12) || '…' else c_name end as short, regexp_replace(regexp_replace('#' || c_name || '!', '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g') as tag, 'a__vs__' || c_name as pair, replace(c_name || ',x', ',', '，') as wide, try_cast(substring(c_name, 10, 9) as double) as number, strftime(try_strptime('202401' || lpad((c_custkey % 40)::varchar, 2, '0'), '%Y%m%d'), '%Y-%m-%d') as day from customer",
 }
+
+ORACLE_SQL |= {
+    "pixel_sample": f"with v as (select *, row_number() over (order by r, c) - 1 as k, count(*) over () as n from {G} where left_v is not null and right_v is not null), s as (select *, (n - 1) / 499.0::double as step from v) select r, c, round(left_v, 4) as left_v, round(right_v, 4) as right_v from s where n <= 500 or floor(floor(k / step + 0.5) * step + 0.5) = k",
+    "histogram_auto": "with v as (select value::double as v from events where value is not null), m as (select min(v) as lo, max(v) as hi, greatest(5, least(30, floor(sqrt(count(*))) * 2))::int as bins from v), e as (select *, case when hi > lo then (hi - lo) / bins else 1.0 end as w from m), f as (select least(cast(floor((v - lo) / w) as int), bins - 1) as b, count(*) as n from v, e group by 1) select k::int as bin, round(lo + k * w, 4) as bin_lo, round(lo + k * w + w, 4) as bin_hi, coalesce(n, 0) as n from e, range(0, 30) t(k) left join f on f.b = k where k < bins",
+    "class_counts": "with v as (select c_acctbal::double as v from customer where c_acctbal is not null), e as (select min(v) as lo, max(v) as hi from v), b as (select list_transform(range(0, 8), lambda i: case when i = 7 then hi else lo + (hi - lo) * i / 7 end) as breaks from e), c as (select least(greatest(len(list_filter(breaks, lambda x: x <= v)) - 1, 0), 6) as class_id, count(*) as n from v, b group by 1) select k::int as class_id, coalesce(n, 0) as n from range(0, 7) t(k) left join c on class_id = k",
+    "text_classes": "select 'r' || n_regionkey as label, count(*) as n from nation group by 1",
+    "percent_lookup": "select p_partkey, case when p_size % 2 = 0 and p_size between 2 and 50 then (p_size * 2)::int else 50 end as percent from part",
+    "local_values": f"with {near('bisquare', BANDWIDTH)}, {sums()} select round(round(e1 / s0 + 1.2345e-7, 4), 4) as value from t where pair_key = 'v_a__vs__v_c'",
+    "text_filter": "select p_partkey from part where contains(lower(p_name), 'ar')",
+} | FILE_SQL

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from geoaccord.fixtures import fixture
 from geoaccord.functions import geometry, projection, scalars
-from geoaccord.operators import catalog, classify, matching, metrics, raster, weighted
+from geoaccord.operators import catalog, classify, layers, matching, metrics, raster, weighted
+from geoaccord.plans import file_queries
 
 FIELDS = ["v_a", "v_b", "v_c"]
 LAYERS = ["left_v", "right_v"]
@@ -40,7 +41,7 @@ def measured(spark, d):
     """Matches at every threshold with their errors, and the totals of the labels."""
     a, b = polygons(spark, d)
     matched = matching.greedy(matching.candidates(a, b, CELL, min(matching.THRESHOLDS)))
-    return matching.shape_errors(matching.by_threshold(matched), a, b), matching.totals(a, b)
+    return matching.by_threshold(matching.shape_errors(matched, a, b)), matching.totals(a, b)
 
 
 def pairwise_global_metrics(spark, d):
@@ -231,6 +232,40 @@ def l_shape_overlay(spark, d):
     return rounded(out, overlap=4, a_area=4, a_perimeter=4)
 
 
+def l_layers(spark, d):
+    """Measured layers of L-shapes in the rectangles of the polygon sources."""
+    made = []
+    for side, name in enumerate(("poly_a", "poly_b")):
+        shape = geometry.l_shape(F.col("minx"), F.col("miny"), F.col("w"), F.col("h"))
+        rows = fixture(spark, d, name).select("feature_id", "category", F.struct(F.lit("polygon").alias("type"), shape.alias("parts")).alias("geometry"))
+        made.append(matching.mapped(layers.measured(rows, "category", [m[side] for m in MAPPING]), MAPPING, side))
+    return made
+
+
+def l_shape_threshold_summary(spark, d):
+    """Summary of shapes that do not fill their boxes: candidates by box, errors by polygon."""
+    a, b = l_layers(spark, d)
+    matched = matching.with_overlap(matching.greedy(matching.candidates(a, b, CELL, min(matching.THRESHOLDS))), a, b)
+    errors = matching.by_threshold(matching.shape_errors(matched, a, b))
+    return rounded(matching.category_summary(errors, matching.totals(a, b)), **_RATES)
+
+
+def layer_measures(spark, d):
+    layer = l_layers(spark, d)[0]
+    return rounded(layer.select("feature_id", "label", "state", "minx", "miny", "maxx", "maxy", "area", "perimeter", "cx", "cy"), minx=4, miny=4, maxx=4, maxy=4, area=4, perimeter=4, cx=4, cy=4)
+
+
+def layer_quality(spark, d):
+    """Quality counts of shapes of which some are missing, without area or crossing themselves."""
+    at = lambda x, y: F.struct((F.col("minx") + F.col("w") * x).alias("x"), (F.col("miny") + F.col("h") * y).alias("y"))
+    shape = geometry.rectangle(F.col("minx"), F.col("miny"), F.col("minx") + F.col("w"), F.col("miny") + F.col("h"))
+    bow = F.array(F.array(at(0, 0), at(1, 1), at(1, 0), at(0, 1)))
+    k = F.col("feature_id") % 7
+    parts = F.when(k == 1, F.array(F.array(at(0, 0), at(1, 1)))).when(k == 2, bow).otherwise(shape)
+    rows = fixture(spark, d, "poly_a").select("feature_id", "category", F.struct(F.when(k == 0, "null").otherwise("polygon").alias("type"), parts.alias("parts")).alias("geometry"))
+    return layers.quality(layers.measured(rows, "category"), 250.0)
+
+
 def quality_stats(spark, d):
     return matching.quality(matching.rectangles(fixture(spark, d, "poly_a")), 250.0)
 
@@ -367,6 +402,44 @@ def scalar_functions(spark, d):
     )
 
 
+def pixel_sample(spark, d):
+    return rounded(raster.pixel_sample(fixture(spark, d, "grid"), 500), left_v=4, right_v=4)
+
+
+def histogram_auto(spark, d):
+    """A histogram whose number of bins follows from the number of values."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("value").cast("double").alias("v"))
+    return rounded(classify.histogram(rows, "v"), bin_lo=4, bin_hi=4)
+
+
+def class_counts(spark, d):
+    """Classes of a numeric field with the rows of each, by the entry that chooses breaks and colours."""
+    rows = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.col("c_acctbal").cast("double").alias("v"))
+    return classify.classify(rows, "v", "equal", 7, order="c_custkey").select("class_id", "n")
+
+
+def text_classes(spark, d):
+    """A text field is classified by its values, whatever the method asked for."""
+    rows = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("v"))
+    return classify.classify(rows, "v", "quantile", 3, order="n_nationkey").select("label", "n")
+
+
+def percent_lookup(spark, d):
+    """The percent of each stored value, with a default where a value has none."""
+    known = spark.range(1, 26).select((F.col("id") * 2).cast("double").alias("value"), (F.col("id") * 4).cast("int").alias("percent"))
+    rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_size").cast("double").alias("v"))
+    return catalog.percent_of(rows, known, "v", default=50).select("p_partkey", "percent")
+
+
+def local_values(spark, d):
+    """The values of a local statistic for its histogram: rounded, without missing ones."""
+    return catalog.local_values(gw_local_error_fixed_bisquare(spark, d).where("pair_key = 'v_a__vs__v_c'"), "lme")
+
+
+def text_filter(spark, d):
+    return catalog.containing(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name"), ["p_name"], "AR").select("p_partkey")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -375,12 +448,12 @@ QUERIES = {
         gw_local_error_exponential, gw_local_error_adaptive, gw_local_correlation, gwr_coefficients, gwr_diagnostics, gwr_studentised_residuals, gwr_local_r2,
         gwr_bandwidth_sweep, gwr_best_bandwidth, gwr_auto_bandwidth, percent_bandwidth_plan, bbox_candidates, greedy_match, match_threshold_sweep,
         match_geometry_metrics, category_threshold_summary, overall_threshold_summary, recommended_threshold, gw_match_smoothing, gw_match_bandwidth_sweep,
-        l_shape_overlay, quality_stats, point_in_polygon, raster_pairwise_metrics, raster_local_error, raster_local_correlation, raster_local_regression,
+        l_shape_overlay, l_shape_threshold_summary, layer_measures, layer_quality, quality_stats, point_in_polygon, raster_pairwise_metrics, raster_local_error, raster_local_correlation, raster_local_regression,
         raster_window_sweep, raster_block_mean, raster_percentile_stretch, raster_align_bilinear, raster_align_nearest, raster_align_cubic, classify_equal_interval,
         classify_quantile, classify_manual, classify_jenks, classify_unique_topk, histogram_fixed, kde_density, project_albers, project_utm, result_columns,
-        nearest_percent, scalar_functions,
+        nearest_percent, scalar_functions, pixel_sample, histogram_auto, class_counts, text_classes, percent_lookup, local_values, text_filter,
     )
-}
+} | file_queries.QUERIES
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

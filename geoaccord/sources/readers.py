@@ -17,6 +17,7 @@ import struct
 import zipfile
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +33,41 @@ SHAPE_TYPES = {0: "null", 1: "point", 3: "polyline", 5: "polygon", 8: "multipoin
 GEOMETRY = T.StructType([T.StructField("type", T.StringType()), T.StructField("parts", T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))))])
 METADATA = "path string, reader string, data_type string, extent array<double>, crs string, records long, fields array<string>, geometry_type string, warnings array<string>"
 PREVIEW_ROWS = 5
+#: Spark's names of the encodings that its CSV reader knows.
+SPARK_NAMES = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "utf-16": "UTF-16", "latin-1": "ISO-8859-1"}
+#: Records of shapes and tables that are decoded in one task.
+RECORDS = 4096
 
 
 def content(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def present(spark: SparkSession, path: str) -> bool:
+    """Whether a file is there, by the file system of its path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def _in_pieces(files: DataFrame, cut, decode, schema: T.StructType) -> DataFrame:
+    """Rows of files whose records are cut apart in one task a file and decoded in many: ``cut`` makes (first number,
+    bytes) of a file, ``decode`` rows of those."""
+
+    def pieces(batches):
+        for batch in batches:
+            for raw in batch["content"]:
+                for first, data in cut(bytes(raw)):
+                    yield pd.DataFrame({"first": [first], "data": [data]})
+
+    def rows(batches):
+        for batch in batches:
+            for first, data in zip(batch["first"], batch["data"]):
+                yield pd.DataFrame(decode(int(first), bytes(data)), columns=schema.names, dtype=object)
+
+    apart = files.select("content").mapInPandas(pieces, "first long, data binary").repartition(files.sparkSession.sparkContext.defaultParallelism)
+    return apart.mapInPandas(rows, schema)
+
+
 def first_bytes(spark: SparkSession, path: str, n: int = 4096) -> bytes:
     got = content(spark, path).select(F.substring("content", 1, n).alias("b")).first()
     return bytes(got[0]) if got and got[0] is not None else b""
@@ -65,29 +95,39 @@ def coordinate_columns(names: list[str]) -> tuple[str, str] | None:
     return (x, y) if x is not None and y is not None else None
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """Text columns of a CSV with a header; short rows are padded with the empty text, blank lines are skipped."""
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool = True) -> DataFrame:
+    """Text columns of a CSV with a header; short rows are padded with the empty text, blank lines are skipped. Quoted
+    values may span lines, so a file is one task; without ``multi_line`` a file is split."""
     encoding = encoding or detect_encoding(first_bytes(spark, path))
-    if encoding in ("utf-8", "utf-8-sig"):
-        rows = spark.read.option("header", True).option("encoding", "UTF-8").option("quote", '"').option("escape", '"').csv(path)
-        names = [n.lstrip("﻿").strip() for n in rows.columns]
-        rows = rows.toDF(*names)
-        filled = rows.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
-        return with_id(filled)
-    head = first_bytes(spark, path, 1 << 16).decode(encoding, "replace")
+    if encoding not in SPARK_NAMES:
+        return _read_decoded(spark, path, encoding)
+    rows = spark.read.option("header", True).option("encoding", SPARK_NAMES[encoding]).option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path)
+    names = [n.lstrip("\ufeff").strip() for n in rows.columns]
+    rows = rows.toDF(*names)
+    some = F.lit(False)
+    for n in names:
+        some = some | (F.trim(F.col(f"`{n}`")) != "")
+    return with_id(rows.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names]).where(some))
+
+
+def _read_decoded(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """The rows of :func:`read_csv` for an encoding that Spark's reader does not know, with the same rules."""
     import csv
 
-    names = [n.strip() for n in next(csv.reader(io.StringIO(head.lstrip("﻿"))), [])]
+    def records(raw: bytes):
+        text = io.StringIO(raw.decode(encoding, "replace").removeprefix("\ufeff"), newline="")
+        return (row for row in csv.reader(text) if any(map(str.strip, row)))
 
-    def parse(batches):
-        for batch in batches:
-            for raw in batch["content"]:
-                found = [r for r in csv.reader(io.StringIO(bytes(raw).decode(encoding, "replace").lstrip("﻿"))) if any(v.strip() for v in r)][1:]
-                rows = [(k, *(r[i] if i < len(r) else "" for i in range(len(names)))) for k, r in enumerate(found)]
-                yield pd.DataFrame(rows, columns=["feature_id", *names])
+    names = [n.strip() for n in next(records(first_bytes(spark, path, 1 << 16)), [])]
 
-    schema = T.StructType([T.StructField("feature_id", T.LongType()), *[T.StructField(n, T.StringType()) for n in names]])
-    return content(spark, path).select("content").mapInPandas(parse, schema)
+    def decode(files):
+        for file in files:
+            for raw in file["content"]:
+                found = records(bytes(raw))
+                next(found, None)
+                yield pd.DataFrame([(row + [""] * len(names))[: len(names)] for row in found], columns=names, dtype=object)
+
+    return with_id(content(spark, path).select("content").mapInPandas(decode, T.StructType([T.StructField(n, T.StringType()) for n in names])))
 
 
 def with_id(df: DataFrame) -> DataFrame:
@@ -141,7 +181,7 @@ def _parts(geometry: dict) -> list:
         return [points(c) for c in coords]
     if kind == "MultiPolygon":
         return [points(r) for p in coords for r in p]
-    return []
+    return [part for g in geometry.get("geometries") or [] for part in _parts(g)]  # a collection's shapes in a row
 
 
 def geojson_fields(features: DataFrame) -> list[str]:
@@ -169,38 +209,45 @@ def shapefile_header(raw: bytes) -> dict:
     return {"type": SHAPE_TYPES.get(struct.unpack("<i", raw[32:36])[0], "unknown"), "extent": list(struct.unpack("<4d", raw[36:68]))}
 
 
-def shapes(raw: bytes):
-    """(number, type, parts) of every record; null shapes keep their place."""
-    at, number = 100, 0
+def shape_records(raw: bytes):
+    """(number, record bytes) of a shapefile, RECORDS records at a time with their headers."""
+    at, number, begin, first = 100, 0, 100, 0
     while at + 12 <= len(raw):
-        size = struct.unpack(">i", raw[at + 4 : at + 8])[0] * 2
-        body = raw[at + 8 : at + 8 + size]
+        at += 8 + struct.unpack(">i", raw[at + 4 : at + 8])[0] * 2
+        number += 1
+        if number - first == RECORDS:
+            yield first, raw[begin:at]
+            begin, first = at, number
+    if number > first:
+        yield first, raw[begin:at]
+
+
+def shapes(records: bytes, number: int = 0):
+    """(number, type, parts) of every record; null shapes keep their place."""
+    at = 0
+    points = lambda body, start, n: np.frombuffer(body, "<f8", 2 * n, start).reshape(-1, 2).tolist()
+    while at + 12 <= len(records):
+        size = struct.unpack(">i", records[at + 4 : at + 8])[0] * 2
+        body = records[at + 8 : at + 8 + size]
         kind = SHAPE_TYPES.get(struct.unpack("<i", body[:4])[0], "unknown")
         parts: list = []
         if kind == "point":
-            parts = [[struct.unpack("<2d", body[4:20])]]
+            parts = [points(body, 4, 1)]
         elif kind == "multipoint":
-            n = struct.unpack("<i", body[36:40])[0]
-            parts = [[struct.unpack_from("<2d", body, 40 + 16 * k) for k in range(n)]]
+            parts = [points(body, 40, struct.unpack("<i", body[36:40])[0])]
         elif kind in ("polyline", "polygon"):
             m, n = struct.unpack("<2i", body[36:44])
             begin = [*struct.unpack_from(f"<{m}i", body, 44), n]
-            points = [struct.unpack_from("<2d", body, 44 + 4 * m + 16 * k) for k in range(n)]
-            parts = [points[a:b] for a, b in zip(begin, begin[1:])]
+            found = points(body, 44 + 4 * m, n)
+            parts = [found[a:b] for a, b in zip(begin, begin[1:])]
         yield number, kind, [[{"x": x, "y": y} for x, y in p] for p in parts]
         at, number = at + 8 + size, number + 1
 
 
 def read_shapes(spark: SparkSession, path: str) -> DataFrame:
     """(feature_id, geometry) of a .shp file."""
-
-    def parse(batches):
-        for batch in batches:
-            for raw in batch["content"]:
-                rows = [(n, {"type": k, "parts": p}) for n, k, p in shapes(bytes(raw))]
-                yield pd.DataFrame(rows, columns=["feature_id", "geometry"])
-
-    return content(spark, path).select("content").mapInPandas(parse, T.StructType([T.StructField("feature_id", T.LongType()), T.StructField("geometry", GEOMETRY)]))
+    schema = T.StructType([T.StructField("feature_id", T.LongType()), T.StructField("geometry", GEOMETRY)])
+    return _in_pieces(content(spark, path), shape_records, lambda first, data: [(n, {"type": k, "parts": p}) for n, k, p in shapes(data, first)], schema)
 
 
 def dbf_header(raw: bytes) -> tuple[int, int, int, list[tuple[str, str, int, int]]]:
@@ -241,32 +288,33 @@ def dbf_type(kind: str, decimals: int) -> T.DataType:
 
 
 def read_dbf(spark: SparkSession, path: str, encoding: str | None = None, keep_deleted: bool = True) -> DataFrame:
-    """Typed rows of a .dbf table; the encoding is that of a .cpg file beside it, or is detected."""
+    """Typed rows of a .dbf table; the encoding is that of a .cpg file beside it, or is detected. A field that is called
+    feature_id becomes feature_id_."""
     head = first_bytes(spark, path, 32 + 32 * 256)
     _, _, _, fields = dbf_header(head)
     if encoding is None:
         encoding = _code_page(spark, path) or detect_encoding(first_bytes(spark, path, 1 << 16)[dbf_header(head)[1] :])
-    schema = T.StructType([T.StructField("feature_id", T.LongType()), *[T.StructField(n, dbf_type(k, d)) for n, k, _, d in fields]])
+    schema = T.StructType([T.StructField("feature_id", T.LongType()), *[T.StructField(n if n != "feature_id" else "feature_id_", dbf_type(k, d)) for n, k, _, d in fields]])
 
-    def parse(batches):
-        for batch in batches:
-            for data in batch["content"]:
-                raw = bytes(data)
-                records, begin, size, fields = dbf_header(raw)
-                rows = []
-                for k in range(records):
-                    row = raw[begin + k * size : begin + (k + 1) * size]
-                    if len(row) < size or (row[:1] == b"*" and not keep_deleted):
-                        continue
-                    at, values = 1, []
-                    for _, kind, width, decimals in fields:
-                        values.append(dbf_value(kind, decimals, row[at : at + width], encoding))
-                        at += width
-                    rows.append((k, *values))
-                frame = pd.DataFrame(rows, columns=["feature_id", *[f[0] for f in fields]], dtype=object)
-                yield frame
+    def cut(raw: bytes):
+        records, begin, size, _ = dbf_header(raw)
+        for k in range(0, records, RECORDS):
+            yield k, raw[begin + k * size : begin + min(records, k + RECORDS) * size]
 
-    return content(spark, path).select("content").mapInPandas(parse, schema)
+    def decode(first: int, data: bytes) -> list[tuple]:
+        size, rows = 1 + sum(width for _, _, width, _ in fields), []
+        for k in range(len(data) // size):
+            row = data[k * size : (k + 1) * size]
+            if row[:1] == b"*" and not keep_deleted:
+                continue
+            at, values = 1, []
+            for _, kind, width, decimals in fields:
+                values.append(dbf_value(kind, decimals, row[at : at + width], encoding))
+                at += width
+            rows.append((first + k, *values))
+        return rows
+
+    return _in_pieces(content(spark, path), cut, decode, schema)
 
 
 def _code_page(spark: SparkSession, path: str) -> str | None:
@@ -283,6 +331,37 @@ def read_shapefile(spark: SparkSession, path: str, **options) -> DataFrame:
     return read_shapes(spark, path).join(table, "feature_id", "left")
 
 
+#: Fixed names: fields that may hold categories, whole or in part.
+CATEGORY_NAMES = ("gridcode", "class", "class_id", "category", "category_id", "type", "code", "landcover")
+CATEGORY_PARTS = ("class", "categor", "gridcode", "landcover")
+LISTED_VALUES = 100
+
+
+def check_shapefile(spark: SparkSession, path: str) -> dict:
+    """What a geometry analysis asks of a shapefile: its files, counts over all shapes (null, empty, invalid), whether all
+    are polygons, category fields by name, and the first LISTED_VALUES values of each with their number."""
+    from geoaccord.operators import layers
+
+    stem = re.sub(r"\.shp$", "", path, flags=re.I)
+    missing = [s for s in (".shp", ".shx", ".dbf", ".prj") if not present(spark, stem + s)]
+    out = {"missing_files": missing, "records": 0, "null": 0, "empty": 0, "invalid": 0, "polygons": False, "categories": [], "values": [], "counts": {}, "warnings": [f"no {s} file" for s in missing]}
+    if ".shp" in missing or ".dbf" in missing:
+        return out
+    shapes_of, table = read_shapes(spark, path), read_dbf(spark, f"{stem}.dbf")
+    measured = layers.measured(shapes_of.withColumn("category", F.lit("")), "category")
+    counts = layers.quality(measured).first()
+    kinds = {r[0] for r in shapes_of.select("geometry.type").distinct().collect()} - {"null"}
+    out |= {"records": counts["input"], "null": counts["null_shapes"], "empty": counts["empty_shapes"], "invalid": counts["invalid_shapes"], "polygons": kinds == {"polygon"}}
+    out["categories"] = [n for n in table.columns[1:] if n.lower() in CATEGORY_NAMES or any(p in n.lower() for p in CATEGORY_PARTS)]
+    for name in out["categories"]:
+        found = table.where(F.col(name).isNotNull()).groupBy(F.col(name).cast("string").alias("v")).agg(F.min("feature_id").alias("at"))
+        out["counts"][name] = found.count()
+        out["values"] += [(name, r["v"]) for r in found.orderBy("at").limit(LISTED_VALUES).collect()]
+    out["warnings"] += [] if out["polygons"] else ["not all shapes are polygons"]
+    out["warnings"] += [f"{counts[f'{s}_shapes']} {s} shapes" for s in ("null", "empty", "invalid") if counts[f"{s}_shapes"]]
+    return out
+
+
 def projection_name(text: str) -> str | None:
     """The name of the first reference system of a .prj text."""
     m = re.search(r'(?:PROJCS|GEOGCS|GEOCCS)\s*\[\s*"([^"]+)"', text or "")

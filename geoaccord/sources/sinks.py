@@ -14,9 +14,70 @@ CATALOG = "name string, data_type string, path string, extent string, crs string
 RUNS = "run_id string, title string, analysis string, result string, created string"
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV parts with a header; Spark writes them in parallel."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+#: The mark that spreadsheets look for at the head of UTF-8 text.
+BYTE_ORDER_MARK = "\ufeff"
+
+
+def write_csv(df: DataFrame, path: str, mark: bool = True) -> None:
+    """CSV parts with a header, each with a byte-order mark before it; Spark writes them in parallel."""
+    named = df.toDF(*[BYTE_ORDER_MARK + c if mark and k == 0 else c for k, c in enumerate(df.columns)])
+    named.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes, block: int = 1 << 22) -> None:
+    """One file of the driver's bytes, by the file system of its path."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        for k in range(0, len(data), block):
+            out.write(bytearray(data[k : k + block]))
+    finally:
+        out.close()
+
+
+def write_shapefile(df: DataFrame, path: str, fields: list[str], rings: str = "rings", projection: str | None = None) -> None:
+    """One shapefile of polygons with its index, table, code page and projection, rows as they come. The format holds
+    2 GB at most; its rows are streamed to the driver, which writes it. Layers of any size go to :func:`write_table`."""
+    from geoaccord.sources import shapefile
+
+    rows = list(df.select(rings, *fields).toLocalIterator())
+    stem = path.removesuffix(".shp")
+    shp, shx = shapefile.encode_shapes([r[0] for r in rows])
+    files = {".shp": shp, ".shx": shx, ".dbf": shapefile.encode_table(fields, [tuple(r)[1:] for r in rows]), ".cpg": b"UTF-8"}
+    for suffix, data in (files | ({".prj": projection.encode()} if projection else {})).items():
+        write_bytes(df.sparkSession, stem + suffix, data)
+
+
+def write_geometry_run(result, config: dict, path: str, seconds: float) -> dict[str, str]:
+    """The tables, the metadata and the report of a geometry analysis below ``path``; the paths by name."""
+    out = {}
+    for name in ("category_summary", "overall_summary", "matches", "smoothed"):
+        out[name] = f"{path}/tables/{name}"
+        write_csv(result.tables[name], out[name])
+    spark = result.tables["matches"].sparkSession
+    metadata = clean({"config": config, "metrics": result.envelope["metrics"], "quality": result.envelope["quality"], "elapsed_seconds": seconds})
+    out["run_metadata"] = f"{path}/tables/run_metadata.json"
+    write_bytes(spark, out["run_metadata"], json.dumps(metadata, ensure_ascii=False, indent=2).encode())
+    out["report"] = f"{path}/report.md"
+    write_bytes(spark, out["report"], geometry_report(config, result.envelope, out).encode())
+    return out
+
+
+def geometry_report(config: dict, envelope: dict, files: dict[str, str]) -> str:
+    """A Markdown report of a geometry analysis: configuration, quality, result, method, files and mapping."""
+    best = envelope["metrics"]["recommended_threshold"]
+    chosen = next(r for r in envelope["thresholds"] if r["threshold"] == best)
+    table = lambda rows: ["| " + " | ".join(rows[0]) + " |", "|" + "---|" * len(rows[0]), *["| " + " | ".join(number(v) for v in r.values()) + " |" for r in rows]]
+    sections = {
+        "Input and configuration": [f"- {k}: {v}" for k, v in config.items() if k != "category_mappings"],
+        "Data quality": table(envelope["quality"]),
+        "Result": [f"The recommended threshold is {number(best)}, with {chosen['matched']} matches, a balanced rate of {number(chosen['balanced_rate'])} and a median IoU of {number(chosen['median_iou'])}.", "", *table(envelope["thresholds"])],
+        "Method": ["Boxes make candidates and one-to-one matches; areas, overlaps, perimeters and centroids are those of the polygons."],
+        "Files": [f"- {k}: {v}" for k, v in files.items()],
+        "Categories": [f"- {m[2]}: {m[0]} and {m[1]}" for m in config["category_mappings"]],
+    }
+    return "\n".join(["# Agreement of two polygon layers", "", *(line for k, (name, lines) in enumerate(sections.items(), 1) for line in (f"## {k}. {name}", "", *lines, ""))])
 
 
 def write_table(df: DataFrame, path: str, by: list[str] = ()) -> None:
@@ -25,12 +86,18 @@ def write_table(df: DataFrame, path: str, by: list[str] = ()) -> None:
 
 
 def overviews(cells: DataFrame, path: str, value: str = "value", factors=(2, 4, 8, 16, 32, 64)) -> None:
-    """Block means of a raster at rising factors, one partition a level; each level is made from the cells."""
-    from geoaccord.operators.raster import block_mean
-
+    """Block means of a raster at rising factors, one partition a level. A level is made from the sums and counts of the
+    one before it where its factor is a multiple, so the cells are read once."""
+    sums, before = cells.select("r", "c", F.col(value).cast("double").alias("s"), F.col(value).isNotNull().cast("long").alias("n")), 1
     for k, f in enumerate(factors):
-        level = block_mean(cells, value, f).withColumn("factor", F.lit(f))
+        if f % before:
+            raise ValueError("each factor must be a multiple of the one before it")
+        block = lambda c, step=f // before: F.floor(F.col(c) / step).cast("int").alias(c)
+        level = sums.groupBy(block("r"), block("c")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        level = level.withColumn("factor", F.lit(f)).withColumn("value", F.when(F.col("n") > 0, F.col("s") / F.col("n")))
         level.write.mode("overwrite" if k == 0 else "append").partitionBy("factor").parquet(path)
+        kind = cells.sparkSession.read.parquet(path).where(F.col("factor") == f)
+        sums, before = kind.select("r", "c", "s", "n"), f
 
 
 def export_catalog(catalog: DataFrame, path: str) -> None:

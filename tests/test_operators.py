@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from geoaccord.functions import geometry, scalars
 from geoaccord.operators import catalog, classify, matching, metrics, raster, weighted
 from geoaccord.pairs import Pair, pairs
+from geoaccord.plans import engine
 
 
 def test_pairs():
@@ -144,8 +145,44 @@ def test_polygon_measures(spark):
     cx, cy = geometry.centroid(F.col("g"))
     row = df.select(geometry.area(F.col("g")), geometry.perimeter(F.col("g")), cx, cy, geometry.contains(F.col("g"), F.lit(2.0), F.lit(2.0)), geometry.contains(F.col("g"), F.lit(0.5), F.lit(2.0)), geometry.valid(F.col("g"))).first()
     assert tuple(row) == (12.0, 24.0, 2.0, 2.0, False, True, True)
-    assert geometry.overlap_area([square, hole], [ring((2, 0), (6, 0), (6, 4), (2, 4))]) == pytest.approx(6.0)
-    assert geometry.overlap_area([square], [square]) == pytest.approx(16.0)
+    assert geometry.overlap_area(geometry.edge_arrays([square, hole]), geometry.edge_arrays([ring((2, 0), (6, 0), (6, 4), (2, 4))])) == pytest.approx(6.0)
+    assert geometry.overlap_area(*[geometry.edge_arrays([square])] * 2) == pytest.approx(16.0)
+
+
+def test_overlap_by_chance():
+    """Overlap areas of random polygons against a fine grid of points; of shapes that only touch; of turned rings."""
+    rng = random.Random(12)
+    star = lambda x, y: [{"x": x + r * math.cos(k), "y": y + r * math.sin(k)} for k, r in ((2 * math.pi * k / 9, rng.uniform(1, 3)) for k in range(9))]
+
+    def inside(ring, x, y):
+        hit = np.zeros(x.shape, bool)
+        for a, b in zip(ring, [*ring[1:], ring[0]]):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                hit ^= ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"])
+        return hit
+
+    x, y = np.meshgrid(np.arange(-4, 7, 0.02), np.arange(-4, 7, 0.02))
+    for _ in range(12):
+        one, two = star(0, 0), star(rng.uniform(0, 3), rng.uniform(0, 3))
+        want = (inside(one, x, y) & inside(two, x, y)).sum() * 0.0004
+        for p, q in ((one, two), (one[::-1], two), (two, one[::-1])):
+            assert geometry.overlap_area(geometry.edge_arrays([p]), geometry.edge_arrays([q])) == pytest.approx(want, abs=0.03)
+    box = lambda x: [{"x": x + a, "y": b} for a, b in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))]
+    assert geometry.overlap_area(geometry.edge_arrays([box(0)]), geometry.edge_arrays([box(1)])) == 0
+    assert geometry._crossings(*geometry.edge_arrays([[{"x": a, "y": b} for a, b in ((0, 0), (1, 1), (1, 0), (0, 1))]])) and not geometry._crossings(*geometry.edge_arrays([box(0), star(0, 0)][:1]))
+
+
+def test_polygons_that_do_not_fill_their_boxes(spark):
+    """Equal triangles have an IoU of 1, though they fill half of their boxes; the analysis takes features of a reader."""
+    triangle = lambda x, y: [[{"x": x, "y": y}, {"x": x + 10, "y": y}, {"x": x, "y": y + 10}, {"x": x, "y": y}]]
+    rows = [(k, (("polygon", triangle(20.0 * k, 0.0)) if k < 9 else ("null", None)), "c") for k in range(10)]
+    kind = "feature_id long, geometry struct<type:string,parts:array<array<struct<x:double,y:double>>>>, kind string"
+    layer = spark.createDataFrame(rows, kind)
+    config = {"category_mappings": [("c", "c", "all")], "category_fields": ["kind", "kind"], "cell": 16.0, "bandwidth": 50.0}
+    result = engine.run("geometry", config, a=layer, b=layer)
+    assert result.ok, result.envelope
+    assert {(r["polygon_iou"], r["area_error"]) for r in result.tables["matches"].collect()} == {(1.0, 0.0)}
+    assert result.envelope["quality"][0] == {"input": 10, "null_shapes": 1, "empty_shapes": 0, "invalid_shapes": 0, "too_small": 0, "processed": 9}
 
 
 def test_checks(spark):
