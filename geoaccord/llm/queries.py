@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, jaccard, langid, quality, sharding, substring, tokenfiles, warc, wordpiece
 from .common import crc32_text, freed, materialize, scratch_path, table
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def held_out_rows(doc_id="doc_id") -> F.Column:
@@ -100,4 +101,3 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_warc_fixity, op4_substring_dedup, op5_language_id, op6_decontamination, op7_jaccard_join, op8_byte_bpe, op9_repair_files, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}

@@ -4,8 +4,8 @@ A key goes to the shard with the largest weight / -ln(u), where u in (0, 1) is a
 shard takes keys only into itself, and takes its share of the weights (Thaler & Ravishankar 1998).
 
 Cases: a null key is the empty key, so all its rows go to one shard; repeated rows go to the same shard and get
-slots of their own; a null text has size 1 and checksum null; an empty table gives an empty result; other columns
-are ignored.
+slots of their own; a null text has no bytes, so size 1 and checksum 0; an empty table gives an empty result; other
+columns are ignored. Slots follow the order of id, checksum and size; rows that are equal in these are alike.
 """
 
 from __future__ import annotations
@@ -33,13 +33,15 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
     return F.lit(0) if best is None else -best["k"]
 
 
-def number_slots(rows: DataFrame, shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
-    """Number the rows of each shard from 0 without a gap, no task holding more than a block of a shard.
+def number_slots(rows: DataFrame, order: Sequence[str], shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
+    """Number the rows of each shard from 0 without a gap, in an order, no task holding more than a block of a shard.
 
-    The rows, once written, have fixed ids (partition, row); a block is 2 ** BLOCK_BITS ids of a partition. Rows
-    are numbered inside (block, shard), and the offsets of the blocks are running sums over block counts.
+    The rows are dealt into ranges of the order (equal ones by their place, so that they may be in several ranges) and
+    written: then they have fixed ids (range, row), and a block is 2 ** BLOCK_BITS ids of a range. Rows are numbered
+    inside (block, shard), and the offsets of the blocks are running sums over block counts.
     """
-    fixed = materialize(rows.withColumn("_rid", F.monotonically_increasing_id()), "slots")
+    placed = rows.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(*order, "_place").sortWithinPartitions(*order, "_place").drop("_place")
+    fixed = materialize(placed.withColumn("_rid", F.monotonically_increasing_id()), "slots")
     fixed = fixed.withColumn("_block", F.shiftright("_rid", BLOCK_BITS))
     inside = fixed.withColumn("_n", F.row_number().over(Window.partitionBy(shard_col, "_block").orderBy("_rid")) - 1)
     counts = fixed.groupBy(shard_col, "_block").agg(F.count("*").alias("_c"))
@@ -57,9 +59,9 @@ def shard(docs: DataFrame, weights: Sequence[float], grown_weight: float = 1.0,
     placed = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
-        crc32_text(F.col(text_col)).alias("text_crc32"),
+        crc32_text(F.coalesce(F.col(text_col), F.lit(""))).alias("text_crc32"),
         F.lit("key").alias("law"),
         shard_of(F.col(id_col), list(weights)).cast("int").alias("shard"),
         shard_of(F.col(id_col), [*weights, grown_weight]).cast("int").alias("grown_shard"),
     )
-    return number_slots(placed)
+    return number_slots(placed, ["doc_id", "text_crc32", "size"])
