@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoaccord.operators.metrics import complete_cases
 from geoaccord.pairs import pairs
 from geoaccord.scratch import written
 
@@ -46,8 +47,9 @@ def distance(dx: Column, dy: Column, p: float = 2.0) -> Column:
     return F.sqrt(dx * dx + dy * dy) if p == 2 else F.pow(F.pow(F.abs(dx), p) + F.pow(F.abs(dy), p), 1 / p)
 
 
-def neighbours(points: DataFrame, radius: float, keep: list[str], focal: list[str] = (), centres: DataFrame | None = None, carry: list[str] = ()) -> DataFrame:
-    """(i, fi_*, carry, j, *keep, d) for points within ``radius`` of each centre, each point with itself.
+def neighbours(points: DataFrame, radius: float, keep: list[str], focal: list[str] = (), centres: DataFrame | None = None, carry: list[str] = (), p: float = 2.0) -> DataFrame:
+    """(i, fi_*, carry, j, *keep, d) for points within ``radius`` of each centre, each point with itself; ``p`` (1 or
+    more) is that of the distance.
 
     Points lie in square cells of side ``radius``; a centre (by default every point) meets the 3 x 3 cells around its own.
     """
@@ -56,7 +58,7 @@ def neighbours(points: DataFrame, radius: float, keep: list[str], focal: list[st
     around = [F.struct(cell("px", a).alias("gx"), cell("py", b).alias("gy")) for a in (-1, 0, 1) for b in (-1, 0, 1)]
     centre = (points if centres is None else centres).select(F.col("feature_id").alias("i"), F.col("px").alias("xi"), F.col("py").alias("yi"), *[F.col(f).alias(f"fi_{f}") for f in focal], *carry, F.inline(F.array(*around)))
     met = centre.join(data, (F.col("gx") == F.col("cx")) & (F.col("gy") == F.col("cy")))
-    d = distance(F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj"))
+    d = distance(F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj"), p)
     return met.withColumn("d", d).where(F.col("d") <= radius).select("i", "xi", "yi", *[f"fi_{f}" for f in focal], *carry, "j", *keep, "d")
 
 
@@ -269,6 +271,18 @@ def percent_plan(percents: list[int], base: float, mode: str) -> list[tuple[int,
     return [(p, b) for b, p in out.items()]
 
 
+def baseline(points: DataFrame, fields: list[str]) -> DataFrame:
+    """What bandwidths are percents of, one row: the points with all fields, and the diagonal of their extent."""
+    whole = complete_cases(points, fields)
+    wide, high = F.max("px") - F.min("px"), F.max("py") - F.min("py")
+    return whole.agg(F.count("*").alias("samples"), F.sqrt(wide * wide + high * high).alias("diagonal"))
+
+
+def raster_baseline(infos: list[dict], most: int = 999) -> int:
+    """The short side of the smallest raster in cells, ``most`` at most: what window sizes are percents of."""
+    return min(most, *(min(i["width"], i["height"]) for i in infos))
+
+
 def best_bandwidth(curve: DataFrame, metric: str, largest: bool = False, by: list[str] = ("pair_key",)) -> DataFrame:
     """The bandwidth with the least (or largest) metric, the smallest on a tie."""
     score = -F.col(metric) if largest else F.col(metric)

@@ -153,7 +153,19 @@ def raster_overviews(spark, d):
     return spark.read.parquet(path).select("factor", "r", "c", F.round(F.col("value") + TIE, 4).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (csv_scan, csv_metadata, geojson_scan, shapefile_layer, shapefile_check, ascii_grid_scan, tiff_scan, raster_file_overlay, geopackage_scan, xlsx_scan, catalog_export, raster_overviews)}
+def project_registry(spark, d):
+    """The catalog of a project after sources were added, replaced and removed."""
+    registry = sinks.Registry(spark, scratch_path(spark, "project"))
+    for name, path in (("one", "/x/1.csv"), ("two", "/x/2.csv"), ("one again", "/x/1.csv"), ("held", "/tmp/3.csv"), ("gone", "/x/4.csv")):
+        registry.add_source({"name": name, "path": path, "fields": ["f"], "warnings": []})
+    registry.purge("/tmp/")
+    registry.remove_source("/x/4.csv")
+    registry.add_run("r1", "first", "attribute", {"status": "success"}, "now")
+    registry.rename_run("r1", "renamed")
+    return registry.sources().select("name", "path", F.lit("source").alias("kind")).union(registry.runs().select("title", "run_id", F.lit("run")))
+
+
+QUERIES = {f.__name__: f for f in (csv_scan, csv_metadata, geojson_scan, shapefile_layer, shapefile_check, ascii_grid_scan, tiff_scan, raster_file_overlay, geopackage_scan, xlsx_scan, catalog_export, raster_overviews, project_registry)}
 
 _G, _P = fixture_sql("grid"), fixture_sql("poly_a")
 ORACLE_SQL = {
@@ -169,5 +181,6 @@ ORACLE_SQL = {
     "geopackage_scan": "select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation",
     "xlsx_scan": "select n_nationkey::bigint as n_nationkey, n_name from nation",
     "catalog_export": f"select name || '，' || ' x,' || data_type || ',/p,1，2,' || crs || ',3,ok' as value from {fixture_sql('catalog')}",
+    "project_registry": "select * from (values ('one again', '/x/1.csv', 'source'), ('two', '/x/2.csv', 'source'), ('renamed', 'r1', 'run')) t(name, path, kind)",
     "raster_overviews": " union all ".join(f"select {f} as factor, r // {f} as r, c // {f} as c, round(avg(left_v) + {TIE!r}, 4) as value from {_G} group by 2, 3" for f in (2, 4, 8)),
 }

@@ -267,6 +267,10 @@ ORACLE_SQL: dict[str, str] = {
 }
 
 ORACLE_SQL |= {
+    "gwr_sweep_series": f"with {_SWEPT} select bandwidth, i as feature_id, pair_key, round(intercept, 3) as intercept, round(slope, 6) as slope, round(residual, 4) as residual from fit",
+    "gw_match_sweep_sources": f"{_smoothed(SMOOTHING)} select bandwidth, source_id, round(gw_iou, 6) as gw_iou from sm",
+    "neighbours_by_blocks": f"with s as materialized {WHOLE} select a.feature_id, count(*) as neighbours, round(sum(abs(a.px - b.px) + abs(a.py - b.py)), 4) as total from s a join s b on abs(a.px - b.px) + abs(a.py - b.py) <= 300 group by a.feature_id",
+    "bandwidth_baseline": f"select count(*) as samples, round(sqrt(pow(max(px) - min(px), 2) + pow(max(py) - min(py), 2)), 4) as diagonal from {WHOLE}",
     "pixel_sample": f"with v as (select *, row_number() over (order by r, c) - 1 as k, count(*) over () as n from {G} where left_v is not null and right_v is not null), s as (select *, (n - 1) / 499.0::double as step from v) select r, c, round(left_v, 4) as left_v, round(right_v, 4) as right_v from s where n <= 500 or floor(floor(k / step + 0.5) * step + 0.5) = k",
     "histogram_auto": "with v as (select value::double as v from events where value is not null), m as (select min(v) as lo, max(v) as hi, greatest(5, least(30, floor(sqrt(count(*))) * 2))::int as bins from v), e as (select *, case when hi > lo then (hi - lo) / bins else 1.0 end as w from m), f as (select least(cast(floor((v - lo) / w) as int), bins - 1) as b, count(*) as n from v, e group by 1) select k::int as bin, round(lo + k * w, 4) as bin_lo, round(lo + k * w + w, 4) as bin_hi, coalesce(n, 0) as n from e, range(0, 30) t(k) left join f on f.b = k where k < bins",
     "class_counts": "with v as (select c_acctbal::double as v from customer where c_acctbal is not null), e as (select min(v) as lo, max(v) as hi from v), b as (select list_transform(range(0, 8), lambda i: case when i = 7 then hi else lo + (hi - lo) * i / 7 end) as breaks from e), c as (select least(greatest(len(list_filter(breaks, lambda x: x <= v)) - 1, 0), 6) as class_id, count(*) as n from v, b group by 1) select k::int as class_id, coalesce(n, 0) as n from range(0, 7) t(k) left join c on class_id = k",

@@ -166,6 +166,28 @@ def gwr_auto_bandwidth(spark, d):
     return spark.createDataFrame([(float(round(found, 2)),)], "bandwidth double")
 
 
+def gwr_sweep_series(spark, d):
+    """The local coefficients of every bandwidth of a sweep."""
+    _, fit = weighted.sweep(sites(spark, d), FIELDS, "bisquare", SWEEP)
+    return rounded(fit.select("bandwidth", F.col("i").alias("feature_id"), "pair_key", "intercept", "slope", "residual"), intercept=3, slope=6, residual=4)
+
+
+def gw_match_sweep_sources(spark, d):
+    """The smoothed IoU of every match at every bandwidth."""
+    rows = measured(spark, d)[0].where("threshold = 0.3")
+    return rounded(matching.smooth(rows, SMOOTHING).select("bandwidth", "source_id", "gw_iou"), gw_iou=6)
+
+
+def neighbours_by_blocks(spark, d):
+    """Neighbours by the sum of coordinate differences (p = 1)."""
+    near = weighted.neighbours(sites(spark, d), 300.0, [], p=1.0)
+    return near.groupBy(F.col("i").alias("feature_id")).agg(F.count("*").alias("neighbours"), F.round(F.sum("d"), 4).alias("total"))
+
+
+def bandwidth_baseline(spark, d):
+    return rounded(weighted.baseline(fixture(spark, d, "sites"), FIELDS), diagonal=4)
+
+
 def percent_bandwidth_plan(spark, d):
     n = sites(spark, d).count()
     plans = [(mode, p, float(b)) for mode, base in (("adaptive", n), ("metric", 5590.0), ("raster", 100)) for p, b in weighted.percent_plan(list(range(5, 101, 5)), base, mode)]
@@ -452,6 +474,7 @@ QUERIES = {
         raster_window_sweep, raster_block_mean, raster_percentile_stretch, raster_align_bilinear, raster_align_nearest, raster_align_cubic, classify_equal_interval,
         classify_quantile, classify_manual, classify_jenks, classify_unique_topk, histogram_fixed, kde_density, project_albers, project_utm, result_columns,
         nearest_percent, scalar_functions, pixel_sample, histogram_auto, class_counts, text_classes, percent_lookup, local_values, text_filter,
+        gwr_sweep_series, gw_match_sweep_sources, neighbours_by_blocks, bandwidth_baseline,
     )
 } | file_queries.QUERIES
 

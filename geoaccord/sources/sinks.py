@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import math
+import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,45 +165,65 @@ def report(title: str, result: dict) -> str:
 
 
 class Registry:
-    """Catalog of sources and registry of runs of a project, small JSON tables below one path."""
+    """Catalog of sources and registry of runs of a project: two logs of JSON events below one path. A change appends a
+    file and rewrites none, so a failure between loses nothing; what holds is the last event of each key."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _read(self, name: str, schema: str) -> DataFrame:
+    def _log(self, name: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).json(f"{self.path}/{name}")
-        except Exception:
-            return self.spark.createDataFrame([], schema)
+            return self.spark.read.schema(f"at long, gone boolean, {schema}").json(f"{self.path}/{name}")
+        except AnalysisException:  # nothing was logged yet
+            return self.spark.createDataFrame([], f"at long, gone boolean, {schema}")
 
-    def _write(self, name: str, rows: list, schema: str) -> None:
-        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").json(f"{self.path}/{name}")
+    def _current(self, name: str, schema: str, key: str) -> DataFrame:
+        names = [c.split()[0] for c in schema.split(", ")]
+        last = self._log(name, schema).groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct("gone", *names), "at").alias("e"))
+        return last.where(~F.col("e.gone")).select("e.*").select(*names)
+
+    def _append(self, name: str, rows: DataFrame, gone: bool = False) -> None:
+        event = rows.select(F.lit(time.time_ns()).alias("at"), F.lit(gone).alias("gone"), "*")
+        event.coalesce(1).write.mode("append").json(f"{self.path}/{name}")
 
     def sources(self) -> DataFrame:
-        return self._read("sources", CATALOG)
+        return self._current("sources", CATALOG, "path")
 
     def add_source(self, row: dict) -> None:
         """Add or replace the source of a path."""
         names = [c.split()[0] for c in CATALOG.split(", ")]
-        kept = [tuple(r) for r in self.sources().where(F.col("path") != row["path"]).collect()]
-        self._write("sources", [*kept, tuple(row.get(n) for n in names)], CATALOG)
+        self._append("sources", self.spark.createDataFrame([tuple(row.get(n) for n in names)], CATALOG))
 
     def remove_source(self, path: str) -> None:
-        self._write("sources", [tuple(r) for r in self.sources().where(F.col("path") != path).collect()], CATALOG)
+        self._append("sources", self.sources().where(F.col("path") == path), gone=True)
 
     def purge(self, prefix: str) -> None:
         """Remove the sources below a temporary folder."""
-        self._write("sources", [tuple(r) for r in self.sources().where(~F.col("path").startswith(prefix)).collect()], CATALOG)
+        self._append("sources", self.sources().where(F.col("path").startswith(prefix)), gone=True)
 
     def runs(self) -> DataFrame:
-        return self._read("runs", RUNS)
+        return self._current("runs", RUNS, "run_id")
 
     def add_run(self, run_id: str, title: str, analysis: str, result: dict, created: str) -> None:
-        kept = [tuple(r) for r in self.runs().where(F.col("run_id") != run_id).collect()]
-        self._write("runs", [*kept, (run_id, title, analysis, result_json(result), created)], RUNS)
+        self._append("runs", self.spark.createDataFrame([(run_id, title, analysis, result_json(result), created)], RUNS))
 
     def rename_run(self, run_id: str, title: str) -> None:
-        self._write("runs", [(r["run_id"], title if r["run_id"] == run_id else r["title"], r["analysis"], r["result"], r["created"]) for r in self.runs().collect()], RUNS)
+        self._append("runs", self.runs().where(F.col("run_id") == run_id).withColumn("title", F.lit(title)))
 
     def delete_run(self, run_id: str) -> None:
-        self._write("runs", [tuple(r) for r in self.runs().where(F.col("run_id") != run_id).collect()], RUNS)
+        self._append("runs", self.runs().where(F.col("run_id") == run_id), gone=True)
+
+
+def copy_files(spark: SparkSession, paths: list[str], folder: str) -> list[str]:
+    """Copies of files, with the other files of a shapefile, in another folder; by the file systems of the paths."""
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for path in paths:
+        stem = path.removesuffix(".shp")
+        for one in [stem + s for s in (".shp", ".shx", ".dbf", ".prj", ".cpg")] if path != stem else [path]:
+            source = jvm.org.apache.hadoop.fs.Path(one)
+            store = source.getFileSystem(conf)
+            if store.exists(source):
+                target = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{source.getName()}")
+                jvm.org.apache.hadoop.fs.FileUtil.copy(store, source, target.getFileSystem(conf), target, False, conf)
+                out.append(target.toString())
+    return out
