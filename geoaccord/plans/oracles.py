@@ -266,7 +266,49 @@ ORACLE_SQL: dict[str, str] = {
     "scalar_functions": "select c_custkey, case when length(c_name) > 12 then left(c_name, 12) || '…' else c_name end as short, regexp_replace(regexp_replace('#' || c_name || '!', '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g') as tag, 'a__vs__' || c_name as pair, replace(c_name || ',x', ',', '，') as wide, try_cast(substring(c_name, 10, 9) as double) as number, strftime(try_strptime('202401' || lpad((c_custkey % 40)::varchar, 2, '0'), '%Y%m%d'), '%Y-%m-%d') as day from customer",
 }
 
+def _golden(rounds: int = 25) -> str:
+    """Golden-section search of the bandwidth with the least AICc, a step a round."""
+    ratio = repr((math.sqrt(5) - 1) / 2) + "::double"
+
+    def loss(at: str) -> str:
+        """AICc of the regression of v_a on v_c at the bandwidth ``p`` of a one-row source."""
+        sums_of = "sum(w) as s0, sum(w * w) as q0, sum(case when i = j then w end) as wii, sum(w * x) as sx, sum(w * y) as sy, sum(w * x * x) as sxx, sum(w * x * y) as sxy, sum(w * w * x) as qx, sum(w * w * x * x) as qxx"
+        weighted = f"select i, j, yi, xi, y, x, pow(1 - (d / p) * (d / p), 2) as w from m, {at} where d < p"
+        return f"(with t as (select i, 'all' as pair_key, max(yi) as yi, max(xi) as xi, {sums_of} from ({weighted}) group by i), {FIT}, {diagnosed()} select case when aicc is null or isnan(aicc) then 'inf'::double else aicc end as v from dg)"
+
+    steps = [
+        f"s as materialized {WHOLE}, m as materialized (select a.feature_id as i, b.feature_id as j, a.v_a as yi, a.v_c as xi, b.v_a as y, b.v_c as x, sqrt((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py)) as d from s a, s b)",
+        "box as (select sqrt(pow(max(px) - min(px), 2) + pow(max(py) - min(py), 2)) as hi from s)", f"start as materialized (select hi / 5000 as lo, hi, hi - {ratio} * (hi - hi / 5000) as a, hi / 5000 + {ratio} * (hi - hi / 5000) as b from box)",
+        f"la as materialized {loss('(select a as p from start)')}", f"lb as materialized {loss('(select b as p from start)')}", "g0 as materialized (select start.*, la.v as fa, lb.v as fb from start, la, lb)",
+    ]
+    for k in range(rounds):
+        steps.append(f"n{k} as materialized (select *, hi - lo <= 1e-3 * hi as done, fa <= fb as low, case when fa <= fb then b - {ratio} * (b - lo) else a + {ratio} * (hi - a) end as p from g{k})")
+        steps.append(f"l{k} as materialized {loss(f'(select p from n{k} where not done)')}")
+        pick = lambda name, left, right: f"case when done then {name} when low then {left} else {right} end as {name}"
+        steps.append(f"g{k + 1} as materialized (select {pick('lo', 'lo', 'a')}, {pick('hi', 'b', 'hi')}, {pick('a', 'p', 'b')}, {pick('b', 'a', 'p')}, {pick('fa', 'v', 'fb')}, {pick('fb', 'fa', 'v')} from n{k} left join l{k} on true)")
+    return f"with {', '.join(steps)} select round((lo + hi) / 2, 2) as bandwidth from g{rounds}"
+
+
+def _natural(classes: int = 5, sample: int = 1024) -> str:
+    """Natural breaks by dynamic programming, a layer a class, over evenly spaced ones of the sorted values."""
+    steps = [
+        "p as (select p_retailprice::double as v, row_number() over (order by p_retailprice, p_partkey) - 1 as k, count(*) over () as n from part where p_retailprice is not null)",
+        f"q as (select v, k, n, (n - 1) / {sample - 1}.0::double as step from p)", f"x as materialized (select i, v, sum(v) over (order by i) as s1, sum(v * v) over (order by i) as s2 from (select v, row_number() over (order by k) - 1 as i from q where n <= {sample} or floor(floor(k / step + 0.5) * step + 0.5) = k))",
+        "c0 as materialized (select i as j, s2 - s1 * s1 / (i + 1) as cost, 0::bigint as f from x)",
+    ]
+    for k in range(1, classes):
+        inside = "(x.s2 - e.s2) - (x.s1 - e.s1) * (x.s1 - e.s1) / (x.i - e.i)"
+        steps.append(f"c{k} as materialized (select j, w.cost as cost, w.f as f from (select x.i as j, min(struct_pack(cost := c.cost + {inside}, f := e.i + 1)) as w from x join x e on e.i < x.i and e.i >= {k - 1} join c{k - 1} c on c.j = e.i group by x.i))")
+    steps.append(f"b{classes} as (select max(i) as j from x)")
+    for k in range(classes - 1, -1, -1):
+        steps.append(f"b{k} as materialized (select c{k}.f - 1 as j, (select v from x where i = b{k + 1}.j) as v from b{k + 1} join c{k} on c{k}.j = b{k + 1}.j)")
+    edges = " union all ".join(f"select {k + 1} as at, v as break from b{k}" for k in range(classes))
+    return f"with {', '.join(steps)} select 0 as at, min(v) as break from x union all {edges}"
+
+
 ORACLE_SQL |= {
+    "gwr_auto_bandwidth": _golden(),
+    "classify_jenks": _natural(),
     "gwr_sweep_series": f"with {_SWEPT} select bandwidth, i as feature_id, pair_key, round(intercept, 3) as intercept, round(slope, 6) as slope, round(residual, 4) as residual from fit",
     "gw_match_sweep_sources": f"{_smoothed(SMOOTHING)} select bandwidth, source_id, round(gw_iou, 6) as gw_iou from sm",
     "neighbours_by_blocks": f"with s as materialized {WHOLE} select a.feature_id, count(*) as neighbours, round(sum(abs(a.px - b.px) + abs(a.py - b.py)), 4) as total from s a join s b on abs(a.px - b.px) + abs(a.py - b.py) <= 300 group by a.feature_id",
