@@ -19,7 +19,7 @@ from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,38 +150,37 @@ def extent(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(*[f(F.when(both, v)).alias(n) for f, v, n in ((F.min, a, "xmin"), (F.min, b, "ymin"), (F.max, a, "xmax"), (F.max, b, "ymax"))])
 
 
-def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """(feature_id, geometry_type, geometry, properties) of a FeatureCollection or of a single Feature."""
-
-    def parse(batches):
-        for batch in batches:
-            for raw in batch["content"]:
-                doc = json.loads(bytes(raw).decode("utf-8-sig"))
-                features = doc.get("features", []) if doc.get("type") == "FeatureCollection" else [doc]
-                rows = []
-                for k, f in enumerate(features):
-                    g = f.get("geometry") or {}
-                    props = {str(n): None if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for n, v in (f.get("properties") or {}).items()}
-                    rows.append((k, g.get("type"), {"type": (g.get("type") or "").lower() or None, "parts": _parts(g)}, props))
-                yield pd.DataFrame(rows, columns=["feature_id", "geometry_type", "geometry", "properties"])
-
-    schema = T.StructType([T.StructField("feature_id", T.LongType()), T.StructField("geometry_type", T.StringType()), T.StructField("geometry", GEOMETRY), T.StructField("properties", T.MapType(T.StringType(), T.StringType()))])
-    return content(spark, path).select("content").mapInPandas(parse, schema)
+_SHAPE = "type:string,coordinates:string"
+_FEATURE = f"type string, geometry struct<{_SHAPE},geometries:array<struct<{_SHAPE}>>>, properties map<string,string>"
 
 
-def _parts(geometry: dict) -> list:
-    """Coordinate lists of a geometry as parts of points, closing vertices kept, third values dropped."""
-    coords, kind = geometry.get("coordinates") or [], geometry.get("type")
-    points = lambda seq: [{"x": float(p[0]), "y": float(p[1])} for p in seq]
-    if kind == "Point":
-        return [points([coords])] if coords else []
-    if kind in ("MultiPoint", "LineString"):
-        return [points(coords)]
-    if kind in ("Polygon", "MultiLineString"):
-        return [points(c) for c in coords]
-    if kind == "MultiPolygon":
-        return [points(r) for p in coords for r in p]
-    return [part for g in geometry.get("geometries") or [] for part in _parts(g)]  # a collection's shapes in a row
+def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """(feature_id, geometry_type, geometry, properties) of a FeatureCollection or of a single Feature. A file is read in
+    one task, its features are decoded in many."""
+    nested = _FEATURE.replace("type string", "type:string", 1).replace("geometry struct", "geometry:struct").replace("properties map", "properties:map").replace(", ", ",")
+    read = spark.read.schema(f"{_FEATURE}, features array<struct<{nested}>>").option("multiLine", True).json(path)
+    single = F.array(F.struct("type", "geometry", "properties"))
+    rows = read.select(F.posexplode(F.when(F.col("type") == "FeatureCollection", F.col("features")).otherwise(single)).alias("feature_id", "f"))
+    rows = rows.repartition(spark.sparkContext.defaultParallelism).select(F.col("feature_id").cast("long").alias("feature_id"), "f.geometry", "f.properties")
+    shape = F.col("geometry")
+    inner = F.flatten(F.transform(F.coalesce(shape["geometries"], F.array()), _parts))
+    parts = F.when(shape["type"] == "GeometryCollection", inner).otherwise(_parts(shape))
+    return rows.select("feature_id", shape["type"].alias("geometry_type"), F.struct(F.lower(shape["type"]).alias("type"), parts.alias("parts")).alias("geometry"), F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties"))
+
+
+def _parts(shape: Column) -> Column:
+    """Coordinates of a geometry as parts of points, closing vertices kept, third values dropped."""
+    given = lambda depth: F.coalesce(F.from_json(shape["coordinates"], "array<" * depth + "double" + ">" * depth), F.array())
+    point = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
+    points = lambda seq: F.transform(seq, point)
+    kind = shape["type"]
+    return (
+        F.when((kind == "Point") & (F.size(given(1)) > 1), F.array(F.array(point(given(1)))))
+        .when(kind.isin("MultiPoint", "LineString"), F.array(points(given(2))))
+        .when(kind.isin("Polygon", "MultiLineString"), F.transform(given(3), points))
+        .when(kind == "MultiPolygon", F.transform(F.flatten(given(4)), points))
+        .otherwise(F.array())
+    )
 
 
 def geojson_fields(features: DataFrame) -> list[str]:
