@@ -117,17 +117,18 @@ class Shared:
         return self.broadcast.value
 
 
-_state: dict[str, tuple] = {}
-
-
-def worker_state(operator: str, key, make):
-    """What ``make`` returned for ``key`` in this Python worker, across its tasks and runs; of each operator only the
-    last is kept. It holds only what can be made again from the key (tables, bounded caches), so a lost worker loses
-    no result."""
-    if operator not in _state or _state[operator][0] != key:
-        _state.pop(operator, None)  # frees the old one before the new one is made
-        _state[operator] = (key, make())
-    return _state[operator][1]
+_state: dict = {}
+
+
+def worker_state(operator: str, key=None, make=lambda: None):
+    """What ``make`` returned for the operator and ``key`` in this Python worker, across its tasks and runs; only the last
+    is kept, so that a pipeline's stages do not add up. It holds only what can be made again from the key (tables,
+    bounded caches), so a lost worker loses no result."""
+    if (operator, key) not in _state:
+        _state.clear()  # frees the old one before the new one is made
+        gc.collect()
+        _state[operator, key] = make()
+    return _state[operator, key]
 
 
 def fresh(df: DataFrame, name: str) -> str:
