@@ -7,11 +7,9 @@ behind it, that depend on nothing but themselves; words inserted elsewhere move
 Only runs of WORDS words whose chunk occurs twice are listed and held against each other; neighbours with one source at
 one distance join to a span. The first occurrence of a passage stays.
 
-:func:`repeats` lists runs of repeated gear-hash chunks, whose parts may come from several places.
-
 Cases: null and empty texts have no chunk; a null id is not compared and stays whole; rows that repeat id and text are
 one document; rows that repeat an id with another text are documents of their own; an empty table gives an empty
-result; other columns are ignored (:func:`passages`, :func:`repeats`) or kept (:func:`remove`).
+result; other columns are ignored (:func:`passages`) or kept (:func:`remove`).
 """
 
 from __future__ import annotations
@@ -25,17 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import WORD_SPACE, drop, materialize, mix64, packed, session, utf8
 
-#: A cut falls on one of 2 ** MASK_BITS bytes; chunk sizes stay between MIN_CHUNK and MAX_CHUNK (but for the last).
-MASK_BITS, MIN_CHUNK, MAX_CHUNK = 4, 16, 256
-#: Least bytes of a run of repeated chunks: with the pieces of chunks that are lost at its ends, a passage of 50 words.
-MIN_BYTES = 128
 #: Words of the least passage, and of the chunk behind a cut.
 WORDS, CHUNK = 50, 25
-#: Longer words are also split behind gear-hash cuts, and where these are further apart than MAX_CHUNK.
-LONG_WORD = 64
+#: Longer words are split, into words of their own, behind bytes whose gear hash begins with MASK_BITS zeros (at least
+#: LEAST bytes from their start), and where these are MOST bytes apart.
+LONG_WORD, MASK_BITS, LEAST, MOST = 64, 4, 16, 256
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
-
-
 _GEAR32 = (mix64(np.arange(257, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -50,76 +43,6 @@ def gear(raw: np.ndarray, table: np.ndarray = _GEAR) -> np.ndarray:
     return h
 
 
-def cuts(raw: np.ndarray, mask_bits: int = MASK_BITS, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> list[int]:
-    """End offsets of the chunks of one text."""
-    n = len(raw)
-    if not n:
-        return []
-    marks = (np.flatnonzero((gear(raw) >> np.uint16(16 - mask_bits)) == 0) + 1).tolist()
-    ends, at = [], 0
-    for mark in marks:
-        if mark - at < least:
-            continue
-        while mark - at > most:
-            at += most
-            ends.append(at)
-        if mark - at >= least:
-            at = mark
-            ends.append(at)
-    while n - at > most:
-        at += most
-        ends.append(at)
-    if at < n:
-        ends.append(n)
-    return ends
-
-
-def _chunks(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, text_key, place) of every chunk of (doc_id, text_key, text); place is start * 512 + size."""
-
-    def cut(batches):
-        for batch in batches:
-            raw, off = utf8(batch.column(2))
-            digests, places, counts = [], [], []
-            for i in range(len(off) - 1):
-                part = raw[off[i] : off[i + 1]]
-                ends, view = cuts(part), part.tobytes()
-                begins = [0, *ends[:-1]] if ends else []
-                digests.extend([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(begins, ends)])
-                places.extend([a * 512 + b - a for a, b in zip(begins, ends)])
-                counts.append(len(ends))
-            at = pa.array(np.repeat(np.arange(len(counts)), counts), pa.int64())
-            digest = np.array(digests, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(digest), batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int64())], names=["digest", "doc_id", "text_key", "place"])
-
-    return docs.mapInArrow(cut, "digest long, doc_id long, text_key long, place long")
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(doc_id, text_key, start, end, first_doc_id, first_start): byte spans that occur at an earlier place.
-
-    Occurrences of a digest are counted with combining before the shuffle; the join back is between two written
-    tables, so that Spark can split the partition of a chunk that very many documents share.
-    """
-    session(docs.sparkSession)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    chunks = materialize(_chunks(rows), "chunks")
-    first = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "place")).alias("first")).where("n > 1")
-    first = materialize(first.select(F.col("digest").alias("_d"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.text_key").alias("first_key"), F.col("first.place").alias("first_place")), "first")
-    found = chunks.join(first, F.col("digest") == F.col("_d"))
-    again = found.where((F.col("first_doc_id") != F.col("doc_id")) | (F.col("first_key") != F.col("text_key")) | (F.col("first_place") != F.col("place")))
-    start, size = F.shiftright("place", 9), F.col("place").bitwiseAND(F.lit(511))
-    again = materialize(again.select("doc_id", "text_key", start.cast("int").alias("start"), (start + size).cast("int").alias("end"), "first_doc_id", F.shiftright("first_place", 9).cast("int").alias("first_start")), "again")
-    drop(chunks, first)
-    # A run begins where no repeated chunk ends; rows that repeat a document have equal places and count once.
-    per_text = Window.partitionBy("doc_id", "text_key").orderBy("start")
-    before = F.max("end").over(per_text.rangeBetween(Window.unboundedPreceding, -1))
-    runs = again.withColumn("_new", (F.coalesce(before, F.lit(-1)) != F.col("start")).cast("int")).withColumn("_run", F.max(F.when(F.col("_new") == 1, F.col("start"))).over(per_text))
-    spans = runs.groupBy("doc_id", "text_key", "_run").agg(F.max("end").alias("end"), F.min(F.struct("start", "first_doc_id", "first_start")).alias("head"))
-    spans = spans.select("doc_id", "text_key", F.col("_run").alias("start"), "end", F.col("head.first_doc_id").alias("first_doc_id"), F.col("head.first_start").alias("first_start"))
-    return spans.where(F.col("end") - F.col("start") >= min_bytes)
-
-
 _SPACE = np.isin(np.arange(256), list(WORD_SPACE.encode()))
 
 
@@ -129,14 +52,16 @@ def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
     begin |= (raw >= 0xE3) & (raw <= 0xE9)
-    edge = np.diff(solid.astype(np.int8), prepend=0, append=0)
-    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)) if len(raw) > LONG_WORD else ():
-        if b - a > LONG_WORD:
+    if len(raw) > LONG_WORD:
+        edges = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+        first, behind = edges[::2], edges[1::2]
+        long = behind - first > LONG_WORD
+        for a, b in zip(first[long].tolist(), behind[long].tolist()):
             marks = np.flatnonzero((gear(raw[a:b]) >> np.uint16(16 - MASK_BITS)) == 0) + a + 1
-            begin[marks[(marks >= a + MIN_CHUNK) & (marks < b)]] = True
+            begin[marks[(marks >= a + LEAST) & (marks < b)]] = True
             own = [*(np.flatnonzero(begin[a:b]) + a), b]
             for c, d in zip(own, own[1:]):
-                begin[c:d:MAX_CHUNK] = True
+                begin[c:d:MOST] = True
     starts = np.flatnonzero(begin)
     last = solid.copy()
     last[:-1] &= ~solid[1:] | begin[1:]

@@ -225,48 +225,17 @@ def test_warc_empty(spark):
 
 
 def test_cuts():
+    """The gear hash is that of its definition; words set before a text move no cut but those beside them."""
     rng = random.Random(2)
-    raw = np.frombuffer(bytes(rng.choice(b"abcdefgh ") for _ in range(5000)), np.uint8)
-    ends = substring.cuts(raw)
-    sizes = np.diff([0, *ends])
-    assert ends[-1] == 5000 and sizes.max() <= substring.MAX_CHUNK and sizes[:-1].min() >= substring.MIN_CHUNK
-    gear = [sum(int(substring._GEAR[raw[i - k]]) << k for k in range(min(16, i + 1))) & 0xFFFF for i in range(200)]
-    assert substring.gear(raw)[:200].tolist() == gear
-    moved = substring.cuts(np.concatenate([np.frombuffer(b"some new words ", np.uint8), raw]))
-    assert len({e + 15 for e in ends} & set(moved)) > 0.9 * len(ends)
-    assert substring.cuts(raw[:0]) == [] and substring.cuts(np.zeros(1000, np.uint8))[-1] == 1000
-
-
-def chunk_runs(docs):
-    """Repeated spans by the rules, in plain Python."""
-    first, chunks = {}, {}
-    for i, t in sorted({(i, t) for i, t in docs if i is not None and t}):
-        raw = t.encode()
-        ends = substring.cuts(np.frombuffer(raw, np.uint8))
-        chunks[i, t] = [(a, b, raw[a:b]) for a, b in zip([0, *ends], ends)]
-        for a, b, c in chunks[i, t]:
-            first.setdefault(c, (i, t, a))
-    out = set()
-    for (i, t), parts in chunks.items():
-        run = None
-        for a, b, c in [*parts, (None, None, None)]:
-            again = c is not None and first[c] != (i, t, a)
-            if again:
-                run = (run[0], b) if run else (a, b)
-            elif run:
-                if run[1] - run[0] >= substring.MIN_BYTES:
-                    out.add((i, *run))
-                run = None
-    return out
-
-
-@pytest.mark.parametrize("source", ["odd", "documents"])
-def test_repeats(spark, sf, odd_docs, source):
-    docs = odd_docs if source == "odd" else table(spark, sf, "documents")
-    got = {(r["doc_id"], r["start"], r["end"]) for r in substring.repeats(docs).collect()}
-    assert got == chunk_runs(texts(docs))
-    if source == "odd":
-        assert {1, 2, 9, 12} <= {g[0] for g in got}
+    raw = np.frombuffer(bytes(rng.choice(b"abcdefgh  ") for _ in range(6000)), np.uint8)
+    for table, bits in ((substring._GEAR, 16), (substring._GEAR32, 32)):
+        want = [sum(int(table[raw[i - k]]) << k for k in range(min(bits, i + 1))) & ((1 << bits) - 1) for i in range(200)]
+        assert substring.gear(raw, table)[:200].tolist() == want
+    cuts = lambda raw: {int(starts[k]) for starts, ends in [substring.words(raw)] for k in substring.chosen(raw, starts, ends)}
+    before, more = cuts(raw), b"some new words "
+    moved = cuts(np.concatenate([np.frombuffer(more, np.uint8), raw]))
+    assert len(before) > 60 and len({c + len(more) for c in before} - moved) <= 2
+    assert cuts(raw[:0]) == set() and cuts(raw[:60]) == set()
 
 
 def test_planted_passages(spark):
@@ -279,7 +248,7 @@ def test_planted_passages(spark):
     rows = [(k * 10 + j, f"{text(40 + j)} {p} {text(30)}") for k, p in enumerate(passages) for j in range(6)]
     clean = [(1000 + k, f"{text(150)}\n{line}") for k in range(60)]
     docs = spark.createDataFrame([*rows, *clean], "doc_id long, text string")
-    found = {r["doc_id"] for r in substring.repeats(docs).collect()}
+    found = {r["doc_id"] for r in substring.passages(docs).collect()}
     assert not found & {i for i, _ in clean}
     assert found == {i for i, _ in rows if i % 10}
     kept = {r["doc_id"]: r["text"] for r in substring.remove(docs).collect()}
@@ -322,15 +291,11 @@ def test_passages(spark, sf, odd_docs, source):
 
 
 def test_chance_chunks(spark):
-    """Chunks that occur earlier in several places do not make a repeated passage."""
+    """A text whose parts all occur earlier, each in another place, holds no repeated passage and stays whole."""
     rng = random.Random(8)
-    text = " ".join("".join(rng.choice("aeioustrnlmdp") for _ in range(5)) for _ in range(200))
-    ends = [0, *substring.cuts(np.frombuffer(text.encode(), np.uint8))]
-    rows = [(k, text[ends[max(k - 1, 0)] : ends[min(k + 2, len(ends) - 1)]]) for k in range(len(ends) - 1)]
-    assert max(len(t.split()) for _, t in rows) < 50
-    rows.append((1000, text))
+    words = ["".join(rng.choice("aeioustrnlmdp") for _ in range(5)) for _ in range(200)]
+    rows = [(k, " ".join(words[k * 5 : k * 5 + 49])) for k in range(40)] + [(1000, " ".join(words))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert substring.repeats(docs).where("doc_id = 1000").count() > 0
     assert substring.passages(docs).count() == 0
     assert {r["doc_id"]: r["text"] for r in substring.remove(docs).collect()} == dict(rows)
 
@@ -354,7 +319,7 @@ def test_short_words(spark):
 def test_remove_keeps_columns(odd_docs, no_docs):
     out = substring.remove(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
-    assert substring.remove(no_docs).count() == 0 and substring.repeats(no_docs).count() == 0
+    assert substring.remove(no_docs).count() == 0 and substring.passages(no_docs).count() == 0
     named = odd_docs.select("*", *(F.lit(k).alias(c) for k, c in enumerate(("_spans", "_id", "_key", "row", "spans", "key", "id", "short", "_gone", "_again", "cuts"))))
     again = substring.remove(named)
     assert again.columns == named.columns and sorted(map(str, again.select(*odd_docs.columns).collect())) == sorted(map(str, out.collect()))
@@ -708,8 +673,7 @@ def test_longest_match_random():
 
 @pytest.mark.parametrize("source", ["odd", "documents"])
 def test_token_counts(spark, sf, odd_docs, source):
-    docs = odd_docs if source == "odd" else table(spark, sf, "documents").limit(60)
-    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    docs = odd_docs if source == "odd" else table(spark, sf, "documents")
     vocabulary = queries.word_vocabulary()
     spelled = {(*t, wordpiece.END) if e else tuple(t) for t, e in vocabulary}
     longest, cache = max(map(len, spelled)), {}
