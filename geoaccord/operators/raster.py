@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoaccord.functions import projection
 from geoaccord.operators.catalog import spaced_sample
 from geoaccord.operators.metrics import raster_metrics
 
@@ -159,15 +160,15 @@ def preflight(infos: list[dict]) -> None:
 
 
 def align(source: DataFrame, own: dict, target: dict, method: str = "bilinear") -> DataFrame:
-    """(r, c, value) of ``source`` on the grid of another raster in the same reference system."""
-    if own["epsg"] != target["epsg"]:
-        raise ValueError("the rasters are in different reference systems")
+    """(r, c, value) of ``source`` on the grid of another raster, also in another reference system (WGS 84 degrees and UTM
+    zones): the centres of its cells are taken to the plane of the source."""
     width, height = target["width"], target["height"]
     grid = source.sparkSession.range(width * height).select(F.floor(F.col("id") / width).cast("int").alias("r"), (F.col("id") % width).cast("int").alias("c"))
     (dx, dy), (sx, sy) = target["cell"], own["cell"]
-    col_at = (F.lit(target["extent"][0] - own["extent"][0]) + (F.col("c") + 0.5) * dx) / sx - 0.5
-    row_at = (F.lit(own["extent"][3] - target["extent"][3]) + (F.col("r") + 0.5) * dy) / sy - 0.5
-    return resample(grid, source, "value", row_at, col_at, method)
+    x, y = target["extent"][0] + (F.col("c") + 0.5) * dx, target["extent"][3] - (F.col("r") + 0.5) * dy
+    if own["epsg"] != target["epsg"]:
+        x, y = projection.plane_of(own["epsg"])(*projection.plane_of(target["epsg"], degrees=True)(x, y))
+    return resample(grid, source, "value", (own["extent"][3] - y) / sy - 0.5, (x - own["extent"][0]) / sx - 0.5, method)
 
 
 def overlay(layers: dict[str, DataFrame], value: str = "value") -> DataFrame:

@@ -11,8 +11,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from geoaccord.fixtures import fixture, fixture_sql
-from geoaccord.functions import geometry
+from geoaccord.functions import geometry, projection
 from geoaccord.operators import layers, raster
+from geoaccord.plans import compare
 from geoaccord.scratch import scratch_path
 from geoaccord.sources import readers, sinks, tiff
 
@@ -113,6 +114,31 @@ def raster_file_overlay(spark, d):
     return raster.overlay({"left_v": one, "right_v": raster.align(two, infos[1], infos[0], "bilinear")}).select("r", "c", F.round("left_v", 2).alias("left_v"), F.round("right_v", 2).alias("right_v"))
 
 
+def raster_reprojection(spark, d):
+    """A raster in UTM on a grid of degrees: its values are linear in the eastings and northings, so are those it gets."""
+    info = {"width": 40, "height": 30, "bands": 1, "nodata": None, "cell": (100.0, 100.0), "extent": [500_000.0, 3_300_000.0, 504_000.0, 3_303_000.0], "epsg": 32650}
+    rows = spark.range(1200).select(F.floor(F.col("id") / 40).cast("int").alias("r"), (F.col("id") % 40).cast("int").alias("c"))
+    path = f"{scratch_path(spark, 'plane')}.tif"
+    sinks.write_tiff(rows.withColumn("value", F.col("c") * 2.0 + F.col("r") * 3.0), path, info)
+    own = tiff.read_info(spark, path)
+    target = {"width": 8, "height": 6, "cell": (0.004, 0.004), "extent": [117.003, 29.829, 117.035, 29.853], "epsg": 4326}
+    found = raster.align(tiff.read_tiff(spark, path), own, target)
+    x, y = projection.utm(117.003 + (F.col("c") + 0.5) * 0.004, 29.853 - (F.col("r") + 0.5) * 0.004, 50)
+    want = ((x - 500_000.0) / 100 - 0.5) * 2 + ((3_303_000.0 - y) / 100 - 0.5) * 3
+    return found.where("value is not null").select("r", "c", (F.abs(F.col("value") - want) < 1e-3).alias("equal"))
+
+
+def comparison_sides(spark, d):
+    """Bounds and rows of a shapefile beside a raster."""
+    stem = scratch_path(spark, "side")
+    shape = geometry.rectangle(F.col("minx"), F.col("miny"), F.col("minx") + F.col("w"), F.col("miny") + F.col("h"))
+    sinks.write_shapefile(fixture(spark, d, "poly_a").select("category", shape.alias("rings")), f"{stem}.shp", ["category"])
+    sinks.write_bytes(spark, f"{stem}.tif", tiff.encode(_grid(spark, d), (100.0, 50.0), 10.0, 32650))
+    made = compare.sides(spark, {"path": f"{stem}.shp", "field": "category", "method": "unique"}, {"path": f"{stem}.tif"})
+    rows = [(k, s.kind, s.rows.count(), s.legend.count() if s.legend else 0, *(round(float(v), 4) for v in s.bounds)) for k, s in enumerate(made)]
+    return spark.createDataFrame(rows, "side int, kind string, n long, classes long, xmin double, ymin double, xmax double, ymax double")
+
+
 def geopackage_scan(spark, d):
     db = sqlite3.connect(":memory:")
     db.executescript(
@@ -165,7 +191,7 @@ def project_registry(spark, d):
     return registry.sources().select("name", "path", F.lit("source").alias("kind")).union(registry.runs().select("title", "run_id", F.lit("run")))
 
 
-QUERIES = {f.__name__: f for f in (csv_scan, csv_metadata, geojson_scan, shapefile_layer, shapefile_check, ascii_grid_scan, tiff_scan, raster_file_overlay, geopackage_scan, xlsx_scan, catalog_export, raster_overviews, project_registry)}
+QUERIES = {f.__name__: f for f in (csv_scan, csv_metadata, geojson_scan, shapefile_layer, shapefile_check, ascii_grid_scan, tiff_scan, raster_file_overlay, raster_reprojection, comparison_sides, geopackage_scan, xlsx_scan, catalog_export, raster_overviews, project_registry)}
 
 _G, _P = fixture_sql("grid"), fixture_sql("poly_a")
 ORACLE_SQL = {
@@ -178,6 +204,8 @@ ORACLE_SQL = {
     "tiff_scan": f"select r, c, round(left_v::float::double, 2) as value from {_G}",
     "raster_file_overlay": f"""with g as (select r, c, left_v::float::double as v from {_G}) select a.r, a.c, round(a.v, 2) as left_v, round((coalesce(l.v, 0) + coalesce(a.v, 0)) / nullif((l.v is not null)::int + (a.v is not null)::int, 0), 2) as right_v
   from g a left join g l on l.r = a.r and l.c = a.c - 1""",
+    "raster_reprojection": "select r::int as r, c::int as c, true as equal from range(6) a(r), range(8) b(c)",
+    "comparison_sides": f"select 0 as side, 'shapes' as kind, count(*) as n, count(distinct category) as classes, round(min(minx), 4) as xmin, round(min(miny), 4) as ymin, round(max(minx + w), 4) as xmax, round(max(miny + h), 4) as ymax from {_P} union all select 1, 'raster', count(*), 0, 100, 50 - 10 * (max(r) + 1), 1100, 50 from {_G}",
     "geopackage_scan": "select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation",
     "xlsx_scan": "select n_nationkey::bigint as n_nationkey, n_name from nation",
     "catalog_export": f"select name || '，' || ' x,' || data_type || ',/p,1，2,' || crs || ',3,ok' as value from {fixture_sql('catalog')}",

@@ -307,6 +307,7 @@ def _natural(classes: int = 5, sample: int = 1024) -> str:
 
 
 ORACLE_SQL |= {
+    "project_and_back": "select c_custkey, round(lon, 7) as albers_lon, round(lat, 7) as albers_lat, round(lon, 6) as utm_lon, round(lat, 6) as utm_lat from (select c_custkey, 110 + (c_custkey % 97) / 16.0::double as lon, 20 + (c_custkey % 89) / 4.0::double as lat from customer)",
     "gwr_auto_bandwidth": _golden(),
     "classify_jenks": _natural(),
     "gwr_sweep_series": f"with {_SWEPT} select bandwidth, i as feature_id, pair_key, round(intercept, 3) as intercept, round(slope, 6) as slope, round(residual, 4) as residual from fit",

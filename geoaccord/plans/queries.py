@@ -397,6 +397,14 @@ def project_albers(spark, d):
     return _degrees(spark, d).select("c_custkey", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
 
 
+def project_and_back(spark, d):
+    """Degrees of projected points, by either projection."""
+    rows = _degrees(spark, d)
+    a = projection.albers_degrees(*projection.albers(F.col("lon"), F.col("lat")))
+    u = projection.utm_degrees(*projection.utm(F.col("lon"), F.col("lat"), 50), 50)
+    return rows.select("c_custkey", F.round(a[0], 7).alias("albers_lon"), F.round(a[1], 7).alias("albers_lat"), F.round(u[0], 6).alias("utm_lon"), F.round(u[1], 6).alias("utm_lat"))
+
+
 def project_utm(spark, d):
     x, y = projection.utm(F.col("lon"), F.col("lat"), 50)
     return _degrees(spark, d).select("c_custkey", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
@@ -472,7 +480,7 @@ QUERIES = {
         match_geometry_metrics, category_threshold_summary, overall_threshold_summary, recommended_threshold, gw_match_smoothing, gw_match_bandwidth_sweep,
         l_shape_overlay, l_shape_threshold_summary, layer_measures, layer_quality, quality_stats, point_in_polygon, raster_pairwise_metrics, raster_local_error, raster_local_correlation, raster_local_regression,
         raster_window_sweep, raster_block_mean, raster_percentile_stretch, raster_align_bilinear, raster_align_nearest, raster_align_cubic, classify_equal_interval,
-        classify_quantile, classify_manual, classify_jenks, classify_unique_topk, histogram_fixed, kde_density, project_albers, project_utm, result_columns,
+        classify_quantile, classify_manual, classify_jenks, classify_unique_topk, histogram_fixed, kde_density, project_albers, project_utm, project_and_back, result_columns,
         nearest_percent, scalar_functions, pixel_sample, histogram_auto, class_counts, text_classes, percent_lookup, local_values, text_filter,
         gwr_sweep_series, gw_match_sweep_sources, neighbours_by_blocks, bandwidth_baseline,
     )

@@ -51,6 +51,19 @@ def write_shapefile(df: DataFrame, path: str, fields: list[str], rings: str = "r
         write_bytes(df.sparkSession, stem + suffix, data)
 
 
+def write_tiff(cells: DataFrame, path: str, info: dict, value: str = "value") -> None:
+    """One GeoTIFF of a raster (r, c, value) on the grid of ``info``, cells that it lacks as no-data. A single file is made
+    on the driver, which holds its grid; rasters of any size go to :func:`write_table`."""
+    import numpy as np
+
+    from geoaccord.sources import tiff
+
+    grid = np.full((info["height"], info["width"]), np.nan)
+    for row in cells.where(F.col(value).isNotNull()).select("r", "c", F.col(value).cast("double").alias("v")).toLocalIterator():
+        grid[row["r"], row["c"]] = row["v"]
+    write_bytes(cells.sparkSession, path, tiff.encode(grid, (info["extent"][0], info["extent"][3]), info["cell"][0], info["epsg"]))
+
+
 def write_geometry_run(result, config: dict, path: str, seconds: float) -> dict[str, str]:
     """The tables, the metadata and the report of a geometry analysis below ``path``; the paths by name."""
     out = {}
