@@ -9,6 +9,7 @@ from geoaccord.fixtures import fixture
 from geoaccord.functions import geometry, projection, scalars
 from geoaccord.operators import catalog, classify, layers, matching, metrics, raster, weighted
 from geoaccord.plans import file_queries
+from geoaccord.scratch import written
 
 FIELDS = ["v_a", "v_b", "v_c"]
 LAYERS = ["left_v", "right_v"]
@@ -260,7 +261,7 @@ def l_layers(spark, d):
     for side, name in enumerate(("poly_a", "poly_b")):
         shape = geometry.l_shape(F.col("minx"), F.col("miny"), F.col("w"), F.col("h"))
         rows = fixture(spark, d, name).select("feature_id", "category", F.struct(F.lit("polygon").alias("type"), shape.alias("parts")).alias("geometry"))
-        made.append(matching.mapped(layers.measured(rows, "category", [m[side] for m in MAPPING]), MAPPING, side))
+        made.append(written(matching.mapped(layers.measured(rows, "category", [m[side] for m in MAPPING]), MAPPING, side), "layer"))
     return made
 
 
