@@ -6,6 +6,7 @@ hold them against brute force, public libraries and round trips.
 
 from __future__ import annotations
 
+from .linededup import MIN_CHARS, MIN_DOCS
 from .jaccard import PERCENT, WORDS
 from .quality import ANCHOR, EM_ROUNDS, RULES, START
 
@@ -73,4 +74,14 @@ def jaccard() -> str:
   select s.doc_id, len(shingles) as n_shingles, component_id from s join (select node, min(other) as component_id from reach group by node) on node = s.doc_id"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality(), "op2_sharding": sharding(), "op7_jaccard_join": jaccard()}
+def line_dedup() -> str:
+    """The documents of each key, and the lines that stay, in their order."""
+    key = f"trim(translate(line, '{_UPPER}', '{_UPPER.lower()}'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+    return f"""with d as materialized (select row_number() over () as row, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+  l as materialized (select row, place, line, {key} as k from (select row, unnest(lines) as line, unnest(range(len(lines))) as place from d)),
+  f as (select k from l where length(k) >= {MIN_CHARS} group by k having count(distinct row) >= {MIN_DOCS}),
+  o as (select row, string_agg(line, chr(10) order by place) filter (f.k is null) as kept, count(f.k) as n_dropped from l left join f on l.k = f.k group by row)
+  select doc_id, len(lines)::bigint as n_lines, n_dropped, sha256(coalesce(kept, '')) as kept_sha256 from d join o on o.row = d.row"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality(), "op2_sharding": sharding(), "op7_jaccard_join": jaccard(), "op12_line_dedup": line_dedup()}
