@@ -84,4 +84,28 @@ def line_dedup() -> str:
   select doc_id, len(lines)::bigint as n_lines, n_dropped, sha256(coalesce(kept, '')) as kept_sha256 from d join o on o.row = d.row"""
 
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality(), "op2_sharding": sharding(), "op7_jaccard_join": jaccard(), "op12_line_dedup": line_dedup()}
+def golden_records() -> str:
+    """Every field by an order of its own over all records of a cluster."""
+    text = lambda c: f"case when regexp_matches({c}, '[^\\x20\\x09-\\x0D]') then {c} end"
+    recent = "updated_at desc nulls last, trust desc, client_id nulls last"
+    trusted = f"fresh desc, trust desc, {recent}"
+
+    def pick(name: str, columns: str, where: str, order: str) -> str:
+        return f"{name} as (select cluster_id, {columns} from (select *, row_number() over (partition by cluster_id order by {order}) as k from s where {where}) where k = 1)"
+
+    parts = [
+        pick("a", "segment, client_id as segment_from", "segment is not null", recent), pick("b", "email, client_id as email_from", "email is not null", trusted),
+        pick("c", "name, client_id as name_from", "name is not null", f"length(name) desc, {trusted}"),
+        pick("d", "city, nation_id, case when filled > 0 then client_id end as address_from", "true", f"filled desc, {trusted}"),
+        pick("e", "balance, client_id as balance_from", "balance is not null", f"chosen desc, {recent}").replace(" from s where", " from (select s.*, coalesce(s.segment = a.segment, false) as chosen from s left join a using (cluster_id)) where"),
+    ]
+    return f"""with r as (select coalesce(master_id, client_id) as cluster_id, client_id, updated_at, coalesce(list_position(['partner', 'store', 'web', 'crm'], source), 0) as trust,
+    {text('name')} as name, {text('email')} as email, {text('segment')} as segment, {text('city')} as city, nation_id, balance from clients),
+  s as materialized (select *, coalesce(updated_at >= max(updated_at) over (partition by cluster_id) - interval 1440 hour, false) as fresh, (city is not null)::int + (nation_id is not null)::int as filled from r),
+  n as (select cluster_id, count(*) as n_records, count(*) filter (not fresh) as n_stale from s group by cluster_id),
+  {', '.join(parts)}
+  select cluster_id, n_records, n_stale, name, email, segment, city, nation_id, floor(100 * balance + 0.5)::bigint as balance_cents, name_from, email_from, segment_from, balance_from, address_from
+  from n left join a using (cluster_id) left join b using (cluster_id) left join c using (cluster_id) left join d using (cluster_id) left join e using (cluster_id)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality(), "op2_sharding": sharding(), "op7_jaccard_join": jaccard(), "op11_golden_records": golden_records(), "op12_line_dedup": line_dedup()}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, linededup, quality, sharding, substring, tokenfiles, warc, wordpiece
+from . import bpe, decontaminate, golden, jaccard, langid, linededup, quality, sharding, substring, tokenfiles, warc, wordpiece
 from .common import crc32_text, freed, materialize, scratch_path, table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -100,9 +100,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op11_golden_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = golden.golden(table(spark, sf_dir, "clients"), F.coalesce("master_id", "client_id"))
+    cents = F.floor(100 * F.col("balance") + 0.5).cast("long").alias("balance_cents")
+    return records.select("cluster_id", "n_records", "n_stale", "name", "email", "segment", "city", "nation_id", cents, "name_from", "email_from", "segment_from", "balance_from", "address_from")
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = linededup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.encode("lines.text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_warc_fixity, op4_substring_dedup, op5_language_id, op6_decontamination, op7_jaccard_join, op8_byte_bpe, op9_repair_files, op10_token_counts, op12_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_warc_fixity, op4_substring_dedup, op5_language_id, op6_decontamination, op7_jaccard_join, op8_byte_bpe, op9_repair_files, op10_token_counts, op11_golden_records, op12_line_dedup)}
