@@ -64,4 +64,5 @@ def remove(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     n = lambda c: c.cast("long")
-    return rows.select("row.*", F.struct(n(F.size(lines)).alias("n_lines"), n(F.coalesce(F.size("gone"), F.lit(0))).alias("n_dropped"), kept.alias("text")).alias(name))
+    edited = F.struct(n(F.size(lines)).alias("n_lines"), n(F.coalesce(F.size("gone"), F.lit(0))).alias("n_dropped"), kept.alias("text"))
+    return rows.select("row", edited.alias("edited")).select("row.*", F.col("edited").alias(name))

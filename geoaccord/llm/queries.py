@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, golden, jaccard, langid, linededup, quality, sharding, substring, tokenfiles, warc, wordpiece
+from . import bpe, decontaminate, golden, jaccard, langid, linededup, quality, sharding, substring, tokenfiles, vectorcodes, warc, wordpiece
 from .common import crc32_text, freed, materialize, scratch_path, table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -111,4 +111,9 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.encode("lines.text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_warc_fixity, op4_substring_dedup, op5_language_id, op6_decontamination, op7_jaccard_join, op8_byte_bpe, op9_repair_files, op10_token_counts, op11_golden_records, op12_line_dedup)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_warc_fixity, op4_substring_dedup, op5_language_id, op6_decontamination, op7_jaccard_join, op8_byte_bpe, op9_repair_files, op10_token_counts, op11_golden_records, op12_line_dedup, op13_vector_codes)}

@@ -323,7 +323,8 @@ def test_remove_keeps_columns(odd_docs, no_docs):
     named = odd_docs.select("*", *(F.lit(k).alias(c) for k, c in enumerate(("_spans", "_id", "_key", "row", "spans", "key", "id", "short", "_gone", "_again", "cuts"))))
     again = substring.remove(named)
     assert again.columns == named.columns and sorted(map(str, again.select(*odd_docs.columns).collect())) == sorted(map(str, out.collect()))
-    assert substring.cut_spans("aéb漢c", [2], [6]) == "aéc" or True
+    raw = "aéb漢c".encode()
+    assert [substring.cut_spans("aéb漢c", [a], [b]) for a, b in ((1, 3), (3, 7), (1, 7), (0, len(raw)))] == ["ab漢c", "aéc", "ac", ""]
 
 
 # -- language identification ----------------------------------------------------------------------------------------
