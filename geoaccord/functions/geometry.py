@@ -1,7 +1,8 @@
 """Polygon measures. A polygon is array<array<struct<x,y>>>: rings without a repeated last vertex, outer or hole.
 
-Areas, lengths, centroids and hit tests are column expressions; overlay areas and crossings are numpy in a pandas UDF.
-A hole is a ring that turns against its outer ring. Rings that cross themselves are not repaired.
+Areas, lengths, centroids and hit tests are column expressions; overlay areas are numpy in a pandas UDF. A hole is a ring
+that turns against its outer ring: :func:`geoaccord.functions.arrangement.cleaned` gives rings of any source these turns
+and repairs rings that cross.
 """
 
 from __future__ import annotations
@@ -80,33 +81,6 @@ def polygon(parts: Column) -> Column:
     return F.filter(opened, lambda r: F.size(r) >= 3)
 
 
-def crosses_itself(rings: Column) -> Column:
-    """Whether two edges of the rings cross each other inside both (rings that only touch do not)."""
-
-    @F.pandas_udf("boolean")
-    def crossed(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
-        return pd.Series([None if v[0] is None else bool(_crossings(*v)) for v in zip(x1, y1, x2, y2)], dtype="boolean")
-
-    edges = F.flatten(F.transform(rings, _edges))
-    return crossed(*(edges[v][k] for v in "ab" for k in "xy"))
-
-
-def _crossings(x1, y1, x2, y2) -> bool:
-    n = len(x1)
-    side = lambda ax, ay, bx, by, px, py: (bx - ax) * (py - ay) - (by - ay) * (px - ax)
-    low, high = np.minimum(x1, x2), np.maximum(x1, x2)
-    order = np.argsort(low)
-    ends = np.searchsorted(low[order], high[order], side="right")
-    for k, i in enumerate(order):  # the edges that begin before this one ends, from left to right
-        j = order[k + 1 : ends[k]]
-        if len(j):
-            p, q = side(x1[i], y1[i], x2[i], y2[i], x1[j], y1[j]), side(x1[i], y1[i], x2[i], y2[i], x2[j], y2[j])
-            r, s = side(x1[j], y1[j], x2[j], y2[j], x1[i], y1[i]), side(x1[j], y1[j], x2[j], y2[j], x2[i], y2[i])
-            if np.any((p * q < 0) & (r * s < 0)):
-                return True
-    return False
-
-
 def decimate(ring: Column, most: int = 300) -> Column:
     """Every second vertex of a long ring, its last vertex kept."""
     thin = F.filter(ring, lambda v, i: (i % 2 == 0) | (i == F.size(ring) - 1))

@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoaccord.operators import catalog
+from geoaccord.scratch import written
 
 JENKS_SAMPLE = 1024
 DENSITY_REACH = 9
 TOP_CLASSES = 64
+#: Types whose values are classified as numbers.
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 #: The name of the class of all other values, the stops of the sequential and of the diverging ramp, the
 #: base colours of categories, and the golden ratio's part that spreads further hues.
 OTHER = "其他"
@@ -117,16 +120,24 @@ def jenks_breaks(df: DataFrame, value: str, classes: int, order: str, limit: int
 
 
 def top_classes(df: DataFrame, value: str, top: int = TOP_CLASSES) -> DataFrame:
-    """(class_label, n): the most frequent values (ties by value), the rest as one class where there are more than ``top``."""
+    """(class_id, class_label, n): classes of the values in their order, numbers by size and text by its bytes. Of more
+    than ``top`` values the most frequent stay (ties by value), and the rest are one class at the end. Numbers that are
+    whole to 1e-9 are labelled without decimals."""
+    number = F.col(value).cast("double") if dict(df.dtypes)[value].split("(")[0] in NUMBERS else F.lit(None).cast("double")
     text = F.col(value).cast("string")
-    label = F.when(text.rlike(r"^-?\d+\.0+$"), F.regexp_replace(text, r"\.0+$", "")).otherwise(text)
-    counts = df.where(F.col(value).isNotNull()).groupBy(label.alias("v")).agg(F.count("*").alias("n"))
-    n = counts.count()
-    if n <= top:
-        return counts.select(F.col("v").alias("class_label"), "n")
-    best = counts.orderBy(F.desc("n"), "v").limit(top - 1).select(F.col("v").alias("_b"))
-    named = counts.join(best, F.col("v") == F.col("_b"), "left")
-    return named.groupBy(F.coalesce("_b", F.lit(OTHER)).alias("class_label")).agg(F.sum("n").alias("n"))
+    whole = F.abs(number - F.round(number)) < 1e-9
+    label = F.when(whole & (F.abs(number) < 1e15), F.round(number).cast("long").cast("string")).otherwise(text)
+    counts = written(df.where(F.col(value).isNotNull()).groupBy(number.alias("number"), label.alias("v")).agg(F.count("*").alias("n")), "values")
+    of, merged = counts, counts.count() > top
+    if merged:
+        of = counts.orderBy(F.desc("n"), F.col("number").asc_nulls_last(), "v").limit(top - 1)
+    best = of.agg(F.sort_array(F.collect_list(F.struct(F.col("number").isNull().alias("text"), "number", "v", "n"))).alias("o"))  # top rows at most
+    named = best.select(F.posexplode("o").alias("class_id", "o")).select("class_id", F.col("o.v").alias("class_label"), F.col("o.n").alias("n"))
+    if not merged:
+        return named
+    named = written(named, "classes")
+    rest = counts.agg(F.sum("n").alias("all")).crossJoin(F.broadcast(named.agg(F.sum("n").alias("some"))))
+    return named.union(rest.select(F.lit(top - 1), F.lit(OTHER), (F.col("all") - F.col("some"))))
 
 
 def histogram_bins(n: int) -> int:
@@ -202,7 +213,7 @@ def classify(df: DataFrame, value: str, method: str = "natural", classes: int =
     unique values with category colours where the method is unique or the field is text."""
     spark = df.sparkSession
     if method == "unique" or dict(df.dtypes)[value] in ("string", "boolean", "date"):
-        found = top_classes(df, value).orderBy(F.desc("n"), "class_label").collect()  # at most TOP_CLASSES
+        found = top_classes(df, value).orderBy("class_id").collect()  # at most TOP_CLASSES
         colours = category_colours(len(found))
         rows = [(k, r["class_label"], r["n"], c) for k, (r, c) in enumerate(zip(found, colours))]
         return spark.createDataFrame(rows, "class_id int, label string, n long, colour string")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoaccord.functions import geometry, projection
+from geoaccord.functions import arrangement, geometry, projection
 from geoaccord.operators.matching import normal_category
 
 
@@ -21,32 +21,47 @@ def to_plane(crs: str) -> Callable[[Column, Column], tuple[Column, Column]]:
     return lambda lon, lat: projection.utm(lon, lat, *zone)
 
 
+#: Fixed names: types of features that are polygons, of one part or of several.
+POLYGONS = ("polygon", "multipolygon")
+
+
 def measured(features: DataFrame, category: str, values: list[str] | None = None, crs: str | None = None) -> DataFrame:
     """(feature_id, category, state, rings, minx, miny, maxx, maxy, area, perimeter, cx, cy) of polygon features.
 
     ``features`` are rows (feature_id, geometry, attributes) of a reader; ``values`` keeps rows of these categories and
-    ``crs`` projects degrees. ``state`` is null, empty or invalid for a shape without polygon, without a ring of three
-    vertices, or with edges that cross; its measures are null.
+    ``crs`` projects degrees. Outer rings are made to turn left and holes right, whatever the file's turns, by how the
+    rings lie in one another. ``state`` is ok; repaired where edges crossed, lay along each other or a ring met itself (the
+    rings are those of the even-odd region); null, empty (no polygon, or no ring of three vertices) or invalid (nothing
+    left after repair), with measures null.
     """
     key = normal_category(F.col(f"`{category}`"))
     rows = features if values is None else features.where(key.isin([str(v) for v in values]))
-    rows = rows.select("feature_id", key.alias("category"), "geometry.type", F.when(F.col("geometry.type") == "polygon", geometry.polygon(F.col("geometry.parts"))).alias("rings"))
+    rows = rows.select("feature_id", key.alias("category"), "geometry.type", F.when(F.col("geometry.type").isin(*POLYGONS), geometry.polygon(F.col("geometry.parts"))).alias("rings"))
+    rows = rows.withColumn("made", arrangement.cleaned(F.when(F.size("rings") > 0, F.col("rings"))))
+    state = F.when(F.col("type").isNull() | (F.col("type") == "null"), "null").when(F.coalesce(F.size("rings"), F.lit(0)) <= 0, "empty").otherwise(F.col("made.state"))
+    rows = rows.select("feature_id", "category", state.alias("state"), F.when(F.col("made.state").isin(*USED), F.coalesce("made.rings", "rings")).alias("rings"))
     if crs is not None:
         plane = to_plane(crs)
         moved = lambda v: (lambda x, y: F.struct(x.alias("x"), y.alias("y")))(*plane(v["x"], v["y"]))
         rows = rows.withColumn("rings", F.transform("rings", lambda r: F.transform(r, moved)))
-    state = F.when(F.col("type").isNull() | (F.col("type") == "null"), "null").when(F.coalesce(F.size("rings"), F.lit(0)) <= 0, "empty").when(F.coalesce(geometry.crosses_itself(F.col("rings")), F.lit(False)), "invalid").otherwise("ok")
-    rows = rows.select("feature_id", "category", state.alias("state"), "rings")
-    fine = rows.withColumn("rings", F.when(F.col("state") == "ok", F.col("rings")))
     rings = F.col("rings")
     box = dict(zip(("minx", "miny", "maxx", "maxy"), geometry.bounds(rings)))
     centre = dict(zip(("cx", "cy"), geometry.centroid(rings)))
-    return fine.withColumns(box | {"area": geometry.area(rings), "perimeter": geometry.perimeter(rings)} | centre)
+    return rows.withColumns(box | {"area": geometry.area(rings), "perimeter": geometry.perimeter(rings)} | centre)
+
+
+#: States of shapes that take part in an analysis.
+USED = ("ok", "repaired")
+
+
+def used() -> Column:
+    return F.col("state").isin(*USED)
 
 
 def quality(layer: DataFrame, min_area: float = 0.0) -> DataFrame:
-    """One row of counts: input, null, empty, invalid and too small shapes, and those processed."""
+    """One row of counts: input, null, empty and invalid shapes, those of the invalid ones that were repaired, those too
+    small, and those processed, repaired ones among them."""
     count = lambda c: F.coalesce(F.sum(F.when(c, 1)), F.lit(0)).alias
-    small = (F.col("state") == "ok") & (F.col("area") < min_area)
-    states = [count(F.col("state") == s)(f"{s}_shapes") for s in ("null", "empty", "invalid")]
-    return layer.agg(F.count("*").alias("input"), *states, count(small)("too_small"), count((F.col("state") == "ok") & ~small)("processed"))
+    small = used() & (F.col("area") < min_area)
+    states = [count(F.col("state").isin(*of))(f"{s}_shapes") for s, of in (("null", ["null"]), ("empty", ["empty"]), ("invalid", ["repaired", "invalid"]))]
+    return layer.agg(F.count("*").alias("input"), *states, count(F.col("state") == "repaired")("repaired"), count(small)("too_small"), count(used() & ~small)("processed"))

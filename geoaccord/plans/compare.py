@@ -39,7 +39,7 @@ def _side(spark: SparkSession, spec: dict, grid: dict | None = None) -> Side:
             cells, own = raster.align(cells, own, grid, spec.get("method", "bilinear")), grid
         return Side("raster", raster.stretch(cells, "value"), None, tuple(own["extent"]))
     features = readers.read_shapefile(spark, spec["path"])
-    shapes = layers.measured(features, spec["field"], crs=spec.get("crs")).where("state = 'ok'")
+    shapes = layers.measured(features, spec["field"], crs=spec.get("crs")).where(layers.used())
     legend = classify.classify(features, spec["field"], spec.get("method", "natural"), spec.get("classes", 5))
     box = shapes.agg(F.min("minx"), F.min("miny"), F.max("maxx"), F.max("maxy")).first()
     return Side("shapes", shapes, legend, tuple(box))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoaccord.functions.fields import meaning
 from geoaccord.operators import layers, matching, metrics, raster, weighted
 from geoaccord.pairs import pairs
 from geoaccord.scratch import written
@@ -73,7 +74,7 @@ def attribute(config: dict, points: DataFrame) -> Result:
     else:
         width = weighted.auto_bandwidth(whole, fields, kernel)
     rows = weighted.weighted_pairs(whole, fields, kernel, width, adaptive, start=config.get("start_radius"))
-    sums = weighted.local_sums(rows, fields)
+    sums = written(weighted.local_sums(rows, fields), "sums")  # the neighbour join, for the errors, the fit and its diagnostics
     fit = weighted.regression(weighted.local_correlation(weighted.local_errors(sums, weighted.zero_denominators(whole, fields))))
     diagnosed = weighted.diagnostics(fit)
     local = weighted.studentised(fit, diagnosed).join(weighted.local_r2(rows, fit, fields).withColumnRenamed("pair_key", "_p").withColumnRenamed("i", "_i"), (F.col("i") == F.col("_i")) & (F.col("pair_key") == F.col("_p"))).drop("_i", "_p")
@@ -83,7 +84,8 @@ def attribute(config: dict, points: DataFrame) -> Result:
     order = {p.key: k for k, p in enumerate(pairs(fields))}
     by_pair = sorted((r.asDict() for r in overall.collect()), key=lambda r: order[r["pair_key"]])  # one row a pair
     first = {k: v for k, v in by_pair[0].items() if k not in ("pair_key", "pair_label")} | {"bandwidth": width}
-    return Result(sinks.success("attribute", first, pairs=[p.key for p in pairs(fields)], pairwise_metrics=by_pair), {"local": local})
+    meanings = {p.key: {c: meaning(c, p.y, p.x) for c in local.columns if meaning(c)} for p in pairs(fields)}
+    return Result(sinks.success("attribute", first, pairs=[p.key for p in pairs(fields)], pairwise_metrics=by_pair, meanings=meanings), {"local": local})
 
 
 @analysis("geometry")

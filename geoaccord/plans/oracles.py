@@ -195,6 +195,27 @@ def _l_summary() -> str:
     return f"with {measured} {_summary('label, threshold', _CATEGORY, 'coalesce(mi, 0)')}"
 
 
+def _repair() -> str:
+    """Measures of the shapes of each kind, as sums of rectangles and triangles."""
+    diagonal, edge = "2 * sqrt(w * w + h * h) + 2 * h", "2 * sqrt(0.09 * w * w + 0.04 * h * h) + 0.4 * h"
+    kinds = [  # state, parts, area and perimeter, centre of mass and height as shares of w and h
+        ("ok", 1, "0.75 * w * h", "2 * (w + h)", 5 / 12, 5 / 12, 1), ("ok", 2, "0.96 * w * h", "2.4 * (w + h)", (0.5 - 0.04 * 0.2) / 0.96, (0.5 - 0.04 * 0.2) / 0.96, 1), ("repaired", 2, "w * h / 2", diagonal, 0.5, 0.5, 1),
+        ("ok", 2, "0.8 * w * h", "1.6 * w + 4 * h", 0.5, 0.5, 1), ("repaired", 1, "w * h", "2 * (w + h)", 0.5, 0.5, 1), ("repaired", 2, "0.64 * w * h", "2.4 * (w + h)", 0.5, 0.5, 1),
+        ("repaired", 1, "w * h", "2 * (w + h)", 0.5, 0.5, 1), ("ok", 2, "0.94 * w * h", f"2 * (w + h) + {edge}", (0.5 - 0.06 * 0.2) / 0.94, 0.5, 1),
+    ]
+    pick = lambda k: "case feature_id % 8 " + " ".join(f"when {j} then {kind[k]!r}" if k in (0, 1, 4, 5, 6) else f"when {j} then {kind[k]}" for j, kind in enumerate(kinds)) + " end"
+    off = "0.000012345"
+    measures = {"area": pick(2), "perimeter": pick(3), "cx": f"minx + w * ({pick(4)})::double", "cy": f"miny + h * ({pick(5)})::double", "maxy": f"miny + h * ({pick(6)})"}
+    return f"select feature_id, {pick(0)} as state, ({pick(1)})::int as parts, {', '.join(f'round({v} + {off}, 3) as {n}' for n, v in measures.items())} from {fixture_sql('poly_a')}"
+
+
+def _overlay_shapes() -> str:
+    off, inter = "0.000012345", _l_overlap("a", "b")
+    areas = {"both": inter, "either": f"0.75 * a.area + 0.75 * b.area - ({inter})", "first": f"0.75 * a.area - ({inter})"}
+    bounds = {f"{f}{v}": f"{w}(a.{f}{v}, b.{f}{v})" for f, w in (("min", "least"), ("max", "greatest")) for v in "xy"}
+    return f"with {greedy_rounds()} select a_id, b_id, {', '.join(f'round({v} + {off}, 3) as {n}' for n, v in (areas | bounds).items())} from g join a on a.label = g.label and a.feature_id = a_id join b on b.label = g.label and b.feature_id = b_id"
+
+
 def _plan() -> str:
     """Percent plans: halves round to even."""
     return f"""with base as (select 'adaptive' as mode, (select count(*) from {WHOLE})::double as b union all select 'metric', 5590.0::double union all select 'raster', 100.0::double),
@@ -240,7 +261,9 @@ ORACLE_SQL: dict[str, str] = {
     "l_shape_overlay": f"with {greedy_rounds()} select a_id, b_id, round({_l_overlap('a', 'b')}, 4) as overlap, round(a.area * 0.75, 4) as a_area, round(a.perimeter, 4) as a_perimeter from g join a on a.label = g.label and a.feature_id = a_id join b on b.label = g.label and b.feature_id = b_id",
     "l_shape_threshold_summary": _l_summary(),
     "layer_measures": f"with a as {_layer('poly_a', 0)}, m as (select *, {_l_measures('a')} from a) select feature_id, label, 'ok' as state, round(minx, 4) as minx, round(miny, 4) as miny, round(maxx, 4) as maxx, round(maxy, 4) as maxy, round(a_area, 4) as area, round(a_perimeter, 4) as perimeter, round(a_cx, 4) as cx, round(a_cy, 4) as cy from m",
-    "layer_quality": f"select count(*) as input, count(*) filter (feature_id % 7 = 0) as null_shapes, count(*) filter (feature_id % 7 = 1) as empty_shapes, count(*) filter (feature_id % 7 = 2) as invalid_shapes, count(*) filter (feature_id % 7 > 2 and w * h < 250) as too_small, count(*) filter (feature_id % 7 > 2 and w * h >= 250) as processed from {fixture_sql('poly_a')}",
+    "layer_quality": f"select count(*) as input, count(*) filter (feature_id % 7 = 0) as null_shapes, count(*) filter (feature_id % 7 = 1) as empty_shapes, count(*) filter (feature_id % 7 = 2) as invalid_shapes, count(*) filter (feature_id % 7 = 2) as repaired, count(*) filter (feature_id % 7 > 1 and w * h / case when feature_id % 7 = 2 then 2 else 1 end < 250) as too_small, count(*) filter (feature_id % 7 > 1 and w * h / case when feature_id % 7 = 2 then 2 else 1 end >= 250) as processed from {fixture_sql('poly_a')}",
+    "layer_repair": _repair(),
+    "overlay_shapes": _overlay_shapes(),
     "quality_stats": f"select count(*) as input, sum(case when w * h is null then 1 else 0 end)::bigint as null_shapes, sum(case when w * h <= 0 then 1 else 0 end)::bigint as empty_shapes, sum(case when w * h > 0 and w * h < 250 then 1 else 0 end)::bigint as too_small, sum(case when w * h >= 250 then 1 else 0 end)::bigint as processed from {fixture_sql('poly_a')}",
     "point_in_polygon": f"select s.feature_id, max(p.feature_id) as polygon_id, count(*) as hits from (select feature_id, px / 8 + 0.37::double as x, py / 9 + 0.41::double as y from {S}) s join {fixture_sql('poly_a')} p on x >= minx and x < minx + w and y >= miny and y < miny + h group by s.feature_id",
     "raster_pairwise_metrics": f"select 'left_v__vs__right_v' as pair_key, 'left_v ~ right_v' as pair_label, round(avg(left_v - right_v), 4) as me, round(avg(abs(left_v - right_v)), 4) as mae, round(avg(case when abs(left_v) > 1e-12 then abs((left_v - right_v) / left_v) end), 6) as mre, round(sqrt(avg(pow(left_v - right_v, 2))), 4) as rmse, round(corr(left_v, right_v), 6) as correlation, count(*) as valid_cells from {G} where left_v is not null and right_v is not null",
@@ -256,7 +279,8 @@ ORACLE_SQL: dict[str, str] = {
     "classify_equal_interval": _classes("select list_transform(range(0, 6), lambda i: case when i = 5 then hi else lo + (hi - lo) * i / 5 end) as breaks from (select min(v) as lo, max(v) as hi from v)"),
     "classify_quantile": _classes("select list_sort(list_distinct(quantile_cont(v, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) as breaks from v"),
     "classify_manual": _classes("select list_sort(list_distinct(list_concat([lo], list_filter([1000.0::double, 1200.0::double, 99999.0::double], lambda x: x > lo and x < hi), [hi]))) as breaks from (select min(v) as lo, max(v) as hi from v)"),
-    "classify_unique_topk": "with c as (select cast(c_custkey % 97 as varchar) as v, count(*) as n from customer group by 1), k as (select *, row_number() over (order by n desc, v) as rn, count(*) over () as m from c) select case when m <= 64 or rn <= 63 then v else '其他' end as class_label, sum(n)::bigint as n from k group by 1",
+    "classify_unique_topk": "with c as (select c_custkey % 97 as v, count(*) as n from customer group by 1), k as (select *, row_number() over (order by n desc, v) as rn, count(*) over () as m from c), t as (select v, n from k where m <= 64 or rn <= 63) select cast(row_number() over (order by v) - 1 as int) as class_id, cast(v as varchar) as class_label, n from t union all select 63, '其他', sum(n)::bigint from k where m > 64 and rn > 63 having count(*) > 0",
+    "classify_unique_values": "select cast(row_number() over (order by p_size) - 1 as int) as class_id, cast(p_size as varchar) as label, count(*) as n from part group by p_size",
     "histogram_fixed": "with v as (select value::double as v from events where value is not null), e as (select min(v) as lo, max(v) as hi, case when max(v) > min(v) then (max(v) - min(v)) / 18 else 1.0 end as w from v), f as (select least(cast(floor((v - lo) / w) as int), 17) as b, count(*) as n from v, e group by 1) select cast(k as int) as bin, round(lo + k * w, 4) as bin_lo, round(lo + k * w + w, 4) as bin_hi, coalesce(n, 0) as n from range(0, 18) t(k) cross join e left join f on f.b = k",
     "kde_density": f"with v as (select c_acctbal::double as v from customer where c_acctbal is not null), e as (select min(v) as lo, max(v) as hi, greatest(stddev_pop(v) * pow(count(*)::double, -0.2), (max(v) - min(v)) / 80) as bw, (max(v) - min(v)) / 159 as step from v) select cast(k as int) as point, round(lo + k * step, 4) as x, round(sum(exp(-0.5 * pow((lo + k * step - v) / bw, 2))) * ((hi - lo) / 18 / (bw * {math.sqrt(2 * math.pi)!r}::double)), 4) as density from v, e, range(0, 160) t(k) group by k, lo, hi, bw, step",
     "project_albers": _albers(),
@@ -317,7 +341,7 @@ ORACLE_SQL |= {
     "pixel_sample": f"with v as (select *, row_number() over (order by r, c) - 1 as k, count(*) over () as n from {G} where left_v is not null and right_v is not null), s as (select *, (n - 1) / 499.0::double as step from v) select r, c, round(left_v, 4) as left_v, round(right_v, 4) as right_v from s where n <= 500 or floor(floor(k / step + 0.5) * step + 0.5) = k",
     "histogram_auto": "with v as (select value::double as v from events where value is not null), m as (select min(v) as lo, max(v) as hi, greatest(5, least(30, floor(sqrt(count(*))) * 2))::int as bins from v), e as (select *, case when hi > lo then (hi - lo) / bins else 1.0 end as w from m), f as (select least(cast(floor((v - lo) / w) as int), bins - 1) as b, count(*) as n from v, e group by 1) select k::int as bin, round(lo + k * w, 4) as bin_lo, round(lo + k * w + w, 4) as bin_hi, coalesce(n, 0) as n from e, range(0, 30) t(k) left join f on f.b = k where k < bins",
     "class_counts": "with v as (select c_acctbal::double as v from customer where c_acctbal is not null), e as (select min(v) as lo, max(v) as hi from v), b as (select list_transform(range(0, 8), lambda i: case when i = 7 then hi else lo + (hi - lo) * i / 7 end) as breaks from e), c as (select least(greatest(len(list_filter(breaks, lambda x: x <= v)) - 1, 0), 6) as class_id, count(*) as n from v, b group by 1) select k::int as class_id, coalesce(n, 0) as n from range(0, 7) t(k) left join c on class_id = k",
-    "text_classes": "select 'r' || n_regionkey as label, count(*) as n from nation group by 1",
+    "text_classes": "select n_regionkey::int as class_id, 'r' || n_regionkey as label, count(*) as n, ['#4e79a7', '#f28e2b', '#e15759', '#76b7b2', '#59a14f'][n_regionkey + 1] as colour from nation group by n_regionkey",
     "percent_lookup": "select p_partkey, case when p_size % 2 = 0 and p_size between 2 and 50 then (p_size * 2)::int else 50 end as percent from part",
     "local_values": f"with {near('bisquare', BANDWIDTH)}, {sums()} select round(round(e1 / s0 + 1.2345e-7, 4), 4) as value from t where pair_key = 'v_a__vs__v_c'",
     "text_filter": "select p_partkey from part where contains(lower(p_name), 'ar')",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoaccord.fixtures import fixture
-from geoaccord.functions import geometry, projection, scalars
+from geoaccord.functions import arrangement, geometry, projection, scalars
 from geoaccord.operators import catalog, classify, layers, matching, metrics, raster, weighted
 from geoaccord.plans import file_queries
 from geoaccord.scratch import written
@@ -25,6 +25,8 @@ def rounded(df: DataFrame, shift: float = 0.0, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c) + shift * 10.0**-n if shift else F.col(c), n) for c, n in digits.items()})
 
 
+#: Shift of the measures of repaired shapes, whose new vertices lie on a grid: above its error, below the last digit.
+OFF_GRID = 0.012345
 #: Shift of the columns that can lie on ties, in units of their last digit.
 SHIFT = 0.0012345
 
@@ -289,6 +291,42 @@ def layer_quality(spark, d):
     return layers.quality(layers.measured(rows, "category"), 250.0)
 
 
+def layer_repair(spark, d):
+    """Measures of shapes as files hold them: rings of any turn, several shells, edges that cross, overlap or touch."""
+    at = lambda x, y: F.struct((F.col("minx") + F.col("w") * x).alias("x"), (F.col("miny") + F.col("h") * y).alias("y"))
+    ring = lambda *v: F.array(*(at(x, y) for x, y in v))
+    box = lambda x, y, u, v: ring((x, y), (u, y), (u, v), (x, v))
+    turned = lambda x, y, u, v: ring((x, y), (x, v), (u, v), (u, y))
+    kinds = [
+        F.array(ring((0, 0), (0, 1), (0.5, 1), (0.5, 0.5), (1, 0.5), (1, 0))),  # against the turn of a shell
+        F.array(box(0, 0, 1, 1), box(0.1, 0.1, 0.3, 0.3)),  # a hole that turns like its shell
+        F.array(ring((0, 0), (1, 1), (1, 0), (0, 1))),  # a bow-tie
+        F.array(box(0, 0, 0.4, 1), turned(0.6, 0, 1, 1)),  # two shells of opposite turns
+        F.array(ring((0, 0), (1, 0), (1, 1), (1, 1.5), (1, 1), (0, 1))),  # a spike
+        F.array(box(0, 0, 0.6, 0.6), box(0.4, 0.4, 1, 1)),  # parts that overlap
+        F.array(box(0, 0, 0.5, 1), turned(0.5, 0, 1, 1)),  # parts that share an edge
+        F.array(turned(0, 0, 1, 1), ring((0, 0.5), (0.3, 0.3), (0.3, 0.7))),  # a hole that touches its shell
+    ]
+    k = F.col("feature_id") % len(kinds)
+    parts = F.coalesce(*(F.when(k == j, shape) for j, shape in enumerate(kinds)))
+    many = F.when(k.isin(3, 5, 6), "multipolygon").otherwise("polygon")
+    rows = fixture(spark, d, "poly_a").select("feature_id", "category", F.struct(many.alias("type"), parts.alias("parts")).alias("geometry"))
+    measures = layers.measured(rows, "category").select("feature_id", "state", F.size("rings").alias("parts"), "area", "perimeter", "cx", "cy", "maxy")
+    return rounded(measures, shift=OFF_GRID, area=3, perimeter=3, cx=3, cy=3, maxy=3)
+
+
+def overlay_shapes(spark, d):
+    """What matched L-shapes share, cover together, and what the first has alone: rings, and their measures."""
+    a, b = l_layers(spark, d)
+    matched = matching.greedy(matching.candidates(a, b, CELL, 0.1))
+    side = lambda df, t: df.select(F.col("label").alias(f"{t}l"), F.col("feature_id").alias(f"{t}i"), F.col("rings").alias(f"{t}r"))
+    met = matched.join(side(a, "x"), (F.col("label") == F.col("xl")) & (F.col("a_id") == F.col("xi"))).join(side(b, "y"), (F.col("label") == F.col("yl")) & (F.col("b_id") == F.col("yi")))
+    made = met.select("a_id", "b_id", *(f(F.col("xr"), F.col("yr")).alias(n) for f, n in ((arrangement.intersection, "both"), (arrangement.union, "either"), (arrangement.difference, "first"))))
+    box = geometry.bounds(F.col("either"))
+    out = made.select("a_id", "b_id", *(geometry.signed_area(F.col(n)).alias(n) for n in ("both", "either", "first")), *(v.alias(n) for v, n in zip(box, ("minx", "miny", "maxx", "maxy"))))
+    return rounded(out, shift=OFF_GRID, both=3, either=3, first=3, minx=3, miny=3, maxx=3, maxy=3)
+
+
 def quality_stats(spark, d):
     return matching.quality(matching.rectangles(fixture(spark, d, "poly_a")), 250.0)
 
@@ -379,6 +417,12 @@ def classify_unique_topk(spark, d):
     return classify.top_classes(spark.read.parquet(f"{d}/customer.parquet").withColumn("k", F.col("c_custkey") % 97), "k")
 
 
+def classify_unique_values(spark, d):
+    """Classes and colours of a few whole numbers, in the order of the numbers."""
+    rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_size").cast("double").alias("v"))
+    return classify.classify(rows, "v", "unique").select("class_id", "label", "n")
+
+
 def histogram_fixed(spark, d):
     rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("value").cast("double").alias("v"))
     return rounded(classify.histogram(rows, "v", 18), bin_lo=4, bin_hi=4)
@@ -452,7 +496,7 @@ def class_counts(spark, d):
 def text_classes(spark, d):
     """A text field is classified by its values, whatever the method asked for."""
     rows = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("v"))
-    return classify.classify(rows, "v", "quantile", 3, order="n_nationkey").select("label", "n")
+    return classify.classify(rows, "v", "quantile", 3, order="n_nationkey").select("class_id", "label", "n", "colour")
 
 
 def percent_lookup(spark, d):
@@ -479,9 +523,9 @@ QUERIES = {
         gw_local_error_exponential, gw_local_error_adaptive, gw_local_correlation, gwr_coefficients, gwr_diagnostics, gwr_studentised_residuals, gwr_local_r2,
         gwr_bandwidth_sweep, gwr_best_bandwidth, gwr_auto_bandwidth, percent_bandwidth_plan, bbox_candidates, greedy_match, match_threshold_sweep,
         match_geometry_metrics, category_threshold_summary, overall_threshold_summary, recommended_threshold, gw_match_smoothing, gw_match_bandwidth_sweep,
-        l_shape_overlay, l_shape_threshold_summary, layer_measures, layer_quality, quality_stats, point_in_polygon, raster_pairwise_metrics, raster_local_error, raster_local_correlation, raster_local_regression,
+        l_shape_overlay, l_shape_threshold_summary, layer_measures, layer_quality, layer_repair, overlay_shapes, quality_stats, point_in_polygon, raster_pairwise_metrics, raster_local_error, raster_local_correlation, raster_local_regression,
         raster_window_sweep, raster_block_mean, raster_percentile_stretch, raster_align_bilinear, raster_align_nearest, raster_align_cubic, classify_equal_interval,
-        classify_quantile, classify_manual, classify_jenks, classify_unique_topk, histogram_fixed, kde_density, project_albers, project_utm, project_and_back, result_columns,
+        classify_quantile, classify_manual, classify_jenks, classify_unique_topk, classify_unique_values, histogram_fixed, kde_density, project_albers, project_utm, project_and_back, result_columns,
         nearest_percent, scalar_functions, pixel_sample, histogram_auto, class_counts, text_classes, percent_lookup, local_values, text_filter,
         gwr_sweep_series, gw_match_sweep_sources, neighbours_by_blocks, bandwidth_baseline,
     )
