@@ -68,9 +68,33 @@ def _in_pieces(files: DataFrame, cut, decode, schema: T.StructType) -> DataFrame
     return apart.mapInPandas(rows, schema)
 
 
+def part_of(spark: SparkSession, path: str, offset: int, n: int) -> bytes:
+    """Up to ``n`` bytes of a file from an offset, by the file system of its path; the rest of the file is not read."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    n = min(n, store.getFileStatus(target).getLen() - offset)
+    if n <= 0:
+        return b""
+    held = store.open(target)
+    try:
+        held.seek(offset)
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(held, int(n)))
+    finally:
+        held.close()
+
+
 def first_bytes(spark: SparkSession, path: str, n: int = 4096) -> bytes:
-    got = content(spark, path).select(F.substring("content", 1, n).alias("b")).first()
-    return bytes(got[0]) if got and got[0] is not None else b""
+    return part_of(spark, path, 0, n)
+
+
+def decodes(raw: bytes, encoding: str) -> bool:
+    """Whether bytes that may end inside a character decode."""
+    try:
+        codecs.getincrementaldecoder(encoding)().decode(raw)
+        return True
+    except UnicodeDecodeError:
+        return False
 
 
 def detect_encoding(head: bytes) -> str:
@@ -79,13 +103,25 @@ def detect_encoding(head: bytes) -> str:
         return "utf-8-sig"
     if head[:2] in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE):
         return "utf-16"
-    for name in ("utf-8", "gb18030"):
-        try:
-            codecs.getincrementaldecoder(name)().decode(head)  # a cut character at the end is no error
-            return name
-        except UnicodeDecodeError:
-            continue
-    return "latin-1"
+    return next((name for name in ("utf-8", "gb18030") if decodes(head, name)), "latin-1")
+
+
+def file_encoding(spark: SparkSession, path: str) -> str:
+    """The encoding of a text file by all of its bytes: by its byte-order mark, else the first of UTF-8 and GB 18030 that
+    every line decodes as, else Latin-1. Lines are checked where they lie: no character of either holds a line feed."""
+    named = detect_encoding(first_bytes(spark, path, 4))
+    if named in ("utf-8-sig", "utf-16"):
+        return named
+    lines = spark.read.option("lineSep", "\n").text(path)
+    if lines.where(~F.is_valid_utf8("value")).isEmpty():
+        return "utf-8"
+
+    def wrong(batches):
+        for batch in batches:
+            yield batch[[not decodes(bytes(v), "gb18030") for v in batch["value"]]]
+
+    bytes_of = lines.where(~F.is_valid_utf8("value")).select(F.col("value").cast("binary").alias("value"))
+    return "gb18030" if bytes_of.mapInPandas(wrong, "value binary").isEmpty() else "latin-1"
 
 
 def coordinate_columns(names: list[str]) -> tuple[str, str] | None:
@@ -96,9 +132,9 @@ def coordinate_columns(names: list[str]) -> tuple[str, str] | None:
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool = True) -> DataFrame:
-    """Text columns of a CSV with a header; short rows are padded with the empty text, blank lines are skipped. Quoted
+    """Text columns of a CSV with a header, in the encoding that all its lines have; short rows are padded with the empty text, blank lines are skipped. Quoted
     values may span lines, so a file is one task; without ``multi_line`` a file is split."""
-    encoding = encoding or detect_encoding(first_bytes(spark, path))
+    encoding = encoding or file_encoding(spark, path)
     if encoding not in SPARK_NAMES:
         return _read_decoded(spark, path, encoding)
     rows = spark.read.option("header", True).option("encoding", SPARK_NAMES[encoding]).option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path)
@@ -292,7 +328,7 @@ def read_dbf(spark: SparkSession, path: str, encoding: str | None = None, keep_d
     head = first_bytes(spark, path, 32 + 32 * 256)
     _, _, _, fields = dbf_header(head)
     if encoding is None:
-        encoding = _code_page(spark, path) or detect_encoding(first_bytes(spark, path, 1 << 16)[dbf_header(head)[1] :])
+        encoding = _code_page(spark, path) or _table_encoding(spark, path, dbf_header(head)[1])
     schema = T.StructType([T.StructField("feature_id", T.LongType()), *[T.StructField(n if n != "feature_id" else "feature_id_", dbf_type(k, d)) for n, k, _, d in fields]])
 
     def cut(raw: bytes):
@@ -316,6 +352,16 @@ def read_dbf(spark: SparkSession, path: str, encoding: str | None = None, keep_d
     return _in_pieces(content(spark, path), cut, decode, schema)
 
 
+def _table_encoding(spark: SparkSession, path: str, begin: int) -> str:
+    """The encoding that all records of a table have, told where the file is read."""
+
+    def told(batches):
+        for batch in batches:
+            yield pd.DataFrame({"encoding": [detect_encoding(bytes(raw)[begin:]) for raw in batch["content"]]})
+
+    return content(spark, path).select("content").mapInPandas(told, "encoding string").first()[0]
+
+
 def _code_page(spark: SparkSession, path: str) -> str | None:
     try:
         text = first_bytes(spark, re.sub(r"\.\w+$", ".cpg", path), 64).decode("ascii", "ignore").strip().lower()
@@ -418,20 +464,6 @@ def _geopackage(raw: bytes, table: str | None = None) -> dict:
     return {"table": row[0], "extent": list(row[1:5]), "crs": f"{srs[0]}:{srs[1]}" if srs else None, "geometry_type": kind, "fields": fields, "records": count}
 
 
-def tiff_header(raw: bytes) -> dict:
-    """Width, height and bands of the first directory of a TIFF."""
-    order = {b"II": "<", b"MM": ">"}.get(raw[:2])
-    if order is None or struct.unpack(order + "H", raw[2:4])[0] != 42:
-        raise ValueError("not a TIFF")
-    at = struct.unpack(order + "I", raw[4:8])[0]
-    n, tags = struct.unpack(order + "H", raw[at : at + 2])[0], {}
-    for k in range(n):
-        entry = raw[at + 2 + 12 * k : at + 14 + 12 * k]
-        tag, kind, _ = struct.unpack(order + "HHI", entry[:8])
-        tags[tag] = struct.unpack(order + ("H" if kind == 3 else "I"), entry[8:10] if kind == 3 else entry[8:12])[0]
-    return {"width": tags.get(256), "height": tags.get(257), "bands": tags.get(277, 1)}
-
-
 def ascii_header(text: str) -> dict:
     """Header of an ASCII grid; centre registration is moved to the corner."""
     fields = {}
@@ -558,7 +590,9 @@ def _metadata(spark: SparkSession, path: str, kind: str) -> dict:
         found = _geopackage(bytes(content(spark, path).first()["content"]))
         return {k: found[k] for k in ("records", "fields", "geometry_type", "extent", "crs")} | {"data_type": "geometry"}
     if kind == "tiff":
-        head = tiff_header(first_bytes(spark, path, 1 << 16))
-        return {"data_type": "raster", "records": head["width"] * head["height"], "fields": [f"band_{k + 1}" for k in range(head["bands"])]}
+        from geoaccord.sources import tiff
+
+        head = tiff.read_info(spark, path)
+        return {"data_type": "raster", "records": head["width"] * head["height"], "fields": [f"band_{k + 1}" for k in range(head["bands"])], "extent": head["extent"], "crs": f"EPSG:{head['epsg']}" if head["epsg"] else None}
     head = ascii_header(first_bytes(spark, path, 1 << 16).decode("ascii", "replace"))
     return {"data_type": "raster", "records": head["cols"] * head["rows"], "fields": ["band_1"], "extent": head["extent"]}

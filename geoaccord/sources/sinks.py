@@ -61,7 +61,7 @@ def write_tiff(cells: DataFrame, path: str, info: dict, value: str = "value") ->
     grid = np.full((info["height"], info["width"]), np.nan)
     for row in cells.where(F.col(value).isNotNull()).select("r", "c", F.col(value).cast("double").alias("v")).toLocalIterator():
         grid[row["r"], row["c"]] = row["v"]
-    write_bytes(cells.sparkSession, path, tiff.encode(grid, (info["extent"][0], info["extent"][3]), info["cell"][0], info["epsg"]))
+    write_bytes(cells.sparkSession, path, tiff.encode(grid, (info["extent"][0], info["extent"][3]), tuple(info["cell"]), info["epsg"]))
 
 
 def write_geometry_run(result, config: dict, path: str, seconds: float) -> dict[str, str]:

@@ -12,45 +12,69 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from geoaccord.sources.readers import content, first_bytes
+from geoaccord.sources.readers import content, first_bytes, part_of
 
 #: Struct codes of the field types, and the names of tags that are used here.
-TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
-TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 273: "strip_offsets", 277: "samples", 278: "rows_per_strip", 279: "strip_sizes", 317: "predictor", 322: "tile_width", 323: "tile_height", 324: "tile_offsets", 325: "tile_sizes", 339: "format", 33550: "scale", 33922: "tie", 34735: "geo_keys", 42113: "nodata"}
-HEAD_BYTES = 1 << 20
-
-
-def directory(raw: bytes) -> dict:
-    """Tags of the first directory by name, values as lists; ``order`` is the byte order."""
-    order = {b"II": "<", b"MM": ">"}.get(raw[:2])
-    if order is None or struct.unpack(order + "H", raw[2:4])[0] != 42:
+TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q", 17: "q", 18: "Q"}
+TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 266: "fill_order", 273: "strip_offsets", 277: "samples", 278: "rows_per_strip", 279: "strip_sizes", 284: "planar", 317: "predictor", 322: "tile_width", 323: "tile_height", 324: "tile_offsets", 325: "tile_sizes", 339: "format", 33550: "scale", 33922: "tie", 34264: "transform", 34735: "geo_keys", 42113: "nodata"}
+#: Bytes that are read of a directory at first.
+HEAD_BYTES = 1 << 16
+
+
+def directory(read) -> dict:
+    """Tags of the first directory by name, values as lists; ``order`` is the byte order. ``read`` gives bytes by (offset,
+    size), so that a directory anywhere in a large file needs no more of it. Both classic and big TIFF."""
+    head = read(0, 16)
+    order = {b"II": "<", b"MM": ">"}.get(head[:2])
+    version = struct.unpack(order + "H", head[2:4])[0] if order and len(head) >= 8 else None
+    if version not in (42, 43):
         raise ValueError("not a TIFF")
-    at = struct.unpack(order + "I", raw[4:8])[0]
-    found = {"order": order}
-    for k in range(struct.unpack_from(order + "H", raw, at)[0]):
-        tag, kind, n = struct.unpack_from(order + "HHI", raw, at + 2 + 12 * k)
+    word, count, size, room = ("Q", "Q", 20, 8) if version == 43 else ("I", "H", 12, 4)
+    at = struct.unpack_from(order + word, head, 8 if version == 43 else 4)[0]
+    first = struct.calcsize(count)
+    n = struct.unpack(order + count, read(at, first))[0]
+    table, found = read(at + first, n * size), {"order": order}
+    for k in range(n):
+        tag, kind = struct.unpack_from(order + "HH", table, size * k)
+        values = struct.unpack_from(order + word, table, size * k + 4)[0]
         if tag not in TAGS or kind not in TYPES:
             continue
-        code = order + TYPES[kind] * n
-        place = at + 10 + 12 * k if struct.calcsize(code) <= 4 else struct.unpack_from(order + "I", raw, at + 10 + 12 * k)[0]
-        found[TAGS[tag]] = list(struct.unpack_from(code, raw, place))
+        code = order + TYPES[kind] * values
+        long = struct.calcsize(code)
+        place = size * k + 4 + room
+        raw = table[place : place + long] if long <= room else read(struct.unpack_from(order + word, table, place)[0], long)
+        found[TAGS[tag]] = list(struct.unpack(code, raw))
     return found
 
 
-def info(raw: bytes) -> dict:
-    """Size, bands, no-data value, cell size, extent and EPSG code (None where the file has none)."""
-    tags = directory(raw)
+def _within(raw: bytes):
+    return lambda offset, n: raw[offset : offset + n]
+
+
+def info(read) -> dict:
+    """Size, bands, no-data value, cell size, extent and EPSG code (None where the file has none). A place that refers to
+    the middle of a pixel is moved to its corner; a turned grid raises."""
+    tags = directory(read)
     width, height = tags["width"][0], tags["height"][0]
     nodata = b"".join(tags["nodata"]).split(b"\0")[0].strip() if "nodata" in tags else b""
     out = {"width": width, "height": height, "bands": tags.get("samples", [1])[0], "nodata": float(nodata) if nodata else None, "cell": None, "extent": None, "epsg": None}
-    if "scale" in tags and "tie" in tags:
-        (dx, dy), (i, j, _, x, y) = tags["scale"][:2], tags["tie"][:5]
-        left, top = x - i * dx, y + j * dy
-        out |= {"cell": (dx, dy), "extent": [left, top - height * dy, left + width * dx, top]}
-    keys = tags.get("geo_keys", [])
+    keys, middle = tags.get("geo_keys", []), False
     for k in range(4, len(keys) - 3, 4):
         if keys[k] in (2048, 3072) and keys[k + 1] == 0:  # geographic and projected reference systems
             out["epsg"] = keys[k + 3]
+        middle |= keys[k] == 1025 and keys[k + 3] == 2
+    corner = None
+    if "scale" in tags and "tie" in tags:
+        (dx, dy), (i, j, _, x, y) = tags["scale"][:2], tags["tie"][:5]
+        corner = x - i * dx, y + j * dy
+    elif "transform" in tags:
+        dx, turn, _, x, other, dy, _, y = tags["transform"][:8]
+        if turn or other:
+            raise ValueError("a turned grid is not read")
+        dy, corner = -dy, (x, y)
+    if corner:
+        left, top = (corner[0] - dx / 2, corner[1] + dy / 2) if middle else corner
+        out |= {"cell": (dx, dy), "extent": [left, top - height * dy, left + width * dx, top]}
     return out
 
 
@@ -80,27 +104,49 @@ def unpack_lzw(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def blocks(raw: bytes):
-    """(first row, first column, array (rows, columns, bands)) of every strip or tile."""
-    tags = directory(raw)
+def _undone(data: bytes, predictor: int, dtype: np.dtype, shape: tuple[int, int, int]) -> np.ndarray:
+    """The samples of a block (rows, columns, bands) from the differences that a predictor left of each row: of whole
+    samples (2, floats as whole numbers of their size), or of the bytes of floats, most significant ones first (3)."""
+    rows, columns, bands = shape
+    if predictor == 3:
+        size = dtype.itemsize
+        flat = np.frombuffer(data, np.uint8, rows * columns * bands * size).reshape(rows, columns * size, bands)
+        planes = np.cumsum(flat, axis=1, dtype=np.uint8).reshape(rows, size, columns * bands)
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(dtype.newbyteorder(">")).reshape(shape)
+    cells = np.frombuffer(data, dtype, rows * columns * bands).reshape(shape)
+    if predictor == 2:
+        whole = cells.view(f"{dtype.byteorder if dtype.itemsize > 1 else '|'}u{dtype.itemsize}")
+        plain = np.cumsum(whole, axis=1, dtype=f"u{dtype.itemsize}")
+        return plain.view(dtype.newbyteorder("="))
+    return cells
+
+
+def blocks(raw: bytes, band: int = 1):
+    """(first row, first column, array (rows, columns)) of every strip or tile of a band. What is not undone here raises."""
+    tags = directory(_within(raw))
     width, height, bands = tags["width"][0], tags["height"][0], tags.get("samples", [1])[0]
-    bits, kind, packing = tags.get("bits", [8])[0], tags.get("format", [1])[0], tags.get("compression", [1])[0]
-    if packing not in (1, 5, 8, 32946) or bits not in (8, 16, 32, 64):
-        raise ValueError(f"TIFF compression {packing} with {bits} bits is not read")
+    bits, kind, packing, predictor = (tags.get(n, [d])[0] for n, d in (("bits", 8), ("format", 1), ("compression", 1), ("predictor", 1)))
+    if packing not in (1, 5, 8, 32946) or bits not in (8, 16, 32, 64) or len(set(tags.get("bits", [8]))) > 1:
+        raise ValueError(f"TIFF compression {packing} with {tags.get('bits')} bits is not read")
+    if kind not in (1, 2, 3) or predictor not in (1, 2, 3) or tags.get("fill_order", [1])[0] != 1 or predictor == 3 and kind != 3:
+        raise ValueError(f"TIFF samples of format {kind} with predictor {predictor} are not read")
+    if not 1 <= band <= bands:
+        raise ValueError(f"there are {bands} bands")
     dtype = np.dtype(f"{tags['order']}{ {1: 'u', 2: 'i', 3: 'f'}[kind] }{bits // 8}")
-    tiled = "tile_offsets" in tags
+    tiled, apart = "tile_offsets" in tags, tags.get("planar", [1])[0] == 2 and bands > 1
     wide, high = (tags["tile_width"][0], tags["tile_height"][0]) if tiled else (width, min(height, tags.get("rows_per_strip", [height])[0]))
     places = list(zip(tags["tile_offsets" if tiled else "strip_offsets"], tags["tile_sizes" if tiled else "strip_sizes"]))
     across = -(-width // wide)
+    if apart:  # a band has blocks of its own
+        of = len(places) // bands
+        places = places[(band - 1) * of : band * of]
     for k, (offset, size) in enumerate(places):
         r, c = k // across * high, k % across * wide
         data = raw[offset : offset + size]
         data = data if packing == 1 else unpack_lzw(data) if packing == 5 else zlib.decompress(data)
         rows = high if tiled else min(high, height - r)
-        cells = np.frombuffer(data, dtype, rows * wide * bands).reshape(rows, wide, bands)
-        if tags.get("predictor", [1])[0] == 2:
-            cells = np.cumsum(cells, axis=1, dtype=dtype.newbyteorder("="))
-        yield r, c, cells[: height - r, : width - c]
+        cells = _undone(data, predictor, dtype, (rows, wide, 1 if apart else bands))
+        yield r, c, cells[: height - r, : width - c, 0 if apart else band - 1]
 
 
 def read_tiff(spark: SparkSession, path: str, band: int = 1) -> DataFrame:
@@ -111,9 +157,9 @@ def read_tiff(spark: SparkSession, path: str, band: int = 1) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"]):
                 raw = bytes(data)
-                nodata = info(raw)["nodata"]
-                for r, c, cells in blocks(raw):
-                    value = cells[:, :, band - 1].astype(float)
+                nodata = info(_within(raw))["nodata"]
+                for r, c, cells in blocks(raw, band):
+                    value = cells.astype(float)
                     value = np.where(np.isfinite(value) & (value != (np.nan if nodata is None else nodata)), value, np.nan)
                     row, column = np.indices(value.shape)
                     frame = pd.DataFrame({"path": name, "r": (row + r).ravel().astype(np.int32), "c": (column + c).ravel().astype(np.int32)})
@@ -124,11 +170,14 @@ def read_tiff(spark: SparkSession, path: str, band: int = 1) -> DataFrame:
 
 
 def read_info(spark: SparkSession, path: str) -> dict:
-    return info(first_bytes(spark, path, HEAD_BYTES))
+    head = first_bytes(spark, path, HEAD_BYTES)
+    return info(lambda offset, n: head[offset : offset + n] if offset + n <= len(head) else part_of(spark, path, offset, n))
 
 
-def encode(cells: np.ndarray, origin: tuple[float, float], cell: float, epsg: int, nodata: float = -9999.0, rows_per_strip: int = 16) -> bytes:
-    """A deflated single-band GeoTIFF of 32-bit floats, its upper left corner at ``origin``; NaN is written as no-data."""
+def encode(cells: np.ndarray, origin: tuple[float, float], cell: float | tuple[float, float], epsg: int, nodata: float = -9999.0, rows_per_strip: int = 16) -> bytes:
+    """A deflated single-band GeoTIFF of 32-bit floats, its upper left corner at ``origin``, its cells as wide and
+    high as ``cell`` (one number: square ones); NaN is written as no-data."""
+    across, down = cell if isinstance(cell, tuple) else (cell, cell)
     height, width = cells.shape
     data = np.where(np.isnan(cells), nodata, cells).astype("<f4")
     strips = [zlib.compress(data[k : k + rows_per_strip].tobytes()) for k in range(0, height, rows_per_strip)]
@@ -137,7 +186,7 @@ def encode(cells: np.ndarray, origin: tuple[float, float], cell: float, epsg: in
     mark = f"{nodata:g}".encode() + b"\0"
     entries = [
         (256, "I", [width]), (257, "I", [height]), (258, "H", [32]), (259, "H", [8]), (262, "H", [1]), (273, "I", [0] * len(strips)), (277, "H", [1]), (278, "I", [rows_per_strip]), (279, "I", [len(s) for s in strips]),
-        (339, "H", [3]), (33550, "d", [cell, cell, 0.0]), (33922, "d", [0.0, 0.0, 0.0, origin[0], origin[1], 0.0]), (34735, "H", keys), (42113, "c", [mark[k : k + 1] for k in range(len(mark))]),
+        (339, "H", [3]), (33550, "d", [across, down, 0.0]), (33922, "d", [0.0, 0.0, 0.0, origin[0], origin[1], 0.0]), (34735, "H", keys), (42113, "c", [mark[k : k + 1] for k in range(len(mark))]),
     ]
     kinds = {code: kind for kind, code in TYPES.items()}
     begin = 8 + 2 + 12 * len(entries) + 4
