@@ -2,34 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoaccord.functions import arrangement, geometry, projection
+from geoaccord.functions import arrangement, geometry
+from geoaccord.functions.crs import transform
 from geoaccord.operators.matching import normal_category
 
 
-def to_plane(crs: str) -> Callable[[Column, Column], tuple[Column, Column]]:
-    """The projection of degrees named ``albers`` or by the EPSG code of a UTM zone; other names raise."""
-    if crs.lower() == "albers":
-        return projection.albers
-    zone = projection.zone_of(int(crs.split(":")[-1])) if crs.split(":")[-1].isdigit() else None
-    if zone is None:
-        raise ValueError(f"no projection for {crs}")
-    return lambda lon, lat: projection.utm(lon, lat, *zone)
-
-
 #: Fixed names: types of features that are polygons, of one part or of several.
 POLYGONS = ("polygon", "multipolygon")
 
 
-def measured(features: DataFrame, category: str, values: list[str] | None = None, crs: str | None = None) -> DataFrame:
+def measured(features: DataFrame, category: str, values: list[str] | None = None, crs=None, source=4326) -> DataFrame:
     """(feature_id, category, state, rings, minx, miny, maxx, maxy, area, perimeter, cx, cy) of polygon features.
 
     ``features`` are rows (feature_id, geometry, attributes) of a reader; ``values`` keeps rows of these categories and
-    ``crs`` projects degrees. Outer rings are made to turn left and holes right, whatever the file's turns, by how the
+    ``crs`` moves shapes from the system ``source`` to another one (:func:`geoaccord.functions.crs.system`). Outer rings are made to turn left and holes right, whatever the file's turns, by how the
     rings lie in one another. ``state`` is ok; repaired where edges crossed, lay along each other or a ring met itself (the
     rings are those of the even-odd region); null, empty (no polygon, or no ring of three vertices) or invalid (nothing
     left after repair), with measures null.
@@ -41,8 +30,7 @@ def measured(features: DataFrame, category: str, values: list[str] | None = None
     state = F.when(F.col("type").isNull() | (F.col("type") == "null"), "null").when(F.coalesce(F.size("rings"), F.lit(0)) <= 0, "empty").otherwise(F.col("made.state"))
     rows = rows.select("feature_id", "category", state.alias("state"), F.when(F.col("made.state").isin(*USED), F.coalesce("made.rings", "rings")).alias("rings"))
     if crs is not None:
-        plane = to_plane(crs)
-        moved = lambda v: (lambda x, y: F.struct(x.alias("x"), y.alias("y")))(*plane(v["x"], v["y"]))
+        moved = lambda v: (lambda x, y: F.struct(x.alias("x"), y.alias("y")))(*transform(source, crs, v["x"], v["y"]))
         rows = rows.withColumn("rings", F.transform("rings", lambda r: F.transform(r, moved)))
     rings = F.col("rings")
     box = dict(zip(("minx", "miny", "maxx", "maxy"), geometry.bounds(rings)))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoaccord.functions import projection
+from geoaccord.functions.crs import transform
 from geoaccord.operators.catalog import spaced_sample
 from geoaccord.operators.metrics import raster_metrics
 
 EPSILON = 1e-12
+#: Points along each side of a grid whose bounds are found in another system.
+EDGE_POINTS = 32
 
 
 def check_window(size: int) -> int:
@@ -160,17 +162,29 @@ def preflight(infos: list[dict]) -> None:
 
 
 def align(source: DataFrame, own: dict, target: dict, method: str = "bilinear") -> DataFrame:
-    """(r, c, value) of ``source`` on the grid of another raster, also in another reference system (WGS 84 degrees and UTM
-    zones): the centres of its cells are taken to the plane of the source."""
+    """(r, c, value) of ``source`` on the grid of another raster, also in another reference system (that of an EPSG code in
+    ``epsg``, or any in ``crs``): the centres of its cells are taken to the plane of the source."""
     width, height = target["width"], target["height"]
     grid = source.sparkSession.range(width * height).select(F.floor(F.col("id") / width).cast("int").alias("r"), (F.col("id") % width).cast("int").alias("c"))
     (dx, dy), (sx, sy) = target["cell"], own["cell"]
     x, y = target["extent"][0] + (F.col("c") + 0.5) * dx, target["extent"][3] - (F.col("r") + 0.5) * dy
-    if own["epsg"] != target["epsg"]:
-        x, y = projection.plane_of(own["epsg"])(*projection.plane_of(target["epsg"], degrees=True)(x, y))
+    there, here = (info.get("crs") or info["epsg"] for info in (target, own))
+    if there != here:
+        x, y = transform(there, here, x, y)
     return resample(grid, source, "value", (own["extent"][3] - y) / sy - 0.5, (x - own["extent"][0]) / sx - 0.5, method)
 
 
+def grid_in(spark, own: dict, crs) -> dict:
+    """A grid in another reference system of as many cells over the bounds of a raster, by points along its sides."""
+    xmin, ymin, xmax, ymax = own["extent"]
+    at = [k / EDGE_POINTS for k in range(EDGE_POINTS + 1)]
+    edge = [(xmin + u * (xmax - xmin), ymin + v * (ymax - ymin)) for t in at for u, v in ((t, 0.0), (t, 1.0), (0.0, t), (1.0, t))]
+    x, y = transform(own.get("crs") or own["epsg"], crs, F.col("x"), F.col("y"))
+    box = spark.createDataFrame(edge, "x double, y double").select(x.alias("x"), y.alias("y")).agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    cell = ((box[2] - box[0]) / own["width"], (box[3] - box[1]) / own["height"])
+    return {"width": own["width"], "height": own["height"], "bands": 1, "nodata": None, "cell": cell, "extent": list(box), "epsg": None, "crs": crs}
+
+
 def overlay(layers: dict[str, DataFrame], value: str = "value") -> DataFrame:
     """(r, c, one column a layer) of rasters (r, c, value) on one grid; cells that a raster lacks are null."""
     rows = None

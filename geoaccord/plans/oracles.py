@@ -195,6 +195,24 @@ def _l_summary() -> str:
     return f"with {measured} {_summary('label, threshold', _CATEGORY, 'coalesce(mi, 0)')}"
 
 
+def _systems() -> str:
+    """Snyder's formulas of the ellipsoidal cone and cylinder, with the co-latitude's tangent."""
+    e2 = lambda inverse: f"(2 / {inverse}::double - 1 / {inverse}::double / {inverse}::double)"
+    clarke, krassovsky = e2(294.978698213898), e2(298.3)
+    t = lambda phi, e: f"(tan(pi() / 4 - {phi} / 2) / pow((1 - sqrt({e}) * sin({phi})) / (1 + sqrt({e}) * sin({phi})), sqrt({e}) / 2))"
+    m = lambda phi, e: f"(cos({phi}) / sqrt(1 - {e} * pow(sin({phi}), 2)))"
+    one, two, origin = "radians(24::double)", "radians(38::double)", "radians(30::double)"
+    cone = f"n as (select (ln({m(one, clarke)}) - ln({m(two, clarke)})) / (ln({t(one, clarke)}) - ln({t(two, clarke)})) as n), k as (select n, {m(one, clarke)} / (n * pow({t(one, clarke)}, n)) as f from n)"
+    rho = lambda phi: f"(6378206.4::double * f * pow({t(phi, clarke)}, n))"
+    foot, scale = "0.3048006096012192::double", m("radians(42::double)", krassovsky)
+    columns = {
+        "lambert_x": f"({rho('phi')} * sin(n * radians(lon - 112.5))) / {foot} + 500000", "lambert_y": f"({rho(origin)} - {rho('phi')} * cos(n * radians(lon - 112.5))) / {foot} + 100000",
+        "mercator_x": f"6378245 * {scale} * radians(lon - 51)", "mercator_y": f"-6378245 * {scale} * ln({t('phi', krassovsky)})", "web_x": "6378137 * radians(lon)", "web_y": "6378137 * ln(tan(pi() / 4 + phi / 2))",
+    }
+    listed = ", ".join(f"round({v}, 2) as {name}" for name, v in columns.items())
+    return f"with p as (select c_custkey, 110 + (c_custkey % 97) / 16.0::double as lon, 20 + (c_custkey % 89) / 4.0::double as lat, radians(20 + (c_custkey % 89) / 4.0::double) as phi from customer), {cone} select c_custkey, {listed}, round(lon, 8) as lon, round(lat, 8) as lat from p, k"
+
+
 def _repair() -> str:
     """Measures of the shapes of each kind, as sums of rectangles and triangles."""
     diagonal, edge = "2 * sqrt(w * w + h * h) + 2 * h", "2 * sqrt(0.09 * w * w + 0.04 * h * h) + 0.4 * h"
@@ -284,6 +302,7 @@ ORACLE_SQL: dict[str, str] = {
     "histogram_fixed": "with v as (select value::double as v from events where value is not null), e as (select min(v) as lo, max(v) as hi, case when max(v) > min(v) then (max(v) - min(v)) / 18 else 1.0 end as w from v), f as (select least(cast(floor((v - lo) / w) as int), 17) as b, count(*) as n from v, e group by 1) select cast(k as int) as bin, round(lo + k * w, 4) as bin_lo, round(lo + k * w + w, 4) as bin_hi, coalesce(n, 0) as n from range(0, 18) t(k) cross join e left join f on f.b = k",
     "kde_density": f"with v as (select c_acctbal::double as v from customer where c_acctbal is not null), e as (select min(v) as lo, max(v) as hi, greatest(stddev_pop(v) * pow(count(*)::double, -0.2), (max(v) - min(v)) / 80) as bw, (max(v) - min(v)) / 159 as step from v) select cast(k as int) as point, round(lo + k * step, 4) as x, round(sum(exp(-0.5 * pow((lo + k * step - v) / bw, 2))) * ((hi - lo) / 18 / (bw * {math.sqrt(2 * math.pi)!r}::double)), 4) as density from v, e, range(0, 160) t(k) group by k, lo, hi, bw, step",
     "project_albers": _albers(),
+    "project_systems": _systems(),
     "project_utm": _utm(),
     "result_columns": f"with {near('bisquare', BANDWIDTH)}, {sums()} select s.feature_id, round(s.v_a, 4) as v_a, round(e1 / s0 + 1.2345e-7, 4) as lme, round(case when s0 is not null then sqrt(greatest(0, e3 / s0)) end + 1.2345e-7, 4) as lrmse from {S} s left join (select * from t where pair_key = 'v_a__vs__v_c') t on t.i = s.feature_id",
     "nearest_percent": "select p_partkey, v, p as nearest from (select p_partkey, v, p, row_number() over (partition by p_partkey order by abs(p - v), p) as rn from (select p_partkey, p_size * 2.0::double as v from part), (select (k * 5)::double as p from range(1, 21) t(k))) where rn = 1",

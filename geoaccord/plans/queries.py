@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoaccord.fixtures import fixture
-from geoaccord.functions import arrangement, geometry, projection, scalars
+from geoaccord.functions import arrangement, crs, geometry, projection, scalars
 from geoaccord.operators import catalog, classify, layers, matching, metrics, raster, weighted
 from geoaccord.plans import file_queries
 from geoaccord.scratch import written
@@ -455,6 +455,20 @@ def project_utm(spark, d):
     return _degrees(spark, d).select("c_custkey", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
 
 
+#: Systems of other datums and methods, as files name them.
+LAMBERT = 'PROJCS["Lambert",GEOGCS["g",DATUM["d",SPHEROID["Clarke 1866",6378206.4,294.978698213898]],PRIMEM["Greenwich",0],UNIT["Degree",0.0174532925199433]],PROJECTION["Lambert_Conformal_Conic"],PARAMETER["False_Easting",500000],PARAMETER["False_Northing",100000],PARAMETER["Central_Meridian",112.5],PARAMETER["Standard_Parallel_1",24],PARAMETER["Standard_Parallel_2",38],PARAMETER["Latitude_Of_Origin",30],UNIT["Foot_US",0.3048006096012192]]'
+MERCATOR = 'PROJCS["Mercator",GEOGCS["g",DATUM["d",SPHEROID["Krassovsky",6378245,298.3]],PRIMEM["Greenwich",0],UNIT["Degree",0.0174532925199433]],PROJECTION["Mercator_2SP"],PARAMETER["standard_parallel_1",42],PARAMETER["central_meridian",51],UNIT["metre",1]]'
+
+
+def project_systems(spark, d):
+    """Points in systems of three projections by their WKT or code, and back to degrees from the cone."""
+    rows = _degrees(spark, d)
+    at = {name: crs.project(crs.system(given), F.col("lon"), F.col("lat")) for name, given in (("lambert", LAMBERT), ("mercator", MERCATOR), ("web", 3857))}
+    back = crs.transform(LAMBERT, 4326, *at["lambert"])
+    names = [v.alias(f"{name}_{k}") for name, found in at.items() for v, k in zip(found, "xy")]
+    return rounded(rows.select("c_custkey", *names, back[0].alias("lon"), back[1].alias("lat")), **{f"{name}_{k}": 2 for name in at for k in "xy"}, lon=8, lat=8)
+
+
 def result_columns(spark, d):
     """Source rows with the local errors of one pair by feature, null where a row was incomplete."""
     points = fixture(spark, d, "sites")
@@ -525,7 +539,7 @@ QUERIES = {
         match_geometry_metrics, category_threshold_summary, overall_threshold_summary, recommended_threshold, gw_match_smoothing, gw_match_bandwidth_sweep,
         l_shape_overlay, l_shape_threshold_summary, layer_measures, layer_quality, layer_repair, overlay_shapes, quality_stats, point_in_polygon, raster_pairwise_metrics, raster_local_error, raster_local_correlation, raster_local_regression,
         raster_window_sweep, raster_block_mean, raster_percentile_stretch, raster_align_bilinear, raster_align_nearest, raster_align_cubic, classify_equal_interval,
-        classify_quantile, classify_manual, classify_jenks, classify_unique_topk, classify_unique_values, histogram_fixed, kde_density, project_albers, project_utm, project_and_back, result_columns,
+        classify_quantile, classify_manual, classify_jenks, classify_unique_topk, classify_unique_values, histogram_fixed, kde_density, project_albers, project_utm, project_and_back, project_systems, result_columns,
         nearest_percent, scalar_functions, pixel_sample, histogram_auto, class_counts, text_classes, percent_lookup, local_values, text_filter,
         gwr_sweep_series, gw_match_sweep_sources, neighbours_by_blocks, bandwidth_baseline,
     )

@@ -69,11 +69,19 @@ def _in_pieces(files: DataFrame, cut, decode, schema: T.StructType) -> DataFrame
 
 
 def part_of(spark: SparkSession, path: str, offset: int, n: int) -> bytes:
-    """Up to ``n`` bytes of a file from an offset, by the file system of its path; the rest of the file is not read."""
+    """Up to ``n`` bytes of a file (of a folder: of its first file with content) from an offset, by the file system of its
+    path; the rest is not read."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    n = min(n, store.getFileStatus(target).getLen() - offset)
+    found = store.getFileStatus(target)
+    if found.isDirectory():
+        inside = [f for f in store.listStatus(target) if f.isFile() and f.getLen() and f.getPath().getName()[:1] not in "._"]
+        if not inside:
+            return b""
+        found = min(inside, key=lambda f: f.getPath().getName())
+        target = found.getPath()
+    n = min(n, found.getLen() - offset)
     if n <= 0:
         return b""
     held = store.open(target)
