@@ -53,7 +53,7 @@ def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     freed(spark)
     warc.copy(spark, *paths, damaged)
     one, two = (materialize(warc.leaves(spark, path), "leaves") for path in paths)
-    found = warc.audit(one, two).select(F.col("file").alias("_f"), F.col("seq").alias("_s"), F.col("state").alias("_state"))
+    found = warc.audit(one, two).where("state <> 'extra'").select(F.col("file").alias("_f"), F.col("seq").alias("_s"), F.col("state").alias("_state"))
     joined = one.join(found, (F.col("file") == F.col("_f")) & (F.col("seq") == F.col("_s")), "left").withColumn("state", F.coalesce("_state", F.lit("intact")))
     joined = joined.where((F.col("record_id") != warc.INDEX_ID) | (F.col("state") != "intact"))
     return joined.select(F.expr("try_cast(record_id as bigint)").alias("page_id"), "file", "seq", "offset", "length", F.col("hash").alias("sha256"), "state")

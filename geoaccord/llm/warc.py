@@ -11,7 +11,8 @@ bytes the next member that the index knows is looked for: a damaged file costs o
 index records are leaves like the others.
 
 Cases: a null URL or body is written as the empty one; repeated rows are records of their own; an empty table gives
-no file and equal roots; a record that one replica lacks is ``missing`` or ``extra``; of a file without a readable index
+no file and equal roots; a record that one replica lacks is ``missing`` or ``extra``, also where it was
+never written, and those behind it are intact; of a file without a readable index
 (another writer's, or both copies are hit) the members, or the records of plain text, are taken as they follow one
 another, and a stretch that cannot be read is one record; other columns are ignored.
 """
@@ -24,7 +25,7 @@ import json
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, session
@@ -271,7 +272,8 @@ def _parents(nodes: DataFrame, fan_out: int) -> DataFrame:
 
 
 def audit(one: DataFrame, two: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
-    """(file, seq, state) of the records that differ between two replicas: damaged, missing (in two) or extra."""
+    """(file, seq, state) of the records that differ between two replicas: damaged, missing (in two) or extra (the place is
+    that in two). The trees lead to the places that differ; the records there are aligned by hash and id."""
     tops = [t.agg(F.coalesce(F.max("seq"), F.lit(0)), F.coalesce(F.max("file"), F.lit(0))).first() for t in (one, two)]
     inside, over = (_height(max(t[k] for t in tops) + 1, fan_out) for k in (0, 1))
     trees = [materialize(tree(t, inside, fan_out), "trees") for t in (one, two)]
@@ -295,9 +297,32 @@ def audit(one: DataFrame, two: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
     for level in range(inside - 1, -1, -1):
         children = F.flatten(F.transform("at", lambda i: F.sequence(i * fan_out, i * fan_out + (fan_out - 1))))
         met = met.withColumn("at", F.filter(children, differ(level)))
-    leaf = lambda side: F.get(F.get(F.col(side), F.lit(0)), F.col("seq"))
-    met = met.select(F.coalesce("f0", "f1").alias("file"), F.explode("at").alias("seq"), "l0", "l1").select("file", F.col("seq").cast("long").alias("seq"), leaf("l0").alias("h1"), leaf("l1").alias("h2"))
-    return met.select("file", "seq", F.when(F.col("h2").isNull(), "missing").when(F.col("h1").isNull(), "extra").otherwise("damaged").alias("state"))
+    places = materialize(met.select(F.coalesce("f0", "f1").alias("_f"), F.explode("at").alias("_s")), "places")
+    return _aligned(*(t.join(places, (F.col("file") == F.col("_f")) & (F.col("seq") == F.col("_s")), "left_semi") for t in (one, two)))
+
+
+def _aligned(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(file, seq, state) of the leaves at places that differ. Equal hashes of a file are one record that has moved, in
+    the order of their places; of the rest those of equal ids are one record that was damaged, and others are missing or
+    extra. Copies of an index that name other records than the other replica's, as they must behind a missing or an extra
+    one, are no damage while they agree with one another."""
+    sides = []
+    for k, side in enumerate((one, two)):
+        number = lambda key: F.row_number().over(Window.partitionBy("file", key).orderBy("seq"))
+        sides.append(materialize(side.select(F.col("file").alias(f"f{k}"), F.col("seq").alias(f"s{k}"), F.col("record_id").alias(f"id{k}"), F.col("hash").alias(f"h{k}"), number("hash").alias(f"n{k}")), "differing"))
+    rest = []
+    for k, own in enumerate(sides):
+        other = sides[1 - k].select(F.col(f"f{1 - k}").alias("_f"), F.col(f"h{1 - k}").alias("_h"), F.col(f"n{1 - k}").alias("_n"))
+        left = own.join(other, (F.col(f"f{k}") == F.col("_f")) & (F.col(f"h{k}") == F.col("_h")) & (F.col(f"n{k}") == F.col("_n")), "left_anti")
+        rest.append(left.withColumn(f"n{k}", F.row_number().over(Window.partitionBy(f"f{k}", f"id{k}").orderBy(f"s{k}"))))
+    c = F.col
+    met = rest[0].join(rest[1], (c("f0") == c("f1")) & c("id0").eqNullSafe(c("id1")) & (c("n0") == c("n1")), "full").where("h0 is not null or h1 is not null")
+    state = F.when(c("h1").isNull(), "missing").when(c("h0").isNull(), "extra").otherwise("damaged")
+    found = materialize(met.select(F.coalesce("f0", "f1").alias("file"), F.coalesce("s0", "s1").alias("seq"), state.alias("state"), F.coalesce("id0", "id1").eqNullSafe(INDEX_ID).alias("index"), "h0", "h1"), "found")
+    changed = found.where("not index and state <> 'damaged'").select(c("file").alias("_f")).distinct()
+    agreed = found.where("index").groupBy("file").agg(F.min(c("state") == "damaged").alias("whole"), F.countDistinct("h0").alias("a"), F.countDistinct("h1").alias("b"))
+    renamed = agreed.where("whole and a = 1 and b = 1").join(changed, c("file") == c("_f"), "left_semi").select(c("file").alias("_f"))
+    return found.join(renamed, (c("file") == c("_f")) & c("index"), "left_anti").select("file", "seq", "state")
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", file_bytes: int = FILE_BYTES) -> DataFrame:
