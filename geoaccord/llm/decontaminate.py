@@ -5,8 +5,8 @@ least one piece unchanged, so exact piece hits (Aho-Corasick over all pieces) gi
 edit distance verifies the window around each (Myers 1999; Wu & Manber 1992). Texts and items are compared lower-cased
 and with runs of white space as one space.
 
-Cases: null and empty texts match nothing, and so do null items and items without a word; items under ``min_chars``
-have no budget and match whole words only; items with a null id are searched and give null ids; repeated rows give
+Cases: null and empty texts match nothing, and so do null items and items without a word; items so short that
+the rate gives them no edit match whole words only; items with a null id are searched and give null ids; repeated rows give
 equal rows; an empty table on either side gives an empty result; other columns are ignored (:func:`matches`) or kept
 (:func:`flag`, which replaces one named as its result).
 """
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import Shared, session, worker_state
 
-#: Edits allowed for each character of an item, and the shortest item that has any.
-ERROR_RATE, MIN_CHARS = 0.08, 30
+#: Edits allowed for each character of an item.
+ERROR_RATE = 0.08
 #: Characters of items in one search block; a larger benchmark is searched in several blocks.
 BLOCK_CHARS = 8_000_000
 
@@ -67,11 +67,11 @@ def myers(masks: dict[str, int], m: int, text: str, k: int) -> tuple[int, int] |
 class Matcher:
     """Searches texts for a block of items (id, normal text)."""
 
-    def __init__(self, items: list[tuple[int | None, str]], rate: float, min_chars: int = MIN_CHARS):
-        self.items, self.min_chars = [], min_chars
+    def __init__(self, items: list[tuple[int | None, str]], rate: float):
+        self.items = []
         found: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            k = budget(text, rate) if len(text) >= min_chars else 0
+            k = budget(text, rate)
             masks: dict[str, int] = {}
             for i, c in enumerate(text):
                 masks[c] = masks.get(c, 0) | 1 << i
@@ -95,7 +95,7 @@ class Matcher:
             for item, at in uses:
                 _, m, k, _, _ = self.items[item]
                 begin = end + 1 - size - at
-                if m < self.min_chars:
+                if k == 0:
                     if (begin == 0 or text[begin - 1] == " ") and text[end + 1 : end + 2] in ("", " "):
                         whole_words.setdefault(item, end + 1)
                     continue
@@ -135,21 +135,21 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int):
         yield block
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, end) of every row and item that match; ``end`` counts in the normal text."""
     spark = session(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, distance int, end int"
     out = None
     for block in blocks(benchmark, item_id, item_text, block_chars):
-        part = rows.mapInArrow(_search(Shared(spark, block), rate, min_chars), schema)
+        part = rows.mapInArrow(_search(Shared(spark, block), rate), schema)
         out = part if out is None else out.union(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def _search(shared, rate: float, min_chars: int):
+def _search(shared, rate: float):
     def run(batches):
-        matcher = worker_state("decontaminate", (shared.key, rate, min_chars), lambda: Matcher(shared.value, rate, min_chars))
+        matcher = worker_state("decontaminate", (shared.key, rate), lambda: Matcher(shared.value, rate))
         for batch in batches:
             found = [(i, *hit) for i, text in enumerate(batch.column(1)) for hit in matcher.find(text.as_py())]
             at = pa.array([f[0] for f in found], pa.int64())
@@ -158,19 +158,19 @@ def _search(shared, rate: float, min_chars: int):
     return run
 
 
-def flag(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out_col: str = "contaminated", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def flag(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", out_col: str = "contaminated", item_id: str = "item_id", item_text: str = "text", rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with a boolean column: whether a row's text holds any item."""
     spark = session(docs.sparkSession)
     hit = F.lit(False)
     for block in blocks(benchmark, item_id, item_text, block_chars):
-        hit = hit | _holds(Shared(spark, block), rate, min_chars)(F.col(text_col))
+        hit = hit | _holds(Shared(spark, block), rate)(F.col(text_col))
     return docs.withColumn(out_col, hit)
 
 
-def _holds(shared, rate: float, min_chars: int):
+def _holds(shared, rate: float):
     @F.pandas_udf("boolean")
     def held(text: pd.Series) -> pd.Series:
-        matcher = worker_state("decontaminate", (shared.key, rate, min_chars), lambda: Matcher(shared.value, rate, min_chars))
+        matcher = worker_state("decontaminate", (shared.key, rate), lambda: Matcher(shared.value, rate))
         return pd.Series([bool(matcher.find(t)) for t in text.where(text.notna(), None)], dtype=bool)
 
     return held

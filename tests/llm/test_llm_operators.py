@@ -172,6 +172,29 @@ def test_warc_stored_damage(spark):
     assert got == {(0, 0, "damaged"), (0, 4, "damaged"), (0, 7, "damaged"), (1, 2, "damaged"), (2, 3, "damaged"), (3, cut, "missing"), (4, 2, "missing"), (5, 1, "damaged"), (5, last[5] - 1, "damaged")}
 
 
+def test_warc_records_that_were_never_written(spark):
+    """A record that a replica was written without is missing alone, one that it has besides is extra; damage elsewhere in
+    the same file, repeated records and a hit index are told apart."""
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i // 2} " * (i % 9)) for i in range(100)] + [(7, "u", "twice")] * 3, "page_id long, url string, html string")
+    records = warc.archive(pages, file_bytes=1 << 20)
+    records = spark.createDataFrame(records.collect(), records.schema)
+    one, two, three, four = (scratch_path(spark, "r") for _ in range(4))
+    warc.write(records, one)
+    warc.write(records.where("seq <> 10"), two)
+    warc.write(records.where("seq not in (3, 8, 21)").withColumn("record", F.when(F.col("seq") == 60, F.regexp_replace("record", "text/html", "text/htmX")).otherwise(F.col("record"))), three)
+    audited = lambda a, b: sorted(tuple(r) for r in warc.audit(warc.leaves(spark, a), warc.leaves(spark, b), 4).collect())
+    assert audited(one, two) == [(0, 10, "missing")] and audited(two, one) == [(0, 10, "extra")]
+    # Of the equal records 8 to 10 the last one counts as missing.
+    assert audited(one, three) == [(0, 3, "missing"), (0, 10, "missing"), (0, 21, "missing"), (0, 60, "damaged")]
+    warc.copy(spark, two, four)
+    file = next(pathlib.Path(four.removeprefix("file://")).glob("file=0/part-*.txt"))
+    raw, at = bytearray(file.read_bytes()), warc.leaves(spark, four).where("record_id = '<urn:index>'").agg(F.min("offset")).first()[0]
+    raw[at + 30] ^= 1
+    file.write_bytes(raw)
+    (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    assert {r[2] for r in audited(one, four)} == {"missing", "damaged"} and (0, 10, "missing") in audited(one, four)
+
+
 def test_warc_tree(spark):
     """Roots are those of a tree in plain Python."""
     rng = random.Random(9)
@@ -429,11 +452,24 @@ def test_matches_brute_force():
 
 
 def test_short_items():
-    """Items under the least length match whole words without any edit; items with a null id are searched."""
-    matcher = decontaminate.Matcher([(1, "two words"), (None, "ab"), (3, "c")], 0.1)
+    """Items without an edit by the rate match whole words, longer ones within their edits at every length; items with a
+    null id are searched."""
+    matcher = decontaminate.Matcher([(1, "two words"), (None, "ab"), (3, "c"), (4, "the answer is 42")], 0.1)
     found = lambda t: sorted((i, d) for i, d, _ in matcher.find(t) if i) + [(i, d) for i, d, _ in matcher.find(t) if i is None]
     assert found("these are two  WORDS") == [(1, 0)] and found("two wordsx ab") == [(None, 0)] and found("xab c") == [(3, 0)]
     assert found("abc two word s") == [] and found("") == [] and found(None) == []
+    assert found("so the answr is 42!") == [(4, 1)] and found("the answer is 42") == [(4, 0)] and found("the answer was 43") == []
+    rng = random.Random(2)
+    for n in range(10, 34):
+        item = decontaminate.normal("".join(rng.choice("abcde") for _ in range(n)))
+        own = decontaminate.Matcher([(0, item)], 0.08)
+        for _ in range(20):
+            t = list(item)
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(len(t))] = rng.choice(["", "z", "ab"])
+            text, k = decontaminate.normal("yy " + "".join(t) + " yy"), decontaminate.budget(item, 0.08)
+            want = f" {item} " in f" {text} " if k == 0 else least_distance(item, text) <= k
+            assert bool(own.find(text)) == want
 
 
 def test_matches_tables(spark, sf, odd_docs, no_docs):

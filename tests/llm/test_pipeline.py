@@ -34,7 +34,10 @@ def expected(docs, items, model):
     cut = word_spans(docs)
     docs = [(i, substring.cut_spans(t, *zip(*cut[i, t])) if (i, t) in cut else t) for i, t in docs]
     docs = [(i, t) for i, t in docs if WORD.search(t)]
-    near = lambda text, item: len(item) >= decontaminate.MIN_CHARS and least_distance(item, decontaminate.normal(text)) <= decontaminate.budget(item)
+    def near(text, item):
+        text, edits = " ".join(text.lower().split()), len(item) * 8 // 100
+        return least_distance(item, text) <= edits if edits else f" {item} " in f" {text} "
+
     return [(i, t) for i, t in docs if not any(near(t, item) for _, item in items)]
 
 
