@@ -8,6 +8,7 @@ back with ``reader = 'fallback'`` and a warning.
 from __future__ import annotations
 
 import codecs
+import csv
 import io
 import json
 import os
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoaccord.functions.scalars import sheet_size
+from geoaccord.sources import splitting
 
 #: Fixed names: column names, lower-cased, that hold coordinates.
 X_NAMES = ("x", "lon", "lng", "long", "longitude", "经度", "easting", "east", "coordx")
@@ -140,9 +142,12 @@ def coordinate_columns(names: list[str]) -> tuple[str, str] | None:
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool = True) -> DataFrame:
-    """Text columns of a CSV with a header, in the encoding that all its lines have; short rows are padded with the empty text, blank lines are skipped. Quoted
-    values may span lines, so a file is one task; without ``multi_line`` a file is split."""
+    """Text columns of a CSV with a header, in the encoding that all its lines have; short rows are padded with the empty
+    text, blank lines are skipped. Quoted values may span lines (:func:`splitting.quoted_records` cuts a file in many tasks);
+    without ``multi_line`` Spark's own reader takes the lines. A file in UTF-16 is one task."""
     encoding = encoding or file_encoding(spark, path)
+    if multi_line and encoding != "utf-16":
+        return _read_quoted(spark, path, encoding)
     if encoding not in SPARK_NAMES:
         return _read_decoded(spark, path, encoding)
     rows = spark.read.option("header", True).option("encoding", SPARK_NAMES[encoding]).option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path)
@@ -154,20 +159,44 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multi_
     return with_id(rows.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names]).where(some))
 
 
-def _read_decoded(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """The rows of :func:`read_csv` for an encoding that Spark's reader does not know, with the same rules."""
-    import csv
+def _csv_rows(text: str):
+    return (row for row in csv.reader(io.StringIO(text, newline="")) if any(map(str.strip, row)))
+
+
+#: Bytes of which a record without any value consists.
+_BLANK = re.compile(rb'[\s,"]*')
+
+
+def _read_quoted(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """The rows of :func:`read_csv`; the first record of each file is its header."""
+    blank = lambda raw: bool(_BLANK.fullmatch(raw)) and not any(True for _ in _csv_rows(raw.decode("ascii", "replace")))
+    records = splitting.quoted_records(spark, path, blank)
+    head, size = [], 1 << 16
+    while not head and (raw := first_bytes(spark, path, size)):  # a header may be long
+        found = list(_csv_rows(raw.decode(encoding, "replace").removeprefix("\ufeff")))
+        head = found[:1] if len(found) > 1 or len(raw) < size else []
+        size *= 4
+    names = [n.strip() for n in head[0]] if head else []
+    rows = records.where("within > 0").select((F.col("feature_id") - F.col("files")).alias("feature_id"), "text")
+    columns = ["k", *(f"c{k}" for k in range(len(names)))]  # names of a file may be equal, or that of the number
+
+    def decode(batches):
+        for batch in batches:
+            found = [next(_csv_rows(bytes(raw).decode(encoding, "replace")), []) for raw in batch["text"]]
+            wide = [(row + [""] * len(names))[: len(names)] for row in found]
+            yield pd.DataFrame([(k, *row) for k, row in zip(batch["feature_id"], wide)], columns=columns)
 
-    def records(raw: bytes):
-        text = io.StringIO(raw.decode(encoding, "replace").removeprefix("\ufeff"), newline="")
-        return (row for row in csv.reader(text) if any(map(str.strip, row)))
+    return rows.mapInPandas(decode, ", ".join(["k long", *(f"{c} string" for c in columns[1:])])).toDF("feature_id", *names)
 
-    names = [n.strip() for n in next(records(first_bytes(spark, path, 1 << 16)), [])]
+
+def _read_decoded(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """The rows of :func:`read_csv` for an encoding that Spark's reader does not know, with the same rules."""
+    names = [n.strip() for n in next(_csv_rows(first_bytes(spark, path, 1 << 16).decode(encoding, "replace").removeprefix("\ufeff")), [])]
 
     def decode(files):
         for file in files:
             for raw in file["content"]:
-                found = records(bytes(raw))
+                found = _csv_rows(bytes(raw).decode(encoding, "replace").removeprefix("\ufeff"))
                 next(found, None)
                 yield pd.DataFrame([(row + [""] * len(names))[: len(names)] for row in found], columns=names, dtype=object)
 
@@ -199,13 +228,13 @@ _FEATURE = f"type string, geometry struct<{_SHAPE},geometries:array<struct<{_SHA
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """(feature_id, geometry_type, geometry, properties) of a FeatureCollection or of a single Feature. A file is read in
-    one task, its features are decoded in many."""
-    nested = _FEATURE.replace("type string", "type:string", 1).replace("geometry struct", "geometry:struct").replace("properties map", "properties:map").replace(", ", ",")
-    read = spark.read.schema(f"{_FEATURE}, features array<struct<{nested}>>").option("multiLine", True).json(path)
-    single = F.array(F.struct("type", "geometry", "properties"))
-    rows = read.select(F.posexplode(F.when(F.col("type") == "FeatureCollection", F.col("features")).otherwise(single)).alias("feature_id", "f"))
-    rows = rows.repartition(spark.sparkContext.defaultParallelism).select(F.col("feature_id").cast("long").alias("feature_id"), "f.geometry", "f.properties")
+    """(feature_id, geometry_type, geometry, properties) of a FeatureCollection, cut at its features in many tasks, or of
+    a single Feature."""
+    found = splitting.features(spark, path).select("feature_id", F.col("text").cast("string").alias("value"))
+    if found.isEmpty():
+        whole = spark.read.option("wholetext", True).text(path).select(F.lit(0).cast("long").alias("feature_id"), "value")
+        found = whole.where(F.get_json_object(F.regexp_replace("value", "^\ufeff", ""), "$.type") == "Feature").withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
+    rows = found.select("feature_id", F.from_json("value", _FEATURE).alias("f")).select("feature_id", "f.geometry", "f.properties")
     shape = F.col("geometry")
     inner = F.flatten(F.transform(F.coalesce(shape["geometries"], F.array()), _parts))
     parts = F.when(shape["type"] == "GeometryCollection", inner).otherwise(_parts(shape))
@@ -553,6 +582,15 @@ def load(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     return rows.limit(limit) if limit else rows
 
 
+def _named_crs(head: str) -> str | None:
+    """The name in a collection's member ``crs``, which stands before its features."""
+    m = re.search(r'"crs"\s*:\s*(?=\{)', head)
+    try:
+        return (json.JSONDecoder().raw_decode(head, m.end())[0].get("properties") or {}).get("name") if m else None
+    except ValueError:
+        return None
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """One row of metadata of a file; failures become a fallback row with a warning."""
     suffix = os.path.splitext(path)[1].lower()
@@ -580,8 +618,8 @@ def _metadata(spark: SparkSession, path: str, kind: str) -> dict:
         return out | ({"extent": listed(extent(rows, *at).first()), "crs": "WGS 84 (inferred)", "geometry_type": "point"} if at else {})
     if kind == "geojson":
         rows = read_geojson(spark, path)
-        crs = json.loads(bytes(content(spark, path).first()["content"]).decode("utf-8-sig")).get("crs") or {}
-        return {"data_type": "geometry", "records": rows.count(), "fields": geojson_fields(rows), "geometry_type": ", ".join(geometry_types(rows)), "extent": listed(geometry_extent(rows).first()), "crs": (crs.get("properties") or {}).get("name") or "WGS 84"}
+        crs = _named_crs(first_bytes(spark, path, 1 << 16).decode("utf-8", "replace"))
+        return {"data_type": "geometry", "records": rows.count(), "fields": geojson_fields(rows), "geometry_type": ", ".join(geometry_types(rows)), "extent": listed(geometry_extent(rows).first()), "crs": crs or "WGS 84"}
     if kind == "xlsx":
         size = sheet_dimension(bytes(content(spark, path).first()["content"]))
         names = read_xlsx(spark, path).columns[1:]
