@@ -40,10 +40,13 @@ def duck():
 @pytest.fixture(scope="session")
 def same(duck):
     import math
+    import numbers
+
+    import pandas as pd
 
     def normal(df):
         df = df[sorted(df.columns)]
-        show = lambda v: None if v is None or (isinstance(v, float) and math.isnan(v)) else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        show = lambda v: None if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else float(v) if isinstance(v, numbers.Real) and not isinstance(v, bool) else str(v)
         return sorted((tuple(map(show, r)) for r in df.itertuples(index=False)), key=repr)
 
     def check(frame, sql):
