@@ -15,7 +15,7 @@ from geoaccord.functions import geometry, projection
 from geoaccord.operators import layers, raster
 from geoaccord.plans import compare
 from geoaccord.scratch import scratch_path
-from geoaccord.sources import readers, sinks, tiff
+from geoaccord.sources import ranges, readers, sinks, tiff
 
 #: Moves means of few decimals off a tie, below the last digit that is reported.
 TIE = 1.2345e-7
@@ -71,6 +71,24 @@ def shapefile_layer(spark, d):
     return found.select("p_partkey", "category", "state", *(F.round(c, 4).alias(c) for c in ("minx", "miny", "maxx", "maxy", "area", "perimeter", "cx", "cy")))
 
 
+def shapefile_categories(spark, d):
+    """Two categories of a shapefile within a window, measured: no other record is read."""
+    path = f"{scratch_path(spark, 'layer')}.shp"
+    shape = geometry.l_shape(F.col("minx"), F.col("miny"), F.col("w"), F.col("h"))
+    rows = fixture(spark, d, "poly_a").select("feature_id", F.col("category").cast("int").alias("code"), F.when(F.col("feature_id") % 10 > 0, shape).alias("rings"))
+    sinks.write_shapefile(rows, path, ["feature_id", "code"])
+    got = ranges.read_shapefile(spark, path, ["feature_id", "geometry", "feature_id_", "code"], [ranges.category_condition("code", "bigint", ["1", "4.0"]), ("xmin", "<=", 300), ("xmax", ">=", 120)], records=256)
+    measured = layers.measured(got.drop("feature_id").withColumnRenamed("feature_id_", "feature_id"), "code")
+    return measured.select(F.col("feature_id").alias("p_partkey"), "category", F.round("area", 4).alias("area"), F.round("minx", 4).alias("minx"))
+
+
+def tiff_window(spark, d):
+    """A window of a raster: only its strips are read."""
+    path = f"{scratch_path(spark, 'grid')}.tif"
+    sinks.write_bytes(spark, path, tiff.encode(_grid(spark, d), (100.0, 50.0), 10.0, 32650))
+    return ranges.read_tiff(spark, path, where=[("r", ">=", 3), ("r", "<", 40), ("c", ">", 20), ("c", "<=", 60)]).select("r", "c", F.round("value", 2).alias("value"))
+
+
 def shapefile_check(spark, d):
     """Counts and candidate category fields of a shapefile before its analysis."""
     path = f"{scratch_path(spark, 'layer')}.shp"
@@ -191,7 +209,7 @@ def project_registry(spark, d):
     return registry.sources().select("name", "path", F.lit("source").alias("kind")).union(registry.runs().select("title", "run_id", F.lit("run")))
 
 
-QUERIES = {f.__name__: f for f in (csv_scan, csv_metadata, geojson_scan, shapefile_layer, shapefile_check, ascii_grid_scan, tiff_scan, raster_file_overlay, raster_reprojection, comparison_sides, geopackage_scan, xlsx_scan, catalog_export, raster_overviews, project_registry)}
+QUERIES = {f.__name__: f for f in (csv_scan, csv_metadata, geojson_scan, shapefile_layer, shapefile_categories, tiff_window, shapefile_check, ascii_grid_scan, tiff_scan, raster_file_overlay, raster_reprojection, comparison_sides, geopackage_scan, xlsx_scan, catalog_export, raster_overviews, project_registry)}
 
 _G, _P = fixture_sql("grid"), fixture_sql("poly_a")
 ORACLE_SQL = {
@@ -199,6 +217,8 @@ ORACLE_SQL = {
     "csv_metadata": f"select 'csv' as reader, 'attribute' as data_type, count(*) as records, 'feature_id,Lon,LAT' as fields, 'point' as geometry_type, min(px) as xmin, min(py) as ymin, max(px) as xmax, max(py) as ymax from {fixture_sql('sites')}",
     "geojson_scan": "select n_nationkey::bigint as n_nationkey, n_name, true as no_value, case n_nationkey % 3 when 0 then 'Point' when 1 then 'Polygon' else 'GeometryCollection' end as geometry_type, (1 + (n_nationkey % 3 = 2)::int)::int as parts, n_nationkey * 2.0::double as xmin, n_nationkey * 3.0::double as ymin, n_nationkey * 2.0::double + case when n_nationkey % 3 > 0 then 4 else 0 end as xmax, n_nationkey * 3.0::double + case when n_nationkey % 3 > 0 then 1 else 0 end as ymax from nation",
     "shapefile_layer": f"select feature_id as p_partkey, category, 'ok' as state, round(minx, 4) as minx, round(miny, 4) as miny, round(minx + w, 4) as maxx, round(miny + h, 4) as maxy, round(w * h * 0.75, 4) as area, round(2 * (w + h), 4) as perimeter, round(minx + w * 5 / 12, 4) as cx, round(miny + h * 5 / 12, 4) as cy from {_P}",
+    "shapefile_categories": f"select feature_id as p_partkey, category, round(w * h * 0.75, 4) as area, round(minx, 4) as minx from {_P} where category in ('1', '4') and minx <= 300 and minx + w >= 120 and feature_id % 10 > 0",
+    "tiff_window": f"select r, c, round(left_v::float::double, 2) as value from {_G} where r between 3 and 39 and c between 21 and 60",
     "shapefile_check": f"select count(*) as records, count(*) filter (feature_id % 10 = 0) as null_shapes, 0::bigint as empty_shapes, 0::bigint as invalid_shapes, true as polygons, '.prj' as missing_files, 'category' as category_fields, count(distinct category)::int as category_values from {_P}",
     "ascii_grid_scan": f"select r, c, round(left_v, 4) as value from {_G}",
     "tiff_scan": f"select r, c, round(left_v::float::double, 2) as value from {_G}",

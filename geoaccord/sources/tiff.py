@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -121,9 +122,38 @@ def _undone(data: bytes, predictor: int, dtype: np.dtype, shape: tuple[int, int,
     return cells
 
 
-def blocks(raw: bytes, band: int = 1):
-    """(first row, first column, array (rows, columns)) of every strip or tile of a band. What is not undone here raises."""
-    tags = directory(_within(raw))
+@dataclass
+class Layout:
+    """The strips or tiles of a band: their (offset, size) in the file, and what their samples are."""
+
+    places: list
+    width: int
+    height: int
+    wide: int
+    high: int
+    tiled: bool
+    packing: int
+    predictor: int
+    dtype: np.dtype
+    bands: int
+    band: int
+
+    def window(self, k: int) -> tuple[int, int, int, int]:
+        """(first row, first column, rows, columns) of a block inside the raster."""
+        across = -(-self.width // self.wide)
+        r, c = k // across * self.high, k % across * self.wide
+        return r, c, min(self.high, self.height - r), min(self.wide, self.width - c)
+
+    def cells(self, k: int, data: bytes) -> np.ndarray:
+        """The samples (rows, columns) of a block from its bytes."""
+        data = data if self.packing == 1 else unpack_lzw(data) if self.packing == 5 else zlib.decompress(data)
+        _, _, rows, columns = self.window(k)
+        full = _undone(data, self.predictor, self.dtype, (self.high if self.tiled else rows, self.wide, self.bands))
+        return full[:rows, :columns, self.band]
+
+
+def layout(tags: dict, band: int = 1) -> Layout:
+    """The blocks of a band. What is not undone here raises."""
     width, height, bands = tags["width"][0], tags["height"][0], tags.get("samples", [1])[0]
     bits, kind, packing, predictor = (tags.get(n, [d])[0] for n, d in (("bits", 8), ("format", 1), ("compression", 1), ("predictor", 1)))
     if packing not in (1, 5, 8, 32946) or bits not in (8, 16, 32, 64) or len(set(tags.get("bits", [8]))) > 1:
@@ -136,17 +166,18 @@ def blocks(raw: bytes, band: int = 1):
     tiled, apart = "tile_offsets" in tags, tags.get("planar", [1])[0] == 2 and bands > 1
     wide, high = (tags["tile_width"][0], tags["tile_height"][0]) if tiled else (width, min(height, tags.get("rows_per_strip", [height])[0]))
     places = list(zip(tags["tile_offsets" if tiled else "strip_offsets"], tags["tile_sizes" if tiled else "strip_sizes"]))
-    across = -(-width // wide)
     if apart:  # a band has blocks of its own
         of = len(places) // bands
         places = places[(band - 1) * of : band * of]
-    for k, (offset, size) in enumerate(places):
-        r, c = k // across * high, k % across * wide
-        data = raw[offset : offset + size]
-        data = data if packing == 1 else unpack_lzw(data) if packing == 5 else zlib.decompress(data)
-        rows = high if tiled else min(high, height - r)
-        cells = _undone(data, predictor, dtype, (rows, wide, 1 if apart else bands))
-        yield r, c, cells[: height - r, : width - c, 0 if apart else band - 1]
+    return Layout(places, width, height, wide, high, tiled, packing, predictor, dtype, 1 if apart else bands, 0 if apart else band - 1)
+
+
+def blocks(raw: bytes, band: int = 1):
+    """(first row, first column, array (rows, columns)) of every strip or tile of a band."""
+    plan = layout(directory(_within(raw)), band)
+    for k, (offset, size) in enumerate(plan.places):
+        r, c, _, _ = plan.window(k)
+        yield r, c, plan.cells(k, raw[offset : offset + size])
 
 
 def read_tiff(spark: SparkSession, path: str, band: int = 1) -> DataFrame:
