@@ -47,23 +47,46 @@ def check_mapping(mapping: list[tuple[str, str, str]], thresholds: list[float])
         raise ValueError("nine different thresholds in (0, 1] are needed")
 
 
+#: Cells that a box may be wide or high before it moves to a coarser grid.
+SPREAD = 8
+
+
 def candidates(a: DataFrame, b: DataFrame, cell: float, floor: float = 0.0) -> DataFrame:
     """(label, a_id, b_id, rect_intersection, rect_iou) of boxes that overlap, with an IoU above 0 and at least ``floor``.
 
-    Boxes are listed in the grid cells they touch and joined on label and cell; a pair is kept only in the cell of the
-    lower left corner of its overlap, so none comes twice and no distinct is needed.
+    Grids of cells that double in size lie over each other. A box belongs to the finest one where it is SPREAD cells wide
+    and high at most, so it lies in (SPREAD + 1)^2 cells whatever its size. Pairs meet on the coarser grid of the two: boxes
+    are listed there too, but only on grids that boxes of the other layer belong to, and two boxes that were both listed
+    on a coarser grid than theirs do not meet there. A pair is kept only in the cell of the lower left corner of its
+    overlap, so none comes twice and no distinct is needed. Boxes with a null or an infinite bound overlap nothing.
     """
-
-    def cells(layer: DataFrame, tag: str) -> DataFrame:
-        steps = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell).cast("long"), F.floor(F.col(hi) / cell).cast("long"))
-        spread = layer.withColumn("gx", F.explode(steps("minx", "maxx"))).withColumn("gy", F.explode(steps("miny", "maxy")))
-        return spread.select(F.col("label").alias(f"{tag}_label"), F.col("feature_id").alias(f"{tag}_id"), *[F.col(k).alias(f"{tag}_{k}") for k in ("minx", "miny", "maxx", "maxy", "gx", "gy")])
-
-    c = F.col
-    met = cells(a, "a").join(cells(b, "b"), (c("a_label") == c("b_label")) & (c("a_gx") == c("b_gx")) & (c("a_gy") == c("b_gy")))
+    c, size = F.col, lambda level: F.pow(F.lit(2.0), level) * cell
+
+    def levelled(layer: DataFrame) -> DataFrame:
+        widest = F.greatest(c("maxx") - c("minx"), c("maxy") - c("miny"))
+        bounded = layer.where(" and ".join(f"abs({k}) < double('inf')" for k in ("minx", "miny", "maxx", "maxy")))
+        return bounded.withColumn("own", F.when(widest > cell * SPREAD, F.ceil(F.log2(widest / (cell * SPREAD)))).otherwise(0).cast("int"))
+
+    def cells(layer: DataFrame, level: Column, tag: str) -> DataFrame:
+        steps = lambda lo, hi: F.sequence(F.floor(c(lo) / size(c("level"))).cast("long"), F.floor(c(hi) / size(c("level"))).cast("long"))
+        spread = layer.withColumn("level", level).withColumn("gx", F.explode(steps("minx", "maxx"))).withColumn("gy", F.explode(steps("miny", "maxy")))
+        return spread.select(c("label").alias(f"{tag}_label"), c("feature_id").alias(f"{tag}_id"), *[c(k).alias(f"{tag}_{k}") for k in ("minx", "miny", "maxx", "maxy", "level", "gx", "gy")])
+
+    one, two = levelled(a), levelled(b)
+    grids = [[r[0] for r in layer.select("own").distinct().collect()] for layer in (one, two)]  # a power of 2 each: some tens at most
+    own, listed = c("own"), lambda levels, fits: F.explode(F.filter(F.array(*map(F.lit, levels)), fits))
+    sides = []
+    if all(grids):
+        sides.append((cells(one, own, "a"), cells(two, listed(grids[0], lambda x: x >= own), "b")))
+    if all(grids) and max(grids[1]) > min(grids[0]):
+        sides.append((cells(one, listed(grids[1], lambda x: x > own), "a"), cells(two, own, "b")))
+    met = None
+    for left_side, right_side in sides or [(cells(one, own, "a"), cells(two, own, "b"))]:
+        pair = left_side.join(right_side, [c(f"a_{k}") == c(f"b_{k}") for k in ("label", "level", "gx", "gy")])
+        met = pair if met is None else met.union(pair)
     left, low = F.greatest("a_minx", "b_minx"), F.greatest("a_miny", "b_miny")
     wide, high = F.least("a_maxx", "b_maxx") - left, F.least("a_maxy", "b_maxy") - low
-    met = met.where((wide >= 0) & (high >= 0) & (F.floor(left / cell) == c("a_gx")) & (F.floor(low / cell) == c("a_gy")))
+    met = met.where((wide >= 0) & (high >= 0) & (F.floor(left / size(c("a_level"))) == c("a_gx")) & (F.floor(low / size(c("a_level"))) == c("a_gy")))
     inter = wide * high
     box = lambda t: (c(f"{t}_maxx") - c(f"{t}_minx")) * (c(f"{t}_maxy") - c(f"{t}_miny"))
     both = box("a") + box("b") - inter
@@ -184,7 +207,8 @@ def smooth(measured: DataFrame, bandwidths: list[float]) -> DataFrame:
     c = F.col
     fields = ["area_error", "area_abs_error", "polygon_iou", "centroid_distance", "perimeter_error"]
     points = measured.select(c("a_id").alias("feature_id"), "px", "py", *fields)
-    met = neighbours(points, 3 * max(bandwidths), fields).withColumn("bandwidth", F.explode(F.array(*[F.lit(float(b)) for b in bandwidths]))).where(c("d") <= 3 * c("bandwidth"))
+    within = F.filter(F.array(*[F.lit(float(b)) for b in bandwidths]), lambda b: c("d") <= 3 * b)
+    met = neighbours(points, 3 * max(bandwidths), fields).withColumn("bandwidth", F.explode(within))
     w = F.exp(-(c("d") * c("d")) / (2 * c("bandwidth") * c("bandwidth")))
     mean = lambda v: F.sum(w * v) / F.sum(F.when(v.isNotNull(), w))
     return met.groupBy("bandwidth", c("i").alias("source_id")).agg(

@@ -196,8 +196,9 @@ def local_r2(rows: DataFrame, fitted: DataFrame, fields: list[str], by: list[str
 def sweep(points: DataFrame, fields: list[str], kernel: str, bandwidths: list[float]) -> tuple[DataFrame, DataFrame]:
     """Neighbour rows and fitted regressions for every fixed bandwidth, from one neighbour join at the largest."""
     weight, reach = KERNELS[kernel]
-    met = neighbours(points, max(bandwidths) * reach, fields).withColumn("bandwidth", F.explode(F.array(*[F.lit(float(b)) for b in bandwidths])))
-    rows = met.where(F.col("d") <= F.col("bandwidth") * reach).withColumn("w", weight(F.col("d") / F.col("bandwidth"))).where("w > 0")
+    within = F.filter(F.array(*[F.lit(float(b)) for b in bandwidths]), lambda b: F.col("d") <= b * reach)
+    met = neighbours(points, max(bandwidths) * reach, fields).withColumn("bandwidth", F.explode(within))
+    rows = met.withColumn("w", weight(F.col("d") / F.col("bandwidth"))).where("w > 0")
     return rows, regression(local_sums(rows, fields, ["bandwidth", "i"]))
 
 

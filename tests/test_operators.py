@@ -240,3 +240,33 @@ def test_auto_bandwidth_adaptive(points):
     assert all(curve[k] <= curve[j] for j in (k - 1, k + 1) if j in curve)
     same = engine.run("attribute", config | {"bandwidth": k}, points=df).envelope
     assert json.dumps(same, sort_keys=True, default=str).count("lrmse") and [r["aicc"] for r in same["pairwise_metrics"]] == pytest.approx([r["aicc"] for r in found["pairwise_metrics"]]) == [pytest.approx(curve[k])]
+def test_candidates_of_boxes_of_all_sizes(spark):
+    """Boxes from points to the whole extent meet as in a double loop; a huge box adds rows by grids, not by cells."""
+    import random
+
+    from geoaccord.operators import matching
+
+    draw = random.Random(5)
+
+    def layer(n, odd):
+        rows = []
+        for k in range(n):
+            size = draw.choice([0.0, 0.5, 3.0, 40.0, 900.0, 20_000.0]) * draw.random()
+            x, y = draw.uniform(-9000, 9000) if size > 300 else draw.uniform(0, 90), draw.uniform(0, 90)
+            rows.append((k, draw.choice("uv"), x, y, x + size, y + size * draw.random()))
+        rows += [(n, "u", -1e4, -1e4, 1e4, 1e4), (n + 1, "u", 8.0, 8.0, 16.0, 16.0), (n + 2, "u", None, 0.0, 1.0, 1.0), (n + 3, "u", 0.0, 0.0, float("inf"), 1.0)][: 4 if odd else 2]
+        return rows
+
+    one, two = layer(150, True), layer(130, False)
+    frames = [spark.createDataFrame(rows, "feature_id long, label string, minx double, miny double, maxx double, maxy double") for rows in (one, two)]
+    wanted = {}
+    for i, la, ax, ay, bx, by in one[:152]:
+        for j, lb, cx, cy, dx, dy in two:
+            w, h = min(bx, dx) - max(ax, cx), min(by, dy) - max(ay, cy)
+            if la == lb and w > 0 and h > 0:
+                wanted[la, i, j] = w * h
+    got = matching.candidates(*frames, 2.0).collect()
+    assert len(got) == len(wanted) and all(abs(wanted[r["label"], r["a_id"], r["b_id"]] - r["rect_intersection"]) <= 1e-9 * (1 + r["rect_intersection"]) for r in got)
+    many = spark.createDataFrame([(0, "u", -1e6, -1e6, 1e6, 1e6)], frames[0].schema)
+    assert matching.candidates(many, frames[1], 1e-3).count() == sum(lb == "u" and dx > cx and dy > cy for _, lb, cx, cy, dx, dy in two)
+    assert matching.candidates(many.where("false"), frames[1], 1.0).count() == 0 == matching.candidates(frames[0], frames[1].where("false"), 1.0).count()
