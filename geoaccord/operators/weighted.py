@@ -8,11 +8,13 @@ from which all local statistics of all pairs follow in closed form.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoaccord.functions.spaces import PLANE, Space
 from geoaccord.operators.metrics import complete_cases
 from geoaccord.pairs import pairs
 from geoaccord.scratch import written
@@ -43,26 +45,25 @@ def bandwidth_value(value) -> float:
     return number if math.isfinite(number) and number > 0 else DEFAULT_BANDWIDTH
 
 
-def distance(dx: Column, dy: Column, p: float = 2.0) -> Column:
-    return F.sqrt(dx * dx + dy * dy) if p == 2 else F.pow(F.pow(F.abs(dx), p) + F.pow(F.abs(dy), p), 1 / p)
+def neighbours(points: DataFrame, radius: float, keep: list[str], focal: list[str] = (), centres: DataFrame | None = None, carry: list[str] = (), space: Space = PLANE) -> DataFrame:
+    """(i, fi_*, carry, j, *keep, d) for points within ``radius`` of each centre, each point with itself, by the distance of
+    ``space``.
 
-
-def neighbours(points: DataFrame, radius: float, keep: list[str], focal: list[str] = (), centres: DataFrame | None = None, carry: list[str] = (), p: float = 2.0) -> DataFrame:
-    """(i, fi_*, carry, j, *keep, d) for points within ``radius`` of each centre, each point with itself; ``p`` (1 or
-    more) is that of the distance.
-
-    Points lie in square cells of side ``radius``; a centre (by default every point) meets the 3 x 3 cells around its own.
+    Points lie in cells (squares, on a globe cubes) as wide as the radius; a centre (by default every point) meets the
+    cells around its own.
     """
-    cell = lambda c, k=0: F.floor(F.col(c) / radius).cast("long") + k
-    data = points.select(F.col("feature_id").alias("j"), F.col("px").alias("xj"), F.col("py").alias("yj"), *keep, cell("px").alias("cx"), cell("py").alias("cy"))
-    around = [F.struct(cell("px", a).alias("gx"), cell("py", b).alias("gy")) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    centre = (points if centres is None else centres).select(F.col("feature_id").alias("i"), F.col("px").alias("xi"), F.col("py").alias("yi"), *[F.col(f).alias(f"fi_{f}") for f in focal], *carry, F.inline(F.array(*around)))
-    met = centre.join(data, (F.col("gx") == F.col("cx")) & (F.col("gy") == F.col("cy")))
-    d = distance(F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj"), p)
+    side = space.side(radius)
+    cell = lambda: [F.floor(a / side).cast("long") for a in space.axes(F.col("px"), F.col("py"))]
+    names = [f"_g{k}" for k in range(len(cell()))]
+    data = points.select(F.col("feature_id").alias("j"), F.col("px").alias("xj"), F.col("py").alias("yj"), *keep, *[c.alias(f"{n}j") for n, c in zip(names, cell())])
+    own = (points if centres is None else centres).select(F.col("feature_id").alias("i"), F.col("px").alias("xi"), F.col("py").alias("yi"), *[F.col(f).alias(f"fi_{f}") for f in focal], *carry, *[c.alias(f"{n}o") for n, c in zip(names, cell())])
+    around = F.inline(F.array(*[F.struct(*[(F.col(f"{n}o") + k).alias(n) for n, k in zip(names, step)]) for step in itertools.product((-1, 0, 1), repeat=len(names))]))
+    met = own.select("i", "xi", "yi", *[f"fi_{f}" for f in focal], *carry, around).join(data, [F.col(n) == F.col(f"{n}j") for n in names])
+    d = space.distance(F.col("xi"), F.col("yi"), F.col("xj"), F.col("yj"))
     return met.withColumn("d", d).where(F.col("d") <= radius).select("i", "xi", "yi", *[f"fi_{f}" for f in focal], *carry, "j", *keep, "d")
 
 
-def nearest_distances(points: DataFrame, k: int, start: float) -> DataFrame:
+def nearest_distances(points: DataFrame, k: int, start: float, space: Space = PLANE) -> DataFrame:
     """(i, b): distance to the k-th nearest point, itself counted.
 
     Points whose k-th neighbour is not within the radius are tried again with twice the radius, so each round lists
@@ -71,12 +72,12 @@ def nearest_distances(points: DataFrame, k: int, start: float) -> DataFrame:
     total = points.count()
     if k >= total:
         box = points.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
-        reach = math.hypot(box[1] - box[0], box[3] - box[2]) or 1.0
-        far = neighbours(points, reach * 1.0000001, []).groupBy("i").agg(F.max("d").alias("d"))
+        reach = space.reach(box[1] - box[0], box[3] - box[2]) or 1.0
+        far = neighbours(points, reach, [], space=space).groupBy("i").agg(F.max("d").alias("d"))
         return far.select("i", (F.col("d") * (k / total)).alias("b"))
     out, left, radius = None, points.select("feature_id", "px", "py"), start
     while True:
-        near = neighbours(points, radius, [], centres=left)
+        near = neighbours(points, radius, [], centres=left, space=space)
         ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") == k).select("i", F.col("d").alias("b"))
         done = written(ranked, "nearest")
         out = done if out is None else out.union(done)
@@ -86,22 +87,22 @@ def nearest_distances(points: DataFrame, k: int, start: float) -> DataFrame:
         radius *= 2
 
 
-def weighted_pairs(points: DataFrame, fields: list[str], kernel: str, bandwidth: float, adaptive: bool = False, start: float | None = None) -> DataFrame:
+def weighted_pairs(points: DataFrame, fields: list[str], kernel: str, bandwidth: float, adaptive: bool = False, start: float | None = None, space: Space = PLANE) -> DataFrame:
     """Neighbour rows (i, fi_*, j, fields, d, w) of the complete cases under a fixed or an adaptive bandwidth."""
     weight, reach = KERNELS[kernel]
     if not adaptive:
-        met = neighbours(points, bandwidth * reach, fields, fields)
+        met = neighbours(points, bandwidth * reach, fields, fields, space=space)
         return met.withColumn("w", weight(F.col("d") / bandwidth)).where("w > 0")
     # Each point meets the points within its own reach, joined by the class of that reach: the next power of 2.
-    own = nearest_distances(points, int(round(bandwidth)), start or 1.0)
+    own = nearest_distances(points, int(round(bandwidth)), start or 1.0, space)
     centres = points.join(own.withColumnRenamed("i", "_i"), F.col("feature_id") == F.col("_i")).drop("_i").withColumnRenamed("b", "_b")
     centres = written(centres.withColumn("_class", F.ceil(F.log2(F.greatest(F.col("_b") * reach, F.lit(1e-12)))).cast("int")), "centres")
     out = None
     for row in centres.select("_class").distinct().orderBy("_class").collect():  # a power of 2 each: some tens at most
-        met = neighbours(points, 2.0 ** row[0], fields, fields, centres.where(F.col("_class") == row[0]), ["_b"])
+        met = neighbours(points, 2.0 ** row[0], fields, fields, centres.where(F.col("_class") == row[0]), ["_b"], space)
         out = met if out is None else out.union(met)
     if out is None:
-        out = neighbours(points, 1.0, fields, fields, centres, ["_b"])
+        out = neighbours(points, 1.0, fields, fields, centres, ["_b"], space)
     return out.withColumn("w", weight(F.col("d") / F.col("_b"))).where("w > 0").drop("_b")
 
 
@@ -193,11 +194,11 @@ def local_r2(rows: DataFrame, fitted: DataFrame, fields: list[str], by: list[str
     return met.groupBy(*by, "pair_key").agg((1 - F.sum(F.col("w") * F.col("_e") * F.col("_e")) / F.sum(F.col("w") * dev * dev)).alias("local_r2"))
 
 
-def sweep(points: DataFrame, fields: list[str], kernel: str, bandwidths: list[float]) -> tuple[DataFrame, DataFrame]:
+def sweep(points: DataFrame, fields: list[str], kernel: str, bandwidths: list[float], space: Space = PLANE) -> tuple[DataFrame, DataFrame]:
     """Neighbour rows and fitted regressions for every fixed bandwidth, from one neighbour join at the largest."""
     weight, reach = KERNELS[kernel]
     within = F.filter(F.array(*[F.lit(float(b)) for b in bandwidths]), lambda b: F.col("d") <= b * reach)
-    met = neighbours(points, max(bandwidths) * reach, fields).withColumn("bandwidth", F.explode(within))
+    met = neighbours(points, max(bandwidths) * reach, fields, space=space).withColumn("bandwidth", F.explode(within))
     rows = met.withColumn("w", weight(F.col("d") / F.col("bandwidth"))).where("w > 0")
     return rows, regression(local_sums(rows, fields, ["bandwidth", "i"]))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoaccord.functions.fields import meaning
+from geoaccord.functions.spaces import PLANE, Space
 from geoaccord.operators import layers, matching, metrics, raster, weighted
 from geoaccord.pairs import pairs
 from geoaccord.scratch import written
@@ -67,13 +68,16 @@ def attribute(config: dict, points: DataFrame) -> Result:
     whole = metrics.complete_cases(points, fields)
     kernel = weighted.kernel_name(config.get("kernel", "bisquare"))
     adaptive = config.get("bandwidth_mode") in ("adaptive", weighted.ADAPTIVE_LABEL)
+    space = Space(float(config.get("p", 2)), float(config.get("theta", 0)), config.get("globe", ""))
+    if config.get("auto_bandwidth") and space != PLANE:
+        raise ValueError("a bandwidth is searched by Euclidean distances only")
     if not config.get("auto_bandwidth"):
         width = weighted.bandwidth_value(config.get("bandwidth"))
     elif adaptive:
         width = weighted.auto_neighbours(whole, fields, kernel, config.get("start_radius"))
     else:
         width = weighted.auto_bandwidth(whole, fields, kernel)
-    rows = weighted.weighted_pairs(whole, fields, kernel, width, adaptive, start=config.get("start_radius"))
+    rows = weighted.weighted_pairs(whole, fields, kernel, width, adaptive, start=config.get("start_radius"), space=space)
     sums = written(weighted.local_sums(rows, fields), "sums")  # the neighbour join, for the errors, the fit and its diagnostics
     fit = weighted.regression(weighted.local_correlation(weighted.local_errors(sums, weighted.zero_denominators(whole, fields))))
     diagnosed = weighted.diagnostics(fit)

@@ -349,7 +349,24 @@ def _natural(classes: int = 5, sample: int = 1024) -> str:
     return f"with {', '.join(steps)} select 0 as at, min(v) as break from x union all {edges}"
 
 
+def _spaced_error(points: str, distance: str, bandwidth: float) -> str:
+    """Local errors by a distance between (a.px, a.py) and (b.px, b.py), over all pairs of points."""
+    return f"""with s as materialized {points}, m as (select a.feature_id as i, b.v_a - b.v_c as e, {distance} as d from s a, s b), w as (select i, e, pow(1 - (d / {bandwidth}) * (d / {bandwidth}), 2) as w from m where d < {bandwidth})
+  select i as feature_id, round(sum(w * e) / sum(w) + 1.2345e-7, 4) as lme, round(sum(w * abs(e)) / sum(w) + 1.2345e-7, 4) as lmae from w group by i"""
+
+
+_POLAR = f"(select feature_id, px * 0.09::double - 175.5::double as px, 88.5::double - py / 10000 as py, v_a, v_c from {WHOLE})"
+#: The cosine rule loses small distances, so the sphere is told by the chord of unit vectors.
+_CHORD = "sqrt(" + " + ".join(f"pow({v.format(t='a')} - {v.format(t='b')}, 2)" for v in ("cos(radians({t}.py)) * cos(radians({t}.px))", "cos(radians({t}.py)) * sin(radians({t}.px))", "sin(radians({t}.py))")) + ")"
+_ARC = f"(2 * asin(least(1.0::double, {_CHORD} / 2)))"
+#: The formula of Andoyer by sines of the latitudes.
+_H, _G = f"({_ARC} + 3 * sin({_ARC})) / (2 * pow(sin({_ARC} / 2), 2))", f"({_ARC} - 3 * sin({_ARC})) / (1 + cos({_ARC}))"
+_SINES = "sin(radians(a.py)) {} sin(radians(b.py))"
+_ELLIPSOID = f"case when a.px = b.px and a.py = b.py then 0 else 6378.137::double * ({_ARC} - {1 / 298.257223563 / 4!r} * ({_H} * pow({_SINES.format('-')}, 2) + {_G} * pow({_SINES.format('+')}, 2))) end"
 ORACLE_SQL |= {
+    "gw_local_error_sphere": _spaced_error(_POLAR, f"6371.0088::double * {_ARC}", 60.0),
+    "gw_local_error_great_circle": _spaced_error(_POLAR, _ELLIPSOID, 60.0),
+    "gw_local_error_turned": _spaced_error(WHOLE, "pow(pow(abs((a.px - b.px) * cos(0.5) - (a.py - b.py) * sin(0.5)), 3) + pow(abs((a.px - b.px) * sin(0.5) + (a.py - b.py) * cos(0.5)), 3), 1 / 3.0::double)", 450.0),
     "project_and_back": "select c_custkey, round(lon, 7) as albers_lon, round(lat, 7) as albers_lat, round(lon, 6) as utm_lon, round(lat, 6) as utm_lat from (select c_custkey, 110 + (c_custkey % 97) / 16.0::double as lon, 20 + (c_custkey % 89) / 4.0::double as lat from customer)",
     "gwr_auto_bandwidth": _golden(),
     "classify_jenks": _natural(),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geoaccord.fixtures import fixture
 from geoaccord.functions import arrangement, crs, geometry, projection, scalars
+from geoaccord.functions.spaces import Space
 from geoaccord.operators import catalog, classify, layers, matching, metrics, raster, weighted
 from geoaccord.plans import file_queries
 from geoaccord.scratch import written
@@ -183,10 +184,36 @@ def gw_match_sweep_sources(spark, d):
 
 def neighbours_by_blocks(spark, d):
     """Neighbours by the sum of coordinate differences (p = 1)."""
-    near = weighted.neighbours(sites(spark, d), 300.0, [], p=1.0)
+    near = weighted.neighbours(sites(spark, d), 300.0, [], space=Space(p=1.0))
     return near.groupBy(F.col("i").alias("feature_id")).agg(F.count("*").alias("neighbours"), F.round(F.sum("d"), 4).alias("total"))
 
 
+def _spaced_error(points, space, bandwidth):
+    rows = weighted.weighted_pairs(points, ["v_a", "v_c"], "bisquare", bandwidth, space=space)
+    out = weighted.local_errors(weighted.local_sums(rows, ["v_a", "v_c"]), weighted.zero_denominators(points, ["v_a", "v_c"]))
+    return rounded(out.select(F.col("i").alias("feature_id"), "lme", "lmae"), SHIFT, lme=4, lmae=4)
+
+
+def polar(spark, d):
+    """The sites as places around the pole, across the seam of longitudes."""
+    return sites(spark, d).withColumn("px", F.col("px") * 0.09 - 175.5).withColumn("py", F.lit(88.5) - F.col("py") / 10_000)
+
+
+def gw_local_error_great_circle(spark, d):
+    """Local errors within 60 km on the ellipsoid."""
+    return _spaced_error(polar(spark, d), Space(globe="ellipsoid"), 60.0)
+
+
+def gw_local_error_sphere(spark, d):
+    """Local errors within 60 km on the sphere."""
+    return _spaced_error(polar(spark, d), Space(globe="sphere"), 60.0)
+
+
+def gw_local_error_turned(spark, d):
+    """Local errors by a distance of power 3 along axes turned by half a radian."""
+    return _spaced_error(sites(spark, d), Space(p=3.0, theta=0.5), 450.0)
+
+
 def bandwidth_baseline(spark, d):
     return rounded(weighted.baseline(fixture(spark, d, "sites"), FIELDS), diagonal=4)
 
@@ -541,7 +568,7 @@ QUERIES = {
         raster_window_sweep, raster_block_mean, raster_percentile_stretch, raster_align_bilinear, raster_align_nearest, raster_align_cubic, classify_equal_interval,
         classify_quantile, classify_manual, classify_jenks, classify_unique_topk, classify_unique_values, histogram_fixed, kde_density, project_albers, project_utm, project_and_back, project_systems, result_columns,
         nearest_percent, scalar_functions, pixel_sample, histogram_auto, class_counts, text_classes, percent_lookup, local_values, text_filter,
-        gwr_sweep_series, gw_match_sweep_sources, neighbours_by_blocks, bandwidth_baseline,
+        gwr_sweep_series, gw_match_sweep_sources, neighbours_by_blocks, gw_local_error_great_circle, gw_local_error_sphere, gw_local_error_turned, bandwidth_baseline,
     )
 } | file_queries.QUERIES
 
