@@ -133,16 +133,19 @@ def raster_file_overlay(spark, d):
 
 
 def raster_reprojection(spark, d):
-    """A raster in UTM on a grid of degrees: its values are linear in the eastings and northings, so are those it gets."""
-    info = {"width": 40, "height": 30, "bands": 1, "nodata": None, "cell": (100.0, 100.0), "extent": [500_000.0, 3_300_000.0, 504_000.0, 3_303_000.0], "epsg": 32650}
-    rows = spark.range(1200).select(F.floor(F.col("id") / 40).cast("int").alias("r"), (F.col("id") % 40).cast("int").alias("c"))
+    """The cells of the grid as a raster in UTM, on a grid of degrees: its values are linear in the eastings and northings,
+    so are those it gets."""
+    cells = fixture(spark, d, "grid").select("r", "c", (F.col("c") * 2.0 + F.col("r") * 3.0).alias("value"))
+    height = cells.agg(F.max("r")).first()[0] + 1
+    top = 3_303_000.0
+    info = {"width": GRID_COLUMNS, "height": height, "bands": 1, "nodata": None, "cell": (100.0, 100.0), "extent": [500_000.0, top - 100.0 * height, 500_000.0 + 100.0 * GRID_COLUMNS, top], "epsg": 32650}
     path = f"{scratch_path(spark, 'plane')}.tif"
-    sinks.write_tiff(rows.withColumn("value", F.col("c") * 2.0 + F.col("r") * 3.0), path, info)
-    own = tiff.read_info(spark, path)
-    target = {"width": 8, "height": 6, "cell": (0.004, 0.004), "extent": [117.003, 29.829, 117.035, 29.853], "epsg": 4326}
+    sinks.write_tiff(cells, path, info)
+    own, rows = tiff.read_info(spark, path), max(0, (height * 100 - 700) // 111)
+    target = {"width": 80, "height": rows, "cell": (0.001, 0.001), "extent": [117.003, 29.853 - 0.001 * rows, 117.083, 29.853], "epsg": 4326}
     found = raster.align(tiff.read_tiff(spark, path), own, target)
-    x, y = projection.utm(117.003 + (F.col("c") + 0.5) * 0.004, 29.853 - (F.col("r") + 0.5) * 0.004, 50)
-    want = ((x - 500_000.0) / 100 - 0.5) * 2 + ((3_303_000.0 - y) / 100 - 0.5) * 3
+    x, y = projection.utm(117.003 + (F.col("c") + 0.5) * 0.001, 29.853 - (F.col("r") + 0.5) * 0.001, 50)
+    want = ((x - 500_000.0) / 100 - 0.5) * 2 + ((top - y) / 100 - 0.5) * 3
     return found.where("value is not null").select("r", "c", (F.abs(F.col("value") - want) < 1e-3).alias("equal"))
 
 
@@ -198,15 +201,18 @@ def raster_overviews(spark, d):
 
 
 def project_registry(spark, d):
-    """The catalog of a project after sources were added, replaced and removed."""
+    """The catalog of a project after sources were added, replaced and removed, and its runs."""
     registry = sinks.Registry(spark, scratch_path(spark, "project"))
-    for name, path in (("one", "/x/1.csv"), ("two", "/x/2.csv"), ("one again", "/x/1.csv"), ("held", "/tmp/3.csv"), ("gone", "/x/4.csv")):
-        registry.add_source({"name": name, "path": path, "fields": ["f"], "warnings": []})
+    nations = _read(spark, d, "nation")
+    rows = nations.select("n_nationkey", F.col("n_name").alias("name"), F.concat(F.when(F.col("n_nationkey") % 5 == 0, "/tmp/").otherwise("/x/"), F.col("n_nationkey"), F.lit(".csv")).alias("path"))
+    registry.add_sources(rows.drop("n_nationkey"))
+    registry.add_sources(rows.where("n_nationkey % 3 = 1").select(F.concat("name", F.lit(" again")).alias("name"), "path"))
     registry.purge("/tmp/")
     registry.remove_source("/x/4.csv")
-    registry.add_run("r1", "first", "attribute", {"status": "success"}, "now")
+    registry.add_run("r1", "first", "attribute", {"status": "success", "sources": nations.count()}, "now")
     registry.rename_run("r1", "renamed")
-    return registry.sources().select("name", "path", F.lit("source").alias("kind")).union(registry.runs().select("title", "run_id", F.lit("run")))
+    runs = registry.runs().select("title", F.get_json_object("result", "$.sources"), F.lit("run"))
+    return registry.sources().select("name", "path", F.lit("source").alias("kind")).union(runs)
 
 
 QUERIES = {f.__name__: f for f in (csv_scan, csv_metadata, geojson_scan, shapefile_layer, shapefile_categories, tiff_window, shapefile_check, ascii_grid_scan, tiff_scan, raster_file_overlay, raster_reprojection, comparison_sides, geopackage_scan, xlsx_scan, catalog_export, raster_overviews, project_registry)}
@@ -224,11 +230,11 @@ ORACLE_SQL = {
     "tiff_scan": f"select r, c, round(left_v::float::double, 2) as value from {_G}",
     "raster_file_overlay": f"""with g as (select r, c, left_v::float::double as v from {_G}) select a.r, a.c, round(a.v, 2) as left_v, round((coalesce(l.v, 0) + coalesce(a.v, 0)) / nullif((l.v is not null)::int + (a.v is not null)::int, 0), 2) as right_v
   from g a left join g l on l.r = a.r and l.c = a.c - 1""",
-    "raster_reprojection": "select r::int as r, c::int as c, true as equal from range(6) a(r), range(8) b(c)",
+    "raster_reprojection": f"select r::int as r, c::int as c, true as equal from (select unnest(range((max(r)::bigint * 100 - 600) // 111)) as r from {_G}) a, range(80) b(c)",
     "comparison_sides": f"select 0 as side, 'shapes' as kind, count(*) as n, count(distinct category) as classes, round(min(minx), 4) as xmin, round(min(miny), 4) as ymin, round(max(minx + w), 4) as xmax, round(max(miny + h), 4) as ymax from {_P} union all select 1, 'raster', count(*), 0, 100, 50 - 10 * (max(r) + 1), 1100, 50 from {_G}",
     "geopackage_scan": "select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation",
     "xlsx_scan": "select n_nationkey::bigint as n_nationkey, n_name from nation",
     "catalog_export": f"select name || '，' || ' x,' || data_type || ',/p,1，2,' || crs || ',3,ok' as value from {fixture_sql('catalog')}",
-    "project_registry": "select * from (values ('one again', '/x/1.csv', 'source'), ('two', '/x/2.csv', 'source'), ('renamed', 'r1', 'run')) t(name, path, kind)",
+    "project_registry": "select n_name || case when n_nationkey % 3 = 1 then ' again' else '' end as name, '/x/' || n_nationkey || '.csv' as path, 'source' as kind from nation where n_nationkey % 5 > 0 and n_nationkey <> 4 union all select 'renamed', count(*)::varchar, 'run' from nation",
     "raster_overviews": " union all ".join(f"select {f} as factor, r // {f} as r, c // {f} as c, round(avg(left_v) + {TIE!r}, 4) as value from {_G} group by 2, 3" for f in (2, 4, 8)),
 }

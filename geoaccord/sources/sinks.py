@@ -207,6 +207,11 @@ class Registry:
         names = [c.split()[0] for c in CATALOG.split(", ")]
         self._append("sources", self.spark.createDataFrame([tuple(row.get(n) for n in names)], CATALOG))
 
+    def add_sources(self, rows: DataFrame) -> None:
+        """Add or replace the sources of many rows (name, path, ...), one a path; what they lack is null."""
+        given = [F.col(n) if n in rows.columns else F.lit(None) for n in (c.split()[0] for c in CATALOG.split(", "))]
+        self._append("sources", rows.select(*[g.cast(c.split(" ", 1)[1]).alias(c.split()[0]) for g, c in zip(given, CATALOG.split(", "))]))
+
     def remove_source(self, path: str) -> None:
         self._append("sources", self.sources().where(F.col("path") == path), gone=True)
 
