@@ -5,6 +5,8 @@ Layers are rows (feature_id, category, minx, miny, maxx, maxy, area, perimeter,
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,28 +96,92 @@ def candidates(a: DataFrame, b: DataFrame, cell: float, floor: float = 0.0) -> D
     return met.select(c("a_label").alias("label"), "a_id", "b_id", inter.alias("rect_intersection"), iou.alias("rect_iou")).where((c("rect_iou") > 0) & (c("rect_iou") >= floor))
 
 
+#: Rounds of best edges before the rest is split into components, and the edges of a component that one task may hold.
+ROUNDS, HELD = 8, 1 << 19
+_EDGE = ["label", "a_id", "b_id", "rect_intersection", "rect_iou"]
+
+
 def greedy(edges: DataFrame) -> DataFrame:
     """One-to-one matches in order of IoU, overlap (both falling), a_id and b_id.
 
     An edge that comes first at both of its ends is in the greedy result whatever the rest is, so all such edges are
-    taken together, their ends leave, and the rest goes round again.
+    taken together, their ends leave, and the rest goes round again. Chains in which each edge is better than the one
+    before it would lose one edge a round; so after ROUNDS rounds the rest falls into its components, which are matched
+    whole, many in a task; components of over HELD edges go on with rounds. Edges with a null end match nothing.
     """
-    c, out = F.col, None
+    c, matched = F.col, []
     rank = F.struct((-c("rect_iou")).alias("k1"), (-c("rect_intersection")).alias("k2"), "a_id", "b_id")
-    left = written(edges.select("label", "a_id", "b_id", "rect_intersection", "rect_iou"), "edges")
+    left, rounds = written(edges.where("label is not null and a_id is not null and b_id is not null").select(*_EDGE), "edges"), 0
     while not left.isEmpty():
-        ranked = left.withColumn("_rank", rank)
-        best_a = ranked.groupBy(c("label").alias("_la"), c("a_id").alias("_a")).agg(F.min("_rank").alias("_ra"))
-        best_b = ranked.groupBy(c("label").alias("_lb"), c("b_id").alias("_b")).agg(F.min("_rank").alias("_rb"))
-        both = ranked.join(best_a, (c("label") == c("_la")) & (c("a_id") == c("_a"))).join(best_b, (c("label") == c("_lb")) & (c("b_id") == c("_b")))
-        won = written(both.where((c("_rank") == c("_ra")) & (c("_rank") == c("_rb"))).select(*left.columns), "matched")
-        out = won if out is None else out.union(won)
-        gone_a = won.select(c("label").alias("_la"), c("a_id").alias("_a"))
-        gone_b = won.select(c("label").alias("_lb"), c("b_id").alias("_b"))
-        rest = written(left.join(gone_a, (c("label") == c("_la")) & (c("a_id") == c("_a")), "left_anti").join(gone_b, (c("label") == c("_lb")) & (c("b_id") == c("_b")), "left_anti"), "edges")
+        if rounds == ROUNDS:
+            won, rest = _by_component(left)
+            rounds = 0
+        else:
+            ranked = left.withColumn("_rank", rank)
+            best_a = ranked.groupBy(c("label").alias("_la"), c("a_id").alias("_a")).agg(F.min("_rank").alias("_ra"))
+            best_b = ranked.groupBy(c("label").alias("_lb"), c("b_id").alias("_b")).agg(F.min("_rank").alias("_rb"))
+            both = ranked.join(best_a, (c("label") == c("_la")) & (c("a_id") == c("_a"))).join(best_b, (c("label") == c("_lb")) & (c("b_id") == c("_b")))
+            won = written(both.where((c("_rank") == c("_ra")) & (c("_rank") == c("_rb"))).select(*_EDGE), "matched")
+            gone_a = won.select(c("label").alias("_la"), c("a_id").alias("_a"))
+            gone_b = won.select(c("label").alias("_lb"), c("b_id").alias("_b"))
+            rest = written(left.join(gone_a, (c("label") == c("_la")) & (c("a_id") == c("_a")), "left_anti").join(gone_b, (c("label") == c("_lb")) & (c("b_id") == c("_b")), "left_anti"), "edges")
+            rounds += 1
+        matched.append(won)
         drop(left)
         left = rest
-    return left if out is None else out
+    return functools.reduce(DataFrame.union, matched) if matched else left
+
+
+def _by_component(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(matches of the components of HELD edges at most, edges of the others)."""
+    c = F.col
+    node = lambda side: F.struct(c("label").alias("l"), F.lit(side).alias("s"), c(("a_id", "b_id")[side]).cast("string").alias("i"))
+    roots = _roots(edges.select(node(0).alias("u"), node(1).alias("v")))
+    tagged = written(edges.withColumn("_u", node(0)).join(roots, c("_u") == c("node")).select(*edges.columns, F.xxhash64("root").alias("_root")), "tagged")
+    drop(roots)
+    large = tagged.groupBy(c("_root").alias("_r")).agg(F.count("*").alias("n")).where(c("n") > HELD)
+    groups = max(1, -(-2 * tagged.count() // HELD), edges.sparkSession.sparkContext.defaultParallelism)
+
+    def match(rows):
+        rows = rows.assign(_i=-rows["rect_iou"], _o=-rows["rect_intersection"]).sort_values(["_i", "_o", "a_id", "b_id"])
+        taken, kept = set(), []
+        for label, one, two in zip(rows["label"], rows["a_id"], rows["b_id"]):
+            ends = {(label, 0, one), (label, 1, two)}
+            kept.append(not ends & taken)
+            if kept[-1]:
+                taken |= ends
+        return rows.loc[kept, _EDGE]
+
+    small = tagged.join(large, c("_root") == c("_r"), "left_anti").withColumn("_group", F.pmod("_root", F.lit(groups)))
+    won = written(small.groupBy("_group").applyInPandas(match, edges.select(*_EDGE).schema), "matched")
+    rest = written(tagged.join(large, c("_root") == c("_r"), "left_semi").select(*_EDGE), "edges")
+    drop(tagged)
+    return won, rest
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """(node, root): the least node of the component of each node of links (u, v).
+
+    Each round a node, and the parent of a node, takes the least grandparent of the neighbours, and its own; that halves
+    the depth of trees while they merge, so rounds grow with the logarithm of a component.
+    """
+    c = F.col
+    both = written(links.union(links.select("v", "u")).select(c("u").alias("_u"), c("v").alias("_v")), "links")
+    state = written(both.groupBy(c("_u").alias("node")).agg(F.min(F.least("_u", "_v")).alias("root")), "roots")
+    while True:
+        above = state.join(state.select(c("node").alias("_n"), c("root").alias("_g")), c("root") == c("_n")).select("node", "root", c("_g").alias("top"))
+        above = written(above, "above")
+        met = both.join(above.select(c("node").alias("_x"), c("top").alias("_t")), c("_v") == c("_x")).groupBy("_u").agg(F.min("_t").alias("_t"))
+        hook = above.join(met, c("node") == c("_u"))
+        new = above.select("node", "top").union(hook.select("node", "_t")).union(hook.select("root", "_t"))
+        new = written(new.groupBy("node").agg(F.min("top").alias("root")), "roots")
+        changed = new.join(state.select(c("node").alias("_n"), c("root").alias("_old")), c("node") == c("_n")).where(c("root") != c("_old"))
+        done = changed.isEmpty()
+        drop(state, above)
+        state = new
+        if done:
+            drop(both)
+            return state
 
 
 def with_overlap(matches: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:

@@ -270,3 +270,32 @@ def test_candidates_of_boxes_of_all_sizes(spark):
     many = spark.createDataFrame([(0, "u", -1e6, -1e6, 1e6, 1e6)], frames[0].schema)
     assert matching.candidates(many, frames[1], 1e-3).count() == sum(lb == "u" and dx > cx and dy > cy for _, lb, cx, cy, dx, dy in two)
     assert matching.candidates(many.where("false"), frames[1], 1.0).count() == 0 == matching.candidates(frames[0], frames[1].where("false"), 1.0).count()
+
+
+def greedy_of(edges):
+    taken, out = set(), set()
+    for label, a, b, _, _ in sorted(edges, key=lambda e: (-e[4], -e[3], e[1], e[2])):
+        if not {(label, 0, a), (label, 1, b)} & taken:
+            taken |= {(label, 0, a), (label, 1, b)}
+            out.add((label, a, b))
+    return out
+
+
+@pytest.mark.parametrize("rounds, held", [(8, 1 << 19), (1, 1 << 19), (1, 3)])
+def test_greedy_by_components(spark, monkeypatch, rounds, held):
+    """Chains of ever better edges end in few jobs; components too large for a task go on with rounds."""
+    import random
+
+    from geoaccord.operators import matching
+
+    monkeypatch.setattr(matching, "ROUNDS", rounds)
+    monkeypatch.setattr(matching, "HELD", held)
+    draw = random.Random(3)
+    long = 1000 if held > 3 else 12
+    edges = [("chain", (k + 1) // 2, k // 2, 1.0, 0.1 + k / (2 * long)) for k in range(long)]
+    edges += [(draw.choice("xy"), draw.randrange(60), draw.randrange(60), float(draw.randrange(3)), draw.randrange(5) / 10) for _ in range(90)]
+    edges = list(dict.fromkeys(edges))
+    df = spark.createDataFrame([*edges, ("x", None, 1, 9.0, 0.9), ("x", 1, None, 9.0, 0.9)], "label string, a_id long, b_id long, rect_intersection double, rect_iou double")
+    got = matching.greedy(df).collect()
+    assert {(r[0], r[1], r[2]) for r in got} == greedy_of(edges) and len(got) == len(greedy_of(edges))
+    assert matching.greedy(df.where("false")).count() == 0
