@@ -15,12 +15,14 @@ from geoaccord.functions import geometry, projection
 from geoaccord.operators import layers, raster
 from geoaccord.plans import compare
 from geoaccord.scratch import scratch_path
-from geoaccord.sources import ranges, readers, sinks, tiff
+from geoaccord.sources import pyramid, ranges, readers, sinks, tiff
 
 #: Moves means of few decimals off a tie, below the last digit that is reported.
 TIE = 1.2345e-7
 #: Cells of the test grid that go into a raster file.
 GRID_COLUMNS = 100
+#: Overviews of the pyramid that is written of the test grid.
+PYRAMID = (2, 4, 16)
 
 
 def _read(spark, d, name):
@@ -200,6 +202,20 @@ def raster_overviews(spark, d):
     return spark.read.parquet(path).select("factor", "r", "c", F.round(F.col("value") + TIE, 4).alias("value"))
 
 
+def raster_pyramid(spark, d):
+    """The grid in one tiled file with its overviews, each level read back."""
+    cells = fixture(spark, d, "grid").select("r", "c", F.col("left_v").alias("value"))
+    height = cells.agg(F.max("r")).first()[0] + 1
+    path = f"{scratch_path(spark, 'pyramid')}.tif"
+    info = {"width": GRID_COLUMNS, "height": height, "cell": (10.0, 20.0), "extent": [100.0, 50.0 - 20.0 * height, 100.0 + 10.0 * GRID_COLUMNS, 50.0], "epsg": 32650}
+    pyramid.write_pyramid(cells, path, info, factors=PYRAMID, tile=32, packing="lzw", part_tiles=16)
+    got = None
+    for level, factor in enumerate((1, *PYRAMID)):
+        one = ranges.read_tiff(spark, path, level=level).select(F.lit(factor).alias("factor"), "r", "c", F.round("value", 2).alias("value"))
+        got = one if got is None else got.union(one)
+    return got
+
+
 def project_registry(spark, d):
     """The catalog of a project after sources were added, replaced and removed, and its runs."""
     registry = sinks.Registry(spark, scratch_path(spark, "project"))
@@ -215,7 +231,7 @@ def project_registry(spark, d):
     return registry.sources().select("name", "path", F.lit("source").alias("kind")).union(runs)
 
 
-QUERIES = {f.__name__: f for f in (csv_scan, csv_metadata, geojson_scan, shapefile_layer, shapefile_categories, tiff_window, shapefile_check, ascii_grid_scan, tiff_scan, raster_file_overlay, raster_reprojection, comparison_sides, geopackage_scan, xlsx_scan, catalog_export, raster_overviews, project_registry)}
+QUERIES = {f.__name__: f for f in (csv_scan, csv_metadata, geojson_scan, shapefile_layer, shapefile_categories, tiff_window, shapefile_check, ascii_grid_scan, tiff_scan, raster_file_overlay, raster_reprojection, comparison_sides, geopackage_scan, xlsx_scan, catalog_export, raster_overviews, raster_pyramid, project_registry)}
 
 _G, _P = fixture_sql("grid"), fixture_sql("poly_a")
 ORACLE_SQL = {
@@ -236,5 +252,6 @@ ORACLE_SQL = {
     "xlsx_scan": "select n_nationkey::bigint as n_nationkey, n_name from nation",
     "catalog_export": f"select name || '，' || ' x,' || data_type || ',/p,1，2,' || crs || ',3,ok' as value from {fixture_sql('catalog')}",
     "project_registry": "select n_name || case when n_nationkey % 3 = 1 then ' again' else '' end as name, '/x/' || n_nationkey || '.csv' as path, 'source' as kind from nation where n_nationkey % 5 > 0 and n_nationkey <> 4 union all select 'renamed', count(*)::varchar, 'run' from nation",
+    "raster_pyramid": " union all ".join(f"select {f} as factor, r // {f} as r, c // {f} as c, round(avg(left_v)::float::double, 2) as value from {_G} group by 2, 3" for f in (1, *PYRAMID)),
     "raster_overviews": " union all ".join(f"select {f} as factor, r // {f} as r, c // {f} as c, round(avg(left_v) + {TIE!r}, 4) as value from {_G} group by 2, 3" for f in (2, 4, 8)),
 }

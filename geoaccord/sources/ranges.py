@@ -240,7 +240,8 @@ class ShapefileReader(_Pruned):
 
 
 class Raster(DataSource):
-    """Cells (r, c, value) of a band of a TIFF. Options: ``path``, ``band``, ``where`` (JSON, conditions on r and c)."""
+    """Cells (r, c, value) of a band of a TIFF. Options: ``path``, ``band``, ``level`` (an overview), ``where`` (JSON,
+    conditions on r and c)."""
 
     @classmethod
     def name(cls) -> str:
@@ -251,7 +252,7 @@ class Raster(DataSource):
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         where = conditions(json.loads(self.options.get("where", "[]")), {"r": "int", "c": "int"})
-        return RasterReader(self.options["path"], int(self.options.get("band", 1)), where)
+        return RasterReader(self.options["path"], int(self.options.get("band", 1)), where, int(self.options.get("level", 0)))
 
 
 @dataclass
@@ -260,15 +261,15 @@ class Blocks(InputPartition):
 
 
 class RasterReader(_Pruned):
-    def __init__(self, path: str, band: int, where: list[Condition]):
-        self.path, self.band, self.conditions = path, band, where
+    def __init__(self, path: str, band: int, where: list[Condition], level: int = 0):
+        self.path, self.band, self.conditions, self.level = path, band, where, level
 
     def _layout(self, file):
         def read(offset: int, n: int) -> bytes:
             file.seek(offset)
             return file.read(n)
 
-        return tiff.layout(tiff.directory(read), self.band), tiff.info(read)["nodata"], read
+        return tiff.layout(tiff.directory(read, self.level), self.band), tiff.info(read)["nodata"], read
 
     def partitions(self) -> list[Blocks]:
         with opened(self.path) as file:
@@ -341,7 +342,7 @@ def read_categories(spark: SparkSession, path: str, field: str, values: list, li
     return found.orderBy("feature_id").limit(limit) if limit else found
 
 
-def read_tiff(spark: SparkSession, path: str, band: int = 1, where: list[tuple] = ()) -> DataFrame:
-    """(r, c, value) of a band, row 0 at the top, no-data and non-finite cells null; only the strips or tiles that meet the
-    conditions ``where`` on r and c are read."""
-    return _session(spark).read.format("tiff_ranges").option("band", band).option("where", json.dumps([list(c) for c in where])).load(path)
+def read_tiff(spark: SparkSession, path: str, band: int = 1, where: list[tuple] = (), level: int = 0) -> DataFrame:
+    """(r, c, value) of a band, or of its overview ``level``, row 0 at the top, no-data and non-finite cells null; only the
+    strips or tiles that meet the conditions ``where`` on r and c are read."""
+    return _session(spark).read.format("tiff_ranges").option("band", band).option("level", level).option("where", json.dumps([list(c) for c in where])).load(path)

@@ -22,9 +22,10 @@ TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 266: "fill
 HEAD_BYTES = 1 << 16
 
 
-def directory(read) -> dict:
-    """Tags of the first directory by name, values as lists; ``order`` is the byte order. ``read`` gives bytes by (offset,
-    size), so that a directory anywhere in a large file needs no more of it. Both classic and big TIFF."""
+def directory(read, level: int = 0) -> dict:
+    """Tags of a directory by name (the first, or the one so many links behind it: an overview), values as lists; ``order``
+    is the byte order. ``read`` gives bytes by (offset, size), so that a directory anywhere in a large file needs no more
+    of it. Both classic and big TIFF."""
     head = read(0, 16)
     order = {b"II": "<", b"MM": ">"}.get(head[:2])
     version = struct.unpack(order + "H", head[2:4])[0] if order and len(head) >= 8 else None
@@ -34,6 +35,11 @@ def directory(read) -> dict:
     at = struct.unpack_from(order + word, head, 8 if version == 43 else 4)[0]
     first = struct.calcsize(count)
     n = struct.unpack(order + count, read(at, first))[0]
+    for _ in range(level):
+        at = struct.unpack(order + word, read(at + first + n * size, struct.calcsize(word)))[0]
+        if not at:
+            raise ValueError(f"the TIFF has no level {level}")
+        n = struct.unpack(order + count, read(at, first))[0]
     table, found = read(at + first, n * size), {"order": order}
     for k in range(n):
         tag, kind = struct.unpack_from(order + "HH", table, size * k)
@@ -105,6 +111,37 @@ def unpack_lzw(data: bytes) -> bytes:
     return b"".join(out)
 
 
+def pack_lzw(data: bytes) -> bytes:
+    """The codes of TIFF's LZW for bytes: the longest known piece each, the table cleared before its codes outgrow 12 bits."""
+    codes, widths = [256], [9]
+    table, free, size, held = {}, 258, 9, None
+    for byte in data:
+        if held is None:
+            held = byte
+            continue
+        longer = table.get(held << 8 | byte)
+        if longer is not None:
+            held = longer
+            continue
+        codes.append(held)
+        widths.append(size)
+        table[held << 8 | byte] = free
+        free, held = free + 1, byte
+        if free == 4094:
+            codes.append(256)
+            widths.append(size)
+            table, free, size = {}, 258, 9
+        elif free == 1 << size:
+            size += 1
+    if held is not None:
+        codes.append(held)
+        widths.append(size)
+        size += free + 1 == 1 << size
+    codes, widths = np.array(codes + [257]), np.array(widths + [min(size, 12)])
+    bits = codes[:, None] >> np.arange(11, -1, -1) & 1
+    return np.packbits(bits[np.arange(12) >= 12 - widths[:, None]].astype(np.uint8)).tobytes()
+
+
 def _undone(data: bytes, predictor: int, dtype: np.dtype, shape: tuple[int, int, int]) -> np.ndarray:
     """The samples of a block (rows, columns, bands) from the differences that a predictor left of each row: of whole
     samples (2, floats as whole numbers of their size), or of the bytes of floats, most significant ones first (3)."""
@@ -172,24 +209,24 @@ def layout(tags: dict, band: int = 1) -> Layout:
     return Layout(places, width, height, wide, high, tiled, packing, predictor, dtype, 1 if apart else bands, 0 if apart else band - 1)
 
 
-def blocks(raw: bytes, band: int = 1):
-    """(first row, first column, array (rows, columns)) of every strip or tile of a band."""
-    plan = layout(directory(_within(raw)), band)
+def blocks(raw: bytes, band: int = 1, level: int = 0):
+    """(first row, first column, array (rows, columns)) of every strip or tile of a band, or of one of its overviews."""
+    plan = layout(directory(_within(raw), level), band)
     for k, (offset, size) in enumerate(plan.places):
         r, c, _, _ = plan.window(k)
         yield r, c, plan.cells(k, raw[offset : offset + size])
 
 
-def read_tiff(spark: SparkSession, path: str, band: int = 1) -> DataFrame:
-    """(path, r, c, value) of a band, row 0 at the top, no-data and non-finite cells null. A file is a task; its blocks
-    are decoded one after another."""
+def read_tiff(spark: SparkSession, path: str, band: int = 1, level: int = 0) -> DataFrame:
+    """(path, r, c, value) of a band, row 0 at the top, no-data and non-finite cells null; ``level`` counts overviews. A file
+    is a task; its blocks are decoded one after another."""
 
     def parse(batches):
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"]):
                 raw = bytes(data)
                 nodata = info(_within(raw))["nodata"]
-                for r, c, cells in blocks(raw, band):
+                for r, c, cells in blocks(raw, band, level):
                     value = cells.astype(float)
                     value = np.where(np.isfinite(value) & (value != (np.nan if nodata is None else nodata)), value, np.nan)
                     row, column = np.indices(value.shape)
