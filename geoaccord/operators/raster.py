@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from geoaccord.functions.crs import transform
 from geoaccord.operators.catalog import spaced_sample
 from geoaccord.operators.metrics import raster_metrics
+from geoaccord.operators.ranks import medians
+from geoaccord.operators.windows import focal_tiles
 
 EPSILON = 1e-12
 #: Points along each side of a grid whose bounds are found in another system.
@@ -76,18 +78,11 @@ def focal_sizes(cells: DataFrame, sizes: list[int], left: str = "left_v", right:
     )
 
 
-#: Window sizes that share a scan; each takes 11 sums of a row.
-SWEEP_SIZES = 6
-
-
 def window_sweep(cells: DataFrame, sizes: list[int], left: str = "left_v", right: str = "right_v") -> DataFrame:
     """Medians of the focal statistics for each window size."""
-    out = None
-    for k in range(0, len(sizes), SWEEP_SIZES):
-        one = focal_sizes(cells, sizes[k : k + SWEEP_SIZES], left, right).groupBy(F.col("size").alias("window_size"))
-        one = one.agg(*[F.median(k).alias(f"{k}_median") for k in ("local_mae", "local_rmse", "local_corr", "coefficient", "local_r2")])
-        out = one if out is None else out.union(one)
-    return out
+    names = ("local_mae", "local_rmse", "local_corr", "coefficient", "local_r2")
+    found = focal_tiles(cells, [check_window(size) for size in dict.fromkeys(sizes)], left, right, columns=names)
+    return medians(found.withColumnRenamed("size", "window_size"), "window_size", list(names)).toDF("window_size", *[f"{k}_median" for k in names])
 
 
 def block_mean(cells: DataFrame, value: str, factor: int) -> DataFrame:
