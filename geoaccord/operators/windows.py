@@ -87,4 +87,6 @@ def focal_tiles(cells: DataFrame, sizes: list[int], left: str = "left_v", right:
     spread = cells.select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), value(left).alias("y"), value(right).alias("x")).where("r is not null and c is not null")
     spread = spread.select("*", reach("r").alias("tr")).select("*", reach("c").alias("tc"))
     kinds = ", ".join(f"{k} double" for k in columns)
+    # tiles are few bytes and much work: as many partitions as the session names, which adaptive execution would join
+    spread = spread.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tr", "tc")
     return spread.groupBy("tr", "tc").applyInPandas(tile, f"r int, c int, size int, n long, {kinds}")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from geoaccord.fixtures import fixture, fixture_sql
 from geoaccord.functions import geometry, projection
 from geoaccord.operators import layers, raster
-from geoaccord.plans import compare
+from geoaccord.plans import compare, preprocess
 from geoaccord.scratch import scratch_path
 from geoaccord.sources import pyramid, ranges, readers, sinks, tiff
 
@@ -134,6 +134,22 @@ def raster_file_overlay(spark, d):
     return raster.overlay({"left_v": one, "right_v": raster.align(two, infos[1], infos[0], "bilinear")}).select("r", "c", F.round("left_v", 2).alias("left_v"), F.round("right_v", 2).alias("right_v"))
 
 
+def raster_alignment(spark, d):
+    """Two rasters on grids half a cell apart, prepared as files on one grid, and read from those."""
+    cells = fixture(spark, d, "grid").select("r", "c", F.col("left_v").alias("value"))
+    height, folder = cells.agg(F.max("r")).first()[0] + 1, scratch_path(spark, "aligned")
+    sources = []
+    for name, shift in (("left_v", 0.0), ("right_v", 5.0)):
+        sources.append({"name": name, "path": f"{scratch_path(spark, name)}.tif"})
+        info = {"width": GRID_COLUMNS, "height": height, "cell": (10.0, 10.0), "extent": [100.0 + shift, 50.0 - 10.0 * height, 1100.0 + shift, 50.0], "epsg": 32650}
+        pyramid.write_pyramid(cells, sources[-1]["path"], info, factors=())
+    made = preprocess.run("raster_align", spark, sources, folder, factors=(4,))
+    if made["status"] != "success":
+        raise ValueError(made["message"])
+    both = raster.overlay({p["name"]: ranges.read_tiff(spark, p["aligned_path"]) for p in made["processed"]})
+    return both.select("r", "c", F.round("left_v", 2).alias("left_v"), F.round("right_v", 2).alias("right_v"))
+
+
 def raster_reprojection(spark, d):
     """The cells of the grid as a raster in UTM, on a grid of degrees: its values are linear in the eastings and northings,
     so are those it gets."""
@@ -231,7 +247,7 @@ def project_registry(spark, d):
     return registry.sources().select("name", "path", F.lit("source").alias("kind")).union(runs)
 
 
-QUERIES = {f.__name__: f for f in (csv_scan, csv_metadata, geojson_scan, shapefile_layer, shapefile_categories, tiff_window, shapefile_check, ascii_grid_scan, tiff_scan, raster_file_overlay, raster_reprojection, comparison_sides, geopackage_scan, xlsx_scan, catalog_export, raster_overviews, raster_pyramid, project_registry)}
+QUERIES = {f.__name__: f for f in (csv_scan, csv_metadata, geojson_scan, shapefile_layer, shapefile_categories, tiff_window, shapefile_check, ascii_grid_scan, tiff_scan, raster_file_overlay, raster_alignment, raster_reprojection, comparison_sides, geopackage_scan, xlsx_scan, catalog_export, raster_overviews, raster_pyramid, project_registry)}
 
 _G, _P = fixture_sql("grid"), fixture_sql("poly_a")
 ORACLE_SQL = {
@@ -245,6 +261,8 @@ ORACLE_SQL = {
     "ascii_grid_scan": f"select r, c, round(left_v, 4) as value from {_G}",
     "tiff_scan": f"select r, c, round(left_v::float::double, 2) as value from {_G}",
     "raster_file_overlay": f"""with g as (select r, c, left_v::float::double as v from {_G}) select a.r, a.c, round(a.v, 2) as left_v, round((coalesce(l.v, 0) + coalesce(a.v, 0)) / nullif((l.v is not null)::int + (a.v is not null)::int, 0), 2) as right_v
+  from g a left join g l on l.r = a.r and l.c = a.c - 1""",
+    "raster_alignment": f"""with g as (select r, c, left_v::float::double as v from {_G}) select a.r, a.c, round(a.v, 2) as left_v, round(((coalesce(l.v, 0) + coalesce(a.v, 0)) / nullif((l.v is not null)::int + (a.v is not null)::int, 0))::float::double, 2) as right_v
   from g a left join g l on l.r = a.r and l.c = a.c - 1""",
     "raster_reprojection": f"select r::int as r, c::int as c, true as equal from (select unnest(range((max(r)::bigint * 100 - 600) // 111)) as r from {_G}) a, range(80) b(c)",
     "comparison_sides": f"select 0 as side, 'shapes' as kind, count(*) as n, count(distinct category) as classes, round(min(minx), 4) as xmin, round(min(miny), 4) as ymin, round(max(minx + w), 4) as xmax, round(max(miny + h), 4) as ymax from {_P} union all select 1, 'raster', count(*), 0, 100, 50 - 10 * (max(r) + 1), 1100, 50 from {_G}",
