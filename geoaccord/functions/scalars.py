@@ -24,6 +24,19 @@ def pair_key(y: Column, x: Column) -> Column:
     return F.concat(y, F.lit("__vs__"), x)
 
 
+def literal(value) -> Column:
+    """The constant that a condition on categories compares with: a whole number where the value reads as one (also "3.0"),
+    else a decimal number, else text as it is. Values are constants of the plan, never text of a statement, so quotes in
+    them mean nothing; "nan" and "inf" are text, as no number of a table equals them."""
+    try:
+        number = float(value)
+    except (TypeError, ValueError):
+        return F.lit(str(value))
+    if not math.isfinite(number):
+        return F.lit(str(value))
+    return F.lit(int(number)) if number.is_integer() and abs(number) < 2**63 else F.lit(number)
+
+
 def letter_label(n: int) -> str:
     """A, B, .. Z, AA, AB .. for 0, 1, ..: labels by length, each length in order of the alphabet."""
     length = 1

@@ -134,3 +134,15 @@ def containing(df: DataFrame, fields: list[str], keyword: str) -> DataFrame:
     for f in fields:
         found = found | F.coalesce(F.lower(F.col(f).cast("string")).contains(keyword.lower()), F.lit(False))
     return df.where(found)
+
+
+def sorted_table(df: DataFrame, column: str, descending: bool = False, ties: list[str] = ()) -> DataFrame:
+    """The rows of a table by one of its columns: numbers in text by their value before other text, nulls and blanks last
+    in either direction, ``ties`` rising within equal values. The sort is distributed, by ranges."""
+    if column not in df.columns:
+        raise ValueError(f"there is no column {column}")
+    text = F.trim(F.col(column).cast("string"))
+    number = F.col(column).try_cast("double")
+    order = [F.coalesce(text, F.lit("")) == "", number.isNull(), number, F.col(column).cast("string")]
+    falling = [order[0], *(o.desc() for o in order[1:])]
+    return df.orderBy(*(falling if descending else order), *ties)

@@ -272,6 +272,7 @@ ORACLE_SQL: dict[str, str] = {
     "match_threshold_sweep": f"with {greedy_rounds()}, {THRESHOLDS} select threshold, count(*) as matched, round(avg(iou), 6) as mean_iou from g join th on iou >= threshold group by threshold",
     "match_geometry_metrics": f"with {MEASURED} select label, a_id, b_id, round(polygon_iou, 6) as polygon_iou, round(area_error, 6) as area_error, round(area_abs_error, 6) as area_abs_error, round(centroid_distance, 4) as centroid_distance, round(perimeter_error, 6) as perimeter_error, round(px, 4) as px, round(py, 4) as py from me where threshold = 0.1",
     "category_threshold_summary": f"with {MEASURED} {_summary('label, threshold', _CATEGORY, 'coalesce(mi, 0)')}",
+    "geometry_run_tables": f"with {MEASURED} {_summary('label, threshold', _CATEGORY, 'coalesce(mi, 0)')}",
     "overall_threshold_summary": f"with {MEASURED} {_summary('threshold', _OVERALL, 'mi')}",
     "recommended_threshold": f"with {MEASURED} select arg_max(threshold, 2 * matched / (a_total + b_total) * coalesce(mi, 0)) as recommended_threshold from (select threshold, a_total, b_total, count(a_id) as matched, median(polygon_iou) as mi from {_OVERALL} group by threshold, a_total, b_total)",
     "gw_match_smoothing": f"{_smoothed(SMOOTHING[:1])} select bandwidth, source_id, round(gw_area_me, 6) as gw_area_me, round(gw_area_mae, 6) as gw_area_mae, round(gw_area_rmse, 6) as gw_area_rmse, round(gw_iou, 6) as gw_iou, round(gw_centroid, 4) as gw_centroid, round(gw_perimeter, 6) as gw_perimeter, neighbours from sm",

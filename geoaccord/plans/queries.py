@@ -9,8 +9,9 @@ from geoaccord.fixtures import fixture
 from geoaccord.functions import arrangement, crs, geometry, projection, scalars
 from geoaccord.functions.spaces import Space
 from geoaccord.operators import catalog, classify, layers, matching, metrics, raster, weighted
-from geoaccord.plans import file_queries
-from geoaccord.scratch import written
+from geoaccord.plans import engine, file_queries
+from geoaccord.scratch import scratch_path, written
+from geoaccord.sources import readers, sinks
 
 FIELDS = ["v_a", "v_b", "v_c"]
 LAYERS = ["left_v", "right_v"]
@@ -256,6 +257,19 @@ def overall_threshold_summary(spark, d):
     return rounded(matching.overall_summary(*measured(spark, d)), **_RATES)
 
 
+def geometry_run_tables(spark, d):
+    """A geometry analysis from its configuration to the files of its run: the summary by category as its CSV holds it."""
+    one, two = (matching.rectangles(fixture(spark, d, n)) for n in ("poly_a", "poly_b"))
+    config = {"category_mappings": MAPPING, "cell": CELL, "bandwidth": SMOOTHING[0]}
+    result = engine.run("geometry", config, a=one, b=two)
+    if not result.ok:
+        raise ValueError(result.envelope["message"])
+    files = sinks.write_geometry_run(result, config, scratch_path(spark, "run"), 0.0)
+    got = readers.read_csv(spark, files["category_summary"])
+    kinds = {"label": "string", "threshold": "double", "a_total": "long", "b_total": "long", "matched": "long"}
+    return rounded(got.select(*[F.when(F.col(c) != "", F.col(c)).cast(kinds.get(c, "double")).alias(c) for c in matching.category_summary(*measured(spark, d)).columns]), **_RATES)
+
+
 def recommended_threshold(spark, d):
     return matching.recommended(matching.overall_summary(*measured(spark, d)))
 
@@ -563,7 +577,7 @@ QUERIES = {
         missing_value_report, distinct_values, systematic_sample, extent_union_intersection, catalog_consistency, category_auto_mapping, gw_local_error_gaussian,
         gw_local_error_exponential, gw_local_error_adaptive, gw_local_correlation, gwr_coefficients, gwr_diagnostics, gwr_studentised_residuals, gwr_local_r2,
         gwr_bandwidth_sweep, gwr_best_bandwidth, gwr_auto_bandwidth, percent_bandwidth_plan, bbox_candidates, greedy_match, match_threshold_sweep,
-        match_geometry_metrics, category_threshold_summary, overall_threshold_summary, recommended_threshold, gw_match_smoothing, gw_match_bandwidth_sweep,
+        match_geometry_metrics, category_threshold_summary, overall_threshold_summary, geometry_run_tables, recommended_threshold, gw_match_smoothing, gw_match_bandwidth_sweep,
         l_shape_overlay, l_shape_threshold_summary, layer_measures, layer_quality, layer_repair, overlay_shapes, quality_stats, point_in_polygon, raster_pairwise_metrics, raster_local_error, raster_local_correlation, raster_local_regression,
         raster_window_sweep, raster_block_mean, raster_percentile_stretch, raster_align_bilinear, raster_align_nearest, raster_align_cubic, classify_equal_interval,
         classify_quantile, classify_manual, classify_jenks, classify_unique_topk, classify_unique_values, histogram_fixed, kde_density, project_albers, project_utm, project_and_back, project_systems, result_columns,
