@@ -14,8 +14,8 @@ from geoaccord.operators.matching import normal_category
 POLYGONS = ("polygon", "multipolygon")
 
 
-def measured(features: DataFrame, category: str, values: list[str] | None = None, crs=None, source=4326) -> DataFrame:
-    """(feature_id, category, state, rings, minx, miny, maxx, maxy, area, perimeter, cx, cy) of polygon features.
+def measured(features: DataFrame, category: str, values: list[str] | None = None, crs=None, source=4326, keep: list[str] = ()) -> DataFrame:
+    """(feature_id, category, ``keep``, state, rings, minx, miny, maxx, maxy, area, perimeter, cx, cy) of polygon features.
 
     ``features`` are rows (feature_id, geometry, attributes) of a reader; ``values`` keeps rows of these categories and
     ``crs`` moves shapes from the system ``source`` to another one (:func:`geoaccord.functions.crs.system`). Outer rings are made to turn left and holes right, whatever the file's turns, by how the
@@ -25,10 +25,10 @@ def measured(features: DataFrame, category: str, values: list[str] | None = None
     """
     key = normal_category(F.col(f"`{category}`"))
     rows = features if values is None else features.where(key.isin([str(v) for v in values]))
-    rows = rows.select("feature_id", key.alias("category"), "geometry.type", F.when(F.col("geometry.type").isin(*POLYGONS), geometry.polygon(F.col("geometry.parts"))).alias("rings"))
+    rows = rows.select("feature_id", key.alias("category"), *keep, "geometry.type", F.when(F.col("geometry.type").isin(*POLYGONS), geometry.polygon(F.col("geometry.parts"))).alias("rings"))
     rows = rows.withColumn("made", arrangement.cleaned(F.when(F.size("rings") > 0, F.col("rings"))))
     state = F.when(F.col("type").isNull() | (F.col("type") == "null"), "null").when(F.coalesce(F.size("rings"), F.lit(0)) <= 0, "empty").otherwise(F.col("made.state"))
-    rows = rows.select("feature_id", "category", state.alias("state"), F.when(F.col("made.state").isin(*USED), F.coalesce("made.rings", "rings")).alias("rings"))
+    rows = rows.select("feature_id", "category", *keep, state.alias("state"), F.when(F.col("made.state").isin(*USED), F.coalesce("made.rings", "rings")).alias("rings"))
     if crs is not None:
         moved = lambda v: (lambda x, y: F.struct(x.alias("x"), y.alias("y")))(*transform(source, crs, v["x"], v["y"]))
         rows = rows.withColumn("rings", F.transform("rings", lambda r: F.transform(r, moved)))

@@ -1,6 +1,6 @@
 """Polygon layers: candidates by bounding box, one-to-one matching over thresholds, shape errors and smoothing.
 
-Layers are rows (feature_id, category, minx, miny, maxx, maxy, area, perimeter, cx, cy, ...).
+Layers are rows (feature_id, category, minx, miny, maxx, maxy, area, perimeter, cx, cy, ...); ``box_area`` is optional.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ def rectangles(df: DataFrame) -> DataFrame:
     c = F.col
     return df.select(
         "feature_id", "category", "minx", "miny", (c("minx") + c("w")).alias("maxx"), (c("miny") + c("h")).alias("maxy"),
-        (c("w") * c("h")).alias("area"), (2 * (c("w") + c("h"))).alias("perimeter"), (c("minx") + c("w") / 2).alias("cx"), (c("miny") + c("h") / 2).alias("cy"),
+        (c("w") * c("h")).alias("area"), (2 * (c("w") + c("h"))).alias("perimeter"), (c("minx") + c("w") / 2).alias("cx"), (c("miny") + c("h") / 2).alias("cy"), (c("w") * c("h")).alias("box_area"),
     )
 
 
@@ -61,18 +61,21 @@ def candidates(a: DataFrame, b: DataFrame, cell: float, floor: float = 0.0) -> D
     are listed there too, but only on grids that boxes of the other layer belong to, and two boxes that were both listed
     on a coarser grid than theirs do not meet there. A pair is kept only in the cell of the lower left corner of its
     overlap, so none comes twice and no distinct is needed. Boxes with a null or an infinite bound overlap nothing.
+    A layer may state the areas of its boxes as ``box_area``: far from the origin those of the bounds have lost digits, and
+    an IoU on a threshold falls below it.
     """
     c, size = F.col, lambda level: F.pow(F.lit(2.0), level) * cell
 
     def levelled(layer: DataFrame) -> DataFrame:
         widest = F.greatest(c("maxx") - c("minx"), c("maxy") - c("miny"))
         bounded = layer.where(" and ".join(f"abs({k}) < double('inf')" for k in ("minx", "miny", "maxx", "maxy")))
+        bounded = bounded if "box_area" in layer.columns else bounded.withColumn("box_area", (c("maxx") - c("minx")) * (c("maxy") - c("miny")))
         return bounded.withColumn("own", F.when(widest > cell * SPREAD, F.ceil(F.log2(widest / (cell * SPREAD)))).otherwise(0).cast("int"))
 
     def cells(layer: DataFrame, level: Column, tag: str) -> DataFrame:
         steps = lambda lo, hi: F.sequence(F.floor(c(lo) / size(c("level"))).cast("long"), F.floor(c(hi) / size(c("level"))).cast("long"))
         spread = layer.withColumn("level", level).withColumn("gx", F.explode(steps("minx", "maxx"))).withColumn("gy", F.explode(steps("miny", "maxy")))
-        return spread.select(c("label").alias(f"{tag}_label"), c("feature_id").alias(f"{tag}_id"), *[c(k).alias(f"{tag}_{k}") for k in ("minx", "miny", "maxx", "maxy", "level", "gx", "gy")])
+        return spread.select(c("label").alias(f"{tag}_label"), c("feature_id").alias(f"{tag}_id"), *[c(k).alias(f"{tag}_{k}") for k in ("minx", "miny", "maxx", "maxy", "box_area", "level", "gx", "gy")])
 
     one, two = levelled(a), levelled(b)
     grids = [[r[0] for r in layer.select("own").distinct().collect()] for layer in (one, two)]  # a power of 2 each: some tens at most
@@ -90,8 +93,7 @@ def candidates(a: DataFrame, b: DataFrame, cell: float, floor: float = 0.0) -> D
     wide, high = F.least("a_maxx", "b_maxx") - left, F.least("a_maxy", "b_maxy") - low
     met = met.where((wide >= 0) & (high >= 0) & (F.floor(left / size(c("a_level"))) == c("a_gx")) & (F.floor(low / size(c("a_level"))) == c("a_gy")))
     inter = wide * high
-    box = lambda t: (c(f"{t}_maxx") - c(f"{t}_minx")) * (c(f"{t}_maxy") - c(f"{t}_miny"))
-    both = box("a") + box("b") - inter
+    both = c("a_box_area") + c("b_box_area") - inter
     iou = F.when(both > 0, inter / both).otherwise(0.0)
     return met.select(c("a_label").alias("label"), "a_id", "b_id", inter.alias("rect_intersection"), iou.alias("rect_iou")).where((c("rect_iou") > 0) & (c("rect_iou") >= floor))
 

@@ -303,8 +303,8 @@ def l_layers(spark, d):
     made = []
     for side, name in enumerate(("poly_a", "poly_b")):
         shape = geometry.l_shape(F.col("minx"), F.col("miny"), F.col("w"), F.col("h"))
-        rows = fixture(spark, d, name).select("feature_id", "category", F.struct(F.lit("polygon").alias("type"), shape.alias("parts")).alias("geometry"))
-        made.append(written(matching.mapped(layers.measured(rows, "category", [m[side] for m in MAPPING]), MAPPING, side), "layer"))
+        rows = fixture(spark, d, name).select("feature_id", "category", F.struct(F.lit("polygon").alias("type"), shape.alias("parts")).alias("geometry"), (F.col("w") * F.col("h")).alias("box_area"))
+        made.append(written(matching.mapped(layers.measured(rows, "category", [m[side] for m in MAPPING], keep=["box_area"]), MAPPING, side), "layer"))
     return made
 
 

@@ -299,3 +299,12 @@ def test_greedy_by_components(spark, monkeypatch, rounds, held):
     got = matching.greedy(df).collect()
     assert {(r[0], r[1], r[2]) for r in got} == greedy_of(edges) and len(got) == len(greedy_of(edges))
     assert matching.greedy(df.where("false")).count() == 0
+
+
+def test_stated_box_areas_decide_the_iou(spark):
+    """Far from the origin, bounds have lost digits of a box's size: areas come from widths and heights where these are known."""
+    x = 1e6 + 0.1
+    layer = lambda w: matching.rectangles(spark.createDataFrame([(1, "k", x, 0.0, w, 1.0)], "feature_id long, category string, minx double, miny double, w double, h double")).withColumn("label", F.lit("k"))
+    inter = (x + 0.7) - x
+    assert inter != 0.7
+    assert [r["rect_iou"] for r in matching.candidates(layer(0.7), layer(1.4), 4.0).collect()] == [inter / (0.7 + 1.4 - inter)]
