@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from geoaccord.functions import crs
 from geoaccord.operators import classify, layers, raster
+from geoaccord.scratch import written
 from geoaccord.sources import readers, tiff
 
 
@@ -60,7 +61,7 @@ def _side(spark: SparkSession, spec: dict, target=None, grid: dict | None = None
         return Side("raster", raster.stretch(cells, "value"), None, tuple(own["extent"]), own.get("crs") or own["epsg"]), own
     features, named = readers.read_shapefile(spark, spec["path"]), _file_system(spark, spec["path"])
     moved = {"crs": target, "source": named or 4326} if target is not None and (named or spec.get("crs")) else {}
-    shapes = layers.measured(features, spec["field"], **moved).where(layers.used())
+    shapes = written(layers.measured(features, spec["field"], **moved).where(layers.used()), "shapes")  # repaired once
     legend = classify.classify(features, spec["field"], spec.get("method", "natural"), spec.get("classes", 5))
     box = shapes.agg(F.min("minx"), F.min("miny"), F.max("maxx"), F.max("maxy")).first()
     return Side("shapes", shapes, legend, tuple(box), target if moved else named), None

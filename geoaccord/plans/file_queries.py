@@ -7,7 +7,6 @@ import json
 import sqlite3
 import zipfile
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from geoaccord.fixtures import fixture, fixture_sql
@@ -67,10 +66,8 @@ def shapefile_layer(spark, d):
     shape = geometry.l_shape(F.col("minx"), F.col("miny"), F.col("w"), F.col("h"))
     rows = fixture(spark, d, "poly_a").select(F.col("feature_id").alias("part_number"), F.col("category").alias("category_code"), shape.alias("rings"))
     sinks.write_shapefile(rows, path, ["part_number", "category_code"], projection='PROJCS["Test plane"]')
-    got = readers.read_shapefile(spark, path)
-    measured = layers.measured(got, "category_c")
-    found = measured.join(got.select(F.col("feature_id").alias("_f"), F.col("part_numbe").alias("p_partkey")), F.col("feature_id") == F.col("_f"))
-    return found.select("p_partkey", "category", "state", *(F.round(c, 4).alias(c) for c in ("minx", "miny", "maxx", "maxy", "area", "perimeter", "cx", "cy")))
+    measured = layers.measured(readers.read_shapefile(spark, path), "category_c", keep=["part_numbe"])
+    return measured.select(F.col("part_numbe").alias("p_partkey"), "category", "state", *(F.round(c, 4).alias(c) for c in ("minx", "miny", "maxx", "maxy", "area", "perimeter", "cx", "cy")))
 
 
 def shapefile_categories(spark, d):
@@ -87,7 +84,7 @@ def shapefile_categories(spark, d):
 def tiff_window(spark, d):
     """A window of a raster: only its strips are read."""
     path = f"{scratch_path(spark, 'grid')}.tif"
-    sinks.write_bytes(spark, path, tiff.encode(_grid(spark, d), (100.0, 50.0), 10.0, 32650))
+    sinks.write_tiff(*_grid(spark, d, path))
     return ranges.read_tiff(spark, path, where=[("r", ">=", 3), ("r", "<", 40), ("c", ">", 20), ("c", "<=", 60)]).select("r", "c", F.round("value", 2).alias("value"))
 
 
@@ -100,34 +97,31 @@ def shapefile_check(spark, d):
     return spark.createDataFrame([(found["records"], found["null"], found["empty"], found["invalid"], found["polygons"], ",".join(found["missing_files"]), ",".join(found["categories"]), len(found["values"]))], "records long, null_shapes long, empty_shapes long, invalid_shapes long, polygons boolean, missing_files string, category_fields string, category_values int")
 
 
-def _grid(spark, d) -> np.ndarray:
-    """The test grid as an array, NaN where it has no value."""
-    rows = fixture(spark, d, "grid").select("r", "c", "left_v").toPandas()
-    cells = np.full((int(rows["r"].max()) + 1, GRID_COLUMNS), np.nan)
-    cells[rows["r"], rows["c"]] = rows["left_v"].astype(float)
-    return cells
+def _grid(spark, d, path, shift=0.0):
+    """The test grid, the path of its raster file, and the place of that."""
+    cells = fixture(spark, d, "grid").select("r", "c", F.col("left_v").alias("value"))
+    height = cells.agg(F.max("r")).first()[0] + 1
+    return cells, path, {"width": GRID_COLUMNS, "height": height, "cell": (10.0, 10.0), "extent": [100.0 + shift, 50.0 - 10.0 * height, 1100.0 + shift, 50.0], "epsg": 32650}
 
 
 def ascii_grid_scan(spark, d):
-    cells, path = _grid(spark, d), f"{scratch_path(spark, 'grid')}.asc"
-    head = f"ncols {cells.shape[1]}\nnrows {cells.shape[0]}\nxllcenter 10\nyllcenter 20\ncellsize 2\nNODATA_value -9999\n"
-    body = "\n".join(" ".join("-9999" if np.isnan(v) else repr(float(v)) for v in row) for row in cells)
-    sinks.write_bytes(spark, path, (head + body).encode())
+    cells, path, info = _grid(spark, d, f"{scratch_path(spark, 'grid')}.asc")
+    sinks.write_ascii_grid(cells, path, info["width"], info["height"], {"xllcenter": 10, "yllcenter": 20, "cellsize": 2})
     return readers.read_ascii_grid(spark, path).select("r", "c", F.round("value", 4).alias("value"))
 
 
 def tiff_scan(spark, d):
     """The pixels of a deflated GeoTIFF in strips."""
     path = f"{scratch_path(spark, 'grid')}.tif"
-    sinks.write_bytes(spark, path, tiff.encode(_grid(spark, d), (100.0, 50.0), 10.0, 32650))
+    sinks.write_tiff(*_grid(spark, d, path))
     return tiff.read_tiff(spark, path).select("r", "c", F.round("value", 2).alias("value"))
 
 
 def raster_file_overlay(spark, d):
     """Two rasters on grids half a cell apart, read, aligned to the first and laid over each other."""
-    cells, paths = _grid(spark, d), [f"{scratch_path(spark, 'grid')}.tif" for _ in range(2)]
+    paths = [f"{scratch_path(spark, 'grid')}.tif" for _ in range(2)]
     for path, shift in zip(paths, (0.0, 5.0)):
-        sinks.write_bytes(spark, path, tiff.encode(cells, (100.0 + shift, 50.0), 10.0, 32650))
+        sinks.write_tiff(*_grid(spark, d, path, shift))
     infos = [tiff.read_info(spark, path) for path in paths]
     raster.preflight(infos)
     one, two = (tiff.read_tiff(spark, path) for path in paths)
@@ -172,7 +166,7 @@ def comparison_sides(spark, d):
     stem = scratch_path(spark, "side")
     shape = geometry.rectangle(F.col("minx"), F.col("miny"), F.col("minx") + F.col("w"), F.col("miny") + F.col("h"))
     sinks.write_shapefile(fixture(spark, d, "poly_a").select("category", shape.alias("rings")), f"{stem}.shp", ["category"])
-    sinks.write_bytes(spark, f"{stem}.tif", tiff.encode(_grid(spark, d), (100.0, 50.0), 10.0, 32650))
+    sinks.write_tiff(*_grid(spark, d, f"{stem}.tif"))
     made = compare.sides(spark, {"path": f"{stem}.shp", "field": "category", "method": "unique"}, {"path": f"{stem}.tif"})
     rows = [(k, s.kind, s.rows.count(), s.legend.count() if s.legend else 0, *(round(float(v), 4) for v in s.bounds)) for k, s in enumerate(made)]
     return spark.createDataFrame(rows, "side int, kind string, n long, classes long, xmin double, ymin double, xmax double, ymax double")

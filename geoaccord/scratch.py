@@ -49,6 +49,20 @@ def drop(*tables: DataFrame) -> None:
             _delete(_tables.pop(path), path)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` in several tasks a core, by columns with many values: for steps whose work a row is large beside its bytes,
+    which a scan or a shuffle of few bytes would leave to one task."""
+    context = df.sparkSession.sparkContext
+    many = max(4 * context.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(many, *by)
+
+
+def discard(path: str) -> None:
+    """Delete what lies at a path of :func:`scratch_path` that no later step reads."""
+    if path in _tables:
+        _delete(_tables.pop(path), path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -408,11 +408,38 @@ def _code_page(spark: SparkSession, path: str) -> str | None:
 
 
 def read_shapefile(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Geometry and attributes of a shapefile, joined by record number: null shapes and rows stay aligned."""
+    """Geometry and attributes of a shapefile, joined by record number: null shapes and rows stay aligned. Many tasks read
+    ranges of the file where its index is there and pyarrow knows its store."""
+    if not set(options) - {"encoding"} and _by_ranges(spark, path):
+        return _ranges_of(spark, path, True, **options)
     table = read_dbf(spark, re.sub(r"\.shp$", ".dbf", path, flags=re.I), **options)
     return read_shapes(spark, path).join(table, "feature_id", "left")
 
 
+def _by_ranges(spark: SparkSession, path: str) -> bool:
+    from geoaccord.sources import ranges
+
+    stem = re.sub(r"\.shp$", "", path, flags=re.I)
+    try:
+        if not all(present(spark, stem + s) for s in (".shx", ".dbf")):
+            return False
+        for name in (path, f"{stem}.shx", f"{stem}.dbf"):
+            ranges.opened(name).close()
+        return True
+    except Exception:  # a store that only Spark knows
+        return False
+
+
+def _ranges_of(spark: SparkSession, path: str, geometry: bool, encoding: str | None = None) -> DataFrame:
+    """(feature_id, geometry if asked for, fields) of a shapefile by ranges; columns are called as in :func:`read_dbf`."""
+    from geoaccord.sources import ranges
+
+    fields = dbf_header(first_bytes(spark, re.sub(r"\.shp$", ".dbf", path, flags=re.I), 32 + 32 * 256))[3]
+    first = ["feature_id", "geometry"] if geometry else ["feature_id"]
+    got = ranges.read_shapefile(spark, path, [*first, *ranges.named_fields(fields)], encoding=encoding)
+    return got.toDF(*first, *[n if n != "feature_id" else "feature_id_" for n, *_ in fields])
+
+
 #: Fixed names: fields that may hold categories, whole or in part.
 CATEGORY_NAMES = ("gridcode", "class", "class_id", "category", "category_id", "type", "code", "landcover")
 CATEGORY_PARTS = ("class", "categor", "gridcode", "landcover")
@@ -429,7 +456,10 @@ def check_shapefile(spark: SparkSession, path: str) -> dict:
     out = {"missing_files": missing, "records": 0, "null": 0, "empty": 0, "invalid": 0, "polygons": False, "categories": [], "values": [], "counts": {}, "warnings": [f"no {s} file" for s in missing]}
     if ".shp" in missing or ".dbf" in missing:
         return out
-    shapes_of, table = read_shapes(spark, path), read_dbf(spark, f"{stem}.dbf")
+    if _by_ranges(spark, path):
+        shapes_of, table = _ranges_of(spark, path, True).select("feature_id", "geometry"), _ranges_of(spark, path, False)
+    else:
+        shapes_of, table = read_shapes(spark, path), read_dbf(spark, f"{stem}.dbf")
     measured = layers.measured(shapes_of.withColumn("category", F.lit("")), "category")
     counts = layers.quality(measured).first()
     kinds = {r[0] for r in shapes_of.select("geometry.type").distinct().collect()} - {"null"}

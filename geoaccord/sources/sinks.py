@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import math
 import time
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoaccord.functions.scalars import full_width_commas
+from geoaccord.scratch import discard, drop, scratch_path, spread, written
 
 CATALOG = "name string, data_type string, path string, extent string, crs string, status string, records string, fields array<string>, geometry_type string, warnings array<string>, reader string"
 RUNS = "run_id string, title string, analysis string, result string, created string"
@@ -38,30 +40,167 @@ def write_bytes(spark: SparkSession, path: str, data: bytes, block: int = 1 << 2
         out.close()
 
 
+def write_joined(pieces: DataFrame, path: str, head: bytes = b"", tail: bytes = b"") -> None:
+    """One file of pieces (piece, data) in the order of their numbers, between ``head`` and ``tail``. Executors write the
+    pieces of a task to a file; the driver has a row a piece and copies bytes from stream to stream. The part files need a
+    store that pyarrow knows."""
+    spark, folder = pieces.sparkSession, scratch_path(pieces.sparkSession, "pieces")
+
+    def write(batches):
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+
+        out, at, rows, name = None, 0, [], f"{folder}/{uuid.uuid4().hex}"
+        for batch in batches:
+            for number, data in zip(batch["piece"].to_pylist(), batch["data"]):
+                if out is None:  # a name of its own, so that a task that runs twice harms nothing
+                    store, place = pafs.FileSystem.from_uri(name if "://" in name else f"file://{name}")
+                    store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                    out = store.open_output_stream(place)
+                held = data.as_buffer()
+                out.write(held)
+                rows.append((number, name, at, held.size))
+                at += held.size
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["piece", "file", "at", "size"])
+
+    found = pieces.select(F.col("piece").cast("long").alias("piece"), "data").mapInArrow(write, "piece long, file string, at long, size long").collect()  # a row a piece
+    runs: list[list] = []
+    for row in sorted(found):
+        if runs and runs[-1][0] == row["file"] and runs[-1][1] + runs[-1][2] == row["at"]:
+            runs[-1][2] += row["size"]
+        else:
+            runs.append([row["file"], row["at"], row["size"]])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(conf).create(target, True)
+    try:
+        out.write(bytearray(head))
+        for file, at, size in runs:
+            place = jvm.org.apache.hadoop.fs.Path(file)
+            part = place.getFileSystem(conf).open(place)
+            try:
+                part.seek(at)
+                jvm.org.apache.commons.io.IOUtils.copyLarge(part, out, 0, size)
+            finally:
+                part.close()
+        if tail:
+            out.write(bytearray(tail))
+    finally:
+        out.close()
+    discard(folder)
+
+
+#: Records of a shapefile, and cells of a raster, that a piece has (a raster's piece has 16 rows at least).
+RECORDS, CELLS = 4096, 1 << 16
+
+
 def write_shapefile(df: DataFrame, path: str, fields: list[str], rings: str = "rings", projection: str | None = None) -> None:
     """One shapefile of polygons with its index, table, code page and projection, rows as they come. The format holds
-    2 GB at most; its rows are streamed to the driver, which writes it. Layers of any size go to :func:`write_table`."""
+    2 GB at most; executors encode its records in pieces (:func:`write_joined`). Layers of any size go to
+    :func:`write_table`."""
+    import pyarrow as pa
+
     from geoaccord.sources import shapefile
 
-    rows = list(df.select(rings, *fields).toLocalIterator())
-    stem = path.removesuffix(".shp")
-    shp, shx = shapefile.encode_shapes([r[0] for r in rows])
-    files = {".shp": shp, ".shx": shx, ".dbf": shapefile.encode_table(fields, [tuple(r)[1:] for r in rows]), ".cpg": b"UTF-8"}
-    for suffix, data in (files | ({".prj": projection.encode()} if projection else {})).items():
-        write_bytes(df.sparkSession, stem + suffix, data)
+    spark, stem = df.sparkSession, path.removesuffix(".shp")
+    names = [f"f{k}" for k in range(len(fields))]
+    rows = written(df.select(F.col(rings).alias("rings"), *[F.col(f).alias(n) for f, n in zip(fields, names)], F.monotonically_increasing_id().alias("m")), "records")
+    part = F.shiftright("m", 33)
+    starts, many = {}, 0
+    for p, n in rows.groupBy(part.alias("p")).count().orderBy("p").collect():  # a row a partition
+        starts[p], many = many, many + n
+    begin = spark.createDataFrame(list(starts.items()) or [(0, 0)], "p long, b long")
+    rows = rows.join(F.broadcast(begin), part == F.col("p")).withColumn("n", F.col("b") + F.col("m").bitwiseAND(F.lit((1 << 33) - 1))).withColumn("piece", F.floor(F.col("n") / RECORDS))
+
+    def shapes(table: pa.Table) -> pa.Table:
+        held = table.sort_by("n")
+        body, lengths, box = shapefile.encode_records(held["rings"].to_pylist(), held["n"][0].as_py() + 1)
+        kinds = [shapefile.column_kind(held[c].to_pylist()) for c in names]
+        return pa.table({"piece": [held["piece"][0].as_py()], "data": [body], "lengths": pa.array([lengths], pa.list_(pa.int32())), "box": [box], "kinds": [json.dumps(kinds)]})
+
+    made = written(spread(rows, "piece").groupBy("piece").applyInArrow(shapes, "piece long, data binary, lengths array<int>, box array<double>, kinds string"), "shapes")
+    told = made.select("piece", F.aggregate("lengths", F.lit(0).cast("long"), lambda s, v: s + v + 4).alias("words"), "box", "kinds").orderBy("piece").collect()  # a row a piece
+    places, words = {}, 50
+    for t in told:
+        places[t["piece"]] = words
+        words += t["words"]
+    box = [f([t["box"][k] for t in told], default=d) for k, (f, d) in enumerate(((min, math.inf), (min, math.inf), (max, -math.inf), (max, -math.inf)))]
+    of = shapefile.table_fields(fields, [shapefile.joined_kinds(list(k)) for k in zip(*(json.loads(t["kinds"]) for t in told))] if told else [shapefile.column_kind([])] * len(fields))
+
+    def index(batches):
+        for batch in batches:
+            numbers = batch["piece"].to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([shapefile.encode_index(v, places[k]) for k, v in zip(numbers, batch["lengths"].to_pylist())], pa.binary())], names=["piece", "data"])
+
+    def table(given: pa.Table) -> pa.Table:
+        held = given.sort_by("n")
+        data = shapefile.table_rows(of, list(zip(*(held[c].to_pylist() for c in names))) if names else [()] * len(held))
+        return pa.table({"piece": [held["piece"][0].as_py()], "data": [data]})
+
+    write_joined(made.select("piece", "data"), f"{stem}.shp", shapefile.head(words, box))
+    write_joined(made.select("piece", "lengths").mapInArrow(index, "piece long, data binary"), f"{stem}.shx", shapefile.head(50 + 4 * many, box))
+    write_joined(spread(rows.select("piece", "n", *names), "piece").groupBy("piece").applyInArrow(table, "piece long, data binary"), f"{stem}.dbf", shapefile.table_head(of, many), shapefile.TABLE_END)
+    for suffix, data in ({".cpg": b"UTF-8"} | ({".prj": projection.encode()} if projection else {})).items():
+        write_bytes(spark, stem + suffix, data)
+    drop(made, rows)
+
+
+def _strips(cells: DataFrame, value: str, width: int, height: int, high: int, encode) -> DataFrame:
+    """(piece, data): ``encode`` of the grid of each ``high`` rows of a raster (r, c, ``value``), written; cells that it lacks
+    are NaN, those outside raise."""
+    import numpy as np
+    import pandas as pd
+
+    v = F.col(value).cast("double")
+    inside = F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1)
+    piece = F.when(inside, F.floor(F.col("r") / high)).otherwise(F.raise_error(F.lit("a cell lies outside the grid")).cast("long"))
+    placed = cells.where(v.isNotNull()).select(piece.alias("piece"), (F.col("r") % high).cast("int").alias("r"), F.col("c").cast("int").alias("c"), v.alias("v"))
 
+    def encoded(number: int, frame) -> pd.DataFrame:
+        grid = np.full((min(high, height - number * high), width), np.nan)
+        if frame is not None:
+            grid[frame["r"], frame["c"]] = frame["v"]
+        return pd.DataFrame({"piece": [number], "data": [encode(grid)]})
+
+    def blank(frames):
+        for frame in frames:
+            for number in frame["piece"]:
+                yield encoded(int(number), None)
+
+    kind = "piece long, data binary"
+    some = written(spread(placed, "piece").groupBy("piece").applyInPandas(lambda frame: encoded(int(frame["piece"].iloc[0]), frame), kind), "strips")
+    rest = cells.sparkSession.range(-(-height // high)).select(F.col("id").alias("piece")).join(some.select("piece"), "piece", "left_anti")
+    made = written(some.union(rest.mapInPandas(blank, kind)), "strips")
+    drop(some)
+    return made
 
-def write_tiff(cells: DataFrame, path: str, info: dict, value: str = "value") -> None:
-    """One GeoTIFF of a raster (r, c, value) on the grid of ``info``, cells that it lacks as no-data. A single file is made
-    on the driver, which holds its grid; rasters of any size go to :func:`write_table`."""
-    import numpy as np
 
+def write_tiff(cells: DataFrame, path: str, info: dict, value: str = "value") -> None:
+    """One GeoTIFF of a raster (r, c, value) on the grid of ``info``, cells that it lacks as no-data. Executors encode its
+    strips (:func:`write_joined`). A file over 4 GB goes to :func:`geoaccord.sources.pyramid.write_pyramid`."""
     from geoaccord.sources import tiff
 
-    grid = np.full((info["height"], info["width"]), np.nan)
-    for row in cells.where(F.col(value).isNotNull()).select("r", "c", F.col(value).cast("double").alias("v")).toLocalIterator():
-        grid[row["r"], row["c"]] = row["v"]
-    write_bytes(cells.sparkSession, path, tiff.encode(grid, (info["extent"][0], info["extent"][3]), tuple(info["cell"]), info["epsg"]))
+    shape = info["height"], info["width"]
+    high = max(16, -(-CELLS // shape[1]))
+    made = _strips(cells, value, shape[1], shape[0], high, tiff.strip)
+    sizes = [r[0] for r in made.select(F.length("data"), "piece").orderBy("piece").collect()]  # a row a strip
+    write_joined(made, path, tiff.head(shape, sizes, (info["extent"][0], info["extent"][3]), tuple(info["cell"]), info["epsg"], rows_per_strip=high))
+    drop(made)
+
+
+def write_ascii_grid(cells: DataFrame, path: str, width: int, height: int, place: dict, value: str = "value", nodata: float = -9999) -> None:
+    """One ASCII grid of a raster (r, c, value); ``place`` has the lines of its head that tell where it lies. Executors write
+    its lines (:func:`write_joined`)."""
+
+    def lines(grid) -> bytes:
+        return "".join(" ".join(f"{nodata}" if v != v else repr(v) for v in row) + "\n" for row in grid.tolist()).encode()
+
+    made = _strips(cells, value, width, height, max(16, -(-CELLS // width)), lines)
+    head = "".join(f"{k} {v}\n" for k, v in ({"ncols": width, "nrows": height} | place | {"NODATA_value": nodata}).items())
+    write_joined(made, path, head.encode())
+    drop(made)
 
 
 def write_geometry_run(result, config: dict, path: str, seconds: float) -> dict[str, str]:

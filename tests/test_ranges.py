@@ -122,3 +122,28 @@ def test_windows_of_rasters(spark, tmp_path, monkeypatch):
     assert [p.numbers for p in reader.partitions()] == [[1], [2]]
     assert ranges.read_tiff(spark, str(path), where=[("r", ">", 100)]).count() == 0
     assert ranges.read_tiff(spark, str(path)).agg(F.count("value")).first()[0] == 1199
+
+
+def test_files_are_put_together_from_pieces(spark, tmp_path, monkeypatch):
+    """The driver gets a row a piece, not rows and cells: files of many pieces hold what was written, blanks too."""
+    from pyspark.sql import DataFrame
+
+    def refused(*_, **__):
+        raise AssertionError("rows came to the driver")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", refused)
+    monkeypatch.setattr(DataFrame, "toPandas", refused)
+    monkeypatch.setattr(sinks, "RECORDS", 7)
+    monkeypatch.setattr(sinks, "CELLS", 48)
+    ring = "array(array(" + ", ".join(f"named_struct('x', id + {x}d, 'y', {y}d)" for x, y in ((0, 0), (1, 0), (1, 2), (0, 2))) + "))"
+    rows = spark.range(0, 40, 1, 3).selectExpr(f"case when id % 5 > 0 then {ring} end as rings", "id as code", "case when id % 2 = 0 then concat('n', id) end as name")
+    sinks.write_shapefile(rows, f"{tmp_path}/many.shp", ["code", "name"])
+    for got in (ranges.read_shapefile(spark, f"{tmp_path}/many.shp"), readers.read_shapes(spark, f"{tmp_path}/many.shp").join(readers.read_dbf(spark, f"{tmp_path}/many.dbf"), "feature_id"), readers.read_shapefile(spark, f"{tmp_path}/many.shp")):
+        found = sorted((r["feature_id"], r["code"], r["name"], r["geometry"]["type"], sorted({p["x"] for q in r["geometry"]["parts"] for p in q})) for r in got.collect())
+        assert found == [(k, k, f"n{k}" if k % 2 == 0 else "", *(("polygon", [float(k), k + 1.0]) if k % 5 else ("null", []))) for k in range(40)]
+    cells = spark.range(4 * 100).where("id div 4 < 20 or id div 4 > 60").selectExpr("int(id div 4) as r", "int(id % 4) as c", "double(id) / 4 as value")
+    want = [(k // 4, k % 4, k / 4 if k // 4 < 20 or k // 4 > 60 else None) for k in range(400)]
+    sinks.write_tiff(cells, f"{tmp_path}/g.tif", {"width": 4, "height": 100, "cell": (1.0, 1.0), "extent": [0.0, 0.0, 4.0, 100.0], "epsg": 32650})
+    sinks.write_ascii_grid(cells, f"{tmp_path}/g.asc", 4, 100, {"xllcorner": 0, "yllcorner": 0, "cellsize": 1})
+    for got in (ranges.read_tiff(spark, f"{tmp_path}/g.tif"), readers.read_ascii_grid(spark, f"{tmp_path}/g.asc")):
+        assert sorted((r["r"], r["c"], r["value"]) for r in got.collect()) == want
