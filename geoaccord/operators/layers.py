@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geoaccord.functions import arrangement, geometry
 from geoaccord.functions.crs import transform
 from geoaccord.operators.matching import normal_category
+from geoaccord.scratch import spread
 
 
 #: Fixed names: types of features that are polygons, of one part or of several.
@@ -26,7 +27,7 @@ def measured(features: DataFrame, category: str, values: list[str] | None = None
     key = normal_category(F.col(f"`{category}`"))
     rows = features if values is None else features.where(key.isin([str(v) for v in values]))
     rows = rows.select("feature_id", key.alias("category"), *keep, "geometry.type", F.when(F.col("geometry.type").isin(*POLYGONS), geometry.polygon(F.col("geometry.parts"))).alias("rings"))
-    rows = rows.withColumn("made", arrangement.cleaned(F.when(F.size("rings") > 0, F.col("rings"))))
+    rows = spread(rows, "feature_id").withColumn("made", arrangement.cleaned(F.when(F.size("rings") > 0, F.col("rings"))))
     state = F.when(F.col("type").isNull() | (F.col("type") == "null"), "null").when(F.coalesce(F.size("rings"), F.lit(0)) <= 0, "empty").otherwise(F.col("made.state"))
     rows = rows.select("feature_id", "category", *keep, state.alias("state"), F.when(F.col("made.state").isin(*USED), F.coalesce("made.rings", "rings")).alias("rings"))
     if crs is not None:

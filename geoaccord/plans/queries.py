@@ -10,7 +10,7 @@ from geoaccord.functions import arrangement, crs, geometry, projection, scalars
 from geoaccord.functions.spaces import Space
 from geoaccord.operators import catalog, classify, layers, matching, metrics, raster, weighted
 from geoaccord.plans import engine, file_queries
-from geoaccord.scratch import scratch_path, written
+from geoaccord.scratch import scratch_path, spread, written
 from geoaccord.sources import readers, sinks
 
 FIELDS = ["v_a", "v_b", "v_c"]
@@ -362,7 +362,7 @@ def overlay_shapes(spark, d):
     matched = matching.greedy(matching.candidates(a, b, CELL, 0.1))
     side = lambda df, t: df.select(F.col("label").alias(f"{t}l"), F.col("feature_id").alias(f"{t}i"), F.col("rings").alias(f"{t}r"))
     met = matched.join(side(a, "x"), (F.col("label") == F.col("xl")) & (F.col("a_id") == F.col("xi"))).join(side(b, "y"), (F.col("label") == F.col("yl")) & (F.col("b_id") == F.col("yi")))
-    made = met.select("a_id", "b_id", *(f(F.col("xr"), F.col("yr")).alias(n) for f, n in ((arrangement.intersection, "both"), (arrangement.union, "either"), (arrangement.difference, "first"))))
+    made = spread(met, "a_id").select("a_id", "b_id", arrangement.overlays(F.col("xr"), F.col("yr"), "both", "either", "first").alias("made")).select("a_id", "b_id", "made.*")
     box = geometry.bounds(F.col("either"))
     out = made.select("a_id", "b_id", *(geometry.signed_area(F.col(n)).alias(n) for n in ("both", "either", "first")), *(v.alias(n) for v, n in zip(box, ("minx", "miny", "maxx", "maxy"))))
     return rounded(out, shift=OFF_GRID, both=3, either=3, first=3, minx=3, miny=3, maxx=3, maxy=3)
@@ -377,8 +377,8 @@ def point_in_polygon(spark, d):
     points = fixture(spark, d, "sites").select("feature_id", (F.col("px") / 8 + 0.37).alias("x"), (F.col("py") / 9 + 0.41).alias("y"))
     boxes = matching.rectangles(fixture(spark, d, "poly_a")).withColumnRenamed("feature_id", "fid").withColumn("rings", geometry.rectangle(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")]))
     steps = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / CELL), F.floor(F.col(hi) / CELL)))
-    spread = boxes.withColumn("gx", steps("minx", "maxx")).withColumn("gy", steps("miny", "maxy"))
-    met = points.join(spread, (F.floor(F.col("x") / CELL) == F.col("gx")) & (F.floor(F.col("y") / CELL) == F.col("gy")))
+    cells = boxes.withColumn("gx", steps("minx", "maxx")).withColumn("gy", steps("miny", "maxy"))
+    met = points.join(cells.hint("merge"), (F.floor(F.col("x") / CELL) == F.col("gx")) & (F.floor(F.col("y") / CELL) == F.col("gy")))
     return met.where(geometry.contains(F.col("rings"), F.col("x"), F.col("y"))).groupBy("feature_id").agg(F.max("fid").alias("polygon_id"), F.count("*").alias("hits"))
 
 

@@ -141,3 +141,18 @@ def test_meanings():
     said, read = fields.meaning("LMRE", "here", "there")
     assert "divided by the size of there" in said and read.startswith("0 where here and there agree")
     assert fields.meaning("lme") == fields.meaning("LME") and fields.meaning("other") is None
+
+
+def test_repair_is_dealt_and_plain_turns_need_no_closer_look(spark):
+    """A layer from one task is repaired in several; a ring that meets nothing and turns right is turned for a whole batch."""
+    from pyspark.sql import functions as F
+
+    from geoaccord.operators import layers
+
+    ring = "array(array(" + ", ".join(f"named_struct('x', id + {x}d, 'y', {y}d)" for x, y in ((0, 0), (0, 2), (1, 2), (1, 0))) + "))"
+    rows = spark.range(40).coalesce(1).selectExpr("id as feature_id", "'k' as category", f"named_struct('type', 'polygon', 'parts', {ring}) as geometry")
+    measured = layers.measured(rows, "category")
+    assert measured.select(F.spark_partition_id()).distinct().count() > 1
+    found = measured.orderBy("feature_id").collect()
+    assert all(r["state"] == "ok" and r["area"] == 2 for r in found)
+    assert [(p["x"], p["y"]) for p in found[3]["rings"][0]] == [(4.0, 0.0), (4.0, 2.0), (3.0, 2.0), (3.0, 0.0)]
