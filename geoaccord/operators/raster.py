@@ -131,7 +131,7 @@ def resample(target: DataFrame, source: DataFrame, value: str, row_at: Column, c
     around = [F.struct((F.col("_r") + a).cast("int").alias("sr"), (F.col("_c") + b).cast("int").alias("sc"), (wa * wb).alias("w")) for a, wa in _weights(method, F.col("_fy")) for b, wb in _weights(method, F.col("_fx"))]
     wanted = placed.select("r", "c", F.inline(F.array(*around)))
     have = source.select(F.col("r").cast("int").alias("_sr"), F.col("c").cast("int").alias("_sc"), F.col(value).alias("_v"))
-    met = wanted.join(have, (F.col("sr") == F.col("_sr")) & (F.col("sc") == F.col("_sc")), "left")
+    met = wanted.join(have.hint("merge"), (F.col("sr") == F.col("_sr")) & (F.col("sc") == F.col("_sc")), "left")
     total = F.sum(F.when(F.col("_v").isNotNull(), F.col("w")))
     return met.groupBy("r", "c").agg(F.when(F.abs(total) > EPSILON, F.sum(F.col("w") * F.col("_v")) / total).alias("value"))
 

@@ -50,7 +50,8 @@ def neighbours(points: DataFrame, radius: float, keep: list[str], focal: list[st
     ``space``.
 
     Points lie in cells (squares, on a globe cubes) as wide as the radius; a centre (by default every point) meets the
-    cells around its own.
+    cells around its own. Points are never broadcast: a scan of few columns looks small, and its rows would go to the driver
+    and into every executor.
     """
     side = space.side(radius)
     cell = lambda: [F.floor(a / side).cast("long") for a in space.axes(F.col("px"), F.col("py"))]
@@ -58,7 +59,7 @@ def neighbours(points: DataFrame, radius: float, keep: list[str], focal: list[st
     data = points.select(F.col("feature_id").alias("j"), F.col("px").alias("xj"), F.col("py").alias("yj"), *keep, *[c.alias(f"{n}j") for n, c in zip(names, cell())])
     own = (points if centres is None else centres).select(F.col("feature_id").alias("i"), F.col("px").alias("xi"), F.col("py").alias("yi"), *[F.col(f).alias(f"fi_{f}") for f in focal], *carry, *[c.alias(f"{n}o") for n, c in zip(names, cell())])
     around = F.inline(F.array(*[F.struct(*[(F.col(f"{n}o") + k).alias(n) for n, k in zip(names, step)]) for step in itertools.product((-1, 0, 1), repeat=len(names))]))
-    met = own.select("i", "xi", "yi", *[f"fi_{f}" for f in focal], *carry, around).join(data, [F.col(n) == F.col(f"{n}j") for n in names])
+    met = own.select("i", "xi", "yi", *[f"fi_{f}" for f in focal], *carry, around).join(data.hint("merge"), [F.col(n) == F.col(f"{n}j") for n in names])
     d = space.distance(F.col("xi"), F.col("yi"), F.col("xj"), F.col("yj"))
     return met.withColumn("d", d).where(F.col("d") <= radius).select("i", "xi", "yi", *[f"fi_{f}" for f in focal], *carry, "j", *keep, "d")
 
@@ -81,7 +82,7 @@ def nearest_distances(points: DataFrame, k: int, start: float, space: Space = PL
         ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") == k).select("i", F.col("d").alias("b"))
         done = written(ranked, "nearest")
         out = done if out is None else out.union(done)
-        left = written(left.join(done, F.col("feature_id") == F.col("i"), "left_anti"), "points")
+        left = written(left.join(done.hint("merge"), F.col("feature_id") == F.col("i"), "left_anti"), "points")
         if left.isEmpty():
             return out
         radius *= 2
@@ -95,7 +96,7 @@ def weighted_pairs(points: DataFrame, fields: list[str], kernel: str, bandwidth:
         return met.withColumn("w", weight(F.col("d") / bandwidth)).where("w > 0")
     # Each point meets the points within its own reach, joined by the class of that reach: the next power of 2.
     own = nearest_distances(points, int(round(bandwidth)), start or 1.0, space)
-    centres = points.join(own.withColumnRenamed("i", "_i"), F.col("feature_id") == F.col("_i")).drop("_i").withColumnRenamed("b", "_b")
+    centres = points.join(own.withColumnRenamed("i", "_i").hint("merge"), F.col("feature_id") == F.col("_i")).drop("_i").withColumnRenamed("b", "_b")
     centres = written(centres.withColumn("_class", F.ceil(F.log2(F.greatest(F.col("_b") * reach, F.lit(1e-12)))).cast("int")), "centres")
     out = None
     for row in centres.select("_class").distinct().orderBy("_class").collect():  # a power of 2 each: some tens at most
@@ -184,14 +185,17 @@ def studentised(fitted: DataFrame, diagnosed: DataFrame, by: list[str] = ("pair_
 
 def local_r2(rows: DataFrame, fitted: DataFrame, fields: list[str], by: list[str] = ("i",)) -> DataFrame:
     """(by, pair_key, local_r2): one less the weighted residual over the weighted total sum of squares around i."""
-    long = rows.select(*by, "j", "w", F.inline(F.array(*[F.struct(F.lit(p.key).alias("pair_key"), F.col(p.y).alias("y")) for p in pairs(fields)])))
-    rest = [b for b in by if b != "i"]
-    fit = fitted.select(*[F.col(b).alias(f"_{b}") for b in rest], F.col("i").alias("_j"), F.col("pair_key").alias("_k"), F.col("residual").alias("_e"))
-    means = fitted.groupBy(*rest, "pair_key").agg(F.avg("yi").alias("_mean")).select(*[F.col(b).alias(f"m_{b}") for b in rest], F.col("pair_key").alias("m_k"), "_mean")
-    met = long.join(fit, [F.col("j") == F.col("_j"), F.col("pair_key") == F.col("_k"), *[F.col(b) == F.col(f"_{b}") for b in rest]])
-    met = met.join(means, [F.col("pair_key") == F.col("m_k"), *[F.col(b) == F.col(f"m_{b}") for b in rest]])
-    dev = F.col("y") - F.col("_mean")
-    return met.groupBy(*by, "pair_key").agg((1 - F.sum(F.col("w") * F.col("_e") * F.col("_e")) / F.sum(F.col("w") * dev * dev)).alias("local_r2"))
+    made, rest = pairs(fields), [b for b in by if b != "i"]
+    each = lambda of, value, name: [of(F.when(F.col("pair_key") == p.key, F.col(value))).alias(f"{name}{k}") for k, p in enumerate(made)]
+    fit = fitted.groupBy(*[F.col(b).alias(f"_{b}") for b in rest], F.col("i").alias("_j")).agg(*each(F.max, "residual", "_e"))  # one row a point, for all pairs
+    means = fitted.groupBy(*[F.col(b).alias(f"m_{b}") for b in rest]).agg(*each(F.avg, "yi", "_m"))
+    met = rows.join(fit.hint("merge"), [F.col("j") == F.col("_j"), *[F.col(b) == F.col(f"_{b}") for b in rest]])
+    met = met.join(F.broadcast(means), [F.col(b) == F.col(f"m_{b}") for b in rest]) if rest else met.crossJoin(F.broadcast(means))
+    w, out = F.col("w"), []
+    for k, p in enumerate(made):
+        e, dev = F.col(f"_e{k}"), F.col(p.y) - F.col(f"_m{k}")
+        out.append((1 - F.sum(w * e * e) / F.sum(w * dev * dev)).alias(f"_r{k}"))
+    return met.groupBy(*by).agg(*out).select(*by, F.inline(F.array(*[F.struct(F.lit(p.key).alias("pair_key"), F.col(f"_r{k}").alias("local_r2")) for k, p in enumerate(made)])))
 
 
 def sweep(points: DataFrame, fields: list[str], kernel: str, bandwidths: list[float], space: Space = PLANE) -> tuple[DataFrame, DataFrame]:

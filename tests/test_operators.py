@@ -308,3 +308,13 @@ def test_stated_box_areas_decide_the_iou(spark):
     inter = (x + 0.7) - x
     assert inter != 0.7
     assert [r["rect_iou"] for r in matching.candidates(layer(0.7), layer(1.4), 4.0).collect()] == [inter / (0.7 + 1.4 - inter)]
+
+
+def test_points_are_never_broadcast(spark, sf):
+    """Neighbours, and the residuals of a local R2, are joined by shuffles: only the means, a row, are broadcast."""
+    from geoaccord.plans import queries
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(queries.gwr_coefficients(spark, sf))
+    assert "BroadcastHashJoin" not in plan(queries.gwr_local_r2(spark, sf))
+    assert "BroadcastHashJoin" not in plan(queries.point_in_polygon(spark, sf))
