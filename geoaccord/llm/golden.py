@@ -163,7 +163,7 @@ def _pruned(batches: Iterator[pa.RecordBatch], rules: Rules) -> Iterator[pa.Reco
     held: list[pa.Table] = []
     rows = 0
     for batch in batches:
-        held.append(pa.Table.from_batches([batch]))
+        held.append(pa.table(batch.columns, names=batch.schema.names))  # without the batch's own word on nulls, which pruned rows lack
         rows += batch.num_rows
         if rows >= BUFFER:
             one = prune(pa.concat_tables(held), rules)
