@@ -11,13 +11,15 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoaccord.functions.spaces import PLANE, Space
+from geoaccord.operators import kernels
 from geoaccord.operators.metrics import complete_cases
 from geoaccord.pairs import pairs
-from geoaccord.scratch import written
+from geoaccord.scratch import drop, written
 
 #: Kernel: (weight of distance over bandwidth, reach in bandwidths)
 KERNELS = {
@@ -128,6 +130,45 @@ def local_sums(rows: DataFrame, fields: list[str], by: list[str] = ("i",)) -> Da
     return rows.groupBy(*by).agg(*out).select(*by, "s0", "q0", "wii", F.inline(F.array(*long)))
 
 
+def repeated_ids(points: DataFrame) -> bool:
+    return not points.groupBy("feature_id").count().where("count > 1").isEmpty()
+
+
+def fixed_sums(points: DataFrame, fields: list[str], kernel: str, bandwidths: list[float], space: Space = PLANE) -> DataFrame:
+    """(bandwidth, and the columns of :func:`local_sums`) of the complete cases under fixed bandwidths.
+
+    In the Euclidean plane the sums are taken by blocks, without a row a pair of points; other distances, and ids that
+    repeat (whose sums are one), go by neighbour rows."""
+    made = pairs(fields)
+    if space != PLANE or repeated_ids(points):
+        out = None
+        for b in bandwidths:
+            rows = weighted_pairs(points, fields, kernel, b, space=space).withColumn("bandwidth", F.lit(float(b)))
+            sums = local_sums(rows, fields, ["bandwidth", "i"])
+            out = sums if out is None else out.union(sums)
+        return out
+    at = [(fields.index(p.y), fields.index(p.x)) for p in made]
+
+    def values(columns):
+        out = [np.ones_like(columns[0])]
+        for a, b in at:
+            y, x = columns[a], columns[b]
+            d, some = y - x, x != 0
+            out += [x, y, x * x, x * y, y * y, d, np.abs(d), d * d, np.abs(d) / np.where(some, x, 1.0) * some, some.astype(float)]
+        return np.stack(out, axis=1)
+
+    def squares(columns):
+        return np.stack([np.ones_like(columns[0]), *[v for _, b in at for v in (columns[b], columns[b] * columns[b])]], axis=1)
+
+    sums = kernels.kernel_sums(points, fields, kernels.WEIGHTS[kernel], [float(b) for b in bandwidths], KERNELS[kernel][1], values, squares)
+    s, q, names, long = F.col("s"), F.col("q"), ["sx", "sy", "sxx", "sxy", "syy", "e1", "e2", "e3", "e4"], []
+    for k, p in enumerate(made):
+        got = {n: s[1 + 10 * k + m] for m, n in enumerate(names)} | {"qx": q[1 + 2 * k], "qxx": q[2 + 2 * k], "yi": F.col(f"fi_{p.y}"), "xi": F.col(f"fi_{p.x}")}
+        got["e4"] = F.when(s[10 + 10 * k] > 0, got["e4"])
+        long.append(F.struct(F.lit(p.key).alias("pair_key"), *[got[n].alias(n) for n in ("sx", "sy", "sxx", "sxy", "syy", "qx", "qxx", "e1", "e2", "e3", "e4", "yi", "xi")]))
+    return sums.select("bandwidth", "i", s[0].alias("s0"), q[0].alias("q0"), "wii", F.inline(F.array(*long)))
+
+
 def zero_denominators(points: DataFrame, fields: list[str]) -> dict[str, bool]:
     """For each pair, whether its denominator x is 0 anywhere; local relative errors are then null."""
     made = pairs(fields)
@@ -199,22 +240,32 @@ def local_r2(rows: DataFrame, fitted: DataFrame, fields: list[str], by: list[str
 
 
 def sweep(points: DataFrame, fields: list[str], kernel: str, bandwidths: list[float], space: Space = PLANE) -> tuple[DataFrame, DataFrame]:
-    """Neighbour rows and fitted regressions for every fixed bandwidth, from one neighbour join at the largest."""
+    """Neighbour rows (one neighbour join at the largest) and fitted regressions for every fixed bandwidth."""
     weight, reach = KERNELS[kernel]
     within = F.filter(F.array(*[F.lit(float(b)) for b in bandwidths]), lambda b: F.col("d") <= b * reach)
     met = neighbours(points, max(bandwidths) * reach, fields, space=space).withColumn("bandwidth", F.explode(within))
     rows = met.withColumn("w", weight(F.col("d") / F.col("bandwidth"))).where("w > 0")
-    return rows, regression(local_sums(rows, fields, ["bandwidth", "i"]))
+    return rows, regression(fixed_sums(points, fields, kernel, bandwidths, space))
 
 
 def auto_bandwidth(points: DataFrame, fields: list[str], kernel: str = "bisquare", rounds: int = 25) -> float:
-    """Golden-section search of the fixed bandwidth with the least AICc for the first pair."""
+    """Golden-section search of the fixed bandwidth with the least AICc for the first pair.
+
+    Bisquare sums go by moments of squares inside the bandwidth (``kernels.Moments``), so the first steps, whose bandwidths
+    span most of the map, meet near all pairs without listing them. Other kernels are no polynomials and meet them in
+    blocks."""
     box = points.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
     hi = math.hypot(box[1] - box[0], box[3] - box[2])
     lo, ratio = hi / 5000, (math.sqrt(5) - 1) / 2
 
+    pair = pairs(fields[:2])[0]
+    table = kernels.Moments(points, pair.y, pair.x) if kernel == "bisquare" and not repeated_ids(points) else None
+
     def loss(b: float) -> float:
-        sums = local_sums(weighted_pairs(points, fields[:2], kernel, b), fields[:2])
+        if table is not None:
+            sums = table.sums(b).withColumns({"wii": F.lit(1.0), "pair_key": F.lit(pair.key)})
+        else:
+            sums = fixed_sums(points, fields[:2], kernel, [b])
         got = diagnostics(regression(sums)).first()
         return got["aicc"] if got and got["aicc"] is not None and not math.isnan(got["aicc"]) else math.inf
 
@@ -231,6 +282,8 @@ def auto_bandwidth(points: DataFrame, fields: list[str], kernel: str = "bisquare
             lo, a, fa = a, b, fb
             b = lo + ratio * (hi - lo)
             fb = loss(b)
+    if table is not None:
+        table.drop()
     return (lo + hi) / 2
 
 

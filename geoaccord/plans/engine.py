@@ -78,7 +78,8 @@ def attribute(config: dict, points: DataFrame) -> Result:
     else:
         width = weighted.auto_bandwidth(whole, fields, kernel)
     rows = weighted.weighted_pairs(whole, fields, kernel, width, adaptive, start=config.get("start_radius"), space=space)
-    sums = written(weighted.local_sums(rows, fields), "sums")  # the neighbour join, for the errors, the fit and its diagnostics
+    sums = weighted.local_sums(rows, fields) if adaptive else weighted.fixed_sums(whole, fields, kernel, [width], space).drop("bandwidth")
+    sums = written(sums, "sums")  # the neighbours, for the errors, the fit and its diagnostics
     fit = weighted.regression(weighted.local_correlation(weighted.local_errors(sums, weighted.zero_denominators(whole, fields))))
     diagnosed = weighted.diagnostics(fit)
     local = weighted.studentised(fit, diagnosed).join(weighted.local_r2(rows, fit, fields).withColumnRenamed("pair_key", "_p").withColumnRenamed("i", "_i"), (F.col("i") == F.col("_i")) & (F.col("pair_key") == F.col("_p"))).drop("_i", "_p")

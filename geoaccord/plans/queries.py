@@ -101,7 +101,7 @@ def category_auto_mapping(spark, d):
 def _local(spark, d, kernel="bisquare", bandwidth=BANDWIDTH, adaptive=False):
     points = sites(spark, d)
     rows = weighted.weighted_pairs(points, FIELDS, kernel, bandwidth, adaptive, start=300.0)
-    return points, rows, weighted.local_sums(rows, FIELDS)
+    return points, rows, weighted.local_sums(rows, FIELDS) if adaptive else weighted.fixed_sums(points, FIELDS, kernel, [bandwidth]).drop("bandwidth")
 
 
 def _local_error(spark, d, *args):

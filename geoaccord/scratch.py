@@ -49,12 +49,12 @@ def drop(*tables: DataFrame) -> None:
             _delete(_tables.pop(path), path)
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """``df`` in several tasks a core, by columns with many values: for steps whose work a row is large beside its bytes,
-    which a scan or a shuffle of few bytes would leave to one task."""
+def spread(df: DataFrame, *by: str, most: int = 1 << 30) -> DataFrame:
+    """``df`` in several tasks a core (in ``most`` at most), by columns with many values: for steps whose work a row is large
+    beside its bytes, which a scan or a shuffle of few bytes would leave to one task."""
     context = df.sparkSession.sparkContext
     many = max(4 * context.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(many, *by)
+    return df.repartition(max(1, min(many, most)), *by)
 
 
 def discard(path: str) -> None:
