@@ -539,6 +539,28 @@ def test_jaccard_near_copies(spark, monkeypatch):
         assert {r["doc_id"]: r["component_id"] for r in jaccard.join(docs, sample_docs=sample).collect()} == want
 
 
+@pytest.mark.parametrize("bits", [1 << 25, 1 << 16])
+def test_jaccard_likely(spark, bits):
+    docs = spark.range(-20_000, 20_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    docs = docs.union(docs.limit(1).select(F.lit(None).cast("long"), "text"))
+    ids = spark.range(-20_000, 20_000, 40).select(F.col("id").alias("_n"))
+    got = [r["doc_id"] for r in jaccard._likely(docs, ids, bits).collect()]
+    assert set(range(-20_000, 20_000, 40)) <= set(got) and len(got) == len(set(got)) < 2_000
+    assert jaccard._likely(docs, ids.limit(0), bits).isEmpty()
+
+
+def test_jaccard_shuffles_needed_texts(spark, monkeypatch):
+    """Most texts have no candidate: they are left out before the join that reads texts."""
+    made = {}
+    real = jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, label: made.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString()) and real(df, label))
+    words = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(200)]
+    docs = spark.createDataFrame([*enumerate(words), (1000, words[7] + " more"), (1001, "start " + words[9])], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()}
+    assert got == {**{i: i for i in range(200)}, 1000: 7, 1001: 9}
+    assert "bitmap_construct_agg" in made["texts"]
+
+
 def test_jaccard_empty(no_docs):
     assert jaccard.join(no_docs).count() == 0
 
