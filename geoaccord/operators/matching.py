@@ -6,12 +6,16 @@ Layers are rows (feature_id, category, minx, miny, maxx, maxy, area, perimeter,
 from __future__ import annotations
 
 import functools
+import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoaccord.functions import geometry
-from geoaccord.operators.weighted import neighbours
+from geoaccord.operators import kernels
+from geoaccord.operators.ranks import medians
+from geoaccord.operators.weighted import repeated_ids
 from geoaccord.scratch import drop, written
 
 THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
@@ -271,26 +275,34 @@ def recommended(overall: DataFrame) -> DataFrame:
 
 
 def smooth(measured: DataFrame, bandwidths: list[float]) -> DataFrame:
-    """Gaussian weighted errors of the matches around each match, cut at three bandwidths, for every bandwidth."""
+    """Gaussian weighted errors of the matches around each match, cut at three bandwidths, for every bandwidth.
+
+    Sums are taken by blocks of matches (``kernels``), without a row a pair of matches; those of an a_id that repeats are
+    one. Null errors are left out of the means."""
     c = F.col
     fields = ["area_error", "area_abs_error", "polygon_iou", "centroid_distance", "perimeter_error"]
-    points = measured.select(c("a_id").alias("feature_id"), "px", "py", *fields)
-    within = F.filter(F.array(*[F.lit(float(b)) for b in bandwidths]), lambda b: c("d") <= 3 * b)
-    met = neighbours(points, 3 * max(bandwidths), fields).withColumn("bandwidth", F.explode(within))
-    w = F.exp(-(c("d") * c("d")) / (2 * c("bandwidth") * c("bandwidth")))
-    mean = lambda v: F.sum(w * v) / F.sum(F.when(v.isNotNull(), w))
-    return met.groupBy("bandwidth", c("i").alias("source_id")).agg(
-        mean(c("area_error")).alias("gw_area_me"), mean(c("area_abs_error")).alias("gw_area_mae"), F.sqrt(mean(c("area_error") * c("area_error"))).alias("gw_area_rmse"),
-        mean(c("polygon_iou")).alias("gw_iou"), mean(c("centroid_distance")).alias("gw_centroid"), mean(c("perimeter_error")).alias("gw_perimeter"), F.count("*").alias("neighbours"),
+    known = [f"{f}_known" for f in fields]
+    points = written(measured.select(c("a_id").alias("feature_id"), "px", "py", *[F.coalesce(f, F.lit(0.0)).alias(f) for f in fields], *[c(f).isNotNull().cast("double").alias(k) for f, k in zip(fields, known)]), "matches")
+
+    def values(columns):
+        return np.stack([*columns, columns[0] * columns[0]], axis=1)
+
+    sums = kernels.kernel_sums(points, [*fields, *known], kernels.WEIGHTS["gaussian"], [float(b) for b in bandwidths], 3.0, values)
+    n, s = len(fields), c("s")
+    if repeated_ids(points):
+        sums = sums.groupBy("bandwidth", "i").agg(F.sum("n").alias("n"), F.array(*[F.sum(s[k]) for k in range(2 * n + 1)]).alias("s"))
+    mean = lambda k, of: F.when(s[n + of] > 0, s[k] / s[n + of])
+    return sums.select(
+        "bandwidth", c("i").alias("source_id"), mean(0, 0).alias("gw_area_me"), mean(1, 1).alias("gw_area_mae"), F.sqrt(mean(2 * n, 0)).alias("gw_area_rmse"),
+        mean(2, 2).alias("gw_iou"), mean(3, 3).alias("gw_centroid"), mean(4, 4).alias("gw_perimeter"), c("n").alias("neighbours"),
     )
 
 
 def smooth_curve(smoothed: DataFrame) -> DataFrame:
-    """Medians of the smoothed measures per bandwidth."""
-    return smoothed.groupBy("bandwidth").agg(
-        F.median("gw_iou").alias("gw_iou_median"), F.median("gw_area_mae").alias("gw_area_mae_median"), F.median("gw_centroid").alias("gw_centroid_median"),
-        F.median("gw_area_rmse").alias("gw_rmse_median"), F.median("neighbours").alias("neighbor_median"),
-    )
+    """Medians of the smoothed measures per bandwidth, by rounds of counts; NaN counts as the greatest number."""
+    measures = {"gw_iou": "gw_iou_median", "gw_area_mae": "gw_area_mae_median", "gw_centroid": "gw_centroid_median", "gw_area_rmse": "gw_rmse_median", "neighbours": "neighbor_median"}
+    each = [F.nanvl(F.col(c).cast("double"), F.lit(math.inf)).alias(name) for c, name in measures.items()]
+    return medians(smoothed.select("bandwidth", *each), "bandwidth", list(measures.values()))
 
 
 def quality(layer: DataFrame, min_area: float) -> DataFrame:

@@ -318,3 +318,28 @@ def test_points_are_never_broadcast(spark, sf):
     assert "BroadcastHashJoin" not in plan(queries.gwr_coefficients(spark, sf))
     assert "BroadcastHashJoin" not in plan(queries.gwr_local_r2(spark, sf))
     assert "BroadcastHashJoin" not in plan(queries.point_in_polygon(spark, sf))
+
+
+def test_smoothing_by_blocks(spark):
+    """Smoothed errors against plain loops, with nulls and an id that repeats; no row a pair of matches, and medians that
+    no single task gathers."""
+    rng = np.random.default_rng(5)
+    at, errors = rng.uniform(0, 300, (60, 2)), rng.normal(size=(60, 5))
+    rows = [(k if k else 1, *map(float, at[k]), *[None if c < 2 and k % 4 == 3 else float(e) for c, e in enumerate(errors[k])]) for k in range(60)]
+    frame = spark.createDataFrame(rows, "a_id long, px double, py double, area_error double, area_abs_error double, polygon_iou double, centroid_distance double, perimeter_error double")
+    smoothed = matching.smooth(frame, [20.0, 40.0])
+    assert "Join" not in smoothed._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["bandwidth"], r["source_id"]): r for r in smoothed.collect()}
+    assert len(got) == 2 * 59
+    for b in (20.0, 40.0):
+        for i in range(1, 60):
+            met = [(math.exp(-0.5 * (math.dist(x[1:3], y[1:3]) / b) ** 2), y) for x in rows if x[0] == i for y in rows if math.dist(x[1:3], y[1:3]) <= 3 * b]
+            mean = lambda f: (sum(w * f(y) for w, y in met if y[3] is not None) / s if (s := sum(w for w, y in met if y[3] is not None)) else None)  # noqa: B023, E731
+            r = got[b, i]
+            assert r["neighbours"] == len(met) and r["gw_iou"] == pytest.approx(sum(w * y[5] for w, y in met) / sum(w for w, _ in met))
+            assert r["gw_area_me"] == pytest.approx(mean(lambda y: y[3])) and r["gw_area_rmse"] == pytest.approx(mean(lambda y: y[3] ** 2) ** 0.5 if mean(lambda y: y[3]) is not None else None)
+    curve = matching.smooth_curve(smoothed)
+    assert "median" not in curve._jdf.queryExecution().optimizedPlan().toString().lower().replace("_median", "")
+    for r in curve.collect():
+        assert r["gw_iou_median"] == pytest.approx(np.median([got[k]["gw_iou"] for k in got if k[0] == r["bandwidth"]]))
+        assert r["neighbor_median"] == np.median([got[k]["neighbours"] for k in got if k[0] == r["bandwidth"]])
