@@ -9,8 +9,9 @@ degree 8. So the sums over a square that lies whole inside the bandwidth follow
 only squares that the edge of the bandwidth crosses are met point by point: :class:`Moments` takes squares of all sizes
 (sides double), which makes the work grow with the edges and not with the areas.
 
-Cases: points without a coordinate meet nothing; points on one another are met like others, by pieces of a block; values
-must not be null (a null is what ``values`` makes of it), infinite ones are summed apart.
+Cases: points without a finite coordinate meet nothing; points on one another are met like others, by pieces of a block;
+values must not be null (a null is what ``values`` makes of it), infinite ones are summed apart. Points far off widen no
+block of the sums within a radius: its size follows the places that are taken (:func:`_side`).
 """
 
 from __future__ import annotations
@@ -28,20 +29,35 @@ from geoaccord.scratch import drop, spread, written
 LEAST, MOST, PIECE, CHUNK = 256, 4096, 16_384, 16_384
 #: Points of a block whose weights are held at once; squares along a block's side that are told apart inside a task.
 ROWS, PARTS = 256, 8
+#: The last number of a block along an axis, behind which blocks are one.
+LAST = 1 << 62
 #: Weights by the distance over the bandwidth.
 WEIGHTS = {"bisquare": lambda q: np.square(np.maximum(1 - q * q, 0.0)), "gaussian": lambda q: np.exp(-0.5 * q * q), "exponential": lambda q: np.exp(-q)}
 
 
-def placed(points: DataFrame, columns: list[str], least_side: float = 0.0) -> tuple[DataFrame, tuple]:
-    """The points (i, h, px, py, columns, bx, by) in blocks, and (x0, y0, side, blocks along x and y); h stands for the id."""
-    whole = points.where("px is not null and py is not null")
+def _side(whole: DataFrame, radius: float, wide: float, high: float, n: int) -> float:
+    """The side of blocks of some thousand points, the radius at least, by the squares as wide as the radius that hold
+    points: gaps between points and points far off do not count. It is at most MOST times the radius."""
+    cells = whole.select(*[F.floor(F.col(c) / radius).alias(c) for c in ("px", "py")]).distinct().count()
+    across, along = max(wide / radius, 1.0), max(high / radius, 1.0)
+    taken = min(MOST, max(LEAST, n / 128)) * min(cells, across * along) / n  # squares that hold the points of a block
+    return radius * max(math.sqrt(taken), taken / min(across, along), 1.0)
+
+
+def placed(points: DataFrame, columns: list[str], radius: float = 0.0) -> tuple[DataFrame, tuple]:
+    """The points (i, h, px, py, columns, bx, by) in blocks, of the radius at least, and (x0, y0, side, blocks along x and
+    y); h stands for the id."""
+    whole = points.where("abs(px) < double('infinity') and abs(py) < double('infinity')")  # NaN is above all numbers
     box = whole.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py"), F.count("*")).first()
     x0, y0, wide, high, n = (box[0] or 0.0, box[2] or 0.0, (box[1] or 0.0) - (box[0] or 0.0), (box[3] or 0.0) - (box[2] or 0.0), box[4])
-    share = min(1.0, min(MOST, max(LEAST, n / 128)) / max(n, 1))
-    side = max(math.sqrt(wide * high * share), max(wide, high) * share, least_side) or 1.0
-    at = lambda c, low: F.floor((F.col(c) - low) / side).cast("long")
+    if radius and n:
+        side = _side(whole, radius, wide, high, n)
+    else:
+        share = min(1.0, min(MOST, max(LEAST, n / 128)) / max(n, 1))
+        side = max(math.sqrt(wide * high * share), max(wide, high) * share, radius) or 1.0
+    at = lambda c, low: F.least(F.lit(LAST), F.floor((F.col(c) - low) / side).cast("long"))
     rows = whole.select(F.col("feature_id").alias("i"), F.xxhash64("feature_id").alias("h"), F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py"), *[F.col(c).cast("double").alias(c) for c in columns], at("px", x0).alias("bx"), at("py", y0).alias("by"))
-    return rows, (x0, y0, side, math.floor(wide / side) + 1, math.floor(high / side) + 1)
+    return rows, (x0, y0, side, *(math.floor(min(v / side, float(LAST))) + 1 for v in (wide, high)))
 
 
 def _pieces(rows: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
@@ -181,7 +197,8 @@ def kernel_sums(points: DataFrame, columns: list[str], weigh, bandwidths: list[f
     # A point goes to the blocks within the radius, 3 by 3 at most, as a side is the radius at least; a little is added to
     # the radius for the rounding of the blocks' edges.
     near = radius * (1 + 1e-9)
-    span = lambda c, low, most: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - near - low) / side)).cast("long"), F.least(F.lit(most - 1), F.floor((F.col(c) + near - low) / side)).cast("long")))
+    at = lambda value, most: F.least(F.lit(most - 1), F.greatest(F.lit(0), F.floor(value / side))).cast("long")
+    span = lambda c, low, most: F.explode(F.sequence(at(F.col(c) - near - low, most), at(F.col(c) + near - low, most)))
     met = rows.drop("bx", "by").withColumn("bx", span("px", x0, nx)).withColumn("by", span("py", y0, ny))
     if most == 1:
         met = met.withColumn("piece", F.lit(0))

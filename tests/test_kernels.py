@@ -73,3 +73,21 @@ def test_squares_met_grow_with_edges():
             covered = np.concatenate([np.arange(y * 2**k, (y + 1) * 2**k) for y, k in zip(cy, level)])
             assert len(np.unique(covered)) == len(covered)
             assert set(range(max(0, blocks // 2 - int(b)), min(blocks, blocks // 2 + int(b) + 1))) <= set(covered.tolist())
+
+
+def test_points_far_off_widen_no_block(spark, monkeypatch):
+    """One point far off, or points without a finite coordinate, leave the blocks and the sums of the others as they are."""
+    monkeypatch.setattr(kernels, "LEAST", 40)
+    schema = "feature_id long, px double, py double, y double, x double"
+    rows = [(k, float(k % 40), float(k // 40), 1.0 + k % 7, 2.0 + k % 5) for k in range(2000)]
+    odd = [(9000, math.nan, 1.0, 1.0, 1.0), (9001, 1.0, math.inf, 1.0, 1.0), (9002, None, 1.0, 1.0, 1.0), (9003, -math.inf, 1.0, 1.0, 1.0)]
+    sums = lambda df: {r["i"]: tuple(r[c] for c in ("s0", "q0", "wii", "sxy", "e3", "yi")) for r in weighted.fixed_sums(df, ["y", "x"], "exponential", [0.1]).collect()}
+    plain = spark.createDataFrame(rows, schema)
+    most = lambda df: kernels.placed(df, ["y", "x"], 3.7)[0].groupBy("bx", "by").count().agg({"count": "max"}).first()[0]
+    want, some = sums(plain), most(plain)
+    for far in (1e9, -1e15, 1e300):
+        df = spark.createDataFrame([*rows, (5000, far, far, 3.0, 4.0), (5001, far, 0.0, 3.0, 4.0), *odd], schema)
+        assert most(df) <= 2 * some < 400
+        got = sums(df)
+        assert set(got) - set(want) == {5000, 5001} and all(got[k] == pytest.approx(v, rel=1e-9) for k, v in want.items())
+        assert got[5000] == got[5001] == (1.0, 1.0, 1.0, 12.0, 1.0, 3.0)
