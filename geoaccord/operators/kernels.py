@@ -27,8 +27,9 @@ from geoaccord.scratch import drop, spread, written
 
 #: Points of a block (between the least and the most, by the points' number), of a piece of a block, and of a chunk.
 LEAST, MOST, PIECE, CHUNK = 256, 4096, 16_384, 16_384
-#: Points of a block whose weights are held at once; squares along a block's side that are told apart inside a task.
-ROWS, PARTS = 256, 8
+#: Points of a block whose weights are held at once (TILE: of those that lie together, so that few others are near them in
+#: vain); squares along a block's side that are told apart inside a task.
+ROWS, TILE, PARTS = 256, 64, 8
 #: The last number of a block along an axis, behind which blocks are one.
 LAST = 1 << 62
 #: Weights by the distance over the bandwidth.
@@ -145,9 +146,9 @@ class _Near:
         self.ids = pa.concat_arrays([p.column("i") for p in own])
         self.h, x, y, *self.fields = _columns(own, ["h", "px", "py", *columns])
         self.at, self.columns, self.weigh, self.bandwidths, self.reach, self.values, self.squares = (x, y), columns, weigh, bandwidths, reach, values, squares
-        step = max(np.ptp(x), np.ptp(y)) / max(1.0, math.sqrt(len(x) / ROWS)) or 1.0
+        step = max(np.ptp(x), np.ptp(y)) / max(1.0, math.sqrt(len(x) / TILE)) or 1.0
         order = np.lexsort((x, np.floor((y - y.min()) / step)))
-        self.tiles = [order[k : k + ROWS] for k in range(0, len(order), ROWS)]
+        self.tiles = [order[k : k + TILE] for k in range(0, len(order), TILE)]
         n, empty = len(x), [np.zeros(0) for _ in columns]
         self.s = [np.zeros((n, values(empty).shape[1])) for _ in bandwidths]
         self.q = [np.zeros((n, squares(empty).shape[1])) for _ in bandwidths]
@@ -167,7 +168,7 @@ class _Near:
             v1, v2 = one[near], two[near]
             for k, b in enumerate(self.bandwidths):
                 w = self.weigh(d / b)
-                w[d > b * self.reach] = 0.0
+                w *= d <= b * self.reach
                 self.s[k][tile] += product(w, v1)
                 if v2.shape[1]:
                     self.q[k][tile] += product(w * w, v2)

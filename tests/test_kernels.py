@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from geoaccord.operators import kernels, weighted
@@ -91,3 +92,23 @@ def test_points_far_off_widen_no_block(spark, monkeypatch):
         got = sums(df)
         assert set(got) - set(want) == {5000, 5001} and all(got[k] == pytest.approx(v, rel=1e-9) for k, v in want.items())
         assert got[5000] == got[5001] == (1.0, 1.0, 1.0, 12.0, 1.0, 3.0)
+
+
+def test_few_weights_in_vain():
+    """Weights are taken for less than three times the pairs inside the reach."""
+    at = np.arange(10_000)
+    xy = [pa.array(v.astype(float)) for v in (at % 100, at // 100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(at), pa.array(at), *xy, *xy], names=["i", "h", "px", "py", "y", "x"])
+    taken = [0]
+
+    def weigh(q):
+        taken[0] += q.size
+        return kernels.WEIGHTS["gaussian"](q)
+
+    near = kernels._Near([batch], ["y", "x"], weigh, [1.2], 8.5, lambda f: np.stack([np.ones_like(f[0]), f[0]], axis=1), lambda f: np.stack([f[1]], axis=1))
+    near.add([batch])
+    x, y = at % 100, at // 100
+    d = np.hypot(x[5050] - x, y[5050] - y)
+    w = np.where(d <= 1.2 * 8.5, np.exp(-0.5 * (d / 1.2) ** 2), 0.0)
+    assert near.s[0][5050] == pytest.approx([w.sum(), w @ x]) and near.q[0][5050] == pytest.approx([(w * w) @ y]) and near.n[0][5050] == (w > 0).sum()
+    assert near.n[0].sum() + len(at) < taken[0] < 3 * near.n[0].sum()
